@@ -43,7 +43,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                codes, terms, bounds = tk.words(part.column("text"), tk.ALNUM)
+                codes, terms, bounds, *_ = tk.words(part.column("text"), tk.ALNUM)
                 lengths = np.diff(bounds)
                 place = np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths)
                 by_term = np.argsort(codes, kind="stable")

@@ -27,8 +27,15 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridquarry.llm.substrings import drop_repeated
+
+    found = drop_repeated(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_decontaminate": op6_decontaminate}
+    return {f.__name__: f for f in (op6_decontaminate, op8_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:

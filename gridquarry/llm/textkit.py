@@ -38,11 +38,16 @@ ALNUM = _table(bytes([*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61)
 
 
 class Words(NamedTuple):
-    """codes[i] is the place of word i in vocabulary; document d has words[bounds[d]:bounds[d + 1]]."""
+    """codes[i] is the place of word i in vocabulary; document d has words[bounds[d]:bounds[d + 1]].
+
+    letters holds the words without anything between them, word i at starts[i]:starts[i + 1].
+    """
 
     codes: np.ndarray
     vocabulary: list[bytes]
     bounds: np.ndarray
+    letters: np.ndarray
+    starts: np.ndarray
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -71,7 +76,7 @@ def words(column: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Words:
     keep, folded = kind
     raw, offsets = flat(column)
     if not len(raw):
-        return Words(np.zeros(0, np.int32), [], np.zeros(len(offsets), np.int64))
+        return Words(np.zeros(0, np.int32), [], np.zeros(len(offsets), np.int64), raw, np.zeros(1, np.int32))
     inside = keep[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
@@ -81,7 +86,15 @@ def words(column: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Words:
     kept = folded[raw[inside]]
     starts = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
     encoded = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(kept)]).dictionary_encode()
-    return Words(encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist(), bounds)
+    return Words(encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist(), bounds, kept, starts)
+
+
+def spaced(found: Words) -> tuple[bytes, np.ndarray]:
+    """All words with one space after each, and where each begins (one more entry for the end)."""
+    n = len(found.codes)
+    out = np.full(len(found.letters) + n, 0x20, np.uint8)
+    out[np.arange(len(found.letters)) + np.repeat(np.arange(n), np.diff(found.starts))] = found.letters
+    return out.tobytes(), found.starts + np.arange(n + 1)
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
