@@ -12,6 +12,13 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridquarry.llm.toxicity import toxicity
+
+    found = toxicity(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridquarry.llm.decontaminate import contamination
 
@@ -35,7 +42,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op6_decontaminate, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op6_decontaminate, op8_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
