@@ -19,6 +19,23 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridquarry.llm.secrets import scan
+
+    found = scan(_read(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    told = lambda spans: F.concat_ws(",", F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))))
+    base = F.filter("spans", lambda x: x["kind"] != "markov")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridquarry.llm.quality import quality
+
+    found = quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridquarry.llm.decontaminate import contamination
 
@@ -42,7 +59,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op6_decontaminate, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op6_decontaminate, op8_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
