@@ -36,6 +36,12 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op5_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridquarry.llm.html import extract
+
+    return extract(_read(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridquarry.llm.decontaminate import contamination
 
@@ -59,7 +65,7 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op6_decontaminate, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op8_substring_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
