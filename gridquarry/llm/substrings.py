@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from gridquarry.llm import textkit as tk
 
 #: Words of the runs that are compared to find a minimiser.
-RUN = 8
+RUN = 4
 #: Longest super-k-mer in windows; a longer one is sent in parts.
 PART = 4096
 #: At most so many runs count as hot, and each starts at least so many super-k-mers.
@@ -97,7 +97,7 @@ def _strings(length: int, hot: np.ndarray, buckets: int):
     """The super-k-mers of each slice, equal ones once, packed by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
+        pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 found = tk.words(part.column("text"), tk.WHITE)
