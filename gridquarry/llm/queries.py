@@ -64,8 +64,20 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+#: The vocabulary that the registered queries use; its path is a parameter of the operator.
+TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: number of pieces, a digest of them, and whether decoding gives the text back."""
+    from gridquarry.llm.pieces import decode, encode
+
+    found = decode(encode(_read(spark, sf_dir, "documents"), TOKENIZER), TOKENIZER)
+    return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op8_substring_dedup)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op8_substring_dedup, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
