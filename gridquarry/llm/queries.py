@@ -57,6 +57,13 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: class, number of links and of copies at word five-grams and similarity 0.8."""
+    from gridquarry.llm.neardup import jaccard_join
+
+    return jaccard_join(_read(spark, sf_dir, "documents"))
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridquarry.llm.substrings import drop_repeated
 
@@ -77,7 +84,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op8_substring_dedup, op10_pieces)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op7_jaccard_join, op8_substring_dedup, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
