@@ -20,7 +20,6 @@ equal scores.  Other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -39,85 +38,100 @@ LEXICONS = {
     "insults_fr": "idiot imbécile crétin ordure minable nul stupide dégoûtant pathétique connard salaud merde".split(),
     "insults_es": "idiota imbécil estúpido escoria basura patético inútil asqueroso payaso cabrón mierda gilipollas".split(),
 }
-#: Patterns over the lower-cased text.
+#: Patterns over the lower-cased text, each with words of which one has to be there.
 PATTERNS = {
-    "you_are": r"\byou(?:'re| are)? (?:an? |such |so )*(?:idiot|moron|loser|scum|trash|clown|stupid|pathetic|worthless|disgusting)",
-    "threat": r"\b(?:kill|hurt|punch|destroy) (?:you|yourself|him|her|them)\b",
-    "hate": r"\b(?:i|we) (?:hate|despise) (?:you|them|him|her)\b",
-    "go_away": r"\b(?:shut up|get lost|go to hell|drop dead)\b",
-    "masked": r"\b[a-z]+[*#@$]{2,}[a-z]+\b",
+    "you_are": (r"\byou(?:'re| are)? (?:an? |such |so )*(?:idiot|moron|loser|scum|trash|clown|stupid|pathetic|worthless|disgusting)", ("you",)),
+    "threat": (r"\b(?:kill|hurt|punch|destroy) (?:you|yourself|him|her|them)\b", ("kill", "hurt", "punch", "destroy")),
+    "hate": (r"\b(?:i|we) (?:hate|despise) (?:you|them|him|her)\b", ("hate", "despise")),
+    "go_away": (r"\b(?:shut up|get lost|go to hell|drop dead)\b", ("shut", "lost", "hell", "drop")),
 }
-
-
+#: Beginnings of words, in bytes, that count as features too.
 PREFIXES = (4, 5, 6)
 
 
 @dataclass(frozen=True)
 class Model:
+    """Lexicons and words are sorted arrays of feature hashes."""
+
     voters: list[str]
     accuracy: np.ndarray
     weight: np.ndarray
-    lexicons: dict[str, frozenset[bytes]]
-    words: dict[bytes, float]
+    lexicons: dict[str, np.ndarray]
+    words: np.ndarray
+    coef: np.ndarray
     voter_coef: np.ndarray
     bias: float
 
 
-def _votes(own: set[bytes], n_words: int, text: bytes, lexicons: dict[str, frozenset[bytes]], patterns: list[re.Pattern]) -> list[int]:
-    """1 for, 0 abstains, one entry for each voter.  own: the distinct words, with beginnings if a lexicon has such."""
-    votes = []
-    for lexicon in lexicons.values():
-        hits = len(own & lexicon)
-        votes += [int(hits > 0), int(hits >= 2), int(hits > 0 and 100 * hits >= n_words)]
-    if patterns:
-        lowered = text.decode("utf-8", "replace").lower()
-        votes += [1 if p.search(lowered) else 0 for p in patterns]
-    return votes
-
-
-def _voter_names(lexicons: dict[str, frozenset[bytes]]) -> list[str]:
-    return [f"{name}:{kind}" for name in lexicons for kind in ("any", "two", "dense")] + list(PATTERNS) + ["nothing_found"]
-
+def _hashed(words: Iterable[str]) -> np.ndarray:
+    return np.sort(tk.word_hashes([w.lower().encode() for w in words]))
 
-def _documents(column: pa.Array) -> Iterator[tuple[set[bytes], int, bytes]]:
-    """Distinct words, number of words, and bytes of each text."""
-    found = tk.words(column, tk.ALNUM)
-    raw, offsets = tk.flat(column)
-    data, vocabulary = raw.tobytes(), np.array([*found.vocabulary, None], object)
-    for d in range(len(column)):
-        codes = found.codes[found.bounds[d] : found.bounds[d + 1]]
-        yield set(vocabulary[np.unique(codes)].tolist()), len(codes), data[offsets[d] : offsets[d + 1]]
 
+def _inside(values: np.ndarray, lexicon: np.ndarray) -> np.ndarray:
+    """Which of the values the sorted lexicon has."""
+    if not len(lexicon):
+        return np.zeros(len(values), bool)
+    return lexicon[np.minimum(np.searchsorted(lexicon, values), len(lexicon) - 1)] == values
 
-def _with_prefixes(words: Iterable[bytes]) -> set[bytes]:
-    """The words and their beginnings of 4 to 6 bytes, these with a star."""
-    words = set(words)
-    return words | {w[:k] + b"*" for w in words for k in PREFIXES if len(w) > k}
 
+def _voter_names(lexicons: dict[str, np.ndarray]) -> list[str]:
+    return [f"{name}:{kind}" for name in lexicons for kind in ("any", "two", "dense")] + list(PATTERNS) + ["nothing_found"]
 
-def mined_lexicons(own: list[set[bytes]], toxic: np.ndarray, parts: int = 2, chance: float = 0.05) -> dict[str, frozenset[bytes]]:
-    """Words and beginnings of words that stand in toxic rows too often for chance, dealt into several lexicons so that no single voter holds them all.
 
-    A word that `c` toxic rows and no other have would do so by chance with probability
-    prior ** c; that, times the number of words tried, has to stay below `chance`.
+class Features:
+    """A slice's documents as pairs (document, feature): distinct words and, apart from those, beginnings of words."""
+
+    def __init__(self, column: pa.Array):
+        found = tk.words(column, tk.ALNUM)
+        self.n = len(column)
+        self.sizes = np.diff(found.bounds)
+        raw, self.offsets = tk.flat(column)
+        self.data = raw.tobytes()
+        size = max(1, len(found.vocabulary))
+        doc, code = np.divmod(np.unique(np.repeat(np.arange(self.n), self.sizes) * size + found.codes), size)
+        hashes = [tk.word_hashes(found.vocabulary)]
+        for k in PREFIXES:
+            hashes.append(tk.word_hashes([w[:k] + b"*" if len(w) > k else b"" for w in found.vocabulary]))
+        none = tk.word_hashes([b""])[0]
+        value = np.concatenate([h[code] for h in hashes])
+        owner = np.tile(doc, len(hashes))
+        real = value != none
+        order = np.lexsort((value[real], owner[real]))
+        self.doc, self.value = owner[real][order], value[real][order]
+        first = np.append(True, (np.diff(self.doc) != 0) | (self.value[1:] != self.value[:-1]))[: len(self.doc)]
+        self.doc, self.value = self.doc[first], self.value[first]
+
+    def votes(self, lexicons: dict[str, np.ndarray], patterns: bool = True) -> np.ndarray:
+        """1 for, 0 abstains: a row for each document, a column for each voter but the last."""
+        out = []
+        for lexicon in lexicons.values():
+            hits = np.bincount(self.doc[_inside(self.value, lexicon)], minlength=self.n)
+            out += [hits > 0, hits >= 2, (hits > 0) & (100 * hits >= self.sizes)]
+        for pattern, needed in PATTERNS.values() if patterns else ():
+            seek, found = re.compile(pattern), np.zeros(self.n, bool)
+            for d in np.unique(self.doc[_inside(self.value, _hashed(needed))]).tolist():
+                found[d] = bool(seek.search(self.data[self.offsets[d] : self.offsets[d + 1]].decode("utf-8", "replace").lower()))
+            out.append(found)
+        return np.stack(out, axis=1).astype(np.int32)
+
+
+def mined_lexicons(own: list[np.ndarray], toxic: np.ndarray, parts: int = 4, chance: float = 0.05) -> dict[str, np.ndarray]:
+    """Features that stand in toxic rows too often for chance, dealt into several lexicons so that no single voter holds them all.
+
+    A feature that `c` toxic rows and no other have would do so by chance with probability
+    prior ** c; that, times the number of features tried, has to stay below `chance`.
     """
-    with_word = [Counter(), Counter()]
-    for words, label in zip(own, toxic.tolist(), strict=True):
-        with_word[label].update(words)
+    bad, n_bad = np.unique(np.concatenate([o for o, y in zip(own, toxic, strict=True) if y]), return_counts=True)
+    n_good = np.zeros(len(bad), np.int64)
+    for o, y in zip(own, toxic, strict=True):
+        if not y:
+            at = np.minimum(np.searchsorted(bad, o), len(bad) - 1)
+            np.add.at(n_good, at[bad[at] == o], 1)
     n = [max(1, int((toxic == k).sum())) for k in (0, 1)]
-    tried = sum(c >= 3 for c in with_word[1].values())
-    prior = n[1] / sum(n)
-    least = max(3, int(np.ceil(np.log(chance / max(1, tried)) / np.log(prior))))
-    odds = {}
-    for w, c in with_word[1].items():
-        ratio = ((c + 0.1) / n[1]) / ((with_word[0][w] + 0.1) / n[0])
-        if c >= least and ratio >= 150:
-            odds[w] = ratio
-    out = {}
-    for kind, chosen in (("words", [w for w in odds if w[-1:] != b"*"]), ("beginnings", [w for w in odds if w[-1:] == b"*"])):
-        ranked = sorted(chosen, key=lambda w: (-odds[w], w))
-        out |= {f"mined_{kind}_{k}": frozenset(ranked[k::parts]) for k in range(parts) if ranked[k::parts]}
-    return out
+    least = max(3, int(np.ceil(np.log(chance / max(1, int((n_bad >= 3).sum()))) / np.log(n[1] / sum(n)))))
+    ratio = ((n_bad + 0.1) / n[1]) / ((n_good + 0.1) / n[0])
+    chosen = bad[(n_bad >= least) & (ratio >= 150)]
+    return {f"mined_{k}": np.sort(chosen[k::parts]) for k in range(parts) if len(chosen[k::parts])}
 
 
 def fit_label_model(votes: np.ndarray, prior: float, rounds: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -170,92 +184,87 @@ def _fit_linear(x: list[np.ndarray], dense: np.ndarray, target: np.ndarray, size
     return coef, dense_coef, bias
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """labels: the rows that may be learnt from, (id, label 0 or 1); at most max_rows of them are used."""
     sample = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.max(label_col).alias("_y"))
     sample = sample.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     chosen = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("text")).join(F.broadcast(sample), "_id")
+    lexicons = {k: _hashed(v) for k, v in LEXICONS.items()}
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                rows = list(_documents(part.column("text")))
-                builtin = {k: frozenset(w.encode() for w in v) for k, v in LEXICONS.items()}
-                patterns = [re.compile(p) for p in PATTERNS.values()]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("_id"),
-                        part.column("_y").cast(pa.int32()),
-                        pa.array([b" ".join(sorted(own)) for own, _, _ in rows], pa.binary()),
-                        pa.array([n for _, n, _ in rows], pa.int32()),
-                        pa.array([_votes(own, n, text, builtin, patterns) for own, n, text in rows], pa.list_(pa.int32())),
-                    ],
-                    names=["_id", "_y", "words", "n_words", "votes"],
-                )
-
-    got = chosen.mapInArrow(gather, "_id bigint, _y int, words binary, n_words int, votes array<int>").orderBy(F.xxhash64("_id"), "_id").limit(max_rows).toArrow()
+                own = Features(part.column("text"))
+                values = tk.listed(own.value.view(np.int64), np.bincount(own.doc, minlength=own.n), pa.int64())
+                columns = [part.column("_id"), part.column("_y").cast(pa.int32()), values, pa.array(own.sizes, pa.int64()), pa.array(list(own.votes(lexicons)), pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["_id", "_y", "features", "n_words", "votes"])
+
+    got = chosen.mapInArrow(gather, "_id bigint, _y int, features array<bigint>, n_words bigint, votes array<int>").orderBy(F.xxhash64("_id"), "_id").limit(max_rows).toArrow().combine_chunks()
+    if not got.num_rows:
+        return _untrained(lexicons)
     toxic = got["_y"].to_numpy().astype(int)
-    own = [set(w.split()) for w in got["words"].to_pylist()]
-    lexicons = {k: frozenset(w.encode() for w in v) for k, v in LEXICONS.items()}
+    lists = got["features"].chunk(0)
+    flat, cuts = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+    own = [flat[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
     single = _one_of_each_kind(own)
-    if not len(single) or toxic[single].min() == toxic[single].max():
+    own, toxic = [own[k] for k in single], toxic[single]
+    if toxic.min() == toxic.max():
         return _untrained(lexicons)
-    own, toxic = [_with_prefixes(own[k]) for k in single], toxic[single]
     mined = mined_lexicons(own, toxic)
-    n_builtin = 3 * len(LEXICONS)
-    first = np.array([got["votes"][int(k)].as_py() for k in single], np.int32)
     sizes = got["n_words"].to_numpy()[single]
-    second = np.array([_votes(o, n, b"", mined, []) for o, n in zip(own, sizes.tolist(), strict=True)], np.int32).reshape(len(own), -1)
-    votes = np.concatenate([first[:, :n_builtin], second, first[:, n_builtin:]], axis=1)
+    votes = []
+    for lexicon in mined.values():
+        hits = np.array([_inside(o, lexicon).sum() for o in own])
+        votes += [hits > 0, hits >= 2, (hits > 0) & (100 * hits >= sizes)]
+    first = np.array([got["votes"][int(k)].as_py() for k in single], np.int32)
+    built_in = 3 * len(lexicons)
+    votes = np.concatenate([first[:, :built_in], *(v[:, None].astype(np.int32) for v in votes), first[:, built_in:]], axis=1)
     votes = np.column_stack([votes, -(votes.max(axis=1) == 0).astype(np.int32)])
-    lexicons |= mined
+    lexicons = lexicons | mined
     posterior, accuracy, weight = fit_label_model(votes, float(np.clip(toxic.mean(), 0.02, 0.5)))
-    listed = frozenset().union(*lexicons.values())
-    in_docs = Counter(w for o in own for w in o if w in listed)
-    words = {w: k for k, w in enumerate(sorted(w for w, c in in_docs.items() if c >= 3))}
-    features = [np.array(sorted(words[w] for w in o if w in words), np.int64) for o in own]
-    coef, voter_coef, bias = _fit_linear(features, (votes > 0).astype(float), posterior, max(1, len(words)))
-    kept = {w: float(coef[k]) for w, k in words.items()}
-    return Model(_voter_names(lexicons), accuracy, weight, lexicons, kept, voter_coef, float(bias))
+    words = np.unique(np.concatenate(list(lexicons.values())))
+    features = []
+    for o in own:
+        known = o[_inside(o, words)]
+        features.append(np.searchsorted(words, known))
+    coef, voter_coef, bias = _fit_linear(features, (votes > 0).astype(float), posterior, len(words))
+    return Model(_voter_names(lexicons), accuracy, weight, lexicons, words, coef, voter_coef, float(bias))
 
 
-def _one_of_each_kind(own: list[set[bytes]]) -> np.ndarray:
-    """Places of rows, near copies once: rows count as alike if the four smallest hashes of their words agree."""
+def _one_of_each_kind(own: list[np.ndarray]) -> np.ndarray:
+    """Places of rows, near copies once: rows count as alike if their four smallest features agree."""
     seen, out = set(), []
-    for k, words in enumerate(own):
-        least = tuple(sorted(tk.word_hashes(list(words)).tolist())[:4])
+    for k, values in enumerate(own):
+        least = values[:4].tobytes()
         if least not in seen or not least:
             seen.add(least)
             out.append(k)
     return np.array(out, np.int64)
 
 
-def _untrained(lexicons: dict[str, frozenset[bytes]]) -> Model:
+def _untrained(lexicons: dict[str, np.ndarray]) -> Model:
     names = _voter_names(lexicons)
-    return Model(names, np.full(len(names), 0.8), np.ones(len(names)), lexicons, {}, np.full(len(names), 4.0), -3.0)
+    return Model(names, np.full(len(names), 0.8), np.ones(len(names)), lexicons, np.zeros(0, np.uint64), np.zeros(0), np.full(len(names), 4.0), -3.0)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score in 0..1, and the names of the voters that voted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns = [re.compile(p) for p in PATTERNS.values()]
-        prefixed = any(w[-1:] == b"*" for lexicon in model.lexicons.values() for w in lexicon)
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                scores, names = [], []
-                for own, n, text in _documents(part.column("text")):
-                    own |= _with_prefixes(own) & model.words.keys() if prefixed else set()
-                    votes = np.array([*_votes(own, n, text, model.lexicons, patterns), 0]) > 0
-                    margin = model.bias + model.voter_coef[votes].sum() + sum(model.words[w] for w in sorted(own & model.words.keys()))
-                    scores.append(1 / (1 + np.exp(-np.clip(margin, -30, 30))))
-                    names.append([model.voters[k] for k in np.flatnonzero(votes)])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "score", "voters"])
+                own = Features(part.column("text"))
+                votes = own.votes(model.lexicons)
+                known = _inside(own.value, model.words)
+                linear = np.bincount(own.doc[known], model.coef[np.searchsorted(model.words, own.value[known])], own.n) if known.any() else 0.0
+                margin = model.bias + votes @ model.voter_coef[: votes.shape[1]] + linear
+                names = [[model.voters[k] for k in np.flatnonzero(v)] for v in votes]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))), pa.float64()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "score", "voters"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double, voters array<string>")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Fit on the labelled rows whose id is not held out, then score all documents."""
     model = fit(docs, labels.where(~tk.held_out(F.col(id_col))), max_rows, id_col, text_col, label_col)
     return score(docs, model, id_col, text_col).withColumn("held_out", tk.held_out(F.col("doc_id")))
