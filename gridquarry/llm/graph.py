@@ -7,7 +7,7 @@ no driver-side numbering and depend on nothing but their content.
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.llm import textkit as tk
@@ -38,15 +38,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return labels
 
 
-def block_pairs(members: DataFrame, group: list[str], sizes: DataFrame, limit: int, salt) -> DataFrame:
+def in_blocks(members: DataFrame, limit: int, salt: Column) -> DataFrame:
     """Deal each group's rows out to blocks of about `limit` rows, and each block to all pairs of blocks it belongs to.
 
-    Rows get the columns block, left and right: every two rows of a group meet in exactly one
-    (group, left, right), where left <= right, so a group of any size is compared in pieces of
-    at most two blocks.  sizes: (group, n), one row for each group.
+    Column n has the size of a row's group; it is replaced by block, left and right.  Every two
+    rows of a group meet in exactly one (group, left, right), where left <= right, so a group of
+    any size is compared in pieces of at most two blocks.  Rows of one block meet in (block, block).
     """
-    dealt = members.join(sizes, group).withColumn("_n", F.ceil(F.col("n") / limit).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(salt, F.col("_n")).cast("int"))
+    dealt = members.withColumn("_n", F.greatest(F.lit(1), F.ceil(F.col("n") / limit)).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.hash(salt), F.col("_n")).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.col("_n") - 1), lambda o: F.struct(F.least("block", o).alias("left"), F.greatest("block", o).alias("right")))
     return dealt.withColumn("_p", F.explode(others)).withColumn("left", F.col("_p.left")).withColumn("right", F.col("_p.right")).drop("_p", "_n", "n")
 

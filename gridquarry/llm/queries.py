@@ -71,6 +71,12 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridquarry.llm.embeddings import near_duplicates
+
+    return near_duplicates(_read(spark, sf_dir, "embeddings"))
+
+
 #: The vocabulary that the registered queries use; its path is a parameter of the operator.
 TOKENIZER = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -84,7 +90,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op7_jaccard_join, op8_substring_dedup, op10_pieces)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op7_jaccard_join, op8_substring_dedup, op9_embedding_dedup, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
