@@ -29,6 +29,15 @@ def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: candidate blocks, confirmed licences, and those as license:start:end."""
+    from gridquarry.llm.licenses import scan
+
+    found = scan(_read(spark, sf_dir, "documents"))
+    told = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string")))
+    return found.select("doc_id", F.col("n_blocks").cast("bigint").alias("n_blocks"), F.size("licenses").cast("bigint").alias("n_licenses"), F.concat_ws(",", told).alias("licenses"))
+
+
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridquarry.llm.quality import quality
 
@@ -90,7 +99,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op4_quality, op5_html, op6_decontaminate, op7_jaccard_join, op8_substring_dedup, op9_embedding_dedup, op10_pieces)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_licenses, op4_quality, op5_html, op6_decontaminate, op7_jaccard_join, op8_substring_dedup, op9_embedding_dedup, op10_pieces)}
 
 
 def oracle_sql() -> dict[str, str]:
