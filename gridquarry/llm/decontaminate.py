@@ -34,6 +34,24 @@ NEAR = "doc_id bigint, item_id bigint, start int, end int"
 BLOCK_WORDS = 1_000_000
 
 
+def _segment(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
+    """The index row of one slice of documents."""
+    codes, terms, bounds, *_ = tk.words(texts, tk.ALNUM)
+    lengths = np.diff(bounds)
+    place = np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths)
+    by_term = np.argsort(codes, kind="stable")
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids),
+            pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([terms], pa.list_(pa.binary())),
+            pa.array([np.bincount(codes, minlength=len(terms)).astype(np.int32)], pa.list_(pa.int32())),
+            pa.array([place[by_term].astype("<i4").tobytes()], pa.binary()),
+        ],
+        names=["doc_ids", "doc_words", "terms", "counts", "positions"],
+    )
+
+
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each segment.  `positions` holds the lists of all terms one after the other, as little-endian int32; `counts` has their lengths.
 
@@ -43,20 +61,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                codes, terms, bounds, *_ = tk.words(part.column("text"), tk.ALNUM)
-                lengths = np.diff(bounds)
-                place = np.arange(len(codes)) + np.repeat(np.arange(len(lengths)), lengths)
-                by_term = np.argsort(codes, kind="stable")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id").cast(pa.int64())),
-                        pa.array([lengths.astype(np.int32)], pa.list_(pa.int32())),
-                        pa.array([terms], pa.list_(pa.binary())),
-                        pa.array([np.bincount(codes, minlength=len(terms)).astype(np.int32)], pa.list_(pa.int32())),
-                        pa.array([place[by_term].astype("<i4").tobytes()], pa.binary()),
-                    ],
-                    names=["doc_ids", "doc_words", "terms", "counts", "positions"],
-                )
+                yield _segment(part.column("doc_id").cast(pa.int64()), part.column("text"))
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(segments, INDEX)
 
@@ -139,6 +144,35 @@ class Segment:
         return np.searchsorted(self.first, places, "right") - 1
 
 
+def _matches(seg: Segment, known: Items) -> pa.RecordBatch:
+    covered = np.zeros(seg.first[-1] + 1, np.int32)
+    found: dict[int, set[int]] = defaultdict(set)
+    for n, windows, owners in known.windows:
+        for w in np.flatnonzero((seg.sizes[windows] > 0).all(axis=1)):
+            at = seg.phrase(windows[w])
+            if len(at):
+                np.add.at(covered, at, 1)
+                np.add.at(covered, at + n, -1)
+                for d in np.unique(seg.doc_of(at)).tolist():
+                    found[d].update(owners[w])
+    hit = np.cumsum(covered) > 0
+    edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
+    starts, ends = edge[::2], edge[1::2]
+    doc = seg.doc_of(starts)
+    n_spans = np.bincount(doc, minlength=len(seg.ids))
+    own = [sorted(found.get(d, ())) for d in range(len(seg.ids))]
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(seg.ids, pa.int64()),
+            pa.array(seg.doc_words, pa.int64()),
+            tk.listed((starts - seg.first[doc]).astype(np.int32), n_spans, pa.int32()),
+            tk.listed((ends - seg.first[doc]).astype(np.int32), n_spans, pa.int32()),
+            pa.array(own, pa.list_(pa.int64())),
+        ],
+        names=["doc_id", "n_words", "starts", "ends", "items"],
+    )
+
+
 def find_phrases(index: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """For each document: n_words, the stretches [start, end) of its words that windows of the items cover, and those items."""
 
@@ -147,41 +181,12 @@ def find_phrases(index: DataFrame, items: DataFrame, window: int = 13, id_col: s
             known = Items(block, window)
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield matches(Segment(row, known.terms), known)
+                    yield _matches(Segment(row, known.terms), known)
 
         return run
 
-    def matches(seg: Segment, known: Items) -> pa.RecordBatch:
-        covered = np.zeros(seg.first[-1] + 1, np.int32)
-        found: dict[int, set[int]] = defaultdict(set)
-        for n, windows, owners in known.windows:
-            for w in np.flatnonzero((seg.sizes[windows] > 0).all(axis=1)):
-                at = seg.phrase(windows[w])
-                if len(at):
-                    np.add.at(covered, at, 1)
-                    np.add.at(covered, at + n, -1)
-                    for d in np.unique(seg.doc_of(at)).tolist():
-                        found[d].update(owners[w])
-        hit = np.cumsum(covered) > 0
-        edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
-        starts, ends = edge[::2], edge[1::2]
-        doc = seg.doc_of(starts)
-        n_spans = np.bincount(doc, minlength=len(seg.ids))
-        own = [sorted(found.get(d, ())) for d in range(len(seg.ids))]
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array(seg.ids, pa.int64()),
-                pa.array(seg.doc_words, pa.int64()),
-                tk.listed((starts - seg.first[doc]).astype(np.int32), n_spans, pa.int32()),
-                tk.listed((ends - seg.first[doc]).astype(np.int32), n_spans, pa.int32()),
-                pa.array(own, pa.list_(pa.int64())),
-            ],
-            names=["doc_id", "n_words", "starts", "ends", "items"],
-        )
-
-    blocks = list(_blocks(items, id_col, text_col)) if _fits(items, text_col) else None
-    if blocks is not None:
-        return index.mapInArrow(search(blocks[0]), MATCHES)
+    if _fits(items, text_col):
+        return index.mapInArrow(search(next(_blocks(items, id_col, text_col))), MATCHES)
     return _over_blocks(index, search, _blocks(items, id_col, text_col))
 
 
@@ -249,3 +254,24 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: i
     found = find_phrases(build_index(docs, id_col, text_col), items, window)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that are not contaminated."""
+    if not _fits(items, item_text_col):
+        numbered = tk.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+        bad = contamination(numbered.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")), window, one_in)
+        return numbered.join(bad.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
+    block = next(_blocks(items, item_id_col, item_text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Items(block, window)
+        for batch in batches:
+            for part in tk.slices(batch, text_col):
+                row = _segment(pa.array(range(part.num_rows), pa.int64()), part.column(text_col)).to_pylist()[0]
+                found = _matches(Segment(row, known.terms), known)
+                hit = [sum(e) - sum(s) for s, e in zip(found.column("starts").to_pylist(), found.column("ends").to_pylist(), strict=True)]
+                keep = [not (h and one_in * h >= n) for h, n in zip(hit, found.column("n_words").to_pylist(), strict=True)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridquarry.llm import textkit as tk
 
@@ -247,23 +248,38 @@ def _untrained(lexicons: dict[str, np.ndarray]) -> Model:
     return Model(names, np.full(len(names), 0.8), np.ones(len(names)), lexicons, np.zeros(0, np.uint64), np.zeros(0), np.full(len(names), 4.0), -3.0)
 
 
+def _scores(own: Features, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    votes = own.votes(model.lexicons)
+    known = _inside(own.value, model.words)
+    linear = np.bincount(own.doc[known], model.coef[np.searchsorted(model.words, own.value[known])], own.n) if known.any() else 0.0
+    margin = model.bias + votes @ model.voter_coef[: votes.shape[1]] + linear
+    return 1 / (1 + np.exp(-np.clip(margin, -30, 30))), votes
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score in 0..1, and the names of the voters that voted for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
-                own = Features(part.column("text"))
-                votes = own.votes(model.lexicons)
-                known = _inside(own.value, model.words)
-                linear = np.bincount(own.doc[known], model.coef[np.searchsorted(model.words, own.value[known])], own.n) if known.any() else 0.0
-                margin = model.bias + votes @ model.voter_coef[: votes.shape[1]] + linear
+                scores, votes = _scores(Features(part.column("text")), model)
                 names = [[model.voters[k] for k in np.flatnonzero(v)] for v in votes]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(1 / (1 + np.exp(-np.clip(margin, -30, 30))), pa.float64()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "score", "voters"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(scores, pa.float64()), pa.array(names, pa.list_(pa.string()))], names=["doc_id", "score", "voters"])
 
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, score double, voters array<string>")
 
 
+def flagged(docs: DataFrame, model: Model, text_col: str = "text", out_col: str = "toxic_score") -> DataFrame:
+    """All rows and columns of docs, and the score."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in tk.slices(batch, text_col):
+                yield part.append_column(out_col, pa.array(_scores(Features(part.column(text_col)), model)[0], pa.float64()))
+
+    return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Fit on the labelled rows whose id is not held out, then score all documents."""
     model = fit(docs, labels.where(~tk.held_out(F.col(id_col))), max_rows, id_col, text_col, label_col)
