@@ -70,7 +70,7 @@ def read_metadata(spark, folder: str) -> DataFrame:
     """Metadata files below a folder, with the sections they lack and those that are too many."""
     from gridquarry.operators.labels import key_differences
 
-    files = spark.read.option("wholetext", True).option("pathGlobFilter", "*.coordinates.meta.json").option("recursiveFileLookup", True).text(folder)
+    files = spark.read.option("pathGlobFilter", "*.coordinates.meta.json").option("recursiveFileLookup", True).text(folder, wholetext=True)
     named = files.select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.coordinates\.meta\.json$", 1).alias("sample_id"), F.col("value").alias("meta"))
     return key_differences(named.withColumn("keys", F.json_object_keys("meta")), SECTIONS).drop("keys")
 
