@@ -37,24 +37,22 @@ from gridquarry.llm import textkit as tk
 
 SPACE, MARK = 0x20, "▁".encode()
 RANK_OFFSET = 10.0
-SLICE_BYTES = 5 << 20
+SLICE_BYTES = 3 << 20
+#: Probabilities are whole numbers of this many bits, so that a draw depends on nothing else in the slice.
+DRAW_BITS = 40
 
 
-class Vocabulary:
-    """Pieces as bytes with plain spaces, and a trie over them: step[node, byte] is the next node, piece[node] the piece that ends there or -1.
+class Pieces:
+    """The pieces of a vocabulary file as bytes with plain spaces; all that decoding needs."""
 
-    joined[a, b]: some piece has byte a right before byte b.
-    """
-
-    def __init__(self, path: str, sharpness: float):
+    def __init__(self, path: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        size = model.get_piece_size()
         self.data: list[bytes] = []
         self.byte_piece = np.full(256, -1, np.int32)
-        normal = []
-        for k in range(size):
+        self.normal: list[int] = []
+        for k in range(model.get_piece_size()):
             text = model.id_to_piece(k)
             if model.is_byte(k):
                 self.byte_piece[int(text[1:-1], 16)] = k
@@ -63,9 +61,23 @@ class Vocabulary:
                 self.data.append(b"")
             else:
                 self.data.append(text.encode().replace(MARK, b" "))
-                normal.append(k)
+                self.normal.append(k)
         if (self.byte_piece < 0).any():
             raise ValueError("the vocabulary needs a piece for every byte")
+        self.lengths = np.array([len(x) for x in self.data], np.int32)
+        self.begins = np.append(0, np.cumsum(self.lengths))
+        self.letters = np.frombuffer(b"".join(self.data), np.uint8)
+
+
+class Vocabulary(Pieces):
+    """Adds a trie over the pieces: step[node, byte] is the next node, piece[node] the piece that ends there or -1.
+
+    joined[a, b]: some piece has byte a right before byte b.
+    """
+
+    def __init__(self, path: str, sharpness: float):
+        super().__init__(path)
+        size, normal = len(self.data), self.normal
         self.joined = np.zeros((256, 256), bool)
         for k in normal:
             own = np.frombuffer(self.data[k], np.uint8)
@@ -85,9 +97,6 @@ class Vocabulary:
         self.step[edges[:, 0], edges[:, 1]] = edges[:, 2]
         self.piece = np.full(len(nodes), -1, np.int32)
         self.piece[list(ends)] = list(ends.values())
-        self.lengths = np.array([len(x) for x in self.data])
-        self.begins = np.append(0, np.cumsum(self.lengths))
-        self.letters = np.frombuffer(b"".join(self.data), np.uint8)
 
 
 @lru_cache(maxsize=2)
@@ -95,6 +104,11 @@ def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
     return Vocabulary(path, sharpness)
 
 
+@lru_cache(maxsize=2)
+def decoder(path: str) -> Pieces:
+    return Pieces(path)
+
+
 class Lattices:
     """The filtered lattices of many chunks laid end to end.
 
@@ -106,56 +120,61 @@ class Lattices:
     def __init__(self, data: np.ndarray, starts: np.ndarray, vocab: Vocabulary):
         n_chunks = len(starts) - 1
         sizes = np.diff(starts)
-        chunk = np.repeat(np.arange(n_chunks), sizes)
-        stop = starts[1:][chunk]
+        chunk = np.repeat(np.arange(n_chunks, dtype=np.int32), sizes)
+        stop = starts[1:].astype(np.int32)[chunk]
         lead = (data & 0xC0) != 0x80
-        at = np.flatnonzero(lead)
-        width = np.ones(len(data), np.int64)
-        width[at] = np.minimum(np.append(at[1:], len(data)), stop[at]) - at
+        lead[starts[:-1]] = True
+        at = np.flatnonzero(lead).astype(np.int32)
+        width = np.diff(np.append(at, np.int32(len(data))))
         froms, tos, pieces = [], [], []
         plain = np.zeros(len(data), bool)
-        place, node, length = at, np.zeros(len(at), np.int32), 0
+        place, node, last, length = at, np.zeros(len(at), np.int32), at + width, 0
         while len(place):
             node = vocab.step[node, data[place + length]]
             length += 1
-            ok = node > 0
-            place, node = place[ok], node[ok]
+            ok = np.flatnonzero(node)
+            place, node, last = place[ok], node[ok], last[ok]
             own = vocab.piece[node]
-            hit = own >= 0
+            hit = np.flatnonzero(own >= 0)
             froms.append(place[hit])
-            tos.append(place[hit] + length)
+            tos.append(place[hit] + np.int32(length))
             pieces.append(own[hit])
-            single = hit & (width[place] == length)
-            plain[place[single]] = True
-            more = place + length < stop[place]
-            place, node = place[more], node[more]
-        bare = np.repeat(~plain[at], width[at]) if len(at) else np.zeros(0, bool)
-        first = np.flatnonzero(bare) + (at[0] if len(at) else 0)
-        loose = np.arange(at[0] if len(at) else len(data))
-        first = np.concatenate([loose, first])
-        froms.append(first)
-        tos.append(first + 1)
-        pieces.append(vocab.byte_piece[data[first]])
-        source, target, piece = (np.concatenate(x) for x in (froms, tos, pieces))
-        source, target = source + chunk[source], target + chunk[target - 1]
-        order = np.lexsort((piece, target))
-        self.source, target, self.piece = source[order], target[order], piece[order]
+            plain[froms[-1][tos[-1] == last[hit]]] = True
+            more = np.flatnonzero(place + length < stop[place])
+            place, node, last = place[more], node[more], last[more]
+        bare = np.flatnonzero(np.repeat(~plain[at], width)).astype(np.int32)
+        froms.append(bare)
+        tos.append(bare + np.int32(1))
+        pieces.append(vocab.byte_piece[data[bare]])
+        target = np.concatenate(tos)
+        target += chunk[target - 1]
+        order = np.argsort(target, kind="stable").astype(np.int32)
+        target = target[order]
+        self.piece = np.concatenate(pieces)[order]
+        del tos, pieces
+        source = np.concatenate(froms)
+        del froms
+        source += chunk[source]
+        self.source = source[order]
+        del source, order
         n_nodes = len(data) + n_chunks
         self.first = np.searchsorted(target, np.arange(n_nodes + 1))
         self.roots = starts[:-1] + np.arange(n_chunks)
         self.ends = starts[1:] + np.arange(n_chunks)
-        self.below = self._filter(target, vocab.weight[self.piece], n_nodes, chunk, starts)
+        self.below = self._filter(target, vocab.weight.astype(np.float32)[self.piece], n_nodes, chunk, starts)
 
     def _filter(self, target: np.ndarray, weight: np.ndarray, n_nodes: int, chunk: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Sum over paths, for all chunks together, one byte further at a time."""
         alpha = np.full(n_nodes, -np.inf)
         alpha[self.roots] = 0
-        depth = np.zeros(n_nodes, np.int64)
-        inner = np.arange(len(chunk))
-        depth[inner + chunk + 1] = inner - starts[chunk] + 1
+        inner = np.arange(len(chunk), dtype=np.int32)
+        depth = np.zeros(n_nodes, np.int32)
+        depth[inner + chunk + 1] = inner - starts[chunk].astype(np.int32) + 1
+        deepest = int(depth.max(initial=0))
+        reached = depth[target].astype(np.uint16 if deepest < 65536 else np.int32)
         score = np.empty(len(target))
-        by_depth = np.argsort(depth[target], kind="stable")
-        cuts = np.searchsorted(depth[target][by_depth], np.arange(1, depth.max(initial=0) + 2))
+        by_depth = np.argsort(reached, kind="stable").astype(np.int32)
+        cuts = np.append(0, np.cumsum(np.bincount(reached, minlength=deepest + 1)))[1:]
         for low, high in zip(cuts[:-1], cuts[1:], strict=True):
             own = by_depth[low:high]
             if not len(own):
@@ -169,13 +188,20 @@ class Lattices:
             safe = np.where(np.isfinite(most), most, 0)
             with np.errstate(divide="ignore"):
                 alpha[into[head]] = safe + np.log(np.add.reduceat(np.exp(value - np.repeat(safe, count)), head))
+        del by_depth, reached, depth
         with np.errstate(invalid="ignore"):
-            share = np.nan_to_num(np.exp(score - alpha[target]))
-        total = np.cumsum(share)
-        before = np.append(0, total)[self.first[target]]
-        below = total - before
-        last = self.first[1:][self.first[1:] > self.first[:-1]] - 1
-        below[last] = np.inf
+            score -= alpha[target]
+            np.exp(score, out=score)
+        np.nan_to_num(score, copy=False)
+        score *= 2.0**DRAW_BITS
+        below = np.cumsum(np.rint(score, out=score).astype(np.int64))
+        del score
+        first, after = self.first[:-1], self.first[1:]
+        used = np.flatnonzero((first > 0) & (after > first))
+        before = np.zeros(n_nodes, np.int64)
+        before[used] = below[first[used] - 1]
+        below -= before[target]
+        below[after[after > first] - 1] = 1 << 62
         return below
 
     def draw(self, which: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -185,7 +211,7 @@ class Lattices:
         counts = np.zeros(len(which), np.int64)
         number = 0
         while len(active):
-            u = (tk.mixed(seeds[active] + np.uint64((number * 0xD1342543DE82EF95) & (2**64 - 1))) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+            u = (tk.mixed(seeds[active] + np.uint64((number * 0xD1342543DE82EF95) & (2**64 - 1))) >> np.uint64(64 - DRAW_BITS)).astype(np.int64)
             edge = self.first[node[active]]
             left = np.arange(len(active))
             while len(left):
@@ -236,7 +262,7 @@ def sample_pieces(column: pa.Array, keys: np.ndarray, vocab: Vocabulary, seed: i
     return pc.if_else(column.is_null(), pa.nulls(len(column), lists.type), lists) if column.null_count else lists
 
 
-def join_pieces(column: pa.Array, vocab: Vocabulary) -> pa.Array:
+def join_pieces(column: pa.Array, vocab: Pieces) -> pa.Array:
     """The texts that lists of piece numbers stand for."""
     whole = pc.fill_null(column, pa.scalar([], column.type)) if column.null_count else column
     ids = whole.flatten().to_numpy(zero_copy_only=False)
@@ -272,10 +298,10 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_path)
+        vocab = decoder(model_path)
         for batch in batches:
-            for low in range(0, batch.num_rows, 2000):
-                part = batch.slice(low, 2000)
+            for low in range(0, batch.num_rows, 500):
+                part = batch.slice(low, 500)
                 yield part.append_column(out_col, join_pieces(part.column(at), vocab))
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))
