@@ -29,7 +29,8 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A maximal run of 24 or more is the same as a run that is found and then long enough.
 HEX = re.compile(r"[0-9a-f]{24,}")
-TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Candidates of the Markov models; numbers alone, such as those of phones and cards, are none.
+TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
 
 SPANS = "doc_id bigint, spans array<struct<kind:string,start:int,end:int>>"
 

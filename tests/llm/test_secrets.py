@@ -35,7 +35,7 @@ ODD = [
     "x" * 3 + "0123456789abcdef01234567" * 2 + "Z",
     "toKen=abcdefgh paſſword=abcdefgh",
     "plain words " * 40_000,
-    "k9Qz7LmX2vBn8RtY4wPc1HsD then internationalization_of_the_user_names",
+    "k9Qz7LmX2vBn8RtY4wPc1HsD then internationalization_of_the_user_names 4952935900253052",
 ]
 
 
