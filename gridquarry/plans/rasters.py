@@ -240,11 +240,11 @@ def component_rank(f: Fixtures) -> DataFrame:
     return cc.by_size(_labelled(f)).select("slide_id", "component", "area", "rank")
 
 
-HOLES = "with recursive sm as (select slide_id, mx, my from mask_px where slide_id <= 4 and mx < 16 and my < 16), bg as (select a.slide_id, a.mx, u.my from (select distinct slide_id, unnest(range(0,16)) mx from sm) a cross join unnest(range(0,16)) u(my) anti join sm m on m.slide_id=a.slide_id and m.mx=a.mx and m.my=u.my), walk(slide_id, root, mx, my) as (select slide_id, my*16+mx, mx, my from bg union select w.slide_id, w.root, g.mx, g.my from walk w join bg g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), comp as (select slide_id, mx, my, min(root) hole from walk group by all), inn as (select slide_id, hole, count(*) area from comp group by all having min(mx)>0 and min(my)>0 and max(mx)<15 and max(my)<15)"
+HOLES = "with recursive sm as (select slide_id, mx, my from mask_px where slide_id <= 30 and mx < 16 and my < 16), bg as (select a.slide_id, a.mx, u.my from (select distinct slide_id, unnest(range(0,16)) mx from sm) a cross join unnest(range(0,16)) u(my) anti join sm m on m.slide_id=a.slide_id and m.mx=a.mx and m.my=u.my), walk(slide_id, root, mx, my) as (select slide_id, my*16+mx, mx, my from bg union select w.slide_id, w.root, g.mx, g.my from walk w join bg g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), comp as (select slide_id, mx, my, min(root) hole from walk group by all), inn as (select slide_id, hole, count(*) area from comp group by all having min(mx)>0 and min(my)>0 and max(mx)<15 and max(my)<15)"
 
 
 def _small(f: Fixtures) -> tuple[DataFrame, DataFrame]:
-    small = f.mask_px.where((F.col("slide_id") <= 4) & (F.col("mx") < 16) & (F.col("my") < 16))
+    small = f.mask_px.where((F.col("slide_id") <= 30) & (F.col("mx") < 16) & (F.col("my") < 16))
     return small, small.select("slide_id").distinct()
 
 
@@ -254,7 +254,7 @@ def fill_small_holes(f: Fixtures) -> DataFrame:
     return cc.filled(small, slides, 16, 16, 3)
 
 
-FRONT = "with recursive sm0 as (select slide_id, mx, my from mask_px where slide_id <= 4 and mx < 16 and my < 16), fg_walk(slide_id, root, mx, my) as (select slide_id, my*16+mx, mx, my from sm0 union select w.slide_id, w.root, g.mx, g.my from fg_walk w join sm0 g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), fg as (select slide_id, mx, my, min(root) component from fg_walk group by all), "
+FRONT = "with recursive sm0 as (select slide_id, mx, my from mask_px where slide_id <= 30 and mx < 16 and my < 16), fg_walk(slide_id, root, mx, my) as (select slide_id, my*16+mx, mx, my from sm0 union select w.slide_id, w.root, g.mx, g.my from fg_walk w join sm0 g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), fg as (select slide_id, mx, my, min(root) component from fg_walk group by all), "
 
 
 @query(FRONT + HOLES.removeprefix("with recursive ") + ", fst as (select c.slide_id, hole, area, min(my*16+mx) p from comp c join inn using (slide_id, hole) group by all) select f.slide_id, f.hole, f.area, fg.component parent from fst f join fg on fg.slide_id=f.slide_id and fg.my=f.p//16 and fg.mx=f.p%16-1", "mask_px")
