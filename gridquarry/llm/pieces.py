@@ -24,7 +24,6 @@ pieces, a null key counts as a key of its own; texts are encoded whole.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +36,7 @@ from gridquarry.llm import textkit as tk
 
 SPACE, MARK = 0x20, "▁".encode()
 RANK_OFFSET = 10.0
-SLICE_BYTES = 3 << 20
+SLICE_BYTES = 2 << 20
 #: Probabilities are whole numbers of this many bits, so that a draw depends on nothing else in the slice.
 DRAW_BITS = 40
 
@@ -75,7 +74,7 @@ class Vocabulary(Pieces):
     joined[a, b]: some piece has byte a right before byte b.
     """
 
-    def __init__(self, path: str, sharpness: float):
+    def __init__(self, path: str, sharpness: float = 1.0):
         super().__init__(path)
         size, normal = len(self.data), self.normal
         self.joined = np.zeros((256, 256), bool)
@@ -99,16 +98,6 @@ class Vocabulary(Pieces):
         self.piece[list(ends)] = list(ends.values())
 
 
-@lru_cache(maxsize=2)
-def vocabulary(path: str, sharpness: float = 1.0) -> Vocabulary:
-    return Vocabulary(path, sharpness)
-
-
-@lru_cache(maxsize=2)
-def decoder(path: str) -> Pieces:
-    return Pieces(path)
-
-
 class Lattices:
     """The filtered lattices of many chunks laid end to end.
 
@@ -283,11 +272,13 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1
     key = F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("null key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(model_path, sharpness)
+        vocab = Vocabulary(model_path, sharpness)  # for this task only: a worker that lives on should not hold the trie
         for batch in batches:
             for part in tk.slices(batch, "text", SLICE_BYTES):
                 ids = sample_pieces(part.column("text"), part.column("key").to_numpy().view(np.uint64), vocab, seed)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], names=["doc_id", "text", "ids"])
+        del vocab
+        tk.release()
 
     chosen = docs.select(F.col(key_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
     return chosen.mapInArrow(run, "doc_id bigint, text string, ids array<int>")
@@ -298,10 +289,11 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: s
     at = encoded.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = decoder(model_path)
+        vocab = Pieces(model_path)
         for batch in batches:
             for low in range(0, batch.num_rows, 500):
                 part = batch.slice(low, 500)
                 yield part.append_column(out_col, join_pieces(part.column(at), vocab))
+            tk.release()
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields, StructField(out_col, StringType())]))

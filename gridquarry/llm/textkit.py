@@ -7,10 +7,12 @@ loop over words.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
 import re
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -19,7 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 3 << 20
 
 
 def _table(separators: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -60,6 +62,22 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         end = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
         yield batch.slice(at, end - at)
         at = end
+    release()
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:
+        return None
+
+
+def release() -> None:
+    """Give freed memory back, since Python workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _libc() is not None:
+        _libc().malloc_trim(0)
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -72,26 +90,55 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def words(column: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Words:
+def bare_words(column: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Words:
+    """As words, without codes and vocabulary."""
     keep, folded = kind
     raw, offsets = flat(column)
+    nothing = np.zeros(0, np.int32)
     if not len(raw):
-        return Words(np.zeros(0, np.int32), [], np.zeros(len(offsets), np.int64), raw, np.zeros(1, np.int32))
-    inside = keep[raw]
+        return Words(nothing, [], np.zeros(len(offsets), np.int64), raw, np.zeros(1, np.int32))
+    inside = ~((raw == 0x20) | (raw - np.uint8(9) <= 4)) if kind is WHITE else keep[raw]
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
     edges = offsets[:-1][offsets[:-1] < len(raw)]
     begins[edges] |= inside[edges]
     bounds = np.searchsorted(np.flatnonzero(begins), offsets)
-    kept = folded[raw[inside]]
+    kept = raw[inside] if kind is WHITE else folded[raw[inside]]
     starts = np.append(np.flatnonzero(begins[inside]), len(kept)).astype(np.int32)
-    encoded = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(kept)]).dictionary_encode()
-    return Words(encoded.indices.to_numpy(zero_copy_only=False), encoded.dictionary.to_pylist(), bounds, kept, starts)
+    return Words(nothing, [], bounds, kept, starts)
+
+
+def words(column: pa.Array, kind: tuple[np.ndarray, np.ndarray]) -> Words:
+    bare = bare_words(column, kind)
+    if not len(bare.letters):
+        return bare
+    encoded = pa.Array.from_buffers(pa.binary(), len(bare.starts) - 1, [None, pa.py_buffer(bare.starts), pa.py_buffer(bare.letters)]).dictionary_encode()
+    return bare._replace(codes=encoded.indices.to_numpy(zero_copy_only=False), vocabulary=encoded.dictionary.to_pylist())
+
+
+#: An odd factor and its inverse modulo 2**64.
+_FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(_FACTOR, -1, 1 << 64)
+
+
+@lru_cache(maxsize=1)
+def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        return tuple(np.multiply.accumulate(np.append(np.uint64(1), np.full(size, f, np.uint64))) for f in (_FACTOR, _INVERSE))
+
+
+def byte_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each stretch of bytes, from running sums over all of them; equal stretches hash alike wherever they stand."""
+    up, down = _powers(1 << max(16, len(data).bit_length()))
+    with np.errstate(over="ignore"):
+        sums = np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)])
+        sums = np.append(np.uint64(0), sums)
+        return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def spaced(found: Words) -> tuple[bytes, np.ndarray]:
     """All words with one space after each, and where each begins (one more entry for the end)."""
-    n = len(found.codes)
+    n = len(found.starts) - 1
     out = np.full(len(found.letters) + n, 0x20, np.uint8)
     out[np.arange(len(found.letters)) + np.repeat(np.arange(n), np.diff(found.starts))] = found.letters
     return out.tobytes(), found.starts + np.arange(n + 1)
@@ -157,6 +204,13 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def modest_batches(spark: SparkSession, rows: int = 2_000) -> None:
+    """Lower the session's Arrow batches to `rows` rows: whole texts in batches of Spark's default size fill small executors."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name)) > rows:
+        spark.conf.set(name, str(rows))
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder and read again: cuts lineage, and a lost executor costs no more than its own tasks."""
     path = f"{shared_dir(df.sparkSession)}/{re.sub('[^a-z0-9]', '-', label)}-{uuid.uuid4().hex}"

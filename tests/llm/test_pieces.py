@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 SF = "/root/testdata/sf0.001"
-VOCAB = ps.vocabulary(TOKENIZER)
+VOCAB = ps.Vocabulary(TOKENIZER)
 
 
 def paths(text):
