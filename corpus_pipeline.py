@@ -17,27 +17,32 @@ from gridquarry.llm.queries import TOKENIZER
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go.  The model learns from the labels of documents that came in and are not held out."""
+    tk.modest_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~tk.held_out(F.col("doc_id")))
     return toxicity.flagged(docs, toxicity.fit(docs, labels)).where(F.col("toxic_score") < 0.7).drop("toxic_score")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id stays."""
+    tk.modest_batches(spark)
     return neardup.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents go if windows of benchmark items cover at least a twentieth of their words."""
+    tk.modest_batches(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay; secrets in their texts are replaced, and n_chars follows."""
+    tk.modest_batches(spark)
     return secrets.redact(docs)
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its subword pieces, and whether they decode to the text."""
+    tk.modest_batches(spark)
     found = pieces.decode(pieces.encode(docs, TOKENIZER), TOKENIZER)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
