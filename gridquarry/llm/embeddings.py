@@ -99,9 +99,14 @@ def _names(points: np.ndarray, label: np.ndarray, t: int) -> np.ndarray:
     return name
 
 
-def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each vector's class digest (null if it can link with nothing) and its numbers as bytes."""
-    for batch in batches:
+def _named(kind: str):
+    """Each vector's class digest (null if it can link with nothing) and its numbers as bytes of the kind of the input."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield named(batch)
+
+    def named(batch: pa.RecordBatch) -> pa.RecordBatch:
         column = batch.column("v")
         labels = batch.column("label").to_pylist()
         whole = pc.fill_null(column, pa.scalar([], column.type))
@@ -111,48 +116,56 @@ def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k, label in enumerate(labels):
             own = values[bounds[k] : bounds[k + 1]]
             norm = float(np.sqrt(own @ own)) if len(own) else 0.0
-            if label is None or not np.isfinite(norm) or norm == 0 or not np.isfinite(own).all():
+            if label is None or not 1e-100 < norm < 1e100 or not np.isfinite(own).all():
                 scale = float(np.abs(own).max()) if len(own) else 0.0
                 if label is None or not np.isfinite(scale) or scale == 0 or not np.isfinite(own).all():
                     rows.append((None, None, None))
                     continue
-                own = own / scale  # squares under- or overflowed
-            data = own.tobytes()
+                own = own / scale  # squares may under- or overflow
+            data = own.astype(kind).tobytes()
             digest = tk.digest16(f"{label}:".encode() + data)
             rows.append((int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True), data))
         hi, lo, data = zip(*rows, strict=True) if rows else ((), (), ())
-        yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], names=["vec_id", "label", "hi", "lo", "data"])
+        return pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("label"), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(data, pa.binary())], names=["vec_id", "label", "hi", "lo", "data"])
+
+    return run
 
 
-def _unit(data: list[bytes]) -> np.ndarray:
-    x = np.frombuffer(b"".join(data), np.float64).reshape(len(data), -1)
+def _unit(data: list[bytes], kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(data), kind).astype(np.float64).reshape(len(data), -1)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _dealt(kind: str):
     """A row for each class and each cell that it lives in (visit is -1) or visits."""
-    for batch in batches:
-        for low in range(0, batch.num_rows, 1000):
-            part = batch.slice(low, 1000)
-            data = part.column("data").to_pylist()
-            sizes = np.array([len(d) for d in data])
-            for size in np.unique(sizes):
-                at = np.flatnonzero(sizes == size)
-                rows = part.take(pa.array(at))
-                own, visits = cells(_unit([data[k] for k in at.tolist()]), rows.column("label").to_numpy())
-                names = np.concatenate([own[:, :, None], visits], axis=2)
-                keys = [names[k].tobytes() for k in range(len(at))]
-                each = TABLES * (1 + PROBES)
-                take = pa.array(np.repeat(np.arange(len(at)), each))
-                table = np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), len(at))
-                visit = np.tile(np.arange(-1, PROBES), len(at) * TABLES)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(names.ravel().view(np.int64)), pa.array(table, pa.int32()), pa.array(visit, pa.int32()), *(rows.column(c).take(take) for c in ("hi", "lo", "label", "copies", "data")), pa.array(keys, pa.binary()).take(take)],
-                    names=["cell", "t", "visit", "hi", "lo", "label", "copies", "data", "keys"],
-                )
-
-
-def _compare(threshold: float):
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low in range(0, batch.num_rows, 1000):
+                yield from dealt(batch.slice(low, 1000))
+
+    def dealt(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        data = part.column("data").to_pylist()
+        sizes = np.array([len(d) for d in data])
+        for size in np.unique(sizes):
+            at = np.flatnonzero(sizes == size)
+            rows = part.take(pa.array(at))
+            own, visits = cells(_unit([data[k] for k in at.tolist()], kind), rows.column("label").to_numpy())
+            names = np.concatenate([own[:, :, None], visits], axis=2)
+            keys = [names[k].tobytes() for k in range(len(at))]
+            each = TABLES * (1 + PROBES)
+            take = pa.array(np.repeat(np.arange(len(at)), each))
+            table = np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), len(at))
+            visit = np.tile(np.arange(-1, PROBES), len(at) * TABLES)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names.ravel().view(np.int64)), pa.array(table, pa.int32()), pa.array(visit, pa.int32()), *(rows.column(c).take(take) for c in ("hi", "lo", "label", "copies", "data")), pa.array(keys, pa.binary()).take(take)],
+                names=["cell", "t", "visit", "hi", "lo", "label", "copies", "data", "keys"],
+            )
+
+    return run
+
+
+def _compare(threshold: float, kind: str):
     """Rows (hi, lo, links, hi2, lo2) from the rows of one cell, or of two blocks of it."""
 
     def judge(rows: dict[str, np.ndarray], across: bool) -> pa.RecordBatch:
@@ -166,7 +179,7 @@ def _compare(threshold: float):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hi", "lo", "links", "hi2", "lo2"])
 
     def same_length(rows: dict[str, np.ndarray], across: bool) -> list[tuple]:
-        x = _unit(rows["data"].tolist())
+        x = _unit(rows["data"].tolist(), kind)
         home, t0 = rows["visit"] < 0, int(rows["t"][0])
         linked = x @ x.T >= threshold
         linked &= (home[:, None] | home[None, :]) & (rows["label"][:, None] == rows["label"][None, :]) & (rows["t"][:, None] == rows["t"][None, :])
@@ -218,18 +231,19 @@ def _compare(threshold: float):
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id (smallest id reachable by links) and kept (whether that is its own)."""
+    kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     chosen = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
-    named = tk.stored(chosen.mapInArrow(_named, "vec_id bigint, label bigint, hi bigint, lo bigint, data binary"), "vectors")
+    named = tk.stored(chosen.mapInArrow(_named(kind), "vec_id bigint, label bigint, hi bigint, lo bigint, data binary"), "vectors")
     classes = named.where("hi is not null").groupBy("hi", "lo").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("data").alias("data"))
     classes = tk.stored(classes, "classes")
-    rows = classes.drop("rep").mapInArrow(_dealt, "cell bigint, t int, visit int, hi bigint, lo bigint, label bigint, copies bigint, data binary, keys binary")
+    rows = classes.drop("rep").mapInArrow(_dealt(kind), "cell bigint, t int, visit int, hi bigint, lo bigint, label bigint, copies bigint, data binary, keys binary")
     crowded = tk.stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "crowded")
     few = crowded.count() <= MOST_BROADCAST
     sized = rows.join(F.broadcast(crowded) if few else crowded, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = graph.in_blocks(sized, BLOCK, F.col("lo"))
     keys = ["cell", "left", "right"]
     ordered = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    compared = tk.stored(ordered.mapInArrow(_compare(threshold), "hi bigint, lo bigint, links bigint, hi2 bigint, lo2 bigint"), "compared")
+    compared = tk.stored(ordered.mapInArrow(_compare(threshold, kind), "hi bigint, lo bigint, links bigint, hi2 bigint, lo2 bigint"), "compared")
     links = compared.groupBy("hi", "lo").agg(F.sum("links").alias("links"))
     roots = graph.components(compared.select(F.struct("hi", "lo").alias("a"), F.struct(F.col("hi2").alias("hi"), F.col("lo2").alias("lo")).alias("b"))).select("node.hi", "node.lo", "root")
     grouped = classes.select("hi", "lo", "rep", "copies").join(roots, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
