@@ -36,6 +36,8 @@ from gridquarry.llm import textkit as tk
 RUN = 4
 #: Longest super-k-mer in windows; a longer one is sent in parts.
 PART = 4096
+#: Bytes of text that are packed together; more text packs better.
+SLICE = 6 << 20
 #: At most so many runs count as hot, and each starts at least so many super-k-mers.
 HOT_RUNS, HOT_LEAST = 20_000, 2_000
 
@@ -56,10 +58,10 @@ def _sliding_min(values: np.ndarray, width: int) -> np.ndarray:
 def _superkmers(found: tk.Words, length: int, hot: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First word, number of windows and minimiser of each super-k-mer."""
     run = min(RUN, length)
-    n = len(found.codes)
+    n = len(found.starts) - 1
     if n < length:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    hashes = tk.word_hashes(found.vocabulary)[found.codes]
+    hashes = tk.byte_hashes(found.letters, found.starts[:-1], found.starts[1:])
     rank = tk.run_hashes(hashes, run) >> np.uint64(1)
     if len(hot):
         at = np.minimum(np.searchsorted(hot, rank), len(hot) - 1)
@@ -83,8 +85,8 @@ def _hot_runs(docs: DataFrame, length: int) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, "text"):
-                _, _, least = _superkmers(tk.words(part.column("text"), tk.WHITE), length, np.zeros(0, np.uint64))
+            for part in tk.slices(batch, "text", SLICE):
+                _, _, least = _superkmers(tk.bare_words(part.column("text"), tk.WHITE), length, np.zeros(0, np.uint64))
                 values, counts = np.unique(least, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["run", "n"])
 
@@ -99,8 +101,8 @@ def _strings(length: int, hot: np.ndarray, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            for part in tk.slices(batch, "text"):
-                found = tk.words(part.column("text"), tk.WHITE)
+            for part in tk.slices(batch, "text", SLICE):
+                found = tk.bare_words(part.column("text"), tk.WHITE)
                 first, count, least = _superkmers(found, length, hot)
                 text, at = tk.spaced(found)
                 begin, end = at[first].tolist(), (at[first + count + length - 1] - 1).tolist()
@@ -131,8 +133,8 @@ def _places(length: int, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in tk.slices(batch, "text"):
-                found = tk.words(part.column("text"), tk.WHITE)
+            for part in tk.slices(batch, "text", SLICE):
+                found = tk.bare_words(part.column("text"), tk.WHITE)
                 first, count, _ = _superkmers(found, length, hot)
                 text, at = tk.spaced(found)
                 names = b"".join([tk.digest16(text[x:y]) for x, y in zip(at[first].tolist(), (at[first + count + length - 1] - 1).tolist(), strict=True)])
@@ -147,34 +149,37 @@ def _places(length: int, hot: np.ndarray):
     return run
 
 
-def _repeated_windows(strings: list[bytes], counts: np.ndarray, length: int) -> tuple[tk.Words, np.ndarray, np.ndarray]:
-    """For each word of the strings, whether a window that occurs more than once starts there; and the number of windows by string."""
-    found = tk.words(pa.array(strings, pa.binary()), tk.WHITE)
-    windows = np.diff(found.bounds) - length + 1
-    start = np.arange(windows.sum()) + np.repeat(found.bounds[:-1] - (np.cumsum(windows) - windows), windows)
+def _repeated_windows(strings: list[bytes], counts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the strings, whether a window that occurs more than once starts there; and the strings' bounds in words."""
+    text = b" ".join(strings) + b" "
+    data = np.frombuffer(text, np.uint8)
+    ends = np.flatnonzero(data == 0x20)
+    at = np.append(0, ends + 1)
+    bounds = np.searchsorted(at, np.append(0, np.cumsum([len(s) + 1 for s in strings])))
+    windows = np.diff(bounds) - length + 1
+    start = np.arange(windows.sum()) + np.repeat(bounds[:-1] - (np.cumsum(windows) - windows), windows)
     weight = np.repeat(counts, windows)
-    hashes = tk.run_hashes(tk.word_hashes(found.vocabulary)[found.codes], length)[start]
+    hashes = tk.run_hashes(tk.byte_hashes(data, at[:-1], ends), length)[start]
     order = np.argsort(hashes, kind="stable")
     ordered, start = hashes[order], start[order]
     new = np.append(True, ordered[1:] != ordered[:-1])
     again = np.flatnonzero(~new)
-    differ = np.zeros(len(again), bool)
-    for k in range(length):
-        differ |= found.codes[start[again] + k] != found.codes[start[again - 1] + k]
+    low, high = at[start], at[start + length]
+    pairs = zip(low[again].tolist(), high[again].tolist(), low[again - 1].tolist(), high[again - 1].tolist(), strict=True)
+    differ = np.array([text[a:b] != text[c:d] for a, b, c, d in pairs], bool)
     if differ.any():  # different windows with one hash: sort those by their words
         group = np.cumsum(new)
         for g in np.unique(group[again[differ]]):
             own = np.flatnonzero(group == g)
-            rows = found.codes[start[own][:, None] + np.arange(length)]
-            _, which = np.unique(rows, axis=0, return_inverse=True)
-            by_words = np.argsort(which.ravel(), kind="stable")
+            named = [text[a:b] for a, b in zip(low[own].tolist(), high[own].tolist(), strict=True)]
+            by_words = np.array(sorted(range(len(own)), key=named.__getitem__))
             order[own], start[own] = order[own][by_words], start[own][by_words]
-            new[own] = np.append(True, np.diff(which.ravel()[by_words]) != 0)
+            new[own] = [k == 0 or named[by_words[k]] != named[by_words[k - 1]] for k in range(len(own))]
     group = np.cumsum(new) - 1
     total = np.bincount(group, weights=weight[order])
-    marked = np.zeros(len(found.codes), bool)
+    marked = np.zeros(len(ends), bool)
     marked[start] = total[group] > 1
-    return found, marked, windows
+    return marked, bounds
 
 
 def _verdicts(length: int):
@@ -182,26 +187,26 @@ def _verdicts(length: int):
 
     def judge(strings: dict[bytes, int]) -> pa.RecordBatch:
         texts = list(strings)
-        found, marked, _ = _repeated_windows(texts, np.fromiter(strings.values(), np.int64, len(texts)), length)
+        marked, bounds = _repeated_windows(texts, np.fromiter(strings.values(), np.int64, len(texts)), length)
         cover = np.zeros(len(marked) + 1, np.int32)
         at = np.flatnonzero(marked)
         np.add.at(cover, at, 1)
         np.add.at(cover, at + length, -1)
         inside = np.cumsum(cover)[:-1] > 0
         edge = np.append(inside[:1], inside[1:] & ~inside[:-1])
-        edge[found.bounds[:-1]] = inside[found.bounds[:-1]]
+        edge[bounds[:-1]] = inside[bounds[:-1]]
         stop = np.append(inside[:-1] & ~inside[1:], inside[-1:])
-        stop[found.bounds[1:] - 1] = inside[found.bounds[1:] - 1]
+        stop[bounds[1:] - 1] = inside[bounds[1:] - 1]
         starts, ends = np.flatnonzero(edge), np.flatnonzero(stop) + 1
-        owner = np.searchsorted(found.bounds, starts, "right") - 1
+        owner = np.searchsorted(bounds, starts, "right") - 1
         which, n = np.unique(owner, return_counts=True)
         names = [_name(texts[k]) for k in which.tolist()]
         return pa.RecordBatch.from_arrays(
             [
                 pa.array([x for x, _ in names], pa.int64()),
                 pa.array([x for _, x in names], pa.int64()),
-                tk.listed((starts - found.bounds[owner]).astype(np.int32), n, pa.int32()),
-                tk.listed((ends - found.bounds[owner]).astype(np.int32), n, pa.int32()),
+                tk.listed((starts - bounds[owner]).astype(np.int32), n, pa.int32()),
+                tk.listed((ends - bounds[owner]).astype(np.int32), n, pa.int32()),
             ],
             names=["hi", "lo", "starts", "ends"],
         )
@@ -226,8 +231,8 @@ def _verdicts(length: int):
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for part in tk.slices(batch, "text"):
-            found = tk.words(part.column("text"), tk.WHITE)
+        for part in tk.slices(batch, "text", SLICE):
+            found = tk.bare_words(part.column("text"), tk.WHITE)
             text, at = tk.spaced(found)
             n_removed, kept, spans = [], [], part.column("spans").to_pylist()
             for d, own in enumerate(spans):
