@@ -3,22 +3,27 @@
 Sentences that speak of licensing, together with the sentences around them that
 use licence wording, are candidate blocks.  A block is compressed once by itself
 and once with each template as a raw zstandard dictionary; the template that
-saves most explains it best.  The best few are then held against the block word
-by word: a licence is confirmed only if few words differ and no number does.
+saves most explains it best.  In that order the templates are aligned with
+stretches of the block word by word: a licence is confirmed only if few words
+differ and no number does.  The stretch that explains most words is taken first,
+and the rest of the block is searched again, so that a block can hold several
+notices.  Every SPDX expression is a stretch of its own.
 
 Places are code points, end exclusive.  Defined cases: null or empty text has
 no blocks; texts are scanned whole; equal blocks get equal findings; ties in
-saving go to the template listed first; repeated rows get equal findings; other
-columns are ignored.
+saving go to the template listed first; short references count only as whole
+sentences or lines; repeated rows get equal findings; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -98,10 +103,13 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
 )
 CUE = re.compile(r"licen[sc]e|sublicens|creative commons|\bcc0|\bcc[ -]by|permission (?:is hereby|to use)|redistribut|public domain|free software|spdx", re.I | re.A)
-SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
+_ID = r"\(*[A-Za-z0-9](?:[A-Za-z0-9.+-]*[A-Za-z0-9+])?\)*"
+SPDX = re.compile(rf"SPDX-License-Identifier:\s*({_ID}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ID})*)")
 #: Ends of sentences: line breaks, and white space after a full stop.
 BREAK = re.compile(r"\n|(?<=[.!?;])[ \t]+")
 WORD = re.compile(r"\w+(?:[.-]\w+)*")
+#: Templates of fewer words are short references: they have to be whole sentences or lines.
+SHORT = 15
 
 FOUND = "doc_id bigint, n_blocks int, licenses array<struct<license:string,start:int,end:int,saved:double,missing:array<string>,extra:array<string>>>"
 
@@ -116,6 +124,7 @@ class Templates:
     def __init__(self, templates=TEMPLATES, level: int = 12):
         self.names = [n for n, _ in templates]
         self.words = [words(t) for _, t in templates]
+        self.counts = [Counter(own) for own in self.words]
         self.known = frozenset(w for own in self.words for w in own)
         self.plain = zstandard.ZstdCompressor(level=level, write_content_size=False)
         self.given = []
@@ -130,32 +139,103 @@ class Templates:
         saved = [(1 - len(c.compress(data)) / alone, k) for k, c in enumerate(self.given)]
         return sorted(saved, key=lambda x: (-x[0], x[1]))
 
+    def saved(self, part: str, k: int) -> float:
+        """The share of the bytes of a part that one template saves."""
+        data = " ".join(part.lower().split()).encode()
+        return 1 - len(self.given[k].compress(data)) / len(self.plain.compress(data))
+
 
 @lru_cache(maxsize=1)
 def templates() -> Templates:
     return Templates()
 
 
-@lru_cache(maxsize=20_000)
-def identify(block: str, tried: int = 4, most_wrong: float = 0.1, least_saved: float = 0.3) -> tuple[str, float, tuple[str, ...], tuple[str, ...]] | None:
-    """The confirmed licence of a block: name, share saved, and the words missing from and added to the template."""
-    own, known = words(block), templates()
-    if spdx := SPDX.search(block):
-        return spdx[1], 1.0, (), ()
-    best = None
-    for saved, k in known.ranked(block)[:tried]:
-        if saved < least_saved:
-            break
+def _edits(wanted: list[str], own: np.ndarray, anchored: bool) -> np.ndarray:
+    """For each number of words of `own`: the fewest edits from `wanted` to words that end there, and that start at the first one if anchored."""
+    step = np.arange(len(own) + 1)
+    row = step.copy() if anchored else np.zeros_like(step)
+    for i, w in enumerate(wanted):
+        low = np.append(i + 1, np.minimum(row[:-1] + (own != w), row[1:] + 1))
+        row = np.minimum.accumulate(low - step) + step
+    return row
+
+
+def _stretches(wanted: list[str], own: np.ndarray, heads: np.ndarray, tails: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Where words like the wanted ones stand, at most `most` edits away: [first, last) for each place with the fewest edits around, at ends of sentences if there is a choice."""
+    edits = _edits(wanted, own, False)
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], (edits <= most).view(np.int8), [0]))))
+    for a, b in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        last = min(range(max(a, 1), b), key=lambda j: (edits[j], not tails[j - 1], j), default=0)
+        before = own[max(0, last - len(wanted) - most) : last][::-1]
+        back = _edits(wanted[::-1], before, True)
+        n = min(range(1, len(back)), key=lambda j: (back[j], not heads[last - j], j), default=0)
+        if n:
+            yield last - n, last
+
+
+def _aligned(own: np.ndarray, text: str, places: list[tuple[int, int]], heads: np.ndarray, tails: np.ndarray, most_wrong: float, least_saved: float) -> list[tuple[int, int, tuple]]:
+    """Confirmed stretches of words that do not overlap, those that explain most words first."""
+    known, there = templates(), Counter(own.tolist())
+    able = [k for k, counts in enumerate(known.counts) if sum((counts & there).values()) >= (1 - most_wrong) * len(known.words[k])]
+    if not able:
+        return []
+    able = [k for _, k in known.ranked(text[places[0][0] : places[-1][1]]) if k in able]
+    found = []
+    for rank, k in enumerate(able):
         wanted = known.words[k]
-        missing, extra = [], []
-        for kind, a, b, c, d in difflib.SequenceMatcher(None, wanted, own, autojunk=False).get_opcodes():
-            if kind != "equal":
-                missing += wanted[a:b]
-                extra += own[c:d]
-        wrong = max(len(missing), len(extra))
-        if wrong <= most_wrong * len(wanted) and not any(c.isdigit() for w in missing + extra for c in w) and (best is None or wrong < best[0]):
-            best = (wrong, (known.names[k], saved, tuple(missing), tuple(extra)))
-    return best and best[1]
+        for first, last in _stretches(wanted, own, heads, tails, int(2 * most_wrong * len(wanted))):
+            if len(wanted) < SHORT and not (heads[first] and tails[last - 1]):
+                continue
+            words_here, missing, extra = own[first:last].tolist(), [], []
+            for kind, a, b, c, d in difflib.SequenceMatcher(None, wanted, words_here, autojunk=False).get_opcodes():
+                if kind != "equal":
+                    missing += wanted[a:b]
+                    extra += words_here[c:d]
+            wrong = max(len(missing), len(extra))
+            if wrong > most_wrong * len(wanted) or any(c.isdigit() for w in missing + extra for c in w):
+                continue
+            saved = known.saved(text[places[first][0] : places[last - 1][1]], k)
+            if saved >= least_saved:
+                found.append((len(missing) - len(wanted), wrong, rank, first, last, (known.names[k], saved, tuple(missing), tuple(extra))))
+    taken = np.zeros(len(own), bool)
+    out = []
+    for *_, first, last, got in sorted(found):
+        if not taken[first:last].any():
+            taken[first:last] = True
+            out.append((first, last, got))
+    return out
+
+
+@lru_cache(maxsize=20_000)
+def identify(block: str, most_wrong: float = 0.1, least_saved: float = 0.3) -> tuple[tuple[int, int, str, float, tuple[str, ...], tuple[str, ...]], ...]:
+    """The confirmed licences of a block by place: start, end, name, share saved, and the words missing from and added to the template."""
+    out, rest, at = [], [], 0
+    for m in SPDX.finditer(block):
+        out.append((*m.span(), " ".join(m[1].split()), 1.0, (), ()))
+        rest.append((at, m.start()))
+        at = m.end()
+    rest.append((at, len(block)))
+    cuts = [0, *(x for m in BREAK.finditer(block) for x in m.span()), len(block)]
+    pieces = [(a, b) for a, b in zip(cuts[::2], cuts[1::2], strict=True) if a < b]
+    lows, highs = np.array([a for a, _ in pieces], np.int64), np.array([b for _, b in pieces], np.int64)
+    while rest:
+        low, high = rest.pop()
+        places = [m.span() for m in WORD.finditer(block, low, high)]
+        if not places:
+            continue
+        own = np.array([block[a:b].lower() for a, b in places], object)
+        piece = np.searchsorted(lows, [a for a, _ in places], "right") - 1
+        new = np.append(True, np.diff(piece) > 0)
+        heads, tails = new, np.append(new[1:], True)
+        got = sorted(_aligned(own, block, places, heads, tails, most_wrong, least_saved), key=lambda x: x[:2])
+        for first, last, what in got:
+            start = max(low, int(lows[piece[first]])) if heads[first] else places[first][0]
+            end = min(high, int(highs[piece[last - 1]])) if tails[last - 1] else places[last - 1][1]
+            out.append((start, end, *what))
+        if got:
+            marks = [low, *(x for first, last, _ in got for x in (places[first][0], places[last - 1][1])), high]
+            rest += zip(marks[::2], marks[1::2], strict=True)
+    return tuple(sorted(out))
 
 
 def blocks(text: str) -> list[tuple[int, int]]:
@@ -190,16 +270,11 @@ def blocks(text: str) -> list[tuple[int, int]]:
 
 
 def find(text: str) -> tuple[int, list[dict]]:
-    """How many candidate blocks there are, and the licences confirmed: of a whole block, else of its sentences."""
+    """How many candidate blocks there are, and all licences confirmed in them."""
     out, candidates = [], blocks(text)
     for start, end in candidates:
-        parts = [(start, end)]
-        if identify(text[start:end]) is None:
-            cuts = [start, *(start + x for m in BREAK.finditer(text[start:end]) for x in m.span()), end]
-            parts = list(zip(cuts[::2], cuts[1::2], strict=True))
-        for a, b in parts:
-            if CUE.search(text, a, b) and (got := identify(text[a:b])):
-                out.append({"license": got[0], "start": a, "end": b, "saved": got[1], "missing": list(got[2]), "extra": list(got[3])})
+        for a, b, name, saved, missing, extra in identify(text[start:end]):
+            out.append({"license": name, "start": start + a, "end": start + b, "saved": saved, "missing": list(missing), "extra": list(extra)})
     return len(candidates), out
 
 

@@ -52,3 +52,34 @@ def test_odd_rows(spark):
     assert len(got) == len(rows)
     assert {r.doc_id: len(r.licenses) for r in got} == {1: 0, 2: 0, 3: 1, None: 1, 4: 1, 5: 0, 6: 2}
     assert lc.scan(frame.limit(0)).count() == 0
+
+
+APACHE, UNLESS, MIT = lc.TEMPLATES[6][1], lc.TEMPLATES[7][1], lc.TEMPLATES[3][1]
+
+
+def names(text):
+    return [x["license"] for x in lc.find(text)[1]]
+
+
+def test_notices_that_follow_each_other_are_all_found():
+    wrap = lambda t: "\n".join(textwrap.wrap(t, 76))
+    short = "Licensed under the Apache License, Version 2.0."
+    assert names(wrap(APACHE) + "\n\n" + wrap(UNLESS)) == ["Apache-2.0"] * 2
+    assert names(wrap(APACHE + " " + UNLESS)) == ["Apache-2.0"] * 2
+    assert names(wrap(MIT) + "\n" + short) == ["MIT", "Apache-2.0"]
+    assert names(short + "\n" + wrap(MIT)) == ["Apache-2.0", "MIT"]
+    assert names(wrap(lc.TEMPLATES[10][1]) + "\nReleased under the MIT License.") == ["BSD-3-Clause", "MIT"]
+    assert names(wrap(MIT + " " + MIT)) == ["MIT"] * 2
+    assert names(wrap(MIT.replace("associated", "accompanying")) + "\n" + short) == ["MIT", "Apache-2.0"]
+    text = short + " " + wrap(MIT)
+    assert [text[x["start"] : x["end"]] for x in lc.find(text)[1]] == [short, wrap(MIT)]
+
+
+def test_every_spdx_expression_is_found():
+    text = "// SPDX-License-Identifier: MIT OR Apache-2.0\n// SPDX-License-Identifier: ISC.\nReleased under the MIT License.\n"
+    assert names(text) == ["MIT OR Apache-2.0", "ISC", "MIT"]
+    assert [text[x["start"] : x["end"]] for x in lc.find(text)[1]][:2] == ["SPDX-License-Identifier: MIT OR Apache-2.0", "SPDX-License-Identifier: ISC"]
+
+
+def test_short_references_inside_sentences_do_not_count():
+    assert names("It was not released under the MIT License.") == []
