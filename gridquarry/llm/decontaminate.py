@@ -101,13 +101,13 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple
 class Segment:
     """The lists of one index row."""
 
-    def __init__(self, row: dict, known: dict[bytes, int]):
+    def __init__(self, row: dict, known: dict[bytes, int], n_known: int | None = None):
         self.ids, self.doc_words = row["doc_ids"], np.array(row["doc_words"], np.int64)
         self.first = np.append(0, np.cumsum(self.doc_words + 1))
         ends = np.cumsum(np.array(row["counts"], np.int64))
         places = np.frombuffer(row["positions"], "<i4")
         self.lists: dict[int, np.ndarray] = {}
-        self.sizes = np.zeros(len(known) + 1, np.int64)
+        self.sizes = np.zeros((len(known) if n_known is None else n_known) + 1, np.int64)
         for k, term in enumerate(row["terms"]):
             if (own := known.get(term)) is not None:
                 self.lists[own] = places[ends[k - 1] if k else 0 : ends[k]]
@@ -125,20 +125,20 @@ class Segment:
                 break
         return left
 
-    def near(self, terms: list[int], rarest: int, slop: int) -> list[tuple[int, int]]:
-        """Smallest stretches of at most `slop` words that hold the `rarest` rarest terms, at most one for each place of the rarest."""
-        chosen = sorted(set(terms), key=lambda t: (self.sizes[t], t))[:rarest]
-        low = high = self.lists[chosen[0]].astype(np.int64)
-        for t in chosen[1:]:
-            other = self.lists[t].astype(np.int64)
-            at = np.searchsorted(other, low)
-            before, after = other[np.maximum(at - 1, 0)], other[np.minimum(at, len(other) - 1)]
-            pick = np.where(np.maximum(high, before) - np.minimum(low, before) <= np.maximum(high, after) - np.minimum(low, after), before, after)
-            low, high = np.minimum(low, pick), np.maximum(high, pick)
-            ok = high - low < slop
-            low, high = low[ok], high[ok]
-        same = self.doc_of(low) == self.doc_of(high)
-        return list(zip(low[same].tolist(), high[same].tolist(), strict=True))
+    def near(self, chosen: list[int], slop: int) -> list[tuple[int, int]]:
+        """The smallest stretch of at most `slop` words of one document that holds all chosen terms, for each place of the first of them."""
+        at = self.lists[chosen[0]].astype(np.int64)
+        doc = self.doc_of(at)
+        best_low, best_high = at.copy(), np.full(len(at), np.iinfo(np.int64).max)
+        for back in range(slop):
+            low, high = at - back, at
+            for t in chosen[1:]:
+                after = np.append(self.lists[t], np.iinfo(np.int32).max).astype(np.int64)
+                high = np.maximum(high, after[np.searchsorted(self.lists[t], low)])
+            ok = (low >= self.first[doc]) & (high < self.first[doc + 1]) & (high - low < np.minimum(slop, best_high - best_low))
+            best_low[ok], best_high[ok] = low[ok], high[ok]
+        ok = best_high - best_low < slop
+        return list(zip(best_low[ok].tolist(), best_high[ok].tolist(), strict=True))
 
     def doc_of(self, places: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.first, places, "right") - 1
@@ -226,19 +226,48 @@ def _over_blocks(index: DataFrame, search, blocks: Iterator[list[tuple[int, str]
     return out.select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
 
 
+def _frequencies(index: DataFrame, known: dict[bytes, int]) -> np.ndarray:
+    """For each known term: how many documents of the whole index have it."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                seg = Segment(row, known)
+                own = list(seg.lists)
+                n = [len(np.unique(seg.doc_of(seg.lists[t]))) for t in own]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n, pa.int64())], names=["term", "n"])
+
+    out = np.zeros(len(known), np.int64)
+    for r in index.mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["term"]] = r["n"]
+    return out
+
+
 def find_near(index: DataFrame, items: DataFrame, rarest: int = 4, slop: int = 25, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc_id, item_id, start, end): the `rarest` rarest words of the item stand within `slop` words of the document."""
+    """Rows (doc_id, item_id, start, end): the `rarest` rarest words of the item stand within `slop` words of the document.
+
+    Rarest by the number of documents of the whole index, then by spelling, so that results do not depend on how it is cut into segments.
+    Words that no document has are passed over; an item with too few others has no hits.
+    """
     out = None
     for block in _blocks(items, id_col, text_col):
-
-        def run(batches, block=block):
-            known = Items(block, 1)
+        known = Items(block, 1)
+        spelt, n_docs = list(known.terms), _frequencies(index, known.terms)
+        wanted = []
+        for item, own in known.words:
+            terms = set(own)
+            chosen = sorted((t for t in terms if n_docs[t]), key=lambda t: (n_docs[t], spelt[t]))[:rarest]
+            if chosen and len(chosen) == min(rarest, len(terms)):
+                wanted.append((item, chosen))
+        used = {spelt[t]: t for _, chosen in wanted for t in chosen}
+
+        def run(batches, wanted=wanted, used=used, size=len(spelt)):
             for batch in batches:
                 for row in batch.to_pylist():
-                    seg, rows = Segment(row, known.terms), []
-                    for item, own in known.words:
-                        if own and (seg.sizes[own] > 0).all():
-                            for low, high in seg.near(own, rarest, slop):
+                    seg, rows = Segment(row, used, size), []
+                    for item, chosen in wanted:
+                        if (seg.sizes[chosen] > 0).all():
+                            for low, high in seg.near(chosen, slop):
                                 d = int(seg.doc_of(np.array([low]))[0])
                                 rows.append((seg.ids[d], item, low - int(seg.first[d]), high + 1 - int(seg.first[d])))
                     columns = list(zip(*rows, strict=True)) or [[]] * 4

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 from gridquarry.llm import decontaminate as dc
@@ -69,3 +70,39 @@ def test_near(spark):
     docs = spark.createDataFrame([(1, "alpha x beta y z gamma"), (2, "gamma " + "x " * 40 + "alpha beta"), (3, "alpha beta")], "doc_id bigint, text string")
     items = spark.createDataFrame([(9, "beta gamma alpha")], "item_id bigint, text string")
     assert [tuple(r) for r in dc.find_near(dc.build_index(docs), items, rarest=3, slop=6).collect()] == [(1, 9, 0, 6)]
+
+
+def near_brute(docs, items, rarest, slop):
+    texts = {d: split(t) for d, t in docs}
+    out = []
+    for item, text in items:
+        terms = set(split(text))
+        n = {t: sum(t in w for w in texts.values()) for t in terms}
+        chosen = sorted((t for t in terms if n[t]), key=lambda t: (n[t], t.encode()))[:rarest]
+        if not chosen or len(chosen) < min(rarest, len(terms)):
+            continue
+        for d, w in texts.items():
+            for p in (k for k, x in enumerate(w) if x == chosen[0]):
+                fits = [(b - a, -a, a, b) for a in range(max(0, p - slop + 1), p + 1) for b in range(p + 1, min(len(w), a + slop) + 1) if set(chosen) <= set(w[a:b])]
+                if fits:
+                    out.append((d, item, *min(fits)[2:]))
+    return sorted(out)
+
+
+def test_near_does_not_depend_on_segments(spark):
+    draw = random.Random(5)
+    docs = [(d, " ".join(draw.choices([f"t{k}" for k in range(14)], k=draw.randrange(1, 40)))) for d in range(60)]
+    docs += [(100, "red green blue"), (101, "other words gamma"), (102, "alpha beta x x gamma red"), (103, "reworded")]
+    items = [(1, "alpha beta gamma red absent"), (2, "t1 t2 t3 t4 t5 alpha"), (3, "t6 t7 t8 t9 t10"), (4, "absent missing"), (5, "t1 reworded")]
+    frame, bench = spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1), spark.createDataFrame(items, "item_id bigint, text string")
+    want = near_brute(docs, items, 4, 12)
+    assert (102, 1, 0, 6) in want
+    assert {x[1] for x in want} >= {1, 3}
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for rows in ("1", "7", "10000"):
+            spark.conf.set(key, rows)
+            assert sorted(tuple(r) for r in dc.find_near(dc.build_index(frame), bench, 4, 12).collect()) == want
+    finally:
+        spark.conf.set(key, before)
