@@ -263,6 +263,18 @@ def contour_holes(f: Fixtures) -> DataFrame:
     return cc.hole_parents(cc.holes(small, slides, 16, 16), cc.components(small, 16))
 
 
+@query()
+def fill_small_holes_whole(f: Fixtures) -> DataFrame:
+    """As fill_small_holes, over whole masks of all slides; a recursive oracle would be too slow."""
+    return cc.filled(f.mask_px, f.slides.select("slide_id"), SIDE, SIDE, 3)
+
+
+@query()
+def contour_holes_whole(f: Fixtures) -> DataFrame:
+    """As contour_holes, over whole masks of all slides."""
+    return cc.hole_parents(cc.holes(f.mask_px, f.slides.select("slide_id"), SIDE, SIDE), cc.components(f.mask_px, SIDE))
+
+
 BLOCKS = CANDIDATES + (
     """, k as (select *, x//96 kx, y//96 ky from tiles), e as (select slide_id, kx//8 cx, ky//8 cy from k group by all having count(*)=64), a8 as (select k.*, e.cx is not null in8 from k left join e on e.slide_id=k.slide_id and e.cx=k.kx//8 and e.cy=k.ky//8),
  q as (select slide_id, kx//4 cx, ky//4 cy from a8 where not in8 group by all having count(*)=16), a4 as (select a8.*, q.cx is not null and not in8 in4 from a8 left join q on q.slide_id=a8.slide_id and q.cx=kx//4 and q.cy=ky//4),
