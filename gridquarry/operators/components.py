@@ -38,11 +38,12 @@ def _block_labels(width: int):
     return label
 
 
-def components(mask: DataFrame, width: int) -> DataFrame:
-    """mask: slide_id, mx, my.  Adds component: the smallest my * width + mx among the 8-connected pixels."""
-    blocks = mask.select("slide_id", "mx", "my").distinct().withColumn("bx", F.floor(F.col("mx") / BLOCK)).withColumn("by", F.floor(F.col("my") / BLOCK))
+def components(mask: DataFrame, width: int, block: int | None = None) -> DataFrame:
+    """mask: slide_id, mx, my.  Adds component: the smallest my * width + mx among the 8-connected pixels.  Blocks are of BLOCK x BLOCK if not stated."""
+    block = block or BLOCK
+    blocks = mask.select("slide_id", "mx", "my").distinct().withColumn("bx", F.floor(F.col("mx") / block)).withColumn("by", F.floor(F.col("my") / block))
     local = blocks.groupBy("slide_id", "bx", "by").applyInPandas(_block_labels(width), "slide_id bigint, mx bigint, my bigint, local bigint")
-    on_edge = (F.col("mx") % BLOCK).isin(0, BLOCK - 1) | (F.col("my") % BLOCK).isin(0, BLOCK - 1)
+    on_edge = (F.col("mx") % block).isin(0, block - 1) | (F.col("my") % block).isin(0, block - 1)
     edge = local.where(on_edge)
     steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _EIGHT]))
     moved = edge.withColumn("_d", steps).select("slide_id", (F.col("mx") + F.col("_d.dx")).alias("mx"), (F.col("my") + F.col("_d.dy")).alias("my"), F.col("local").alias("other"))
@@ -112,6 +113,17 @@ def hole_parents(hole_px: DataFrame, labelled: DataFrame) -> DataFrame:
     return left.join(labelled, ["slide_id", "mx", "my"]).select("slide_id", "hole", "area", F.col("component").alias("parent"))
 
 
+def traced_areas(labelled: DataFrame) -> DataFrame:
+    """Area inside the outer contour of each component, through the pixels' centres, less the contours of its holes.
+
+    A square of four neighbouring centres lies inside by a whole if all four are of the component, by half if three are.
+    """
+    ends = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c))).alias(c)
+    squares = labelled.select("slide_id", "component", ends("mx"), "my").select("slide_id", "component", "mx", ends("my"))
+    inside = squares.groupBy("slide_id", "component", "mx", "my").agg(F.count(F.lit(1)).alias("n"))
+    return inside.groupBy("slide_id", "component").agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("area"))
+
+
 def polygon_area(points: Column) -> Column:
     """Shoelace area of an array of structs (x, y)."""
     after = F.concat(F.slice(points, 2, F.greatest(F.size(points) - 1, F.lit(0))), F.slice(points, 1, 1))

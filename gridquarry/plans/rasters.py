@@ -240,6 +240,42 @@ def component_rank(f: Fixtures) -> DataFrame:
     return cc.by_size(_labelled(f)).select("slide_id", "component", "area", "rank")
 
 
+def _labelled_whole(f: Fixtures) -> DataFrame:
+    """Components of whole masks, in blocks smaller than a slide, so that they are joined across borders; a recursive oracle would be too slow."""
+    return cc.components(f.mask_px, SIDE, 16)
+
+
+@query()
+def contour_components_whole(f: Fixtures) -> DataFrame:
+    return _labelled_whole(f)
+
+
+@query()
+def remove_small_components_whole(f: Fixtures) -> DataFrame:
+    return cc.without_small(_labelled_whole(f), 4).select("slide_id", "mx", "my", "component")
+
+
+@query()
+def roi_boxes_whole(f: Fixtures) -> DataFrame:
+    return cc.roi_boxes(_labelled_whole(f), 4, 2, 128)
+
+
+@query()
+def roi_overlaps_whole(f: Fixtures) -> DataFrame:
+    return cc.overlapping(cc.roi_boxes(_labelled_whole(f), 4, 10, 128))
+
+
+@query()
+def contour_area_whole(f: Fixtures) -> DataFrame:
+    """Area inside the traced contours less their holes, unlike the box area of contour_area."""
+    return cc.traced_areas(_labelled_whole(f))
+
+
+@query()
+def component_rank_whole(f: Fixtures) -> DataFrame:
+    return cc.by_size(_labelled_whole(f)).select("slide_id", "component", "area", "rank")
+
+
 HOLES = "with recursive sm as (select slide_id, mx, my from mask_px where slide_id <= 30 and mx < 16 and my < 16), bg as (select a.slide_id, a.mx, u.my from (select distinct slide_id, unnest(range(0,16)) mx from sm) a cross join unnest(range(0,16)) u(my) anti join sm m on m.slide_id=a.slide_id and m.mx=a.mx and m.my=u.my), walk(slide_id, root, mx, my) as (select slide_id, my*16+mx, mx, my from bg union select w.slide_id, w.root, g.mx, g.my from walk w join bg g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), comp as (select slide_id, mx, my, min(root) hole from walk group by all), inn as (select slide_id, hole, count(*) area from comp group by all having min(mx)>0 and min(my)>0 and max(mx)<15 and max(my)<15)"
 
 
