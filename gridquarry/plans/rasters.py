@@ -9,7 +9,7 @@ from gridquarry.operators import components as cc
 from gridquarry.operators import qc, sampling, supertiles
 from gridquarry.operators import segmentation as seg
 from gridquarry.plans.fixtures import CANDIDATES, SIDE, Fixtures
-from gridquarry.plans.registry import query
+from gridquarry.plans.registry import again, query
 
 LABELLED = "with lab as (select l.slide_id, v.annotation, l.mx, l.my from label_px l join vocabulary v on l.label=v.value)"
 
@@ -156,6 +156,11 @@ def seg_otsu(f: Fixtures) -> DataFrame:
     return seg.otsu(seg.median(seg.with_saturation(f.rgb_px), "s"), "median")
 
 
+#: The pixel queries once more, over dense rasters of all slides.
+for _name in ("qc_white", "qc_black", "qc_gray", "qc_blur", "tile_qc", "qc_reindex", "seg_hsv", "median_blur", "seg_threshold", "seg_otsu"):
+    again(_name, "rgb_px", "raster_px", "_whole")
+
+
 DENSE = "with dn as (select a.slide_id, a.mx, u.my, case when m.mx is null then 0 else 1 end v from (select slide_id, unnest(range(0,32)) mx from slides) a cross join unnest(range(0,32)) u(my) left join mask_px m on m.slide_id=a.slide_id and m.mx=a.mx and m.my=u.my)"
 
 

@@ -129,3 +129,13 @@ def test_components_of_whole_masks(spark, masks):
     assert found(spark, "contour_area_whole", "slide_id", "component", "area") == sorted((*k, net_area(px)) for k, px in parts.items())
     ranks = [(s, k, len(parts[s, k]), n + 1) for s in masks for n, k in enumerate(sorted((k for t, k in parts if t == s), key=lambda k: (-len(parts[s, k]), k)))]
     assert found(spark, "component_rank_whole", "slide_id", "component", "area", "rank") == sorted(ranks)
+
+
+def test_pixel_queries_see_all_slides(spark):
+    sf = "/root/testdata/sf0.01"
+    slides = {r.slide_id for r in Fixtures(spark, sf).slides.collect()}
+    assert len(slides) > 20
+    got = Fixtures(spark, sf).raster_px.collect()
+    assert len({(r.slide_id, r.x, r.y) for r in got}) == len(got) == len(slides) * SIDE * SIDE
+    for name in ("qc_white_whole", "seg_otsu_whole"):
+        assert {r.slide_id for r in QUERIES[name](spark, sf).collect()} == slides
