@@ -191,11 +191,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one is made only where none is set, as in tests."""
+    """The folder that driver and executors share.  One is made only for a local master, as in tests; on a cluster it has to be set."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         kept = spark.sparkContext._jsc.sc().getCheckpointDir()
         where = kept.get() if kept.isDefined() else None
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not where:
         import tempfile
 
