@@ -11,7 +11,7 @@ with a count.  Runs that start very many super-k-mers (a passage in a third of
 all documents, each time in other surroundings) rank behind all others, so
 windows around them are dealt out by their rarer runs.  The places of a
 super-k-mer never travel with it; they meet the verdict in a plain equi-join
-that Spark can split.
+that Spark can split, and places of equal rows collapse.
 
 Defined cases: null text counts as no words; documents shorter than a window
 keep everything; a document that is there twice, id and all, is two documents,
@@ -38,10 +38,14 @@ RUN = 4
 PART = 4096
 #: Bytes of text that are packed together; more text packs better.
 SLICE = 6 << 20
-#: At most so many runs count as hot, and each starts at least so many super-k-mers.
-HOT_RUNS, HOT_LEAST = 20_000, 2_000
-
-STRINGS = "bucket bigint, counts array<int>, packed binary"
+#: A run is hot if it starts at least HOT_LEAST super-k-mers and more than one in HOT_SHARE of all; so there are never more than HOT_SHARE hot runs.
+HOT_LEAST, HOT_SHARE = 2_000, 2_000_000
+#: Bytes of text to a bucket, and parts in which a bucket is judged; a part's strings are about three times its text.
+BUCKET, PARTS = 128 << 20, 32
+#: Strings of a part that wait in memory before they are compressed.
+WAITING = 1 << 20
+
+STRINGS = "bucket bigint, parts array<int>, sizes array<int>, counts array<int>, packed binary"
 PLACES = "hi bigint, lo bigint, doc_id bigint, h bigint, start int"
 VERDICTS = "hi bigint, lo bigint, starts array<int>, ends array<int>"
 
@@ -80,23 +84,28 @@ def _superkmers(found: tk.Words, length: int, hot: np.ndarray) -> tuple[np.ndarr
     return first, count, least[first]
 
 
-def _hot_runs(docs: DataFrame, length: int) -> np.ndarray:
-    """The minimisers of very many super-k-mers, counted over all documents; a bounded list."""
+def _counted(docs: DataFrame, length: int) -> tuple[np.ndarray, int]:
+    """The hot runs, counted over all documents, and the bytes of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text", SLICE):
-                _, _, least = _superkmers(tk.bare_words(part.column("text"), tk.WHITE), length, np.zeros(0, np.uint64))
+                found = tk.bare_words(part.column("text"), tk.WHITE)
+                _, _, least = _superkmers(found, length, np.zeros(0, np.uint64))
                 values, counts = np.unique(least, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts)], names=["run", "n"])
+                kind = np.append(np.zeros(len(values), np.int32), (1, 2))
+                yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(np.append(values.view(np.int64), (0, 0)), pa.int64()), pa.array(np.append(counts, (len(least), len(found.letters) + len(found.starts))), pa.int64())], names=["kind", "run", "n"])
 
-    counted = docs.select("text").mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT_LEAST)
-    top = counted.orderBy(F.desc("n"), "run").limit(HOT_RUNS).select("run").toArrow()["run"].to_numpy()
-    return np.sort(top.view(np.uint64))
+    counted = docs.select("text").mapInArrow(run, "kind int, run bigint, n bigint").groupBy("kind", "run").agg(F.sum("n").alias("n"))
+    counted = tk.stored(counted.where((F.col("kind") > 0) | (F.col("n") >= HOT_LEAST)), "runs")
+    total = {r["kind"]: r["n"] for r in counted.where("kind > 0").collect()}
+    top = counted.where((F.col("kind") == 0) & (F.col("n") * HOT_SHARE > total.get(1, 0))).select("run").toArrow()["run"].to_numpy()
+    tk.unstored(counted)
+    return np.sort(top.view(np.uint64)), total.get(2, 0)
 
 
 def _strings(length: int, hot: np.ndarray, buckets: int):
-    """The super-k-mers of each slice, equal ones once, packed by bucket."""
+    """The super-k-mers of each slice, equal ones once, packed by bucket; in a pack they stand part by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=6)
@@ -106,18 +115,23 @@ def _strings(length: int, hot: np.ndarray, buckets: int):
                 first, count, least = _superkmers(found, length, hot)
                 text, at = tk.spaced(found)
                 begin, end = at[first].tolist(), (at[first + count + length - 1] - 1).tolist()
-                bucket = (tk.mixed(least) % np.uint64(buckets)).tolist()
-                by_bucket: dict[int, Counter[bytes]] = defaultdict(Counter)
-                for b, x, y in zip(bucket, begin, end, strict=True):
-                    by_bucket[b][text[x:y]] += 1
-                rows = by_bucket.items()
+                name = tk.mixed(least) % np.uint64(buckets * PARTS)
+                by_part: dict[int, Counter[bytes]] = defaultdict(Counter)
+                for b, x, y in zip(name.tolist(), begin, end, strict=True):
+                    by_part[b][text[x:y]] += 1
+                rows: dict[int, list[int]] = defaultdict(list)
+                for b in sorted(by_part):
+                    rows[b // PARTS].append(b)
+                joined = {b: b"\n".join(c) for b, c in by_part.items()}
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array([b for b, _ in rows], pa.int64()),
-                        pa.array([list(c.values()) for _, c in rows], pa.list_(pa.int32())),
-                        pa.array([pack.compress(b"\n".join(c)) for _, c in rows], pa.binary()),
+                        pa.array(list(rows), pa.int64()),
+                        pa.array([[b % PARTS for b in own] for own in rows.values()], pa.list_(pa.int32())),
+                        pa.array([[len(joined[b]) for b in own] for own in rows.values()], pa.list_(pa.int32())),
+                        pa.array([[n for b in own for n in by_part[b].values()] for own in rows.values()], pa.list_(pa.int32())),
+                        pa.array([pack.compress(b"".join([joined[b] for b in own])) for own in rows.values()], pa.binary()),
                     ],
-                    names=["bucket", "counts", "packed"],
+                    names=["bucket", "parts", "sizes", "counts", "packed"],
                 )
 
     return run
@@ -213,22 +227,52 @@ def _verdicts(length: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        bucket, strings = None, Counter()
+        bucket, parts = None, {}
         for batch in batches:
             for k in range(batch.num_rows):
                 if (b := batch.column("bucket")[k].as_py()) != bucket:
-                    if strings:
-                        yield judge(strings)
-                    bucket, strings = b, Counter()
-                own = unpack.decompress(batch.column("packed")[k].as_py()).split(b"\n")
-                for text, n in zip(own, batch.column("counts")[k].values.to_numpy(), strict=True):
-                    strings[text] += int(n)
-        if strings:
-            yield judge(strings)
+                    for part in parts.values():
+                        yield judge(part.strings())
+                    bucket, parts = b, {}
+                own, counts, at, nth = unpack.decompress(batch.column("packed")[k].as_py()), batch.column("counts")[k].values.to_numpy(), 0, 0
+                for p, size in zip(batch.column("parts")[k].as_py(), batch.column("sizes")[k].as_py(), strict=True):
+                    nth += parts.setdefault(p, Part()).add(own[at : at + size], counts[nth:])
+                    at += size
+        for part in parts.values():
+            yield judge(part.strings())
 
     return run
 
 
+class Part:
+    """Strings with counts; all but the last WAITING bytes of them are kept compressed."""
+
+    def __init__(self):
+        self.done: list[tuple[bytes, np.ndarray]] = []
+        self.texts: list[bytes] = []
+        self.counts: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: bytes, counts: np.ndarray) -> int:
+        """Takes joined strings and as many counts, and says how many."""
+        n = text.count(b"\n") + 1
+        self.texts.append(text)
+        self.counts.append(counts[:n])
+        self.size += len(text)
+        if self.size > WAITING:
+            self.done.append((zstandard.compress(b"\n".join(self.texts), 1), np.concatenate(self.counts)))
+            self.texts, self.counts, self.size = [], [], 0
+        return n
+
+    def strings(self) -> Counter[bytes]:
+        out: Counter[bytes] = Counter()
+        waiting = [(b"\n".join(self.texts), np.concatenate(self.counts))] if self.texts else []
+        for packed, counts in [*((zstandard.decompress(t), c) for t, c in self.done), *waiting]:
+            for text, n in zip(packed.split(b"\n"), counts.tolist(), strict=True):
+                out[text] += n
+        return out
+
+
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in tk.slices(batch, "text", SLICE):
@@ -258,18 +302,18 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words outside every repeated window, joined by one space.
 
-    buckets: grow it with the input, so that the strings of one bucket (about three times the text, divided by it) fit into a task.
+    buckets: as many as the bytes of all texts ask for, at BUCKET bytes each, and enough for every shuffle partition to have some.
     """
     spark = docs.sparkSession
-    buckets = buckets or 8 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = docs.withColumn("h", F.xxhash64("text"))
-    hot = _hot_runs(docs, length)
+    hot, size = _counted(docs, length)
+    buckets = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     strings = docs.select("text").mapInArrow(_strings(length, hot, buckets), STRINGS)
     verdicts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(length), VERDICTS)
     places = keyed.mapInArrow(_places(length, hot), PLACES)
     moved = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct((x["starts"] + F.col("start")).alias("s"), (x["ends"] + F.col("start")).alias("e")))
-    spans = places.join(verdicts, ["hi", "lo"]).select("doc_id", "h", moved.alias("spans")).groupBy("doc_id", "h").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    spans = places.join(verdicts, ["hi", "lo"]).select("doc_id", "h", moved.alias("spans")).groupBy("doc_id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     spans = spans.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), "spans")
     joined = keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     return joined.select("doc_id", "text", "spans").mapInArrow(_kept, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
