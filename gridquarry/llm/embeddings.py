@@ -6,6 +6,12 @@ one table together name a cell.  A vector lives in its own cell of every table
 and visits the PROBES lattice cells next nearest to it.  Whoever meets in a cell
 with equal label is compared exactly, by cosine in double precision.
 
+Cells shrink as rows grow: how many E8 points name a cell is fitted on a bounded
+sample of the rows, so that a row is expected to meet about PARTNERS others
+however many there are; and the number of tables follows from that, so that a
+pair right at the threshold is met with the recall asked for (0.9999 unless the
+caller says otherwise), which made pairs of unit vectors tell beforehand.
+
 Equal vectors of a label collapse into one class before hashing.  A crowded cell
 is compared in pairs of blocks, and every block gives sums and a spanning forest
 only.  A pair that meets more than once counts at its first meeting, which both
@@ -30,10 +36,12 @@ from pyspark.sql import functions as F
 from gridquarry.llm import graph
 from gridquarry.llm import textkit as tk
 
-#: Tables, E8 blocks that name a cell, size of a cell, and cells visited besides a vector's own.
-TABLES, EIGHTS, CELL, PROBES = 5, 2, 2.0, 4
-#: Rows in a block of a crowded cell, and the longest list of crowded cells that is broadcast.
-BLOCK, MOST_BROADCAST = 1024, 100_000
+#: Size of a cell, and cells visited besides a vector's own.
+CELL, PROBES = 3.0, 4
+#: Most E8 points that name a cell, and rows that a row is meant to meet.
+DEEPEST, PARTNERS = 6, 256
+#: Rows in a block of a crowded cell.
+BLOCK = 1024
 
 
 def _shortest() -> np.ndarray:
@@ -71,28 +79,84 @@ def e8_nearest(x: np.ndarray) -> np.ndarray:
     return np.where(closer[:, None], whole, half)
 
 
-def cells(x: np.ndarray, label: np.ndarray, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """Names of each unit vector's own cell in every table, (n, TABLES), and of the cells it visits, (n, TABLES, PROBES)."""
+def cells(x: np.ndarray, label: np.ndarray, eights: int = 3, tables: int = 6, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Names of each unit vector's own cell in every table, (n, tables), and of the cells it visits, (n, tables, PROBES)."""
     n, d = x.shape
-    own, visits = np.empty((n, TABLES), np.uint64), np.empty((n, TABLES, PROBES), np.uint64)
-    for t in range(TABLES):
-        places = x @ np.random.default_rng((seed, d, t)).normal(size=(d, 8 * EIGHTS)) / CELL
-        points = np.concatenate([e8_nearest(places[:, 8 * e : 8 * e + 8]) for e in range(EIGHTS)], axis=1)
+    own, visits = np.empty((n, tables), np.uint64), np.empty((n, tables, PROBES), np.uint64)
+    for t in range(tables):
+        places, points = _points(x, eights, t, seed)
         left = places - points
-        gain = np.concatenate([left[:, 8 * e : 8 * e + 8] @ SHORTEST.T for e in range(EIGHTS)], axis=1)
+        gain = np.concatenate([left[:, 8 * e : 8 * e + 8] @ SHORTEST.T for e in range(eights)], axis=1)
         next_best = np.argsort(-gain, axis=1, kind="stable")[:, :PROBES]
         own[:, t] = _names(points, label, t)
         for p in range(PROBES):
             moved = points.copy()
-            for e in range(EIGHTS):
+            for e in range(eights):
                 rows = np.flatnonzero(next_best[:, p] // 240 == e)
                 moved[rows, 8 * e : 8 * e + 8] += SHORTEST[next_best[rows, p] % 240]
             visits[:, t, p] = _names(moved, label, t)
     return own, visits
 
 
+def _points(x: np.ndarray, eights: int, t: int, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """The projections of table t and their lattice points; those of fewer E8 points are the beginnings of those of more."""
+    places = np.concatenate([x @ np.random.default_rng((seed, x.shape[1], t, e)).normal(size=(x.shape[1], 8)) for e in range(eights)], axis=1) / CELL
+    return places, np.concatenate([e8_nearest(places[:, 8 * e : 8 * e + 8]) for e in range(eights)], axis=1)
+
+
+def tables_for(eights: int, threshold: float, recall: float, dimensions: int, made: int = 1500) -> int:
+    """Tables after which a pair of unit vectors right at the threshold has met with the recall asked for, told by made pairs."""
+    rng = np.random.default_rng(dimensions)
+    a, r = rng.normal(size=(2, made, max(2, dimensions)))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    r -= (r * a).sum(axis=1, keepdims=True) * a
+    b = threshold * a + np.sqrt(max(0.0, 1 - threshold**2)) * r / np.linalg.norm(r, axis=1, keepdims=True)
+    label = np.zeros(made, np.int64)
+    (x, v), (y, w) = cells(a, label, eights, 2), cells(b, label, eights, 2)
+    met = (x == y) | (v == y[:, :, None]).any(axis=2) | (w == x[:, :, None]).any(axis=2)
+    missed = min(max(1 - met.mean(), 1e-3), 0.99)
+    return max(3, int(np.ceil(np.log(1 - recall) / np.log(missed))))
+
+
+def _fitted(classes: DataFrame, kind: str, threshold: float, recall: float, sample: int = 20_000) -> tuple[int, int]:
+    """E8 points for a cell's name and number of tables, from the `sample` classes with the smallest hash.
+
+    Pairs that share a cell in the sample, scaled to all rows, tell how many others a row would
+    meet; cells are named by as few points as keep that below PARTNERS, or by those that keep
+    the work lowest.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data = batch.column("data").to_pylist()
+            sizes = np.array([len(d) for d in data])
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                label = batch.column("label").to_numpy()[at]
+                points = _points(_unit([data[k] for k in at.tolist()], kind), DEEPEST, 0)[1]
+                for e in range(2, DEEPEST + 1):
+                    names = _names(points[:, : 8 * e], label, 0)
+                    yield pa.RecordBatch.from_arrays([pa.array([e] * len(at), pa.int32()), pa.array(names.view(np.int64))], names=["eights", "cell"])
+
+    n, longest = classes.agg(F.count(F.lit(1)), F.max(F.length("data"))).first()
+    if not n:
+        return 2, 3
+    some = classes.select("label", "data", "hi", "lo").orderBy(F.xxhash64("hi", "lo"), "hi", "lo").limit(sample).select("label", "data")
+    met = some.mapInArrow(count, "eights int, cell bigint").groupBy("eights", "cell").agg(F.count(F.lit(1)).alias("c")).groupBy("eights").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("pairs"))
+    pairs = {r["eights"]: r["pairs"] for r in met.collect()}
+    seen, dimensions = min(n, sample), longest // np.dtype(kind).itemsize
+    plans = []
+    for eights in range(2, DEEPEST + 1):
+        tables = tables_for(eights, threshold, recall, dimensions)
+        others = pairs[eights] / seen * n / seen * (1 + PROBES)
+        if others <= PARTNERS:
+            return eights, tables
+        plans.append((others * tables, eights, tables))
+    return min(plans)[1:]
+
+
 def _names(points: np.ndarray, label: np.ndarray, t: int) -> np.ndarray:
-    name = tk.mixed(label.astype(np.int64).view(np.uint64) + np.uint64(t + 1))
+    name = tk.mixed(tk.mixed(label.astype(np.int64).view(np.uint64)) + np.uint64(t + 1))
     with np.errstate(over="ignore"):
         for column in (2 * points).astype(np.int64).view(np.uint64).T:
             name = tk.mixed(name * np.uint64(0x9E3779B97F4A7C15) + column)
@@ -136,7 +200,7 @@ def _unit(data: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _dealt(kind: str):
+def _dealt(kind: str, eights: int, tables: int):
     """A row for each class and each cell that it lives in (visit is -1) or visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,13 +214,13 @@ def _dealt(kind: str):
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
             rows = part.take(pa.array(at))
-            own, visits = cells(_unit([data[k] for k in at.tolist()], kind), rows.column("label").to_numpy())
+            own, visits = cells(_unit([data[k] for k in at.tolist()], kind), rows.column("label").to_numpy(), eights, tables)
             names = np.concatenate([own[:, :, None], visits], axis=2)
             keys = [names[k].tobytes() for k in range(len(at))]
-            each = TABLES * (1 + PROBES)
+            each = tables * (1 + PROBES)
             take = pa.array(np.repeat(np.arange(len(at)), each))
-            table = np.tile(np.repeat(np.arange(TABLES), 1 + PROBES), len(at))
-            visit = np.tile(np.arange(-1, PROBES), len(at) * TABLES)
+            table = np.tile(np.repeat(np.arange(tables), 1 + PROBES), len(at))
+            visit = np.tile(np.arange(-1, PROBES), len(at) * tables)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names.ravel().view(np.int64)), pa.array(table, pa.int32()), pa.array(visit, pa.int32()), *(rows.column(c).take(take) for c in ("hi", "lo", "label", "copies", "data")), pa.array(keys, pa.binary()).take(take)],
                 names=["cell", "t", "visit", "hi", "lo", "label", "copies", "data", "keys"],
@@ -165,7 +229,7 @@ def _dealt(kind: str):
     return run
 
 
-def _compare(threshold: float, kind: str):
+def _compare(threshold: float, kind: str, tables: int):
     """Rows (hi, lo, links, hi2, lo2) from the rows of one cell, or of two blocks of it."""
 
     def judge(rows: dict[str, np.ndarray], across: bool) -> pa.RecordBatch:
@@ -192,7 +256,7 @@ def _compare(threshold: float, kind: str):
         # from here on, a is the smaller of the two by name
         swap = (rows["hi"][a] > rows["hi"][b]) | ((rows["hi"][a] == rows["hi"][b]) & (rows["lo"][a] > rows["lo"][b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        keys = np.frombuffer(b"".join(rows["keys"].tolist()), np.uint64).reshape(len(x), TABLES, 1 + PROBES)
+        keys = np.frombuffer(b"".join(rows["keys"].tolist()), np.uint64).reshape(len(x), tables, 1 + PROBES)
         own, visits = keys[:, :, 0], keys[:, :, 1:]
         met = np.zeros(len(a), bool)
         for t in range(t0):
@@ -229,21 +293,21 @@ def _compare(threshold: float, kind: str):
     return run
 
 
-def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
+def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", recall: float = 0.9999) -> DataFrame:
     """One row for each vector: vec_id, n_links, component_id (smallest id reachable by links) and kept (whether that is its own)."""
     kind = "<f4" if dict(vectors.dtypes)[vector_col] == "array<float>" else "<f8"
     chosen = vectors.select(F.col(id_col).cast("bigint").alias("vec_id"), F.col(label_col).cast("bigint").alias("label"), F.col(vector_col).cast("array<double>").alias("v"))
     named = tk.stored(chosen.mapInArrow(_named(kind), "vec_id bigint, label bigint, hi bigint, lo bigint, data binary"), "vectors")
     classes = named.where("hi is not null").groupBy("hi", "lo").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("data").alias("data"))
     classes = tk.stored(classes, "classes")
-    rows = classes.drop("rep").mapInArrow(_dealt(kind), "cell bigint, t int, visit int, hi bigint, lo bigint, label bigint, copies bigint, data binary, keys binary")
+    eights, tables = _fitted(classes, kind, threshold, recall)
+    rows = classes.drop("rep").mapInArrow(_dealt(kind, eights, tables), "cell bigint, t int, visit int, hi bigint, lo bigint, label bigint, copies bigint, data binary, keys binary")
     crowded = tk.stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "crowded")
-    few = crowded.count() <= MOST_BROADCAST
-    sized = rows.join(F.broadcast(crowded) if few else crowded, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    sized = rows.join(crowded, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = graph.in_blocks(sized, BLOCK, F.col("lo"))
     keys = ["cell", "left", "right"]
     ordered = dealt.repartition(*keys).sortWithinPartitions(*keys)
-    compared = tk.stored(ordered.mapInArrow(_compare(threshold, kind), "hi bigint, lo bigint, links bigint, hi2 bigint, lo2 bigint"), "compared")
+    compared = tk.stored(ordered.mapInArrow(_compare(threshold, kind, tables), "hi bigint, lo bigint, links bigint, hi2 bigint, lo2 bigint"), "compared")
     links = compared.groupBy("hi", "lo").agg(F.sum("links").alias("links"))
     roots = graph.components(compared.select(F.struct("hi", "lo").alias("a"), F.struct(F.col("hi2").alias("hi"), F.col("lo2").alias("lo")).alias("b"))).select("node.hi", "node.lo", "root")
     grouped = classes.select("hi", "lo", "rep", "copies").join(roots, ["hi", "lo"], "left").withColumn("root", F.coalesce("root", F.struct("hi", "lo")))
