@@ -3,20 +3,27 @@
 The corpus is indexed in segments: each slice of documents becomes one row that
 stores, for every distinct word, the sorted list of places where it stands.
 Segments are shards, so building needs no shuffle, no list can outgrow a slice,
-and a word that is everywhere is spread over all of them.
-
-A phrase is looked up from its rarest words: the shortest list, moved by the
-word's offset in the phrase, is intersected with the next shortest one, and so
-on while candidates are left.  Proximity search keeps the places where the
-rarest words of an item stand close together in any order.
-
-Defined cases: null or empty texts have no words and no hits; null item texts
-are no items; repeated documents and items are treated each on its own; items
-with the same window all count; an empty table gives an empty result.
+and a word that is everywhere is spread over all of them.  The index is written
+to the shared folder, and searches read it.
+
+A phrase is looked up from its rarest words: windows are kept by their rarest
+word, so a segment looks only at windows whose rarest word it has; the shortest
+list, moved by the word's offset in the phrase, is intersected with the next
+shortest one, and so on while candidates are left.  Proximity search keeps the
+places where the rarest words of an item stand close together in any order.
+
+Items are the stated query set: they go to the tasks in blocks of at most
+BLOCK_WORDS words, and every block searches the same stored index.
+
+Defined cases: null or empty texts have no words and no hits; items with null
+text or null id are no items; repeated documents and items are treated each on
+its own; items with the same window all count; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -24,11 +31,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from gridquarry.llm import textkit as tk
 
-INDEX = "doc_ids array<bigint>, doc_words array<int>, terms array<binary>, counts array<int>, positions binary"
-MATCHES = "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>"
+INDEX = "doc_ids array<bigint>, doc_words array<int>, terms array<binary>, counts array<int>, positions binary, segment string"
+MATCHES = "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, near array<bigint>"
 NEAR = "doc_id bigint, item_id bigint, start int, end int"
 #: Items are broadcast in blocks of at most so many words.
 BLOCK_WORDS = 1_000_000
@@ -47,13 +55,14 @@ def _segment(ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
             pa.array([terms], pa.list_(pa.binary())),
             pa.array([np.bincount(codes, minlength=len(terms)).astype(np.int32)], pa.list_(pa.int32())),
             pa.array([place[by_term].astype("<i4").tobytes()], pa.binary()),
+            pa.array([uuid.uuid4().hex], pa.string()),
         ],
-        names=["doc_ids", "doc_words", "terms", "counts", "positions"],
+        names=["doc_ids", "doc_words", "terms", "counts", "positions", "segment"],
     )
 
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each segment.  `positions` holds the lists of all terms one after the other, as little-endian int32; `counts` has their lengths.
+    """The stored index, one row for each segment, which `segment` names.  `positions` holds the lists of all terms one after the other, as little-endian int32; `counts` has their lengths.
 
     A place is the number of the word in its segment plus the number of documents before it, so that no phrase runs from one document into the next.
     """
@@ -63,7 +72,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for part in tk.slices(batch, "text"):
                 yield _segment(part.column("doc_id").cast(pa.int64()), part.column("text"))
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(segments, INDEX)
+    return tk.stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(segments, INDEX), "index")
 
 
 class Items:
@@ -82,7 +91,14 @@ class Items:
         by_length: dict[int, list[tuple[int, ...]]] = defaultdict(list)
         for w in owners:
             by_length[len(w)].append(w)
-        self.windows = [(n, np.array(ws, np.int32), [sorted(owners[w]) for w in ws]) for n, ws in sorted(by_length.items())]
+        common = np.bincount(found.codes, minlength=len(found.vocabulary)) if len(found.codes) else np.zeros(0, np.int64)
+        self.windows = []
+        for n, ws in sorted(by_length.items()):
+            words = np.array(ws, np.int32)
+            rarest = words[np.arange(len(words)), common[words].argmin(axis=1)]
+            order = np.argsort(rarest, kind="stable")
+            bounds = np.searchsorted(rarest[order], np.arange(len(common) + 1))
+            self.windows.append((n, words[order], [sorted(owners[ws[k]]) for k in order.tolist()], bounds))
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str]]]:
@@ -144,18 +160,26 @@ class Segment:
         return np.searchsorted(self.first, places, "right") - 1
 
 
-def _matches(seg: Segment, known: Items) -> pa.RecordBatch:
+def _hits(seg: Segment, known: Items) -> tuple[np.ndarray, dict[int, set[int]]]:
+    """Which places of the segment windows cover, and for each document the items that have such windows."""
     covered = np.zeros(seg.first[-1] + 1, np.int32)
     found: dict[int, set[int]] = defaultdict(set)
-    for n, windows, owners in known.windows:
-        for w in np.flatnonzero((seg.sizes[windows] > 0).all(axis=1)):
+    here = np.array(sorted(seg.lists), np.int64)
+    for n, windows, owners, bounds in known.windows:
+        counts = bounds[here + 1] - bounds[here]
+        looked = np.repeat(bounds[here] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        for w in looked[(seg.sizes[windows[looked]] > 0).all(axis=1)].tolist():
             at = seg.phrase(windows[w])
             if len(at):
                 np.add.at(covered, at, 1)
                 np.add.at(covered, at + n, -1)
                 for d in np.unique(seg.doc_of(at)).tolist():
                     found[d].update(owners[w])
-    hit = np.cumsum(covered) > 0
+    return np.cumsum(covered)[:-1] > 0, found
+
+
+def _matches(seg: Segment, known: Items) -> pa.RecordBatch:
+    hit, found = _hits(seg, known)
     edge = np.flatnonzero(np.diff(np.concatenate(([0], hit.view(np.int8), [0]))))
     starts, ends = edge[::2], edge[1::2]
     doc = seg.doc_of(starts)
@@ -173,31 +197,33 @@ def _matches(seg: Segment, known: Items) -> pa.RecordBatch:
     )
 
 
-def find_phrases(index: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """For each document: n_words, the stretches [start, end) of its words that windows of the items cover, and those items."""
+def find_phrases(index: DataFrame, items: DataFrame, window: int = 13, id_col: str = "item_id", text_col: str = "text", rarest: int = 4, slop: int = 25) -> DataFrame:
+    """For each document: n_words, the stretches [start, end) of its words that windows of the items cover, those items, and near: the items whose `rarest` rarest words stand within `slop` words (0: none are sought)."""
 
     def search(block: list[tuple[int, str]]):
+        wanted, _, _ = _wanted(index, block, rarest) if slop else ([], {}, 0)
+
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Items(block, window)
             for batch in batches:
                 for row in batch.to_pylist():
-                    yield _matches(Segment(row, known.terms), known)
+                    seg = Segment(row, known.terms)
+                    found = _matches(seg, known)
+                    near: list[set[int]] = [set() for _ in range(found.num_rows)]
+                    for d, item, _, _ in _near(seg, wanted, slop) if wanted else ():
+                        near[d].add(item)
+                    yield found.append_column("near", pa.array([sorted(x) for x in near], pa.list_(pa.int64())))
 
         return run
 
-    if _fits(items, text_col):
-        return index.mapInArrow(search(next(_blocks(items, id_col, text_col))), MATCHES)
     return _over_blocks(index, search, _blocks(items, id_col, text_col))
 
 
-def _fits(items: DataFrame, text_col: str) -> bool:
-    size = items.agg(F.coalesce(F.sum(F.length(text_col) / 2 + 1), F.lit(0.0)).alias("n")).first()["n"]
-    return size <= BLOCK_WORDS
-
-
 def _over_blocks(index: DataFrame, search, blocks: Iterator[list[tuple[int, str]]]) -> DataFrame:
-    """Many items: the numbered segments are searched block by block, and the stretches found for a document are merged."""
-    numbered = tk.stored(index.withColumn("segment", F.monotonically_increasing_id()), "index")
+    """Every segment is searched for every block of items; with several blocks the stretches found for a document are merged."""
+    parts = list(blocks)
+    if len(parts) == 1:
+        return index.mapInArrow(search(parts[0]), MATCHES)
 
     def pinned(block):
         inner = search(block)
@@ -213,8 +239,8 @@ def _over_blocks(index: DataFrame, search, blocks: Iterator[list[tuple[int, str]
         return run
 
     found = None
-    for block in blocks:
-        part = tk.stored(numbered.mapInArrow(pinned(block), MATCHES + ", place string"), "matches")
+    for block in parts:
+        part = tk.stored(index.mapInArrow(pinned(block), MATCHES + ", place string"), "matches")
         found = part if found is None else found.unionByName(part)
     spans = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("starts", "ends"))))
     merged = F.aggregate(
@@ -222,8 +248,8 @@ def _over_blocks(index: DataFrame, search, blocks: Iterator[list[tuple[int, str]
         F.array().cast("array<struct<starts:int,ends:int>>"),
         lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["ends"] >= x["starts"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["starts"].alias("starts"), F.greatest(F.element_at(done, -1)["ends"], x["ends"]).alias("ends"))))).otherwise(F.concat(done, F.array(x))),
     )
-    out = found.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return out.select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items")
+    out = found.groupBy("place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), merged.alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("near")))).alias("near"))
+    return out.select("doc_id", "n_words", F.col("spans.starts").alias("starts"), F.col("spans.ends").alias("ends"), "items", "near")
 
 
 def _frequencies(index: DataFrame, known: dict[bytes, int]) -> np.ndarray:
@@ -243,33 +269,49 @@ def _frequencies(index: DataFrame, known: dict[bytes, int]) -> np.ndarray:
     return out
 
 
+def _wanted(index: DataFrame, block: list[tuple[int, str]], rarest: int) -> tuple[list[tuple[int, list[int]]], dict[bytes, int], int]:
+    """The rarest words of each item of a block, by the number of documents of the whole index, then by spelling; and those words' numbers.
+
+    Words that no document has are passed over; an item with too few others has none.
+    """
+    known = Items(block, 1)
+    spelt, n_docs = list(known.terms), _frequencies(index, known.terms)
+    wanted = []
+    for item, own in known.words:
+        terms = set(own)
+        chosen = sorted((t for t in terms if n_docs[t]), key=lambda t: (n_docs[t], spelt[t]))[:rarest]
+        if chosen and len(chosen) == min(rarest, len(terms)):
+            wanted.append((item, chosen))
+    return wanted, {spelt[t]: t for _, chosen in wanted for t in chosen}, len(spelt)
+
+
+def _near(seg: Segment, wanted: list[tuple[int, list[int]]], slop: int) -> Iterator[tuple[int, int, int, int]]:
+    """(document, item, start, end) of every match by proximity in a segment; items are tried by their rarest word."""
+    by_word: dict[int, list[tuple[int, list[int]]]] = defaultdict(list)
+    for item, chosen in wanted:
+        by_word[chosen[0]].append((item, chosen))
+    for word in sorted(set(by_word) & set(seg.lists)):
+        for item, chosen in by_word[word]:
+            if (seg.sizes[chosen] > 0).all():
+                for low, high in seg.near(chosen, slop):
+                    d = int(seg.doc_of(np.array([low]))[0])
+                    yield d, item, low - int(seg.first[d]), high + 1 - int(seg.first[d])
+
+
 def find_near(index: DataFrame, items: DataFrame, rarest: int = 4, slop: int = 25, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Rows (doc_id, item_id, start, end): the `rarest` rarest words of the item stand within `slop` words of the document.
 
-    Rarest by the number of documents of the whole index, then by spelling, so that results do not depend on how it is cut into segments.
-    Words that no document has are passed over; an item with too few others has no hits.
+    Rarest in the whole index, so that results do not depend on how it is cut into segments.
     """
     out = None
     for block in _blocks(items, id_col, text_col):
-        known = Items(block, 1)
-        spelt, n_docs = list(known.terms), _frequencies(index, known.terms)
-        wanted = []
-        for item, own in known.words:
-            terms = set(own)
-            chosen = sorted((t for t in terms if n_docs[t]), key=lambda t: (n_docs[t], spelt[t]))[:rarest]
-            if chosen and len(chosen) == min(rarest, len(terms)):
-                wanted.append((item, chosen))
-        used = {spelt[t]: t for _, chosen in wanted for t in chosen}
-
-        def run(batches, wanted=wanted, used=used, size=len(spelt)):
+        wanted, used, size = _wanted(index, block, rarest)
+
+        def run(batches, wanted=wanted, used=used, size=size):
             for batch in batches:
                 for row in batch.to_pylist():
-                    seg, rows = Segment(row, used, size), []
-                    for item, chosen in wanted:
-                        if (seg.sizes[chosen] > 0).all():
-                            for low, high in seg.near(chosen, slop):
-                                d = int(seg.doc_of(np.array([low]))[0])
-                                rows.append((seg.ids[d], item, low - int(seg.first[d]), high + 1 - int(seg.first[d])))
+                    seg = Segment(row, used, size)
+                    rows = [(seg.ids[d], item, low, high) for d, item, low, high in _near(seg, wanted, slop)]
                     columns = list(zip(*rows, strict=True)) or [[]] * 4
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "start", "end"])
 
@@ -279,28 +321,51 @@ def find_near(index: DataFrame, items: DataFrame, rarest: int = 4, slop: int = 2
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, items and contaminated: at least one word in `one_in` stands in a window of an item."""
+    """doc_id, n_words, n_hit, items, near and contaminated: at least one word in `one_in` stands in a window of an item."""
     found = find_phrases(build_index(docs, id_col, text_col), items, window)
     hit = F.aggregate(F.zip_with("ends", "starts", lambda e, s: e - s), F.lit(0).cast("bigint"), lambda a, x: a + x)
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, that are not contaminated."""
-    if not _fits(items, item_text_col):
-        numbered = tk.stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-        bad = contamination(numbered.select(F.col("_row").alias("doc_id"), F.col(text_col).alias("text")), items.select(F.col(item_id_col).alias("item_id"), F.col(item_text_col).alias("text")), window, one_in)
-        return numbered.join(bad.where("contaminated").select(F.col("doc_id").alias("_row")), "_row", "left_anti").drop("_row")
-    block = next(_blocks(items, item_id_col, item_text_col))
+#: Carries which words of a row are hit from one block of items to the next.
+HIT = "_hit_words_of_the_row"
+
+
+def _marked(block: list[tuple[int, str]], window: int, text_col: str, first: bool):
+    """The rows with HIT: a bit for each word, set by this block or the ones before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items(block, window)
         for batch in batches:
             for part in tk.slices(batch, text_col):
                 row = _segment(pa.array(range(part.num_rows), pa.int64()), part.column(text_col)).to_pylist()[0]
-                found = _matches(Segment(row, known.terms), known)
-                hit = [sum(e) - sum(s) for s, e in zip(found.column("starts").to_pylist(), found.column("ends").to_pylist(), strict=True)]
-                keep = [not (h and one_in * h >= n) for h, n in zip(hit, found.column("n_words").to_pylist(), strict=True)]
-                yield part.filter(pa.array(keep, pa.bool_()))
+                seg = Segment(row, known.terms)
+                hit, _ = _hits(seg, known)
+                own = [np.packbits(hit[x:y]) for x, y in zip(seg.first[:-1].tolist(), (seg.first[1:] - 1).tolist(), strict=True)]
+                if first:
+                    yield part.append_column(HIT, pa.array([h.tobytes() for h in own], pa.binary()))
+                else:
+                    both = [(h | np.frombuffer(b, np.uint8)).tobytes() for h, b in zip(own, part.column(HIT).to_pylist(), strict=True)]
+                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(both, pa.binary())], names=part.schema.names)
+
+    return run
+
+
+def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, one_in: int = 20, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that are not contaminated.
+
+    The rows themselves are at hand here, so each slice's postings are built, searched and let
+    go without being stored; with items of more than one block, one pass follows another.
+    """
+    out = docs
+    for block in _blocks(items, item_id_col, item_text_col):
+        out = out.mapInArrow(_marked(block, window, text_col, out is docs), StructType([*docs.schema.fields, StructField(HIT, BinaryType())]))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = [np.unpackbits(np.frombuffer(h, np.uint8)).sum() if h else 0 for h in batch.column(HIT).to_pylist()]
+            n_words = np.diff(tk.bare_words(batch.column(text_col), tk.ALNUM).bounds)
+            keep = [not (h and one_in * h >= n) for h, n in zip(hit, n_words.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return out.mapInArrow(kept, docs.schema)

@@ -63,6 +63,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("items").cast("bigint").alias("n_items"),
         F.sha2(F.concat_ws(",", listed), 256).alias("items_sha256"),
         "contaminated",
+        F.size("near").cast("bigint").alias("n_near"),
     )
 
 

@@ -35,9 +35,13 @@ def brute(docs, items):
 def test_query_equals_brute_force(spark):
     docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
-    got = sorted((tuple(r) for r in op6_decontaminate(spark, SF).collect()), key=str)
+    rows = op6_decontaminate(spark, SF).collect()
+    got = sorted((tuple(r)[:6] for r in rows), key=str)
     assert got == brute(docs, items)
     assert sum(r[5] for r in got) > 0
+    near = {(d, i) for d, i, _, _ in near_brute(docs, items, 4, 25)}
+    assert {r.doc_id: r.n_near for r in rows} == {d: sum(x == d for x, _ in near) for d, _ in docs}
+    assert near
 
 
 def odd(spark):
