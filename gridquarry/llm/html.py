@@ -1,23 +1,34 @@
 """Main-text extraction by tree scoring.
 
-The page becomes a tree.  Boilerplate that its own markup names (navigation,
+The page becomes a tree.  What its own markup calls boilerplate (navigation,
 forms, scripts, adverts, comments and the like) is cut.  Every paragraph then
-passes points for its length and commas to its ancestors, halved at each step;
-a container's points are discounted by its link density.  The best container is
-kept together with those of its siblings that also look like text.
+passes points for its length and commas, less its links, to its ancestors: whole
+up to the article or main element it stands in, and ever fewer beyond; a
+container's points are discounted by its link density.  The best container is
+kept whole, together with those of its siblings that also look like text.
+
+Names of classes and ids count as words, not as parts of words.  Some words tell
+boilerplate wherever they stand in a name (sidebar, advert, comments, ...), some
+only alone (header, side, ...); elements so named that hold the page's article,
+main or first heading are no boilerplate, nor is a form around it.
 
 Text: character references are decoded, white space inside a block becomes one
 space, blocks are trimmed and joined by a line break, in page order.
 
+Reading is linear in the length of the page: no search for a missing end is made
+twice, and elements nested deeper than DEEPEST count as their neighbours.
+
 Defined cases: null or empty pages, and pages without text, give the empty
 string; pages are read whole; markup that is never closed ends with its parent;
-repeated pages get equal texts; other columns are ignored.
+a tag whose quote is never closed ends at the next >; repeated pages get equal
+texts; a null id stays null; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,15 +42,23 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 RAW = frozenset("script style textarea title noscript iframe template xmp noembed noframes".split())
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 #: Elements that are never main text.
-DROPPED = frozenset("script style noscript iframe template head title nav footer aside form button select option input textarea label menu dialog object embed svg canvas audio video map xmp noembed noframes".split())
+DROPPED = frozenset("script style noscript iframe template head title nav footer aside button select option input textarea menu dialog object embed svg canvas audio video map xmp noembed noframes".split())
 #: Roles that are never main text.
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar form".split())
-#: Words in class and id names of boilerplate.
-NAMED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|subscribe|newsletter|signup|login|sidebar|side|widget|related|recommend\w*|share|sharing|social|"
-    r"comments?|disqus|replies|reply|discussion|respond|nav|navbar|navigation|menu|breadcrumbs?|pagination|pager|footer|header|masthead|topbar|toolbar|skip|hidden|print-only|tags?|meta|byline-links)(?=$|[\s_-])",
-    re.I,
+#: Words of boilerplate anywhere in the name of a class or id.
+ANYWHERE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr popup modal subscribe subscription newsletter signup "
+    "sidebar sidebars related recommended recommendations share sharing social comment comments commentlist disqus nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar".split()
 )
+#: Words of boilerplate only as the whole name of a class or id.
+ALONE = frozenset("banner notice notices alert alerts overlay login side widget widgets reply replies respond responses skip hidden site-header global-header top-header skip-link site-notice sitenotice".split())
+#: Names that tell boilerplate where most of the text is links, or outside the article.
+PERHAPS = frozenset("header tags meta".split())
+#: Beginnings of names that only tell of a state.
+STATES = re.compile(r"(?:has|with|no|without|is|js)[-_]", re.I)
+#: Words in the names of containers of text.
+CONTENT = frozenset("article post entry story content body text main".split())
+WORD = re.compile("[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: What an opening tag ends by itself: an open element of the second set, sought up to one of the third.
 CLOSES = {
     "li": (frozenset({"li"}), frozenset({"ul", "ol", "menu"})),
@@ -53,87 +72,216 @@ CLOSES = {
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Where the search for an open paragraph stops.
 P_SCOPE = frozenset("article aside blockquote body button caption dd details dialog div dl dt fieldset figure footer form header html li main nav object ol section table td th ul".split())
-TAG = re.compile(r"<!--(?:>|->|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|</[^>]*>", re.S)
-ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'=<>`]+)))?")
+#: A tag without attributes; a letter has to follow < or </ for there to be a tag.
+PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)(\s*/?)>")
+OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:\s*=\s*([\"']|[^\s>\"'][^\s>]*)?)?")
+COMMENT_END = re.compile("--!?>")
 COMMAS = re.compile("[,،、，;；]")
 
 
+#: Elements nested deeper than this are not descended into; their text stays.
+DEEPEST = 512
+#: Elements that pass points on to their parents without keeping any.
+PASSING = frozenset("p pre li dd dt ul ol dl blockquote figcaption figure summary caption h1 h2 h3 h4 h5 h6".split())
+
+
 class Node:
-    __slots__ = ("children", "kind", "name", "parent", "score")
+    __slots__ = ("children", "cut", "depth", "holds", "length", "linked", "name", "parent", "score", "words")
 
-    def __init__(self, name: str, parent: Node | None, kind: str = ""):
-        self.name, self.parent, self.kind = name, parent, kind
+    def __init__(self, name: str, parent: Node | None):
+        self.name, self.parent = name, parent
+        self.depth = parent.depth + 1 if parent else 0
         self.children: list[Node | str] = []
+        self.cut = self.holds = ""
+        self.words: frozenset[str] = frozenset()
         self.score = 0.0
-
-
-def _cut(name: str, attributes: str, inside_text: bool) -> bool:
-    """Whether the element is boilerplate by its own markup."""
-    if name in DROPPED or (name == "header" and not inside_text):
-        return True
-    if not attributes or name in ("html", "body", "main", "article"):
-        return False
-    told = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if told.get("role", "").lower() in ROLES or "hidden" in told or told.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", told.get("style", ""), re.I):
-        return True
-    names = f"{told.get('class', '')} {told.get('id', '')}"
-    return name not in HEADINGS and bool(NAMED.search(names))
+        self.length = self.linked = 0
+
+
+class Reader:
+    """Finds the ends of tags and comments; what is found missing once is not sought again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing = page, set()
+
+    def find(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        found = self.page.find(what, at)
+        if found < 0:
+            self.missing.add(what)
+        return found
+
+    def attributes(self, at: int) -> tuple[dict[str, str], bool, int]:
+        """The attributes from a place inside a tag, whether it closes itself, and the place after it."""
+        told: dict[str, str] = {}
+        page, begin = self.page, at
+        while at < len(page):
+            m = ATTRIBUTE.match(page, at)
+            name, value, at = m[1].lower(), m[2] or "", m.end()
+            if value in ('"', "'"):
+                end = self.find(value, at)
+                if end < 0:
+                    break
+                value, at = page[at:end], end + 1
+            if name:
+                told.setdefault(name, value)
+            if at < len(page) and page[at] == ">":
+                return told, page[at - 1] == "/", at + 1
+            if not name and at == m.start():
+                at += 1
+        end = self.find(">", begin)
+        return told, False, end + 1 if end >= 0 else len(page)
+
+
+def _named(words: str) -> tuple[str, frozenset[str]]:
+    """What the names of class and id tell: cut, perhaps or nothing; and their words."""
+    told, parts = "", set()
+    for token in words.split():
+        if STATES.match(token):
+            continue
+        own = [w.lower() for w in WORD.findall(token)]
+        parts.update(own)
+        if token.lower() in ALONE or not ANYWHERE.isdisjoint(own):
+            return "cut", frozenset(parts)
+        if token.lower() in PERHAPS:
+            told = "perhaps"
+    return told, frozenset(parts)
+
+
+def _judged(node: Node, told: dict[str, str], inside: bool) -> None:
+    """Marks the element if it is boilerplate by its own markup."""
+    name = node.name
+    if told:
+        node.cut, node.words = _named(f"{told.get('class', '')} {told.get('id', '')}")
+        if name in ("html", "body", "main", "article") or name in HEADINGS:
+            node.cut = "cut" if name == "article" and not node.words.isdisjoint(("comment", "comments")) else ""
+        if told.get("role", "").lower() in ROLES or "hidden" in told or told.get("aria-hidden", "").lower() == "true" or HIDING.search(told.get("style", "")):
+            node.cut = "always" if name not in ("html", "body") else ""
+    if name in DROPPED:
+        node.cut = "always"
+    elif name == "form":
+        node.cut = "cut"
+    elif name == "header" and not inside and not node.cut:
+        up = node.parent
+        while up is not None and up.words.isdisjoint(CONTENT):
+            up = up.parent
+        node.cut = "" if up is not None else "cut"
+    elif node.cut == "perhaps" and "header" in node.words and inside:
+        node.cut = ""
+
+
+HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 def parse(page: str) -> Node:
-    """The tree without comments, scripts and boilerplate; text is decoded."""
-    root = Node("html", None)
-    here, at, skipping, depth, article = root, 0, "", 0, 0
-    for m in TAG.finditer(page):
-        if m.start() < at:
-            continue
-        if m.start() > at and not skipping:
-            here.children.append(html.unescape(page[at : m.start()]))
-        at = m.end()
-        name = (m[2] or "").lower()
-        if not name:
-            continue
-        closing = m[1] == "/"
-        if skipping:
-            if name == skipping:
-                depth += -1 if closing else name not in VOID
-                if depth == 0:
-                    skipping = ""
+    """The tree without comments and scripts; text is decoded, boilerplate is marked."""
+    root = here = Node("html", None)
+    nodes, reader = [root], Reader(page)
+    at, inside, flattened = 0, 0, Counter()
+    open_now: Counter[str] = Counter()
+
+    def closed(upto: Node) -> None:
+        nonlocal here, inside
+        while here is not upto:
+            open_now[here.name] -= 1
+            inside -= here.name in ("article", "main")
+            here = here.parent
+
+    while (lt := page.find("<", at)) >= 0:
+        tag = OPEN.match(page, lt)
+        if lt > at:
+            here.children.append(html.unescape(page[at:lt]))
+        if not tag:
+            if page.startswith("<!--", lt):
+                end = COMMENT_END.search(page, lt + 4) if not page.startswith((">", "->"), lt + 4) else None
+                at = end.end() if end else lt + page[lt : lt + 7].index(">") + 1 if page.startswith((">", "->"), lt + 4) else len(page)
+            elif page.startswith(("<!", "<?", "</"), lt):
+                end = reader.find(">", lt)
+                at = end + 1 if end >= 0 else len(page)
+            else:
+                here.children.append("<")
+                at = lt + 1
             continue
-        if closing:
-            node = here
-            while node is not None and node.name != name:
-                node = node.parent
-            if node is not None and node.parent is not None and not (name not in BLOCKS and _crosses(here, node)):
-                here = node.parent
-                article -= name in ("article", "main")
+        name = tag[2].lower()
+        if plain := PLAIN.match(page, lt):
+            told, alone, at = {}, plain[3].endswith("/"), plain.end()
+        else:
+            told, alone, at = reader.attributes(tag.end())
+        if tag[1]:
+            if flattened[name]:
+                flattened[name] -= 1
+            elif open_now[name]:
+                node = here
+                while node.name != name:
+                    node = node.parent
+                if node.parent is not None and not (name not in BLOCKS and _crosses(here, node)):
+                    closed(node.parent)
             continue
         if name in RAW:
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
+            end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
-        if name in BLOCKS:
-            here = _close(here, frozenset({"p"}), P_SCOPE)
+        if name in BLOCKS and open_now["p"]:
+            closed(_close(here, frozenset({"p"}), P_SCOPE))
         if name in CLOSES:
-            here = _close(here, *CLOSES[name])
+            closed(_close(here, *CLOSES[name]))
         if name in VOID:
             here.children.append(" " if name != "hr" else Node("hr", here))
             continue
-        if _cut(name, m[3], article > 0):
-            if not m[3].rstrip().endswith("/"):
-                skipping, depth = name, 1
+        if name in ("html", "body") and open_now[name]:
             continue
         node = Node(name, here)
+        _judged(node, told, inside > 0)
+        if here.depth >= DEEPEST and not node.cut:
+            flattened[name] += 1
+            if name in BLOCKS:
+                here.children.append(node)
+            continue
+        nodes.append(node)
         here.children.append(node)
+        if alone and name not in BLOCKS:
+            continue
+        if name in ("article", "main", "h1"):
+            _held(node.parent, name)
         here = node
-        article += name in ("article", "main")
-    if not skipping and at < len(page):
-        here.children.append(html.unescape(page[at:]))
+        open_now[name] += 1
+        inside += name in ("article", "main")
+    here.children.append(html.unescape(page[at:]))
+    _measure(nodes)
+    for node in nodes:
+        if node.cut == "cut" and _holds_text(node, root):
+            node.cut = ""
+        elif node.cut == "perhaps":
+            node.cut = "cut" if "header" in node.words or 2 * node.linked >= max(1, node.length) else ""
     return root
 
 
+def _holds_text(node: Node, root: Node) -> bool:
+    """Whether the element named like boilerplate holds the page's article, or its first heading and half its text."""
+    if node.holds == "h1":
+        return 2 * node.length >= root.length + node.length
+    return bool(node.holds) and node.words.isdisjoint(("comment", "comments"))
+
+
+def _held(node: Node | None, name: str) -> None:
+    while node is not None and (not node.holds or (node.holds == "h1" and name != "h1")):
+        node.holds = name
+        node = node.parent
+
+
+def _measure(nodes: list[Node]) -> None:
+    """Characters and linked characters under each node that stays; children come after their parents."""
+    for node in reversed(nodes):
+        own = sum(len(" ".join(c.split())) for c in node.children if isinstance(c, str))
+        node.length += own
+        node.linked = node.length if node.name == "a" else node.linked
+        if node.parent is not None and node.cut not in ("cut", "always"):
+            node.parent.length += node.length
+            node.parent.linked += node.linked
+
+
 def _crosses(here: Node, node: Node) -> bool:
     """Whether a block stands open inside the inline element that is to be closed."""
     while here is not node:
@@ -177,6 +325,10 @@ def _blocks(node: Node) -> list[tuple[Node, str, int]]:
                 run.append(child)
                 linked += len(" ".join(child.split())) if link else 0
                 continue
+            if child.cut:
+                if child.name in BLOCKS:
+                    flush(owner)
+                continue
             if child.name in BLOCKS:
                 flush(owner)
                 stack.append((own, k, owner, link))
@@ -194,65 +346,76 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    blocks = _blocks(root)
-    length: dict[int, list[float]] = {}
     scored: dict[int, Node] = {}
-    for owner, text, linked in blocks:
-        node: Node | None = owner
-        points = 0.0 if owner.name in HEADINGS or len(text) < 25 else 1 + min(len(text) / 100, 3) + len(COMMAS.findall(text))
-        share, first = 1.0, True
+    for owner, text, linked in _blocks(root):
+        points = 0.0 if owner.name in HEADINGS or len(text) < 25 else (1 + min(len(text) / 100, 3) + len(COMMAS.findall(text))) * (1 - min(1.0, linked / len(text)))
+        if not points:
+            continue
+        node, share, beyond = owner, 1.0, 0
+        whole = _within(owner)
         while node is not None:
-            own = length.setdefault(id(node), [0, 0])
-            own[0] += len(text)
-            own[1] += linked
-            if node.name not in ("p", "pre") or node.parent is None:
-                if points:
-                    scored[id(node)] = node
-                    node.score += points * share
-                    share = share / 2 if first else share / 3
-                    first = False
+            if node.name not in PASSING:
+                scored[id(node)] = node
+                node.score += points * share
+                if not whole or beyond:
+                    beyond += 1
+                    share = share / 2 if beyond == 1 else share / 3
+                elif node.name in ("article", "main"):
+                    beyond, share = 1, share / 2
             node = node.parent
-    density = lambda n: min(1.0, length[id(n)][1] / max(1, length[id(n)][0]))
     best, top = None, 0.0
     for node in scored.values():
-        weight = 1.5 if node.name in ("article", "main") else 1.0
-        value = node.score * weight * (1 - density(node))
-        if value > top:
+        value = _value(node)
+        if value > top or (value == top and best is not None and node.depth < best.depth):
             best, top = node, value
     if best is None:
-        kept = [n for n in _articles(root)] or [root]
-        return "\n".join(text for n in kept for _, text, linked in _blocks(n) if linked < 0.5 * len(text))
-    outer: Node | None = best
-    while outer is not None and outer.name not in ("article", "main"):
-        outer = outer.parent
-    best = outer if outer is not None and density(outer) < 0.5 else best
-    chosen = [best]
-    if best.parent is not None and best.name not in ("article", "main"):
-        chosen = [n for n in best.parent.children if isinstance(n, Node) and (n is best or _joins(n, best, top, density if id(n) in length else None))]
-    return "\n".join(text for n in chosen for _, text, linked in _blocks(n) if not (linked >= 0.8 * len(text) and len(text) < 80 and n is not best))
-
-
-def _articles(node: Node) -> list[Node]:
-    out, stack = [], [node]
+        return "\n".join(text for _, text, linked in _blocks(root) if linked < 0.5 * len(text))
+    chosen = [best] if best.parent is None else [n for n in best.parent.children if isinstance(n, Node) and (n is best or not n.cut and _joins(n, top))]
+    semantic = best.name in ("article", "main") or _within(best)
+    if not semantic:
+        for n in chosen:
+            _drop_menus(n)
+    return "\n".join(text for n in chosen for _, text, _ in _blocks(n))
+
+
+def _within(node: Node | None) -> bool:
+    while node is not None:
+        if node.name in ("article", "main"):
+            return True
+        node = node.parent
+    return False
+
+
+def _density(node: Node) -> float:
+    return min(1.0, node.linked / max(1, node.length))
+
+
+def _value(node: Node) -> float:
+    weight = 1.25 if node.name in ("article", "main") or not node.words.isdisjoint(CONTENT) else 1.0
+    return node.score * weight * (1 - _density(node))
+
+
+def _drop_menus(node: Node) -> None:
+    """Cuts lists below the node that are nothing but three or more links."""
+    stack = [node]
     while stack:
         own = stack.pop()
-        if own.name in ("article", "main"):
-            out.append(own)
-        else:
-            stack += [c for c in reversed(own.children) if isinstance(c, Node)]
-    return out
+        for child in own.children:
+            if isinstance(child, Node) and not child.cut:
+                if child.name in ("ul", "ol", "dl", "table") and _density(child) >= 0.9 and sum(isinstance(c, Node) for c in child.children) >= 3:
+                    child.cut = "cut"
+                stack.append(child)
 
 
-def _joins(node: Node, best: Node, top: float, density) -> bool:
-    """Whether a sibling of the best container is kept: by its own points, or as a paragraph of plain text."""
-    if density is None:
-        return False
-    if node.score * (1 - density(node)) >= max(2.0, 0.2 * top):
+def _joins(node: Node, top: float) -> bool:
+    """Whether a sibling of the best container is kept: by its own points, or as a heading or paragraph of plain text."""
+    if _value(node) >= max(2.0, 0.2 * top):
         return True
     if node.name in HEADINGS:
-        return density(node) < 0.3
-    text = sum(len(t) for _, t, _ in _blocks(node))
-    return node.name in ("p", "pre", "blockquote", "ul", "ol", "table") and density(node) < 0.25 and text > 25
+        return _density(node) < 0.3
+    if node.name == "header":
+        return _density(node) < 0.3
+    return node.name in ("p", "pre", "blockquote", "ul", "ol", "dl", "table", "figure", "hgroup") and _density(node) < 0.25 and node.length > 25
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:

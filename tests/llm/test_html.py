@@ -1,6 +1,9 @@
+import random
 import re
+import time
 from html import unescape
 
+import pytest
 from gridquarry.llm.html import extract, main_text
 from gridquarry.llm.queries import op5_html
 
@@ -53,3 +56,69 @@ def test_odd_pages(spark):
     assert got[6] == "x"
     assert got[7] == "a < b & c > d"
     assert extract(frame.limit(0)).count() == 0
+
+
+B = LONG.strip()
+LAYOUTS = {
+    "unquoted apostrophe": (f"<p class=x'>It is one {LONG}</p><p>don't {LONG}</p>", f"It is one {B}\ndon't {B}"),
+    "a section called discussion": (f"<article><h1>T</h1><p>{LONG}</p><section class='discussion'><h2>Discussion</h2><p>{LONG}</p></section></article>", f"T\n{B}\nDiscussion\n{B}"),
+    "entry header": (f"<article><div class='entry-header'><h1>T</h1></div><p>{LONG}</p></article>", f"T\n{B}"),
+    "side by side": (f"<article><p>{LONG}</p><div class='side-by-side'><p>{LONG}</p></div></article>", f"{B}\n{B}"),
+    "label": (f"<article><p>{LONG}</p><label>Name of it</label></article>", f"{B}\nName of it"),
+    "two articles in main": (f"<main><article><p>{LONG}</p></article><article><p>{LONG}</p></article></main>", f"{B}\n{B}"),
+    "two articles": (f"<body><article><p>{LONG}</p></article><article><p>{LONG}</p></article></body>", f"{B}\n{B}"),
+    "lines of one link": (f"<body><div><p>{LONG}</p><p>{LONG}</p><p><a href=x>A link</a></p></div><div class=content><p>{LONG}</p><p><a href=x>A link</a></p></div></body>", f"{B}\n{B}\nA link\n{B}\nA link"),
+    "form around the page": (f"<form id=aspnet><div id=page><h1>T</h1><p>{LONG}</p></div></form>", f"T\n{B}"),
+    "flat": (f"<body><ul><li><a href=a>Home</a><li><a href=b>News</a><li><a href=c>Us</a></ul><h1>T</h1><p>{LONG}</p><p>Short.</p><p>{LONG}</p></body>", f"T\n{B}\nShort.\n{B}"),
+    "named divisions": (
+        f"<div id=wrap><div id=header>Site</div><div id=nav><a href=x>a</a></div><div id=content><h1>T</h1>{LONG}<br><br>{LONG}</div><div id=sidebar><p>{LONG}</p></div><div class=comments>{f'<p>{LONG}</p>' * 3}</div><div id=footer>F</div></div>",
+        f"T\n{B} {B}",
+    ),
+    "layout by table": (f"<table><tr><td><a href=x>m1</a><br><a href=y>m2</a></td><td><h1>T</h1><p>{LONG}</p><p>{LONG}</p></td></tr></table>", f"T\n{B}\n{B}"),
+    "comments as articles": (f"<article><h1>T</h1><p>{LONG}</p><div id='comments'><h3>2 comments</h3>{f'<article class=comment><p>{LONG}</p></article>' * 2}</div></article>", f"T\n{B}"),
+    "main without article": (f"<main><h1>T</h1><div class=a><p>{LONG}</p><p>{LONG}</p></div><div class=b><p>short one</p></div><aside>{LONG}</aside></main>", f"T\n{B}\n{B}\nshort one"),
+    "states in names": (f"<body class='menu-open'><div class='content has-sidebar'><p>{LONG}</p></div></body>", B),
+    "header of a post": (f"<div class='post'><header><h1>T</h1></header><p>{LONG}</p><p>{LONG}</p></div>", f"T\n{B}\n{B}"),
+}
+
+
+@pytest.mark.parametrize("name", LAYOUTS)
+def test_layouts(name):
+    page, want = LAYOUTS[name]
+    assert main_text(page) == want
+
+
+def test_generated_layouts():
+    """Pages put together at random: each paragraph carries a word that says whether it is main text."""
+    boilerplate = ["<nav>{}</nav>", "<aside>{}</aside>", "<div class='ad'>{}</div>", "<div id='sidebar'>{}</div>", "<section class='user-comments'>{}</section>", "<div class='cookie-notice'>{}</div>", "<form>{}</form>", "<footer>{}</footer>", "<div class='newsletter box'>{}</div>", "<div role='alert'>{}</div>", "<div hidden>{}</div>"]
+    around = ["<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>", "<div>{}</div>", "<section id='content'><div>{}</div></section>", "<main><article>{}</article></main>", "<table><tr><td>{}</td></tr></table>"]
+    blocks = ["<p>{}</p>", "<p>{}", "<ul><li>{}</li></ul>", "<blockquote>{}</blockquote>", "<h2>{}</h2>", "<div>{}</div>", "<p>a <b>{}</p>", "<figure><figcaption>{}</figcaption></figure>"]
+    for seed in range(150):
+        rng = random.Random(seed)
+        told = []
+        body = []
+        for k in range(rng.randrange(3, 12)):
+            told.append(f"main{k} " + LONG * rng.randrange(1, 3))
+            body.append((blocks[0] if k < 3 else rng.choice(blocks)).format(told[-1]))
+            if rng.random() < 0.2:
+                body.append(rng.choice(boilerplate[:7]).format(f"<p>junk {LONG}</p>"))
+        parts = [rng.choice(boilerplate).format(f"<p>junk {LONG}</p>") for _ in range(rng.randrange(0, 6))] + [rng.choice(around).format("".join(body))]
+        rng.shuffle(parts)
+        page = "<html><body>" + "".join(parts) + "</body></html>"
+        got = main_text(page)
+        assert "junk" not in got, (seed, page)
+        assert [w for w in got.split() if w.startswith("main")] == [f"main{k}" for k in range(len(told))], (seed, page)
+
+
+@pytest.mark.parametrize("bad", ['<p class="x', "<a href='", "<!-", "<p a=", "</x", "<b>", "<i><p>", "</i>", "<div>", "<div><p>", "<", "&#"])
+def test_long_malformed_pages_take_time_in_proportion(bad):
+    page = (bad + " ") * (1_000_000 // (len(bad) + 1)) + f"<p>{LONG}</p>"
+    begin = time.process_time()
+    main_text(page)
+    assert time.process_time() - begin < 30
+
+
+def test_ten_megabytes_of_unclosed_quotes():
+    begin = time.process_time()
+    main_text('<p class="x> word ' * 600_000)
+    assert time.process_time() - begin < 30
