@@ -1,108 +1,106 @@
 """Connected components of sparse masks, and what is measured on them.
 
-Pixels are labelled inside blocks of BLOCK x BLOCK by union-find, then blocks are
-joined along their borders by passing minimal labels over the few components
-that touch one.  So no task ever holds more than a block, however large a slide.
+Pixels are labelled inside blocks of BLOCK x BLOCK with numpy, then blocks are
+joined along their borders through the few components that touch one.  So no
+task ever holds more than a block, however large a slide.  A mask belongs to a
+slide, or to a slide and more (an annotation, say): `keys` names the columns.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gridquarry.operators import links
+from gridquarry.shared import stored
+
 BLOCK = 256
 _EIGHT = ((1, 0), (0, 1), (1, 1), (1, -1))
+KEYS = ("slide_id",)
+
+
+def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0..n-1 with links between a[i] and b[i]: the smallest node reachable."""
+    label = np.arange(n)
+    while len(a):
+        low = np.minimum(label[a], label[b])
+        after = label.copy()
+        np.minimum.at(after, label[a], low)
+        np.minimum.at(after, label[b], low)
+        while (jumped := after[after] != after).any():
+            after = np.where(jumped, after[after], after)
+        if (after == label).all():
+            break
+        label = after
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    return label
 
 
-def _block_labels(width: int):
+def _block_labels(width: int, steps: tuple[tuple[int, int], ...]):
     def label(block: pd.DataFrame) -> pd.DataFrame:
-        places = {p: p for p in zip(block["my"].tolist(), block["mx"].tolist(), strict=True)}
-
-        def root(p):
-            while places[p] != p:
-                places[p] = places[places[p]]
-                p = places[p]
-            return p
-
-        for y, x in list(places):
-            for dx, dy in _EIGHT:
-                other = (y + dy, x + dx)
-                if other in places:
-                    a, b = root((y, x)), root(other)
-                    places[max(a, b)] = min(a, b)
-        roots = [root(p) for p in zip(block["my"].tolist(), block["mx"].tolist(), strict=True)]
-        return block.assign(local=[y * width + x for y, x in roots])[["slide_id", "mx", "my", "local"]]
+        place = block["my"].to_numpy() * width + block["mx"].to_numpy()
+        order = np.argsort(place)
+        place, mx = place[order], block["mx"].to_numpy()[order]
+        a, b = [], []
+        for dx, dy in steps:
+            other = place + dy * width + dx
+            at = np.minimum(np.searchsorted(place, other), len(place) - 1)
+            met = np.flatnonzero((place[at] == other) & (mx + dx >= 0) & (mx + dx < width))
+            a.append(met)
+            b.append(at[met])
+        root = least_reachable(len(place), np.concatenate(a), np.concatenate(b))
+        return block.iloc[order].assign(local=place[root])
 
     return label
 
 
-def components(mask: DataFrame, width: int, block: int | None = None) -> DataFrame:
-    """mask: slide_id, mx, my.  Adds component: the smallest my * width + mx among the 8-connected pixels.  Blocks are of BLOCK x BLOCK if not stated."""
+def components(mask: DataFrame, width: int, block: int | None = None, keys: tuple[str, ...] = KEYS, connectivity: int = 8) -> DataFrame:
+    """mask: keys..., mx, my.  Adds component: the smallest my * width + mx among the pixels that hang together, by 8 or by 4 neighbours.  Blocks are of BLOCK x BLOCK if not stated."""
     block = block or BLOCK
-    blocks = mask.select("slide_id", "mx", "my").distinct().withColumn("bx", F.floor(F.col("mx") / block)).withColumn("by", F.floor(F.col("my") / block))
-    local = blocks.groupBy("slide_id", "bx", "by").applyInPandas(_block_labels(width), "slide_id bigint, mx bigint, my bigint, local bigint")
+    steps = _EIGHT if connectivity == 8 else _EIGHT[:2]
+    own = mask.select(*keys, "mx", "my").distinct()
+    blocks = own.withColumn("_bx", F.floor(F.col("mx") / block)).withColumn("_by", F.floor(F.col("my") / block))
+    kinds = dict(own.dtypes)
+    found = blocks.groupBy(*keys, "_bx", "_by").applyInPandas(lambda b: _block_labels(width, steps)(b)[[*keys, "mx", "my", "local"]], ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "mx", "my")) + ", local bigint")
+    local = stored(found, "local")
     on_edge = (F.col("mx") % block).isin(0, block - 1) | (F.col("my") % block).isin(0, block - 1)
     edge = local.where(on_edge)
-    steps = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in _EIGHT]))
-    moved = edge.withColumn("_d", steps).select("slide_id", (F.col("mx") + F.col("_d.dx")).alias("mx"), (F.col("my") + F.col("_d.dy")).alias("my"), F.col("local").alias("other"))
-    links = edge.join(moved, ["slide_id", "mx", "my"]).where("local <> other").select("slide_id", F.col("local").alias("a"), F.col("other").alias("b")).distinct()
-    roots = _joined(links)
-    if roots is None:
-        return local.withColumnRenamed("local", "component")
-    return local.join(roots, ["slide_id", "local"], "left").select("slide_id", "mx", "my", F.coalesce("root", "local").alias("component"))
-
-
-def _joined(links: DataFrame, most_rounds: int = 50) -> DataFrame | None:
-    """(slide_id, local, root) over components that touch another block; labels are checkpointed each round."""
-    both = links.union(links.select("slide_id", F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    spark = links.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty() and spark.conf.get("spark.checkpoint.dir", None):
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    if both.limit(1).count() == 0:
-        return None
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridquarry-"))
-    both = both.checkpoint()
-    labels = both.groupBy("slide_id", "a").agg(F.min("b").alias("m")).select("slide_id", F.col("a").alias("local"), F.least("a", "m").alias("root")).checkpoint()
-    for _ in range(most_rounds):
-        near = both.join(labels.withColumnRenamed("local", "b"), ["slide_id", "b"]).groupBy("slide_id", "a").agg(F.min("root").alias("m")).withColumnRenamed("a", "local")
-        lower = labels.join(near, ["slide_id", "local"]).select("slide_id", "local", F.col("root").alias("old"), F.least("root", "m").alias("low"))
-        jump = labels.select("slide_id", F.col("local").alias("low"), F.col("root").alias("next"))
-        after = lower.join(jump, ["slide_id", "low"], "left").select("slide_id", "local", "old", F.least("low", F.coalesce("next", "low")).alias("root")).checkpoint()
-        labels = after.drop("old")
-        if after.where("old <> root").limit(1).count() == 0:
-            return labels
-    raise RuntimeError("component labels did not settle")
-
-
-def areas(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("slide_id", "component").agg(F.count(F.lit(1)).alias("area"), F.min("mx").alias("x0"), F.min("my").alias("y0"), F.max("mx").alias("x1"), F.max("my").alias("y1"))
+    moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
+    moved = edge.withColumn("_d", moves).select(*keys, (F.col("mx") + F.col("_d.dx")).alias("mx"), (F.col("my") + F.col("_d.dy")).alias("my"), F.col("local").alias("other"))
+    node = lambda c: F.struct(*keys, F.col(c).alias("local"))
+    met = edge.join(moved, [*keys, "mx", "my"]).where("local <> other").select(node("local").alias("a"), node("other").alias("b"))
+    roots = links.components(met).select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.local").alias("local"), F.col("root.local").alias("root"))
+    return local.join(roots, [*keys, "local"], "left").select(*keys, "mx", "my", F.coalesce("root", "local").alias("component"))
+
+
+def areas(labelled: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    return labelled.groupBy(*keys, "component").agg(F.count(F.lit(1)).alias("area"), F.min("mx").alias("x0"), F.min("my").alias("y0"), F.max("mx").alias("x1"), F.max("my").alias("y1"))
 
 
 def without_small(labelled: DataFrame, least: int) -> DataFrame:
     return labelled.join(areas(labelled).where(F.col("area") >= least).select("slide_id", "component"), ["slide_id", "component"], "left_semi")
 
 
-def complement(mask: DataFrame, slides: DataFrame, width: int, height: int) -> DataFrame:
+def complement(mask: DataFrame, slides: DataFrame, width: int, height: int, keys: tuple[str, ...] = KEYS) -> DataFrame:
     axis = lambda n, c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint"))).alias(c)
-    dense = slides.select("slide_id", axis(width, "mx")).select("slide_id", "mx", axis(height, "my"))
-    return dense.join(mask.select("slide_id", "mx", "my"), ["slide_id", "mx", "my"], "left_anti")
+    dense = slides.select(*keys, axis(width, "mx")).select(*keys, "mx", axis(height, "my"))
+    return dense.join(mask.select(*keys, "mx", "my"), [*keys, "mx", "my"], "left_anti")
 
 
-def holes(mask: DataFrame, slides: DataFrame, width: int, height: int) -> DataFrame:
-    """Background components that do not touch the raster's border, with their pixels."""
-    back = components(complement(mask, slides, width, height), width)
-    inner = areas(back).where((F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") < width - 1) & (F.col("y1") < height - 1))
-    return back.join(inner.select("slide_id", "component", "area"), ["slide_id", "component"])
+def holes(mask: DataFrame, slides: DataFrame, width: int, height: int, keys: tuple[str, ...] = KEYS, connectivity: int = 8, block: int | None = None) -> DataFrame:
+    """Background components that do not touch the raster's border, with their pixels.  slides: the keys of all rasters."""
+    back = components(complement(mask, slides, width, height, keys), width, block, keys, connectivity)
+    inner = areas(back, keys).where((F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") < width - 1) & (F.col("y1") < height - 1))
+    return back.join(inner.select(*keys, "component", "area"), [*keys, "component"])
 
 
-def filled(mask: DataFrame, slides: DataFrame, width: int, height: int, most: int) -> DataFrame:
+def filled(mask: DataFrame, slides: DataFrame, width: int, height: int, most: int, block: int | None = None) -> DataFrame:
     """The mask with holes of at most `most` pixels filled."""
-    own = holes(mask, slides, width, height).where(F.col("area") <= most)
+    own = holes(mask, slides, width, height, block=block).where(F.col("area") <= most)
     return mask.select("slide_id", "mx", "my").union(own.select("slide_id", "mx", "my")).distinct()
 
 
@@ -113,15 +111,15 @@ def hole_parents(hole_px: DataFrame, labelled: DataFrame) -> DataFrame:
     return left.join(labelled, ["slide_id", "mx", "my"]).select("slide_id", "hole", "area", F.col("component").alias("parent"))
 
 
-def traced_areas(labelled: DataFrame) -> DataFrame:
+def traced_areas(labelled: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Area inside the outer contour of each component, through the pixels' centres, less the contours of its holes.
 
     A square of four neighbouring centres lies inside by a whole if all four are of the component, by half if three are.
     """
     ends = lambda c: F.explode(F.array(F.col(c) - 1, F.col(c))).alias(c)
-    squares = labelled.select("slide_id", "component", ends("mx"), "my").select("slide_id", "component", "mx", ends("my"))
-    inside = squares.groupBy("slide_id", "component", "mx", "my").agg(F.count(F.lit(1)).alias("n"))
-    return inside.groupBy("slide_id", "component").agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("area"))
+    squares = labelled.select(*keys, "component", ends("mx"), "my").select(*keys, "component", "mx", ends("my"))
+    inside = squares.groupBy(*keys, "component", "mx", "my").agg(F.count(F.lit(1)).alias("n"))
+    return inside.groupBy(*keys, "component").agg(F.sum(F.when(F.col("n") == 4, 1.0).when(F.col("n") == 3, 0.5).otherwise(0.0)).alias("area"))
 
 
 def polygon_area(points: Column) -> Column:

@@ -95,10 +95,18 @@ def progress(rows: DataFrame) -> DataFrame:
     )
 
 
-def input_order(results: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Results with the place of their slide in the manifest, first appearance first."""
+def input_order(results: DataFrame, manifest: DataFrame, order: tuple[str, ...] = ("annotation",), bucket: int = 1000) -> DataFrame:
+    """Results with the place of their slide in the manifest, first appearance first, and out_index, their own place: 0..n-1, rows of a slide by `order`.
+
+    Rows are numbered inside buckets of manifest rows; a window over the few bucket sizes gives each bucket's offset.
+    """
     place = manifest.groupBy("sample_id").agg(F.min("row_id").alias("input_index"))
-    return results.join(place, "sample_id").withColumn("out_index", F.row_number().over(W.partitionBy(F.floor(F.col("input_index") / 1000)).orderBy("input_index", "annotation")) - 1)
+    placed = results.join(place, "sample_id").withColumn("_b", F.floor(F.col("input_index") / bucket))
+    sizes = placed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_b").orderBy("input_index", *(F.col(c).asc_nulls_first() for c in order))) - 1
+    return placed.withColumn("_i", inside).join(offsets, "_b").withColumn("out_index", (F.col("_before") + F.col("_i")).cast("bigint")).drop("_b", "_i", "_before")
 
 
 def tile_rollup(rows: DataFrame) -> DataFrame:
@@ -114,3 +122,40 @@ def cache_skip(jobs: DataFrame, cache: DataFrame) -> DataFrame:
 
 def benchmark_summary(rows: DataFrame, by: str) -> DataFrame:
     return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.avg("tiles_per_second").alias("mean"), F.stddev_pop("tiles_per_second").alias("spread"))
+
+
+def store_summary(rows: DataFrame) -> DataFrame:
+    """Timings of tile stores by number of workers: rows have num_workers, tiles, read_s, encode_s, write_s, total_s, tiles_per_second."""
+    share = lambda c: F.round(F.avg(F.when(F.col("total_s") > 0, F.col(f"{c}_s") / F.col("total_s") * 100).otherwise(F.lit(0.0))), 2).alias(f"mean_{c}_pct")
+    phases = ("read", "encode", "write")
+    return rows.groupBy("num_workers").agg(
+        F.sum("tiles").cast("bigint").alias("tiles"),
+        *(F.round(F.avg(f"{c}_s"), 6).alias(f"mean_{c}_s") for c in (*phases, "total")),
+        *(share(c) for c in phases),
+        F.round(F.avg("tiles_per_second"), 2).alias("mean_tiles_per_second"),
+        F.round(F.stddev_pop("tiles_per_second"), 2).alias("std_tiles_per_second"),
+    )
+
+
+def openable(paths: DataFrame, candidates: tuple[str, ...] = ("pil",), path_col: str = "image_path", spacing_col: str | None = None) -> DataFrame:
+    """(path_col, candidate, ok, reason): which back ends open each file, tried once for every distinct path on the executors."""
+    import pandas as pd
+
+    kinds = dict(paths.dtypes)
+    own = paths.select(F.col(path_col), (F.col(spacing_col) if spacing_col else F.lit(1.0)).cast("double").alias("_um")).distinct()
+
+    def trial(frames):
+        from gridquarry.sources.rasters import open_raster
+
+        for frame in frames:
+            out = []
+            for path, um in zip(frame[path_col], frame["_um"], strict=True):
+                for name in candidates:
+                    try:
+                        open_raster(path, name, um)
+                        out.append((path, name, True, None))
+                    except (RuntimeError, ValueError) as error:
+                        out.append((path, name, False, str(error)))
+            yield pd.DataFrame(out, columns=[path_col, "candidate", "ok", "reason"])
+
+    return own.mapInPandas(trial, f"`{path_col}` {kinds[path_col]}, candidate string, ok boolean, reason string")

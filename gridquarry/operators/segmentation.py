@@ -1,9 +1,16 @@
-"""Tissue masks from colour: fixed ranges, thresholds, Otsu; median, closing, resampling."""
+"""Tissue masks from colour: fixed ranges, thresholds, Otsu; filters over neighbourhoods, resampling.
+
+Filters work on square blocks of BLOCK pixels with a margin of the neighbours
+they need, as arrays in tasks, so a pixel travels once and to the few blocks
+beside it at most, whatever the size of the neighbourhood or of the raster.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,16 +34,91 @@ def hsv_range(pixels: DataFrame, low: tuple[int, int, int] = (90, 8, 103), high:
     return pixels.withColumn("tissue", inside)
 
 
-def median(values: DataFrame, column: str, radius: int = 1, key: str = "slide_id") -> DataFrame:
+#: Side of the blocks that neighbourhood filters work on.
+BLOCK = 128
+
+
+def over_blocks(values: DataFrame, column: str, margin: int, fn: Callable[[np.ndarray], np.ndarray], kind: str, edge: str | float = "edge", key: str = "slide_id", block: int | None = None, out: str | None = None) -> DataFrame:
+    """(key, x, y, out): fn of each block of a dense raster with `margin` pixels around it, which returns the block without them.
+
+    edge: "edge" repeats the raster's outer pixels, "reflect" mirrors at them, a number stands outside.
+    """
+    block, out = block or BLOCK, out or column
+    size = values.groupBy(key).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
+    near = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - margin) / block), F.lit(0)), F.floor((F.col(c) + margin) / block)))
+    spread = values.select(key, "x", "y", F.col(column).alias("_v")).withColumn("_bx", near("x")).withColumn("_by", near("y")).join(size, key)
+    spread = spread.where((F.col("_bx") * block <= F.col("_w")) & (F.col("_by") * block <= F.col("_h")))
+
+    def one(frame: pd.DataFrame) -> pd.DataFrame:
+        low_x, low_y = int(frame["_bx"].iloc[0]) * block, int(frame["_by"].iloc[0]) * block
+        width, height = min(block, int(frame["_w"].iloc[0]) + 1 - low_x), min(block, int(frame["_h"].iloc[0]) + 1 - low_y)
+        x, y = frame["x"].to_numpy() - low_x, frame["y"].to_numpy() - low_y
+        x0, y0, x1, y1 = x.min(), y.min(), x.max() + 1, y.max() + 1
+        inside = np.zeros((y1 - y0, x1 - x0), frame["_v"].to_numpy().dtype)
+        inside[y - y0, x - x0] = frame["_v"].to_numpy()
+        pads = ((margin + y0, height + margin - y1), (margin + x0, width + margin - x1))
+        whole = np.pad(inside, pads, mode=edge) if isinstance(edge, str) else np.pad(inside, pads, constant_values=edge)
+        done = fn(whole)
+        at_y, at_x = np.divmod(np.arange(width * height), width)
+        return pd.DataFrame({key: frame[key].iloc[0], "x": at_x + low_x, "y": at_y + low_y, out: done.ravel()})
+
+    return spread.groupBy(key, "_bx", "_by").applyInPandas(one, f"`{key}` {dict(values.dtypes)[key]}, x bigint, y bigint, `{out}` {kind}")
+
+
+def windows_of(whole: np.ndarray, size: int) -> np.ndarray:
+    """All size x size neighbourhoods as the last axis."""
+    seen = np.lib.stride_tricks.sliding_window_view(whole, (size, size))
+    return seen.reshape(*seen.shape[:2], size * size)
+
+
+def median(values: DataFrame, column: str, radius: int = 1, key: str = "slide_id", block: int | None = None) -> DataFrame:
     """(key, x, y, median): middle of the square neighbourhood, the edge repeated outwards."""
-    edge = values.groupBy(key).agg(F.max("x").alias("_mx"), F.max("y").alias("_my"))
-    steps = F.array(*[F.lit(k) for k in range(-radius, radius + 1)])
-    spread = values.select(key, "x", "y").join(edge, key).withColumn("_dx", F.explode(steps)).withColumn("_dy", F.explode(steps))
-    clamp = lambda c, d, m: F.least(F.greatest(F.col(c) + F.col(d), F.lit(0)), F.col(m))
-    near = spread.select(key, "x", "y", clamp("x", "_dx", "_mx").alias("_nx"), clamp("y", "_dy", "_my").alias("_ny"))
-    source = values.select(key, F.col("x").alias("_nx"), F.col("y").alias("_ny"), F.col(column).alias("_v"))
-    middle = (2 * radius + 1) ** 2 // 2
-    return near.join(source, [key, "_nx", "_ny"]).groupBy(key, "x", "y").agg(F.sort_array(F.collect_list("_v"))[middle].alias("median"))
+    size = 2 * radius + 1
+    kind = dict(values.dtypes)[column]
+
+    def fn(whole: np.ndarray) -> np.ndarray:
+        lines = [np.partition(windows_of(whole[y : y + size + 7], size), size * size // 2, axis=-1)[..., size * size // 2] for y in range(0, len(whole) - size + 1, 8)]
+        return np.concatenate(lines)
+
+    return over_blocks(values, column, radius, fn, kind, "edge", key, block, "median")
+
+
+def gaussian(values: DataFrame, column: str, sigma: float, key: str = "slide_id", block: int | None = None) -> DataFrame:
+    """(key, x, y, column): smoothed by rows and columns, the edge mirrored, rounded half to even; the kernel ends three sigmas out.  A sigma of 0 leaves the values."""
+    if sigma <= 0:
+        return values.select(key, "x", "y", column)
+    radius = max(1, int(3 * sigma + 0.5))
+    weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
+    weights /= weights.sum()
+
+    def fn(whole: np.ndarray) -> np.ndarray:
+        rows = np.lib.stride_tricks.sliding_window_view(whole.astype(float), 2 * radius + 1, axis=1) @ weights
+        return np.rint(np.lib.stride_tricks.sliding_window_view(rows, 2 * radius + 1, axis=0) @ weights).astype(whole.dtype)
+
+    return over_blocks(values, column, radius, fn, dict(values.dtypes)[column], "reflect", key, block)
+
+
+def ellipse(radius: int) -> np.ndarray:
+    """The offsets (dy, dx) of a filled ellipse in a square of 2 * radius + 1, row by row: half widths are those of the circle, rounded."""
+    y = np.arange(-radius, radius + 1)
+    half = np.rint(radius * np.sqrt(np.maximum(0.0, (radius**2 - y**2) / max(1, radius**2)))).astype(int)
+    return np.array([(dy, dx) for dy, h in zip(y.tolist(), half.tolist(), strict=True) for dx in range(-h, h + 1)])
+
+
+def morphed(mask: DataFrame, radius: int, steps: str, key: str = "slide_id", block: int | None = None) -> DataFrame:
+    """mask: key, x, y, v (0 or 1), dense.  steps: d dilates and e erodes with an ellipse, one after the other; what lies outside the raster takes no part."""
+    if radius <= 0:
+        return mask.select(key, "x", "y", "v")
+    moves = ellipse(radius)
+    for step in steps:
+
+        def fn(whole: np.ndarray, step: str = step) -> np.ndarray:
+            height, width = len(whole) - 2 * radius, whole.shape[1] - 2 * radius
+            seen = [whole[radius + dy : radius + dy + height, radius + dx : radius + dx + width] for dy, dx in moves.tolist()]
+            return (np.maximum if step == "d" else np.minimum).reduce(seen)
+
+        mask = over_blocks(mask, "v", radius, fn, "int", 0 if step == "d" else 1, key, block)
+    return mask
 
 
 def threshold(values: DataFrame, column: str, above: int) -> DataFrame:
@@ -53,15 +135,85 @@ def otsu(values: DataFrame, column: str, key: str = "slide_id") -> DataFrame:
     return summed.withColumn("between", between).groupBy(key).agg(F.max(F.struct(F.col("between"), (-F.col("v")).alias("v"))).alias("m")).select(key, (-F.col("m.v")).cast("int").alias("threshold"))
 
 
-def closed(mask: DataFrame, radius: int = 1, key: str = "slide_id") -> DataFrame:
-    """mask: key, mx, my, v (0 or 1), dense.  Dilate, then erode, with a square; a square goes by rows and then by columns."""
+def closed(mask: DataFrame, size: int = 3, key: str = "slide_id") -> DataFrame:
+    """mask: key, mx, my, v (0 or 1), dense.  Dilate, then erode, with a square of the given side; a square goes by rows and then by columns.
+
+    The middle of an even side is the pixel right of and below its centre, in both steps.
+    """
+    before, after = size // 2, size - 1 - size // 2
 
     def along(df: DataFrame, fn: Callable) -> DataFrame:
         for line, order in (("my", "mx"), ("mx", "my")):
-            df = df.withColumn("v", fn("v").over(W.partitionBy(key, line).orderBy(order).rowsBetween(-radius, radius)))
+            df = df.withColumn("v", fn("v").over(W.partitionBy(key, line).orderBy(order).rowsBetween(-before, after)))
         return df
 
-    return along(along(mask, F.max), F.min)
+    return along(along(mask, F.max), F.min) if size > 1 else mask
+
+
+#: Methods of segmentation.
+METHODS = ("hsv", "otsu", "threshold")
+
+
+def segmented(pixels: DataFrame, method: str = "hsv", saturation: int = 8, radius: int = 3, close: int = 4, block: int | None = None, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(slide_id, mx, my) of tissue in dense thumbnails (slide_id, x, y, r, g, b): hsv, otsu, threshold, or a model of the caller's, which maps the pixels to (slide_id, x, y, tissue); then closing with a square of side `close`."""
+    if method == "model":
+        if model is None:
+            raise ValueError("method model needs a model")
+        found = model(pixels)
+    elif method == "hsv":
+        found = hsv_range(pixels)
+    elif method in ("otsu", "threshold"):
+        smooth = median(with_saturation(pixels), "s", radius, block=block)
+        found = otsu_mask(smooth, "median") if method == "otsu" else threshold(smooth, "median", saturation)
+    else:
+        raise ValueError(f"unknown segmentation method {method!r}")
+    dense = found.select("slide_id", F.col("x").alias("mx"), F.col("y").alias("my"), F.col("tissue").cast("int").alias("v"))
+    return closed(dense, close).where("v = 1").select("slide_id", "mx", "my")
+
+
+def otsu_mask(values: DataFrame, column: str, key: str = "slide_id") -> DataFrame:
+    """values with tissue: above the threshold of its own raster."""
+    return values.join(otsu(values, column, key), key).withColumn("tissue", F.col(column) > F.col("threshold")).drop("threshold")
+
+
+def fine_mask(pixels: DataFrame, sigma: float = 0.0, low: tuple[int, int, int] = (90, 8, 103), high: tuple[int, int, int] = (180, 255, 255), block: int | None = None) -> DataFrame:
+    """(slide_id, x, y, v): the colour range of smoothed channels, 0 or 1."""
+    if sigma > 0:
+        parts = [gaussian(pixels, c, sigma, block=block) for c in ("r", "g", "b")]
+        pixels = parts[0].join(parts[1], ["slide_id", "x", "y"]).join(parts[2], ["slide_id", "x", "y"])
+    return hsv_range(pixels, low, high).select("slide_id", "x", "y", F.col("tissue").cast("int").alias("v"))
+
+
+def postprocessed(dense: DataFrame, width: int, height: int, least_px: int = 0, hole_px: int = 0, close_radius: int = 0, open_radius: int = 0, block: int | None = None) -> DataFrame:
+    """dense: slide_id, x, y, v.  Small components go, small holes fill, then closing and opening with ellipses; each step only where its size is above 0."""
+    from gridquarry.operators import components as cc
+
+    slides = dense.select("slide_id").distinct()
+    mask = dense.where("v = 1").select("slide_id", F.col("x").alias("mx"), F.col("y").alias("my"))
+    if least_px > 0:
+        mask = cc.without_small(cc.components(mask, width, block), least_px).select("slide_id", "mx", "my")
+    if hole_px > 0:
+        mask = cc.filled(mask, slides, width, height, hole_px, block)
+    on = mask.select("slide_id", F.col("mx").alias("x"), F.col("my").alias("y"), F.lit(1).alias("_on"))
+    out = dense.select("slide_id", "x", "y").join(on, ["slide_id", "x", "y"], "left").select("slide_id", "x", "y", F.coalesce("_on", F.lit(0)).alias("v"))
+    return morphed(morphed(out, close_radius, "de", block=block), open_radius, "ed", block=block)
+
+
+def coarse_to_fine(pixels: DataFrame, factor: int, margin: int, width: int, height: int, sigma: float = 0.0, block: int | None = None) -> DataFrame:
+    """(slide_id, x, y, v) on the full raster: a mask of every factor-th pixel finds boxes of tissue, and only pixels in boxes with a margin are judged; the others are 0."""
+    from gridquarry.operators import components as cc
+
+    coarse = pixels.where((F.col("x") % factor == 0) & (F.col("y") % factor == 0)).withColumn("x", F.floor(F.col("x") / factor)).withColumn("y", F.floor(F.col("y") / factor))
+    found = fine_mask(coarse, block=block).where("v = 1").select("slide_id", F.col("x").alias("mx"), F.col("y").alias("my"))
+    side = -(-max(width, height) // factor)
+    boxes = cc.roi_boxes(cc.components(found, side, block), factor, margin, max(width, height))
+    wide = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 64), F.floor((F.col(b) - 1) / 64)))
+    cells = boxes.withColumn("_cx", wide("x0", "x1")).withColumn("_cy", wide("y0", "y1"))
+    near = pixels.withColumn("_cx", F.floor(F.col("x") / 64)).withColumn("_cy", F.floor(F.col("y") / 64)).select("slide_id", "x", "y", "_cx", "_cy")
+    inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
+    places = near.join(cells, ["slide_id", "_cx", "_cy"]).where(inside).select("slide_id", "x", "y").distinct()
+    judged = fine_mask(pixels, sigma, block=block).join(places.withColumn("_in", F.lit(1)), ["slide_id", "x", "y"], "left")
+    return judged.select("slide_id", "x", "y", (F.col("v") * F.coalesce("_in", F.lit(0))).alias("v"))
 
 
 def resampled(labels: DataFrame, factor: int, key: str = "slide_id") -> DataFrame:
@@ -71,6 +223,35 @@ def resampled(labels: DataFrame, factor: int, key: str = "slide_id") -> DataFram
     return wide.select(key, (F.col("mx") * factor + F.col("_dx")).cast("bigint").alias("mx"), (F.col("my") * factor + F.col("_dy")).cast("bigint").alias("my"), "label")
 
 
+def resized_labels(labels: DataFrame, source: tuple[int, int], target: tuple[int, int], key: str = "slide_id") -> DataFrame:
+    """Nearest-neighbour resampling of a sparse label raster of source (width, height) to target, larger or smaller: place p comes from floor(p * source / target)."""
+    def spread(c: str, old: int, new: int):
+        first = F.floor((F.col(c) * new + (old - 1)) / old)
+        last = F.floor(((F.col(c) + 1) * new + (old - 1)) / old) - 1
+        return F.explode(F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")))
+
+    wide = labels.select(key, spread("mx", source[0], target[0]).alias("mx"), "my", "label")
+    return wide.select(key, "mx", spread("my", source[1], target[1]).alias("my"), "label")
+
+
+def collapsed_labels(pixels: DataFrame) -> DataFrame:
+    """pixels: slide_id, x, y, r, g, b of a label image whose channels agree.  (slide_id, mx, my, label); a colour image or a fraction is an error."""
+    whole = (F.col("r") == F.floor("r")) & (F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))
+    label = F.when(whole, F.col("r").cast("int")).otherwise(F.raise_error(F.concat(F.lit("not a label image: slide "), F.col("slide_id").cast("string"))))
+    return pixels.select("slide_id", F.col("x").alias("mx"), F.col("y").alias("my"), label.alias("label"))
+
+
+def discreteness(pixels: DataFrame) -> DataFrame:
+    """By slide: the number of values, whether they are whole, whether all channels agree, and whether there are two at most."""
+    flag = lambda c: F.min(c.cast("int")) == 1
+    return pixels.groupBy("slide_id").agg(
+        F.countDistinct("r").alias("n_values"),
+        flag(F.col("r") == F.floor("r")).alias("whole"),
+        flag((F.col("r") == F.col("g")) & (F.col("g") == F.col("b"))).alias("one_channel"),
+        (F.countDistinct("r") <= 2).alias("binary_like"),
+    )
+
+
 def mask_pyramid(mask: DataFrame, size: int, least: int, key: str = "slide_id") -> DataFrame:
     """(level, key, mx, my): nearest downsampling by two until the side would fall below `least`."""
     out, level, side = mask.select(F.lit(0).alias("level"), key, "mx", "my"), 0, size

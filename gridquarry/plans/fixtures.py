@@ -27,14 +27,10 @@ SQL = {
  from {lineitem} group by l_suppkey, (l_partkey*7)%32, l_orderkey%32""",
     "vocabulary": """select 'tumor' annotation, 1 value, cast(0.1 as double) min_coverage, 1 place union all select 'stroma', 2, cast(0.2 as double), 2
  union all select 'necrosis', 3, cast(null as double), 3""",
-    "rgb_px": """select s_suppkey slide_id, cast(p_partkey%12 as bigint) x, cast(floor(p_partkey/12.0) as bigint) y,
- cast((p_partkey*37+s_suppkey*11)%256 as int) r, cast((p_partkey*91+s_suppkey*5)%256 as int) g, cast((p_partkey*53+s_suppkey*17)%256 as int) b
- from {part} cross join {supplier} where p_partkey<144 and s_suppkey<20""",
-    "raster_px": """select d.slide_id, d.x, d.y, coalesce(p.r, 200) r, coalesce(p.g, 60) g, coalesce(p.b, 180) b
+    "rgb_px": """select d.slide_id, d.x, d.y, coalesce(p.r, 200) r, coalesce(p.g, 60) g, coalesce(p.b, 180) b
  from (select s_suppkey slide_id, a.x, u.y from {supplier} cross join (select distinct cast(p_partkey%32 as bigint) x from {part}) a cross join (select distinct cast(p_partkey%32 as bigint) y from {part}) u) d
  left join (select l_suppkey slide_id, cast((l_partkey*7)%32 as bigint) x, cast(l_orderkey%32 as bigint) y, cast(sum(l_partkey*37+l_orderkey*11)%256 as int) r, cast(sum(l_partkey*91+l_orderkey*5)%256 as int) g, cast(sum(l_partkey*53+l_orderkey*17)%256 as int) b
  from {lineitem} group by l_suppkey, (l_partkey*7)%32, l_orderkey%32) p on p.slide_id=d.slide_id and p.x=d.x and p.y=d.y""",
-    "gapped": "select slide_id, mx, my from {mask_px} where mx%8<4 and my%8<4",
     "rows": """select o_orderkey row_id, concat('slide-', cast(o_custkey as varchar(20))) sample_id, case when o_orderkey%3=0 then 'tissue' when o_orderkey%3=1 then 'tumor' else null end annotation,
  case o_orderstatus when 'F' then 'success' when 'O' then 'failed' else 'queued' end tiling_status, cast(o_orderkey%50 as int) num_tiles,
  case when o_orderkey%4=0 then '  ' when o_orderkey%4=1 then 'cannot open' when o_orderkey%4=2 then 'empty mask' else null end error,
@@ -46,8 +42,10 @@ SQL = {
  case when c_custkey%5=0 then null else cast(0.25 as double) end native_um, case when c_custkey%3=0 then cast(0.5 as double) else null end override_um from {customer}""",
     "openable": "select '/data/1.svs' image_path, 'asap' candidate union all select '/data/1.svs', 'vips' union all select '/data/2.tiff', 'openslide' union all select '/data/3.svs', 'cucim' union all select '/data/4.svs', 'asap'",
 }
+#: The name that dense rasters had when rgb_px was a part of them.
+SQL["raster_px"] = SQL["rgb_px"]
 #: What each relation is made from.
-NEEDS = {"pyramid": ("slides", "steps"), "gapped": ("mask_px",)}
+NEEDS = {"pyramid": ("slides", "steps")}
 TABLES = ("supplier", "lineitem", "part", "orders", "customer")
 
 

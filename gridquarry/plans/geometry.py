@@ -150,28 +150,6 @@ def dedup_first(f: Fixtures) -> DataFrame:
     return grid.dedup_first(tiles, ["slide_id", "x", "y"], ["contour_id", "seq"])
 
 
-@query(
-    """with boxes as (select m.slide_id, any_value(slide_w) slide_w, any_value(slide_h) slide_h, mx // 16 contour_id, cast(floor(min(mx)*(slide_w/cast(32 as double))) as bigint) x0, cast(floor((max(mx)+1)*(slide_w/cast(32 as double))) as bigint) x1,
- cast(floor(min(my)*(slide_h/cast(32 as double))) as bigint) y0, cast(floor((max(my)+1)*(slide_h/cast(32 as double))) as bigint) y1 from mask_px m join slides s on s.slide_id=m.slide_id group by m.slide_id, slide_w, slide_h, mx // 16),
- cand as (select b.*, x, y from (select *, unnest(range(x0, x1, 64)) x from boxes) b, unnest(range(b.y0, b.y1, 64)) u(y)),
- win as (select *, cast(floor(x*(cast(32 as double)/slide_w)) as bigint) wx, cast(floor(y*(cast(32 as double)/slide_h)) as bigint) wy, cast(greatest(1.0, round_even(128*(cast(32 as double)/slide_w),0)) as bigint) ww, cast(greatest(1.0, round_even(128*(cast(32 as double)/slide_h),0)) as bigint) wh from cand),
- sc as (select w.slide_id, w.contour_id, w.x, w.y, cast(cast(count(*) as double)/any_value(ww*wh) as float) frac from win w join mask_px m on m.slide_id=w.slide_id and m.mx // 16=w.contour_id and m.mx>=wx and m.mx<wx+ww and m.my>=wy and m.my<wy+wh group by all),
- k as (select * from sc where frac >= cast(0.3 as float)), d as (select *, row_number() over (partition by slide_id, x, y order by contour_id) n from k)
- select slide_id, x, y, contour_id, frac, cast(row_number() over (partition by slide_id order by x, y)-1 as int) tile_index from d where n=1""",
-    "slides",
-    "mask_px",
-)
-def generate_tiles(f: Fixtures) -> DataFrame:
-    """Two contours a slide, each with a grid of its own; the first contour wins where both have a tile."""
-    own = f.mask_px.withColumn("contour_id", F.floor(F.col("mx") / 16))
-    box = own.join(f.slides, "slide_id").groupBy("slide_id", "slide_w", "slide_h", "contour_id").agg(F.min("mx").alias("a"), F.max("mx").alias("b"), F.min("my").alias("c"), F.max("my").alias("d"))
-    px, py = F.col("slide_w") / SIDE, F.col("slide_h") / SIDE
-    box = box.select("slide_id", "slide_w", "slide_h", "contour_id", *(F.floor(e).cast("bigint").alias(n) for n, e in (("x0", F.col("a") * px), ("x1", (F.col("b") + 1) * px), ("y0", F.col("c") * py), ("y1", (F.col("d") + 1) * py))))
-    tiles = cv.windows(grid.candidates(box, 128, 64, ("slide_id", "contour_id", "slide_w", "slide_h")), SIDE, SIDE)
-    kept = cv.at_least(cv.covered(tiles, own, ["slide_id", "contour_id"]), 0.3).select("slide_id", "x", "y", "contour_id", "frac")
-    return grid.indexed(grid.dedup_first(kept, ["slide_id", "x", "y"], ["contour_id"]), ["slide_id"]).select("slide_id", "x", "y", "contour_id", "frac", "tile_index")
-
-
 @query(
     CANDIDATES
     + """, lab as (select l.slide_id, v.annotation, l.mx, l.my from label_px l join vocabulary v on l.label=v.value),

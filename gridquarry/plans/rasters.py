@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.operators import components as cc
-from gridquarry.operators import qc, sampling, supertiles
+from gridquarry.operators import qc, rendering, sampling, supertiles, tiling
 from gridquarry.operators import segmentation as seg
 from gridquarry.plans.fixtures import CANDIDATES, SIDE, Fixtures
 from gridquarry.plans.registry import again, query
@@ -14,41 +14,100 @@ from gridquarry.plans.registry import again, query
 LABELLED = "with lab as (select l.slide_id, v.annotation, l.mx, l.my from label_px l join vocabulary v on l.label=v.value)"
 
 
+#: Blocks of the component queries: smaller than the rasters, so that labels pass borders.
+BLOCK = 16
+
+
+def walk(name: str, pixels: str, four: bool = False) -> str:
+    """Components for DuckDB: {name}(k, mx, my, component) of pixels(k, mx, my), by passing the smallest place on."""
+    near = "abs(a.mx-b.mx)+abs(a.my-b.my)=1" if four else "abs(a.mx-b.mx)<=1 and abs(a.my-b.my)<=1 and (a.mx<>b.mx or a.my<>b.my)"
+    return f"""{name}_adj as materialized (select a.k, a.mx, a.my, b.mx ox, b.my oy from {pixels} a join {pixels} b on a.k=b.k and {near}),
+ {name}_walk(k, mx, my, root) using key (k, mx, my) as (select k, mx, my, my*32+mx from {pixels} union
+ select n.k, n.ox, n.oy, min(w.root) from {name}_walk w join {name}_adj n on n.k=w.k and n.mx=w.mx and n.my=w.my join recurring.{name}_walk o on o.k=n.k and o.mx=n.ox and o.my=n.oy where w.root<o.root group by all),
+ {name} as (select k, mx, my, root component from {name}_walk)"""
+
+
+#: Places of a raster that are not of the mask px(k, mx, my).
+BACK = "back_px as (select a.k, a.mx, u.my from (select k, unnest(range(0,32)) mx from (select distinct k from px)) a cross join unnest(range(0,32)) u(my) anti join px m on m.k=a.k and m.mx=a.mx and m.my=u.my)"
+INNER = "inn as (select k, component, count(*) area from back group by all having min(mx)>0 and min(my)>0 and max(mx)<31 and max(my)<31)"
+PX = "with recursive px as (select slide_id k, mx, my from mask_px), "
+REACH = PX + walk("fg", "px") + ", comp as (select k slide_id, mx, my, component from fg), ar as (select slide_id, component, count(*) area, min(mx) x0, min(my) y0, max(mx) x1, max(my) y1 from comp group by all)"
+SQUARES = "tr as (select k, component, cast(sum(case n when 4 then 1.0 when 3 then 0.5 else 0.0 end) as double) area from (select k, component, mx+dx sx, my+dy sy, count(*) n from fg, unnest([-1,0]) a(dx), unnest([-1,0]) b(dy) group by all) group by all)"
+
+
+
 @query(LABELLED + " select slide_id, annotation, mx, my from lab", "label_px", "vocabulary")
 def annotation_split(f: Fixtures) -> DataFrame:
     return sampling.split(f.label_px, f.vocabulary)
 
 
-def _sampled(box_keys: str, joint: bool) -> str:
-    """Oracle text of both strategies; they differ in whose box anchors the grid."""
-    group = "l.slide_id" if joint else "l.slide_id, l.annotation"
-    cross = "cross join (select annotation from vocabulary) v" if joint else ""
+SPEC = tiling.Spec(tile_px=256, spacing_um=0.5, overlap=0.25, min_coverage=0.3)
+
+
+def contour_tiles(limit: float) -> str:
+    """kept(k, slide_id, x, y, contour_id, frac) for DuckDB, from px(k, mx, my) and key(k, slide_id): tiles of contours, each on a grid of its own."""
     return (
-        LABELLED
-        + f""", boxes as (select {group}, any_value(slide_w) slide_w, any_value(slide_h) slide_h, cast(floor(min(mx)*(any_value(slide_w)/cast(32 as double))) as bigint) x0, cast(floor((max(mx)+1)*(any_value(slide_w)/cast(32 as double))) as bigint) x1,
- cast(floor(min(my)*(any_value(slide_h)/cast(32 as double))) as bigint) y0, cast(floor((max(my)+1)*(any_value(slide_h)/cast(32 as double))) as bigint) y1 from lab l join slides s on s.slide_id=l.slide_id group by {group}),
- cand as (select b.*, x, y from (select *, unnest(range(x0, x1, 96)) x from boxes) b, unnest(range(b.y0, b.y1, 96)) u(y)),
- win as (select c.*, {"v.annotation," if joint else ""} cast(floor(x*(cast(32 as double)/slide_w)) as bigint) wx, cast(floor(y*(cast(32 as double)/slide_h)) as bigint) wy, cast(greatest(1.0, round_even(128*(cast(32 as double)/slide_w),0)) as bigint) ww, cast(greatest(1.0, round_even(128*(cast(32 as double)/slide_h),0)) as bigint) wh from cand c {cross}),
- sc as (select w.slide_id, w.annotation, w.x, w.y, cast(cast(count(l.mx) as double)/any_value(ww*wh) as float) frac from win w left join lab l on l.slide_id=w.slide_id and l.annotation=w.annotation and l.mx>=wx and l.mx<wx+ww and l.my>=wy and l.my<wy+wh group by all),
- kept as (select s.slide_id, s.annotation, s.x, s.y, s.frac, cast(row_number() over (partition by s.slide_id, s.annotation order by s.x, s.y)-1 as int) tile_index from sc s join vocabulary v using (annotation) where s.frac >= cast(coalesce(v.min_coverage, 0) as float))
- """
+        walk("fg", "px") + ", " + SQUARES + ", " + BACK + ", " + walk("back", "back_px", True) + ", " + INNER
+        + f""", rim as (select distinct k, mx+dx mx, my+dy my from (select k, mx, my from back join inn using (k, component)) h, (values (1,0),(-1,0),(0,1),(0,-1)) d(dx,dy)),
+ sized as (select key.k, slide_id, slide_w, slide_h, slide_w/cast(32 as double) sx, slide_h/cast(32 as double) sy, cast(round_even(256*cast(0.5 as double)/base_spacing_um,0) as bigint) tile, 16*(cast(0.5 as double)/base_spacing_um) rt from slides join key using (slide_id)),
+ grids as (select *, cast(greatest(1.0, round_even(tile*(cast(1 as double)-cast(0.25 as double)),0)) as bigint) step from sized),
+ ext as (select k, component contour_id, min(mx) ax, max(mx) bx, min(my) ay, max(my) b_y from fg group by all),
+ boxes as (select g.*, contour_id, cast(floor(ax*sx) as bigint) x0, cast(floor(ay*sy) as bigint) y0, least(cast(floor(bx*sx) as bigint)+1, slide_w) x1, least(cast(floor(b_y*sy) as bigint)+1, slide_h) y1 from ext join grids g using (k)),
+ big as (select boxes.* from boxes join tr on tr.k=boxes.k and tr.component=boxes.contour_id where area > 0 and area > 4*floor((rt/sx)*(rt/sy))),
+ inside as (select fg.k, fg.component, fg.mx, fg.my from fg anti join rim using (k, mx, my)),
+ cand as (select b.*, x, y from (select *, unnest(range(x0, x1, step)) x from big) b, unnest(range(b.y0, b.y1, b.step)) u(y)),
+ win as (select *, cast(floor(x*(cast(32 as double)/slide_w)) as bigint) wx, cast(floor(y*(cast(32 as double)/slide_h)) as bigint) wy, cast(greatest(1.0, round_even(tile*(cast(32 as double)/slide_w),0)) as bigint) ww, cast(greatest(1.0, round_even(tile*(cast(32 as double)/slide_h),0)) as bigint) wh from cand),
+ sc as (select w.k, w.slide_id, w.contour_id, w.x, w.y, w.slide_w, w.slide_h, w.ww, w.wh, w.wx, w.wy, cast(cast(count(i.mx) as double)/any_value(ww*wh) as float) frac from win w left join inside i on i.k=w.k and i.component=w.contour_id and i.mx>=wx and i.mx<wx+ww and i.my>=wy and i.my<wy+wh group by all),
+ kept as (select * from (select *, row_number() over (partition by k, x, y order by contour_id) n from sc where frac >= cast({limit} as float)) where n=1)"""
     )
 
 
-@query(_sampled("", False) + "select slide_id, annotation, x, y, frac, tile_index from kept", "slides", "label_px", "vocabulary")
+ACTIVE = LABELLED.replace("with ", "with recursive ", 1) + ", act as (select *, coalesce(min_coverage, 0) least from vocabulary where annotation <> 'necrosis'), "
+#: Each annotation by itself, and all on one set of grids.
+ALONE = ACTIVE + "px as (select slide_id*4+value k, mx, my from lab join act using (annotation)), key as (select distinct slide_id, slide_id*4+value k from lab join act using (annotation)), " + contour_tiles(0.0) + ", own as (select k.slide_id, annotation, x, y, contour_id, frac from kept k join act on act.value=k.k%4 where frac >= cast(least as float))"
+TOGETHER = (
+    ACTIVE + "px as (select distinct slide_id k, mx, my from lab join act using (annotation)), key as (select slide_id, slide_id k from slides), " + contour_tiles(0.0)
+    + ", hits as (select t.slide_id, annotation, least, t.x, t.y, cast(cast(count(l.mx) as double)/(ww*wh) as float) frac from (select * from kept cross join act) t left join lab l using (slide_id, annotation) where true group by t.slide_id, annotation, least, t.x, t.y, ww, wh)"
+).replace("left join lab l using (slide_id, annotation) where true", "left join lab l on l.slide_id=t.slide_id and l.annotation=t.annotation and l.mx>=wx and l.mx<wx+ww and l.my>=wy and l.my<wy+wh").replace("select t.slide_id, annotation, least", "select t.slide_id, t.annotation, least").replace("group by t.slide_id, annotation", "group by t.slide_id, t.annotation")
+TOGETHER += ", own as (select slide_id, annotation, x, y, frac from hits where frac >= cast(least as float))"
+NUMBERED = "cast(row_number() over (partition by slide_id, annotation order by x, y)-1 as int) tile_index"
+MERGED = "m as (select slide_id, x, y, max(frac) frac from own group by all) select slide_id, x, y, frac, cast(row_number() over (partition by slide_id order by x, y)-1 as int) tile_index from m"
+
+
+def _annotated(f: Fixtures) -> tuple:
+    from gridquarry.operators.levels import with_levels
+
+    return sampling.split(f.label_px, f.vocabulary), with_levels(f.slides, f.pyramid), f.vocabulary.withColumn("active", F.col("annotation") != "necrosis"), SIDE, SIDE, SPEC
+
+
+@query(ALONE + f" select slide_id, annotation, x, y, contour_id, frac, {NUMBERED} from own", "slides", "label_px", "vocabulary")
 def independent_sampling(f: Fixtures) -> DataFrame:
-    return sampling.independent(sampling.split(f.label_px, f.vocabulary), f.slides, f.vocabulary, 128, 96, SIDE).select("slide_id", "annotation", "x", "y", "frac", "tile_index")
+    """Each active annotation on grids of its own contours."""
+    return tiling.independent(*_annotated(f), block=BLOCK).select("slide_id", "annotation", "x", "y", "contour_id", "frac", "tile_index")
 
 
-@query(_sampled("", True) + "select slide_id, annotation, x, y, frac, tile_index from kept", "slides", "label_px", "vocabulary")
+@query(TOGETHER + f" select slide_id, annotation, x, y, frac, {NUMBERED} from own", "slides", "label_px", "vocabulary")
 def joint_sampling(f: Fixtures) -> DataFrame:
-    return sampling.joint(sampling.split(f.label_px, f.vocabulary), f.slides, f.vocabulary, 128, 96, SIDE).select("slide_id", "annotation", "x", "y", "frac", "tile_index")
+    """All active annotations on the grids of their common contours."""
+    return tiling.joint(*_annotated(f), block=BLOCK).select("slide_id", "annotation", "x", "y", "frac", "tile_index")
 
 
-@query(_sampled("", True) + ", m as (select slide_id, x, y, max(frac) frac from kept group by all) select slide_id, x, y, frac, cast(row_number() over (partition by slide_id order by x, y)-1 as int) tile_index from m", "slides", "label_px", "vocabulary")
+@query(TOGETHER + ", " + MERGED, "slides", "label_px", "vocabulary")
 def merged_sampling(f: Fixtures) -> DataFrame:
-    tiles = sampling.joint(sampling.split(f.label_px, f.vocabulary), f.slides, f.vocabulary, 128, 96, SIDE)
-    return sampling.merged(tiles).select("slide_id", "x", "y", "frac", "tile_index")
+    return tiling.per_annotation(*_annotated(f), "joint", "merged", block=BLOCK).select("slide_id", "x", "y", "frac", "tile_index")
+
+
+@query(ALONE + ", " + MERGED, "slides", "label_px", "vocabulary")
+def merged_independent(f: Fixtures) -> DataFrame:
+    return tiling.per_annotation(*_annotated(f), "independent", "merged", block=BLOCK).select("slide_id", "x", "y", "frac", "tile_index")
+
+
+@query(PX + "key as (select slide_id, slide_id k from slides), " + contour_tiles(0.3) + " select slide_id, x, y, contour_id, frac, cast(row_number() over (partition by slide_id order by x, y)-1 as int) tile_index from kept", "slides", "mask_px")
+def generate_tiles(f: Fixtures) -> DataFrame:
+    """From masks to tiles: contours, a grid for each, coverage, first contour first, index."""
+    from gridquarry.operators.levels import with_levels
+
+    return tiling.from_mask(f.mask_px, with_levels(f.slides, f.pyramid), SIDE, SIDE, SPEC, block=BLOCK).select("slide_id", "x", "y", "contour_id", "frac", "tile_index")
 
 
 #: Labels on every second pixel as well as on their own, so that some pixels have two.
@@ -156,11 +215,6 @@ def seg_otsu(f: Fixtures) -> DataFrame:
     return seg.otsu(seg.median(seg.with_saturation(f.rgb_px), "s"), "median")
 
 
-#: The pixel queries once more, over dense rasters of all slides.
-for _name in ("qc_white", "qc_black", "qc_gray", "qc_blur", "tile_qc", "qc_reindex", "seg_hsv", "median_blur", "seg_threshold", "seg_otsu"):
-    again(_name, "rgb_px", "raster_px", "_whole")
-
-
 DENSE = "with dn as (select a.slide_id, a.mx, u.my, case when m.mx is null then 0 else 1 end v from (select slide_id, unnest(range(0,32)) mx from slides) a cross join unnest(range(0,32)) u(my) left join mask_px m on m.slide_id=a.slide_id and m.mx=a.mx and m.my=u.my)"
 
 
@@ -186,6 +240,97 @@ def label_resample_nearest(f: Fixtures) -> DataFrame:
     return seg.resampled(f.label_px, 2)
 
 
+def _resized(width: int) -> str:
+    return f"select l.slide_id, d.p mx, e.p my, label from label_px l join (select unnest(range(0,{width})) p) d on (d.p*32)//{width}=l.mx join (select unnest(range(0,{width})) p) e on (e.p*32)//{width}=l.my"
+
+
+@query(_resized(80), "label_px")
+def label_upsample(f: Fixtures) -> DataFrame:
+    return seg.resized_labels(f.label_px, (SIDE, SIDE), (80, 80))
+
+
+@query(_resized(12), "label_px")
+def label_downsample(f: Fixtures) -> DataFrame:
+    return seg.resized_labels(f.label_px, (SIDE, SIDE), (12, 12))
+
+
+@query("select slide_id, count(distinct r) n_values, bool_and(r=floor(r)) whole, bool_and(r=g and g=b) one_channel, count(distinct r) <= 2 binary_like from (select slide_id, x, y, case when slide_id%2=0 then r%2 else r end r, case when slide_id%2=0 then r%2 else g end g, case when slide_id%2=0 then r%2 else b end b from rgb_px) group by 1", "rgb_px")
+def discreteness(f: Fixtures) -> DataFrame:
+    """Whether the rasters may be label images; every second one is made so."""
+    even = F.col("slide_id") % 2 == 0
+    return seg.discreteness(f.rgb_px.select("slide_id", "x", "y", *(F.when(even, F.col("r") % 2).otherwise(F.col(c)).alias(c) for c in ("r", "g", "b"))))
+
+
+COLOURS = [(1, (255, 0, 0)), (2, (0, 128, 255))]
+MIXED = "select p.slide_id, p.x, p.y, " + ", ".join(f"cast(case when m.alpha > 0 then round_even({c}*(1.0-m.alpha)+{m}*m.alpha, 0) else {c} end as int) {c}" for c, m in (("r", "mr"), ("g", "mg"), ("b", "mb"))) + " from rgb_px p left join marks m on m.slide_id=p.slide_id and m.x=p.x and m.y=p.y"
+PAINT = "case label when 1 then 255 else 0 end mr, case label when 2 then 128 else 0 end mg, case label when 2 then 255 else 0 end mb"
+
+
+def _colours(f: Fixtures) -> DataFrame:
+    from gridquarry.operators.labels import palette
+
+    return palette(f.spark.createDataFrame(COLOURS, "value int, color array<int>"))
+
+
+def _shown(f: Fixtures) -> DataFrame:
+    return f.label_px.select("slide_id", F.col("mx").alias("x"), F.col("my").alias("y"), "label")
+
+
+@query(f"with marks as (select slide_id, mx x, my y, {PAINT}, case when label=3 then 0.0 else 0.25 end alpha from label_px) {MIXED}", "rgb_px", "label_px")
+def overlay_preview(f: Fixtures) -> DataFrame:
+    """Labels over thumbnails, see-through; label 3 is hidden."""
+    return rendering.mask_preview(f.rgb_px, _shown(f), _colours(f), True, 0.25, 3)
+
+
+OUTLINE = "outl as (select l.* from label_px l where (select count(*) from label_px o where o.slide_id=l.slide_id and o.label=l.label and abs(o.mx-l.mx)+abs(o.my-l.my)=1) < 4)"
+
+
+@query(f"with {OUTLINE}, marks as (select slide_id, mx x, my y, {PAINT}, 1.0 alpha from outl) {MIXED}", "rgb_px", "label_px")
+def outline_preview(f: Fixtures) -> DataFrame:
+    """Labels' outlines over thumbnails."""
+    return rendering.mask_preview(f.rgb_px, _shown(f), _colours(f))
+
+
+@query(
+    CANDIDATES
+    + f""", rect as (select slide_id, cast(ceil(x/48.0) as bigint) x0, cast(ceil(y/48.0) as bigint) y0, cast(ceil((x+128)/48.0) as bigint) x1, cast(ceil((y+128)/48.0) as bigint) y1 from tiles),
+ spots as (select slide_id, unnest(range(x0, x1+1)) x, y0, y1, null x0, null x1 from rect union all select slide_id, null, null, null, x0, x1 from rect where false),
+ lines as (select slide_id, x, y0 y from spots union select slide_id, x, y1 from spots union select slide_id, x0, unnest(range(y0, y1+1)) from rect union select slide_id, x1, unnest(range(y0, y1+1)) from rect),
+ marks as (select slide_id, x, y, 0 mr, 0 mg, 0 mb, 1.0 alpha from lines where x < 32 and y < 32) {MIXED} where p.slide_id in (select slide_id from tiles)""",
+    "slides",
+    "mask_px",
+    "rgb_px",
+)
+def grid_preview(f: Fixtures) -> DataFrame:
+    """Outlines of tiles over thumbnails."""
+    return rendering.tiling_preview(f.rgb_px, f.tiles.withColumn("tile", F.lit(128)), 48.0, SIDE, SIDE)
+
+
+@query()
+def preview_images(f: Fixtures) -> DataFrame:
+    """The same as one PNG for each slide."""
+    return rendering.images(grid_preview(f)).select("slide_id", "width", "height", F.length("image").alias("n_bytes"), F.sha2("image", 256).alias("digest"))
+
+
+#: A thresholded smooth colour range and its clean-up.
+@query()
+def tissue_masks(f: Fixtures) -> DataFrame:
+    """Colour range of smoothed pixels, small components and holes away, closing and opening with ellipses."""
+    return seg.postprocessed(seg.fine_mask(f.rgb_px, 1.0, block=BLOCK), SIDE, SIDE, 4, 3, 1, 1, BLOCK)
+
+
+@query()
+def coarse_masks(f: Fixtures) -> DataFrame:
+    """Every second pixel finds boxes of tissue; the full raster is judged in those."""
+    return seg.coarse_to_fine(f.rgb_px, 2, 2, SIDE, SIDE, block=BLOCK)
+
+
+@query()
+def segmented_masks(f: Fixtures) -> DataFrame:
+    """Otsu over a median of side 7, closed with a square of side 4, as by default."""
+    return seg.segmented(f.rgb_px, "otsu", block=BLOCK)
+
+
 @query("select l.slide_id, t.mx, t.my from label_px l join (select slide_id, mx, my from mask_px) t on t.slide_id=l.slide_id and cast(floor(t.mx/cast(2 as double)) as bigint)=l.mx and cast(floor(t.my/cast(2 as double)) as bigint)=l.my where l.label=1", "label_px", "mask_px")
 def aligned_mask(f: Fixtures) -> DataFrame:
     """Mask pixels whose place on the half-size label raster is label 1."""
@@ -204,116 +349,72 @@ def mask_pyramid(f: Fixtures) -> DataFrame:
     return seg.mask_pyramid(f.mask_px, SIDE, 8)
 
 
-#: Components for DuckDB: the smallest place reachable, by a recursive union.
-REACH = "with recursive walk(slide_id, root, mx, my) as (select slide_id, my*32+mx, mx, my from gapped union select w.slide_id, w.root, g.mx, g.my from walk w join gapped g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), comp as (select slide_id, mx, my, min(root) component from walk group by all), ar as (select slide_id, component, count(*) area, min(mx) x0, min(my) y0, max(mx) x1, max(my) y1 from comp group by all)"
-
-
 def _labelled(f: Fixtures) -> DataFrame:
-    return cc.components(f.gapped, SIDE)
+    return cc.components(f.mask_px, SIDE, BLOCK)
 
 
-@query(REACH + " select slide_id, mx, my, component from comp", "gapped")
+@query(REACH + " select slide_id, mx, my, component from comp", "mask_px")
 def contour_components(f: Fixtures) -> DataFrame:
     return _labelled(f)
 
 
-@query(REACH + " select c.slide_id, mx, my, component from comp c join ar using (slide_id, component) where area >= 4", "gapped")
+@query(REACH + " select c.slide_id, mx, my, component from comp c join ar using (slide_id, component) where area >= 4", "mask_px")
 def remove_small_components(f: Fixtures) -> DataFrame:
     return cc.without_small(_labelled(f), 4).select("slide_id", "mx", "my", "component")
 
 
-@query(REACH + " select slide_id, component, cast(greatest(x0*4-2,0) as bigint) x0, cast(greatest(y0*4-2,0) as bigint) y0, cast(least((x1+1)*4+2,128) as bigint) x1, cast(least((y1+1)*4+2,128) as bigint) y1 from ar", "gapped")
+@query(REACH + " select slide_id, component, cast(greatest(x0*4-2,0) as bigint) x0, cast(greatest(y0*4-2,0) as bigint) y0, cast(least((x1+1)*4+2,128) as bigint) x1, cast(least((y1+1)*4+2,128) as bigint) y1 from ar", "mask_px")
 def roi_boxes(f: Fixtures) -> DataFrame:
     return cc.roi_boxes(_labelled(f), 4, 2, 128)
 
 
-@query(REACH + ", bx as (select slide_id, component, x0*4-10 x0, y0*4-10 y0, (x1+1)*4+10 x1, (y1+1)*4+10 y1 from ar), b as (select slide_id, component, greatest(x0,0) x0, greatest(y0,0) y0, least(x1,128) x1, least(y1,128) y1 from bx) select a.slide_id, a.component, o.component other from b a join b o on a.slide_id=o.slide_id and a.component<o.component and a.x0<o.x1 and o.x0<a.x1 and a.y0<o.y1 and o.y0<a.y1", "gapped")
+@query(
+    REACH
+    + ", bx as (select slide_id, component, x0*4-10 x0, y0*4-10 y0, (x1+1)*4+10 x1, (y1+1)*4+10 y1 from ar), b as (select slide_id, component, greatest(x0,0) x0, greatest(y0,0) y0, least(x1,128) x1, least(y1,128) y1 from bx) select a.slide_id, a.component, o.component other from b a join b o on a.slide_id=o.slide_id and a.component<o.component and a.x0<o.x1 and o.x0<a.x1 and a.y0<o.y1 and o.y0<a.y1",
+    "mask_px",
+)
 def roi_overlaps(f: Fixtures) -> DataFrame:
     return cc.overlapping(cc.roi_boxes(_labelled(f), 4, 10, 128))
 
 
-@query(REACH + " select slide_id, component, cast((x1-x0)*(y1-y0) as double) area from ar", "gapped")
+@query(REACH + ", " + SQUARES + " select k slide_id, component, area from tr", "mask_px")
 def contour_area(f: Fixtures) -> DataFrame:
-    """Shoelace area of the polygon through the outer pixels' centres of each component's box."""
-    corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    box = cc.areas(_labelled(f)).withColumn("polygon", F.array(corner("x0", "y0"), corner("x1", "y0"), corner("x1", "y1"), corner("x0", "y1")))
-    return box.select("slide_id", "component", cc.polygon_area(F.col("polygon")).alias("area"))
+    """Area inside the outer contour of each component, less those of its holes."""
+    return cc.traced_areas(_labelled(f))
 
 
-@query(REACH + " select slide_id, component, area, cast(row_number() over (partition by slide_id order by area desc, component) as int) rank from ar", "gapped")
+@query(REACH + " select slide_id, component, area, cast(row_number() over (partition by slide_id order by area desc, component) as int) rank from ar", "mask_px")
 def component_rank(f: Fixtures) -> DataFrame:
     return cc.by_size(_labelled(f)).select("slide_id", "component", "area", "rank")
 
 
-def _labelled_whole(f: Fixtures) -> DataFrame:
-    """Components of whole masks, in blocks smaller than a slide, so that they are joined across borders; a recursive oracle would be too slow."""
-    return cc.components(f.mask_px, SIDE, 16)
-
-
-@query()
-def contour_components_whole(f: Fixtures) -> DataFrame:
-    return _labelled_whole(f)
-
-
-@query()
-def remove_small_components_whole(f: Fixtures) -> DataFrame:
-    return cc.without_small(_labelled_whole(f), 4).select("slide_id", "mx", "my", "component")
-
-
-@query()
-def roi_boxes_whole(f: Fixtures) -> DataFrame:
-    return cc.roi_boxes(_labelled_whole(f), 4, 2, 128)
-
-
-@query()
-def roi_overlaps_whole(f: Fixtures) -> DataFrame:
-    return cc.overlapping(cc.roi_boxes(_labelled_whole(f), 4, 10, 128))
-
-
-@query()
-def contour_area_whole(f: Fixtures) -> DataFrame:
-    """Area inside the traced contours less their holes, unlike the box area of contour_area."""
-    return cc.traced_areas(_labelled_whole(f))
-
-
-@query()
-def component_rank_whole(f: Fixtures) -> DataFrame:
-    return cc.by_size(_labelled_whole(f)).select("slide_id", "component", "area", "rank")
-
-
-HOLES = "with recursive sm as (select slide_id, mx, my from mask_px where slide_id <= 30 and mx < 16 and my < 16), bg as (select a.slide_id, a.mx, u.my from (select distinct slide_id, unnest(range(0,16)) mx from sm) a cross join unnest(range(0,16)) u(my) anti join sm m on m.slide_id=a.slide_id and m.mx=a.mx and m.my=u.my), walk(slide_id, root, mx, my) as (select slide_id, my*16+mx, mx, my from bg union select w.slide_id, w.root, g.mx, g.my from walk w join bg g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), comp as (select slide_id, mx, my, min(root) hole from walk group by all), inn as (select slide_id, hole, count(*) area from comp group by all having min(mx)>0 and min(my)>0 and max(mx)<15 and max(my)<15)"
-
-
-def _small(f: Fixtures) -> tuple[DataFrame, DataFrame]:
-    small = f.mask_px.where((F.col("slide_id") <= 30) & (F.col("mx") < 16) & (F.col("my") < 16))
-    return small, small.select("slide_id").distinct()
-
-
-@query(HOLES + " select slide_id, mx, my from sm union select c.slide_id, c.mx, c.my from comp c join inn using (slide_id, hole) where area <= 3", "mask_px")
+@query(PX + BACK + ", " + walk("back", "back_px") + ", " + INNER + " select k slide_id, mx, my from px union select b.k, b.mx, b.my from back b join inn using (k, component) where area <= 3", "mask_px")
 def fill_small_holes(f: Fixtures) -> DataFrame:
-    small, slides = _small(f)
-    return cc.filled(small, slides, 16, 16, 3)
+    return cc.filled(f.mask_px, f.mask_px.select("slide_id").distinct(), SIDE, SIDE, 3, BLOCK)
 
 
-FRONT = "with recursive sm0 as (select slide_id, mx, my from mask_px where slide_id <= 30 and mx < 16 and my < 16), fg_walk(slide_id, root, mx, my) as (select slide_id, my*16+mx, mx, my from sm0 union select w.slide_id, w.root, g.mx, g.my from fg_walk w join sm0 g on g.slide_id=w.slide_id and abs(g.mx-w.mx)<=1 and abs(g.my-w.my)<=1), fg as (select slide_id, mx, my, min(root) component from fg_walk group by all), "
+def _holes(four: bool) -> str:
+    return (
+        PX + walk("fg", "px") + ", " + BACK + ", " + walk("back", "back_px", four) + ", " + INNER
+        + ", fst as (select b.k, component hole, any_value(area) area, min(my*32+mx) p from back b join inn using (k, component) group by all) select f.k slide_id, f.hole, f.area, fg.component parent from fst f join fg on fg.k=f.k and fg.my=f.p//32 and fg.mx=f.p%32-1"
+    )
 
 
-@query(FRONT + HOLES.removeprefix("with recursive ") + ", fst as (select c.slide_id, hole, area, min(my*16+mx) p from comp c join inn using (slide_id, hole) group by all) select f.slide_id, f.hole, f.area, fg.component parent from fst f join fg on fg.slide_id=f.slide_id and fg.my=f.p//16 and fg.mx=f.p%16-1", "mask_px")
+@query(_holes(False), "mask_px")
 def contour_holes(f: Fixtures) -> DataFrame:
-    small, slides = _small(f)
-    return cc.hole_parents(cc.holes(small, slides, 16, 16), cc.components(small, 16))
+    """Pieces of background that hang together by eight neighbours, as filled by size, and the component around each."""
+    return cc.hole_parents(cc.holes(f.mask_px, f.mask_px.select("slide_id").distinct(), SIDE, SIDE, block=BLOCK), _labelled(f))
 
 
-@query()
-def fill_small_holes_whole(f: Fixtures) -> DataFrame:
-    """As fill_small_holes, over whole masks of all slides; a recursive oracle would be too slow."""
-    return cc.filled(f.mask_px, f.slides.select("slide_id"), SIDE, SIDE, 3)
+@query(_holes(True), "mask_px")
+def contour_hierarchy(f: Fixtures) -> DataFrame:
+    """Holes of contours: pieces of background that hang together by four neighbours, and the contour around each."""
+    return cc.hole_parents(cc.holes(f.mask_px, f.mask_px.select("slide_id").distinct(), SIDE, SIDE, connectivity=4, block=BLOCK), _labelled(f))
 
 
-@query()
-def contour_holes_whole(f: Fixtures) -> DataFrame:
-    """As contour_holes, over whole masks of all slides."""
-    return cc.hole_parents(cc.holes(f.mask_px, f.slides.select("slide_id"), SIDE, SIDE), cc.components(f.mask_px, SIDE))
+#: Names of an earlier round, when the plain names did a part of this.
+for _name in ("qc_white", "qc_black", "qc_gray", "qc_blur", "tile_qc", "qc_reindex", "seg_hsv", "median_blur", "seg_threshold", "seg_otsu", "contour_components", "remove_small_components", "roi_boxes", "roi_overlaps", "contour_area", "component_rank", "fill_small_holes", "contour_holes"):
+    again(_name, "_whole")
 
 
 BLOCKS = CANDIDATES + (

@@ -6,18 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridquarry.plans.fixtures import SQL, TABLES, Fixtures, oracle
+from gridquarry.plans.fixtures import Fixtures, oracle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-FUNCTIONS: dict[str, Callable[[Fixtures], DataFrame]] = {}
 
 
 def query(sql: str | None = None, *needs: str) -> Callable:
     """Register fn(fixtures) under its own name."""
 
     def add(fn: Callable[[Fixtures], DataFrame]) -> Callable[[Fixtures], DataFrame]:
-        FUNCTIONS[fn.__name__] = fn
         QUERIES[fn.__name__] = lambda spark, sf_dir: fn(Fixtures(spark, sf_dir))
         if sql is not None:
             ORACLES[fn.__name__] = oracle(sql, *needs)
@@ -26,16 +24,8 @@ def query(sql: str | None = None, *needs: str) -> Callable:
     return add
 
 
-def again(name: str, relation: str, other: str, suffix: str) -> None:
-    """Register a query and its oracle a second time, with another relation in the place of one."""
-    named = {t: t for t in TABLES}
-    fn = FUNCTIONS[name]
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        fixtures = Fixtures(spark, sf_dir)
-        fixtures._made[relation] = getattr(fixtures, other)
-        return fn(fixtures)
-
-    QUERIES[name + suffix] = run
+def again(name: str, suffix: str) -> None:
+    """Register a query and its oracle under a second name."""
+    QUERIES[name + suffix] = QUERIES[name]
     if name in ORACLES:
-        ORACLES[name + suffix] = ORACLES[name].replace(SQL[relation].format(**named), SQL[other].format(**named))
+        ORACLES[name + suffix] = ORACLES[name]

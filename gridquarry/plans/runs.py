@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.functions import names
-from gridquarry.operators import labels, preview, runs
+from gridquarry.operators import labels, preview, provenance, runs
 from gridquarry.plans.fixtures import CANDIDATES, Fixtures
 from gridquarry.plans.registry import query
 from gridquarry.sources import manifest as mf
@@ -102,9 +102,9 @@ def mask_failure_antijoin(f: Fixtures) -> DataFrame:
     return runs.without_failures(f.manifest, f.rows.where("tiling_status = 'failed'")).select("sample_id", "image_path")
 
 
-@query("with p as (select sample_id, min(row_id) input_index from manifest group by 1) select r.row_id, r.sample_id, p.input_index from rows r join p using (sample_id)", "rows", "manifest")
+@query("with p as (select sample_id, min(row_id) input_index from manifest group by 1) select r.row_id, r.sample_id, p.input_index, row_number() over (order by p.input_index, r.annotation nulls first, r.row_id) - 1 out_index from rows r join p using (sample_id)", "rows", "manifest")
 def input_order(f: Fixtures) -> DataFrame:
-    return runs.input_order(f.rows, f.manifest).select("row_id", "sample_id", "input_index")
+    return runs.input_order(f.rows, f.manifest, ("annotation", "row_id")).select("row_id", "sample_id", "input_index", "out_index")
 
 
 @query("with d as (select sample_id, coalesce(nullif(trim(error),''),'unknown error') reason, min(row_id) at_ from rows where tiling_status='failed' group by all) select sample_id, string_agg(reason, ' | ' order by at_) reasons from d group by 1", "rows")
@@ -117,10 +117,31 @@ def progress_snapshot(f: Fixtures) -> DataFrame:
     return runs.progress(f.rows)
 
 
-@query("select count(*) n_empty from slides s where not exists (select 1 from label_px l where l.slide_id=s.slide_id and l.label=3 and l.mx<2 and l.my<8)", "slides", "label_px")
+TOLD = "with told as (select slide_id, mx, my, label from label_px where slide_id%3=0 and label=2), m as (select slide_id, mx, my from told union all select slide_id, mx, my from mask_px where slide_id%3<>0), n as (select s.slide_id, case when s.slide_id%3=0 then 'precomputed' else 'segmented' end tissue_method, count(m.mx) n_px from slides s left join m using (slide_id) group by all)"
+
+
+def _resolved(f: Fixtures) -> tuple[DataFrame, DataFrame]:
+    """A mask file for every third slide, whose label 2 is tissue; the others are segmented."""
+    from gridquarry.operators.tiling import resolve_mask
+
+    slides = f.slides.withColumn("mask_path", F.when(F.col("slide_id") % 3 == 0, F.concat(F.lit("/mask/"), "sample_id")))
+    return resolve_mask(slides, f.label_px.withColumnRenamed("label", "value"), f.mask_px, 2)
+
+
+@query(TOLD + " select slide_id, mx, my from m", "slides", "mask_px", "label_px")
+def resolved_masks(f: Fixtures) -> DataFrame:
+    return _resolved(f)[0]
+
+
+@query(TOLD + " select slide_id, tissue_method, n_px, n_px=0 is_empty from n", "slides", "mask_px", "label_px")
+def mask_provenance(f: Fixtures) -> DataFrame:
+    return _resolved(f)[1]
+
+
+@query(TOLD + " select count(*) filter (where n_px=0 and tissue_method='precomputed') n_empty from n", "slides", "mask_px", "label_px")
 def empty_masks(f: Fixtures) -> DataFrame:
-    own = f.label_px.where("label = 3 and mx < 2 and my < 8").select("slide_id").distinct()
-    return f.slides.join(own, "slide_id", "left_anti").agg(F.count(F.lit(1)).alias("n_empty"))
+    """How many mask files turned out empty."""
+    return _resolved(f)[1].agg(F.count_if(F.col("is_empty") & (F.col("tissue_method") == "precomputed")).alias("n_empty"))
 
 
 @query("select slide_id, greatest(1, least(8, slide_id)) outer_, cast(greatest(1, floor(8.0/greatest(1, least(8, slide_id)))) as int) inner_ from slides", "slides")
@@ -152,10 +173,71 @@ def output_mapping(f: Fixtures) -> DataFrame:
     return named.join(counts, "output_path").select("sample_id", "output_path", (F.col("n") > 1).alias("clash"))
 
 
-@query("select sample_id, '{\"provenance\":{\"sample_id\":\"'||sample_id||'\",\"image_path\":\"'||image_path||'\"},\"tiling\":{\"tile_px\":256,\"row_id\":'||cast(row_id as varchar)||'}}' meta from manifest", "manifest")
+#: Settings of a slide and those stored with its tiles: text, numbers and flags made by rule, one setting changed in each remainder.
+KINDS = dict.fromkeys(("image_path", "mask_path", "backend", "mask_backend", "tissue_method", "sam2_checkpoint_path", "sam2_config_path", "selection_strategy", "output_mode", "annotation"), "varchar(20)") | dict.fromkeys(("filter_white", "filter_black", "filter_grayspace", "filter_blur"), "boolean")
+
+
+def _setting(name: str, place: int, stored: bool) -> str:
+    kind = KINDS.get(name, "double")
+    base = {"varchar(20)": f"'{name[:8]}'", "boolean": f"c_custkey%{place % 3 + 2}=0", "double": f"cast({place}.5 as double)"}[kind]
+    if name == "tissue_method":
+        base = "case when c_custkey%5=0 then 'sam2' else 'hsv' end"
+    if name in ("mask_path", "annotation"):
+        base = f"case when c_custkey%3=0 then {base} end"
+    if not stored:
+        return f"{base} {name}"
+    other = {"varchar(20)": "'other'", "boolean": f"not ({base})", "double": "cast(null as double)"}[kind]
+    return f"case when c_custkey%41={place} then {other} else {base} end {name}"
+
+
+def _settings(stored: bool) -> str:
+    columns = ", ".join(_setting(n, k, stored) for k, n in enumerate(provenance.COMPARED) if n != "sample_id")
+    return f"select concat('slide-', cast(c_custkey as varchar(20))) sample_id, {columns} from {{customer}}" + (" where c_custkey%13<>0" if stored else "")
+
+
+def _compared() -> str:
+    white, black, grey, blur = (f"n.filter_{x}" for x in ("white", "black", "grayspace", "blur"))
+    when = {"mask_backend": "n.mask_path is not null", "tissue_method": "t.mask_path is null", "sam2_checkpoint_path": "t.tissue_method='sam2'", "sam2_config_path": "t.tissue_method='sam2'", "white_threshold": white, "black_threshold": black, "fraction_threshold": f"({white} or {black})", "grayspace_saturation_threshold": grey, "grayspace_fraction_threshold": grey, "blur_threshold": blur, "qc_spacing_um": f"({white} or {black} or {grey} or {blur})"}
+    cases = " ".join(f"when {when.get(n, 'true')} and n.{n} is distinct from t.{n} then '{n}'" for n in provenance.COMPARED)
+    return f"select n.sample_id, case when t.sample_id is null then 'new' {cases} else 'ok' end first_mismatch from now_ n left join then_ t on t.sample_id=n.sample_id"
+
+
+def _typed(sql: str) -> str:
+    return sql.format(customer="customer").replace("varchar(20)", "varchar")
+
+
+@query(f"with now_ as ({_typed(_settings(False))}), then_ as ({_typed(_settings(True))}) {_compared()}")
+def artifact_validation(f: Fixtures) -> DataFrame:
+    """The first of 36 settings in which stored tiles differ from what is asked for."""
+    now, then = (f.spark.sql(_settings(stored), customer=f.table("customer")) for stored in (False, True))
+    return provenance.first_mismatch(now, then).select("sample_id", "first_mismatch")
+
+
+@query("select sample_id, case when row_id%3=0 and row_id%4<>0 then 'none' when row_id%4=0 and (row_id%3<>0 or row_id%5=0) then 'reuse' else 'missing sidecar' end found from manifest", "manifest")
+def artifact_reuse(f: Fixtures) -> DataFrame:
+    arrays = f.manifest.where("row_id % 3 <> 0").select("sample_id")
+    sidecars = f.manifest.where("row_id % 4 = 0").select("sample_id", F.when(F.col("row_id") % 5 == 0, F.lit(0)).otherwise(F.lit(7)).alias("n_tiles"))
+    return provenance.reusable(f.manifest.select("sample_id"), arrays, sidecars).select("sample_id", "found")
+
+
+#: Values by name of the metadata query; every other name is null.
+META = {"sample_id": "m.sample_id", "image_path": "m.image_path", "mask_path": "case when m.row_id%2=0 then '/mask/1.tif' end", "backend": "'vips'", "requested_backend": "'auto'", "spacing_at_level_0": "m.override_um", "dimensions": "[1024, cast(1024+m.row_id%8 as integer)]", "base_spacing_um": "cast(0.25 as double)", "requested_tile_size_px": "256", "requested_spacing_um": "cast(0.5 as double)", "read_level": "1", "overlap": "cast(0.0 as double)", "is_within_tolerance": "true", "n_tiles": "m.row_id", "tissue_method": "'hsv'", "a_t": "4", "filter_white": "m.row_id%3=0", "coordinate_space": "'level_0'", "output_mode": "'per_annotation'"}
+
+
+@query("select m.sample_id, to_json({" + ", ".join(f"'{section}': {{" + ", ".join(f"'{n}': {META.get(n, 'null')}" for n in names) + "}" for section, names in provenance.SECTIONS.items()) + "}) meta from manifest m", "manifest")
 def tiling_metadata(f: Fixtures) -> DataFrame:
-    meta = F.to_json(F.struct(F.struct("sample_id", "image_path").alias("provenance"), F.struct(F.lit(256).alias("tile_px"), "row_id").alias("tiling")))
-    return f.manifest.select("sample_id", meta.alias("meta"))
+    """All six sections with all their names."""
+    spark_sql = {n: v.replace("[1024, ", "array(1024, ").replace("as integer)]", "as int))") for n, v in META.items()}
+    rows = f.manifest.alias("m").select(F.col("m.sample_id").alias("_key"), *(F.expr(v).alias(n) for n, v in spark_sql.items()))
+    return rows.select(F.col("_key").alias("sample_id"), provenance.metadata(rows).cast("string").alias("meta"))
+
+
+STORE = "select cast(o_orderkey%4+1 as int) num_workers, cast(o_orderkey%97 as bigint) tiles, (o_orderkey%11)/cast(4 as double) read_s, (o_orderkey%7)/cast(4 as double) encode_s, (o_orderkey%5)/cast(4 as double) write_s, (o_orderkey%11+o_orderkey%7+o_orderkey%5)/cast(4 as double) total_s, (o_orderkey%64)/cast(8 as double) tiles_per_second from {orders}"
+
+
+@query("with s as (" + STORE.format(orders="orders") + ") select num_workers, cast(sum(tiles) as bigint) tiles, " + ", ".join(f"round(avg({c}_s), 6) mean_{c}_s" for c in ("read", "encode", "write", "total")) + ", " + ", ".join(f"round(avg(case when total_s > 0 then {c}_s/total_s*100 else 0.0 end), 2) mean_{c}_pct" for c in ("read", "encode", "write")) + ", round(avg(tiles_per_second), 2) mean_tiles_per_second, round(stddev_pop(tiles_per_second), 2) std_tiles_per_second from s group by 1")
+def store_summary(f: Fixtures) -> DataFrame:
+    return runs.store_summary(f.spark.sql(STORE, orders=f.table("orders")))
 
 
 @query("select sample_id, case when row_id%2=0 then ['artifact'] else [] end missing, case when row_id%3=0 then ['extra'] else [] end unexpected from manifest", "manifest")
