@@ -31,6 +31,8 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 #: Candidates of the Markov models; numbers alone, such as those of phones and cards, are none.
 TOKEN = re.compile(r"(?<![A-Za-z0-9+/_-])(?=[0-9+/_-]*[A-Za-z])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Candidates have a digit, or more than one change from small to capital letters: words in one case are prose, however long.
+MIXED = re.compile(r"[0-9]|[a-z][A-Z].*[a-z][A-Z]")
 
 SPANS = "doc_id bigint, spans array<struct<kind:string,start:int,end:int>>"
 
@@ -57,7 +59,7 @@ def sample_strings(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
         letters = alphabets[k % len(alphabets)]
         out.append(("".join(letters[i] for i in rng.integers(0, len(letters), int(rng.integers(16, 48)))), True))
         parts = [PARTS[i] for i in rng.integers(0, len(PARTS), int(rng.integers(3, 8)))]
-        style = k % 5
+        style = k % 8
         if style == 0:
             text = "".join(parts)
         elif style == 1:
@@ -66,6 +68,12 @@ def sample_strings(n: int = 4000, seed: int = 11) -> list[tuple[str, bool]]:
             text = "-".join(parts)
         elif style == 3:
             text = parts[0] + "".join(p.capitalize() for p in parts[1:])
+        elif style == 4:
+            text = "".join(parts).upper()
+        elif style == 5:
+            text = "_".join(parts).upper()
+        elif style == 6:
+            text = "".join(p.capitalize() for p in parts) + str(int(rng.integers(0, 2030)))
         else:
             text = "/".join(parts).upper() if k % 2 else "/".join(parts)
         out.append((text, False))
@@ -114,7 +122,7 @@ def find(text: str, models: MarkovPair) -> list[tuple[int, int, int]]:
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     base = list(spans)
     for m in TOKEN.finditer(text):
-        if all(m.end() <= s or e <= m.start() for s, _, e in base) and models.score(m[0]) > models.cut:
+        if MIXED.search(m[0]) and all(m.end() <= s or e <= m.start() for s, _, e in base) and models.score(m[0]) > models.cut:
             spans.append((m.start(), 3, m.end()))
     return sorted(spans)
 

@@ -66,3 +66,26 @@ def test_models_tell_held_out_samples_apart():
     fresh = sc.sample_strings(1000, seed=2)
     assert sum(models.score(t) > models.cut for t, s in fresh if s) > 930
     assert sum(models.score(t) > models.cut for t, s in fresh if not s) < 6
+
+
+def test_precision_on_prose_and_recall_on_random_strings(spark):
+    """Words of the tables' own texts, run together and in any case, are no secrets; random strings nearly all are."""
+    import random
+    import string
+
+    models = sc.train(sc.sample_strings())
+    texts = [r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect() if r.text]
+    words = sorted({w for t in texts for w in re.findall("[A-Za-z]{3,12}", t)})
+    rng = random.Random(4)
+    ordinary = []
+    for _ in range(2000):
+        parts = [rng.choice(words) for _ in range(rng.randrange(3, 6))]
+        style = rng.choice([str.lower, str.upper, str.capitalize])
+        ordinary.append(rng.choice(["", "_", "-", "/"]).join(map(style, parts)))
+    wrong = [t for t in ordinary if sc.find(t, models)]
+    assert len(wrong) <= 20, wrong[:5]
+    letters = string.ascii_letters + string.digits
+    right = sum(bool(sc.find("".join(rng.choices(letters, k=32)), models)) for _ in range(500))
+    assert right >= 485
+    found = [t[s:e] for t in texts for s, k, e in sc.find(t, models) if k == 3]
+    assert all(sc.MIXED.search(x) for x in found)
