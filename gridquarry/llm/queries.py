@@ -104,4 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Scores, Markov spans, alignments, trees and sampled pieces have no SQL; their tests hold them against plain versions."""
+    from gridquarry.llm.oracles import ORACLES
+
+    return dict(ORACLES)
