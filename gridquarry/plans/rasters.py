@@ -18,15 +18,24 @@ LABELLED = "with lab as (select l.slide_id, v.annotation, l.mx, l.my from label_
 BLOCK = 16
 
 
+FOUR = "(values (1,0),(-1,0),(0,1),(0,-1))"
+EIGHT = "(values (1,0),(-1,0),(0,1),(0,-1),(1,1),(1,-1),(-1,1),(-1,-1))"
+
+
+def beside(name: str, pixels: str, four: bool) -> str:
+    """{name}_adj: every pixel of pixels(k, mx, my) with each neighbour (ox, oy)."""
+    return f"{name}_adj as materialized (select a.k, a.mx, a.my, b.mx ox, b.my oy from {pixels} a cross join {FOUR if four else EIGHT} d(dx, dy) join {pixels} b on b.k=a.k and b.mx=a.mx+d.dx and b.my=a.my+d.dy)"
+
+
 def walk(name: str, pixels: str, four: bool = False) -> str:
     """Components for DuckDB: {name}(k, mx, my, component) of pixels(k, mx, my), by passing the smallest place on."""
-    near = "abs(a.mx-b.mx)+abs(a.my-b.my)=1" if four else "abs(a.mx-b.mx)<=1 and abs(a.my-b.my)<=1 and (a.mx<>b.mx or a.my<>b.my)"
-    return f"""{name}_adj as materialized (select a.k, a.mx, a.my, b.mx ox, b.my oy from {pixels} a join {pixels} b on a.k=b.k and {near}),
- {name}_walk(k, mx, my, root) using key (k, mx, my) as (select k, mx, my, my*32+mx from {pixels} union
+    return f"""{beside(name, pixels, four)}, {name}_walk(k, mx, my, root) using key (k, mx, my) as (select k, mx, my, my*32+mx from {pixels} union
  select n.k, n.ox, n.oy, min(w.root) from {name}_walk w join {name}_adj n on n.k=w.k and n.mx=w.mx and n.my=w.my join recurring.{name}_walk o on o.k=n.k and o.mx=n.ox and o.my=n.oy where w.root<o.root group by all),
  {name} as (select k, mx, my, root component from {name}_walk)"""
 
 
+#: The places of background that no way by four neighbours leads to from the raster's edge.
+ENCLOSED = beside("back", "back_px", True) + ", reach(k, mx, my) as (select k, mx, my from back_px where mx in (0,31) or my in (0,31) union select n.k, n.ox, n.oy from reach r join back_adj n on n.k=r.k and n.mx=r.mx and n.my=r.my), enclosed as (select k, mx, my from back_px anti join reach using (k, mx, my))"
 #: Places of a raster that are not of the mask px(k, mx, my).
 BACK = "back_px as (select a.k, a.mx, u.my from (select k, unnest(range(0,32)) mx from (select distinct k from px)) a cross join unnest(range(0,32)) u(my) anti join px m on m.k=a.k and m.mx=a.mx and m.my=u.my)"
 INNER = "inn as (select k, component, count(*) area from back group by all having min(mx)>0 and min(my)>0 and max(mx)<31 and max(my)<31)"
@@ -47,8 +56,8 @@ SPEC = tiling.Spec(tile_px=256, spacing_um=0.5, overlap=0.25, min_coverage=0.3)
 def contour_tiles(limit: float) -> str:
     """kept(k, slide_id, x, y, contour_id, frac) for DuckDB, from px(k, mx, my) and key(k, slide_id): tiles of contours, each on a grid of its own."""
     return (
-        walk("fg", "px") + ", " + SQUARES + ", " + BACK + ", " + walk("back", "back_px", True) + ", " + INNER
-        + f""", rim as (select distinct k, mx+dx mx, my+dy my from (select k, mx, my from back join inn using (k, component)) h, (values (1,0),(-1,0),(0,1),(0,-1)) d(dx,dy)),
+        walk("fg", "px") + ", " + SQUARES + ", " + BACK + ", " + ENCLOSED
+        + f""", rim as (select distinct k, mx+dx mx, my+dy my from enclosed, {FOUR} d(dx,dy)),
  sized as (select key.k, slide_id, slide_w, slide_h, slide_w/cast(32 as double) sx, slide_h/cast(32 as double) sy, cast(round_even(256*cast(0.5 as double)/base_spacing_um,0) as bigint) tile, 16*(cast(0.5 as double)/base_spacing_um) rt from slides join key using (slide_id)),
  grids as (select *, cast(greatest(1.0, round_even(tile*(cast(1 as double)-cast(0.25 as double)),0)) as bigint) step from sized),
  ext as (select k, component contour_id, min(mx) ax, max(mx) bx, min(my) ay, max(my) b_y from fg group by all),
