@@ -9,8 +9,6 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-import re
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -18,9 +16,13 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from gridquarry.shared import stored as stored
+from gridquarry.shared import unstored as unstored
+
+
 SLICE_BYTES = 3 << 20
 
 
@@ -190,39 +192,8 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.  One is made only for a local master, as in tests; on a cluster it has to be set."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-        where = kept.get() if kept.isDefined() else None
-    if not where and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    if not where:
-        import tempfile
-
-        where = tempfile.mkdtemp(prefix="gridquarry-")
-        spark.sparkContext.setCheckpointDir(where)
-    return where
-
-
 def modest_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Lower the session's Arrow batches to `rows` rows: whole texts in batches of Spark's default size fill small executors."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write to the shared folder and read again: cuts lineage, and a lost executor costs no more than its own tasks."""
-    path = f"{shared_dir(df.sparkSession)}/{re.sub('[^a-z0-9]', '-', label)}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def unstored(df: DataFrame) -> None:
-    """Remove what `stored` wrote, when nothing reads it any more."""
-    jvm = df.sparkSession.sparkContext._jvm
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(name)
-        path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
