@@ -1,4 +1,9 @@
+import re
+import zlib
+
 import numpy as np
+import pyarrow as pa
+import xxhash
 from gridquarry.llm import quality as ql
 from gridquarry.llm.queries import op4_quality
 from pyspark.sql import functions as F
@@ -33,3 +38,43 @@ def test_odd_rows(spark):
     assert all((by_id[i] > 0.5) == bool(y) for i, _, y in rows)
     assert ql.quality(docs.limit(0), labels).count() == 0
     assert {r.score for r in ql.quality(docs, labels.where(F.lit(False))).collect()} == {0.5}
+
+
+def test_what_the_vectors_reach_alone(spark):
+    """Held-out accuracy of the pooled vectors without the shares of shapes, repeats and length beside them."""
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").where("quality in (0, 1)").collect()}
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id in labels]
+    x = ql._pooled(pa.array([t for _, t in rows], pa.string()), ql.word_vectors(docs.select("text")))
+    y = np.array([labels[d] for d, _ in rows], float)
+    apart = np.array([zlib.crc32(str(d).encode()) % 3 == 1 for d, _ in rows])
+    right = {}
+    for name, columns in (("vectors", slice(0, 2 * ql.DIMS)), ("all", slice(None))):
+        p = ql.fit_network(x[~apart][:, columns], y[~apart]).probability(x[apart][:, columns])
+        right[name] = ((p >= 0.5) == (y[apart] == 1)).mean()
+    assert right["vectors"] > 0.95
+    assert right["all"] >= right["vectors"]
+
+
+def plain_row(text, vectors):
+    """The features of a text by a loop over its words."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    total, squares, shapes, again = np.zeros(ql.DIMS), np.zeros(ql.DIMS), np.zeros(len(ql.SHAPES)), 0
+    for k, w in enumerate(words):
+        tail, shape = ql._tail(w), ql._shape(w)
+        stem = w[: len(w) - len(tail)].lower() + b"\x00" + bytes([65 + shape]) + tail
+        v = vectors[xxhash.xxh3_64_intdigest(stem) % ql.ROWS]
+        total, squares = total + v, squares + v * v
+        shapes[shape] += 1
+        again += k > 0 and words[k - 1] == w
+    n = max(1, len(words))
+    mean = total / n
+    return np.concatenate([mean, np.sqrt(np.maximum(squares / n - mean**2, 0)), shapes / n, [again / n, np.log1p(len(words)) / 10]])
+
+
+def test_features_equal_plain_loops(spark):
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").limit(150).collect()] + [None, "", "a"]
+    vectors = np.random.default_rng(1).normal(size=(ql.ROWS, ql.DIMS))
+    got = ql._pooled(pa.array(texts, pa.string()), vectors)
+    assert np.allclose(got, [plain_row(t, vectors) for t in texts], atol=1e-6)
