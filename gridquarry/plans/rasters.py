@@ -119,6 +119,16 @@ def generate_tiles(f: Fixtures) -> DataFrame:
     return tiling.from_mask(f.mask_px, with_levels(f.slides, f.pyramid), SIDE, SIDE, SPEC, block=BLOCK).select("slide_id", "x", "y", "contour_id", "frac", "tile_index")
 
 
+@query()
+def preprocess_slides(f: Fixtures) -> DataFrame:
+    """From thumbnails to tiles: segmentation by colour, a mask for every slide, contours, grids, coverage, index."""
+    from gridquarry.operators.levels import with_levels
+
+    slides = f.slides.withColumn("mask_path", F.when(F.col("slide_id") % 3 == 0, F.col("sample_id")))
+    mask, _ = tiling.resolve_mask(slides, f.label_px.withColumnRenamed("label", "value"), seg.segmented(f.rgb_px, "threshold", 60, 1, 3), 2)
+    return tiling.from_mask(mask, with_levels(f.slides, f.pyramid), SIDE, SIDE, SPEC, block=BLOCK)
+
+
 #: Labels on every second pixel as well as on their own, so that some pixels have two.
 DOUBLE = LABELLED + ", two as (select * from lab union select slide_id, 'stroma', mx, my from lab where (mx+my)%2=0)"
 

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import importlib
 import io
 import json
 import struct
 import tarfile
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -90,23 +91,65 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows)) + chunk(b"IEND", b"")
 
 
-def tile_archives(pixels: DataFrame, keys: tuple[str, ...] = ("slide_id",)) -> DataFrame:
-    """pixels: slide_id, tile_index, x, y, r, g, b inside tiles.  One tar for each slide with a PNG for each tile, and how many it holds."""
+def encoder(name: str = "png") -> Callable[[np.ndarray], bytes]:
+    """What turns RGB pixels into bytes.  png is always there; pil and turbojpeg make JPEG and need their libraries, and nothing stands in for one that is missing."""
+    if name == "png":
+        return png
+    if name not in ("pil", "turbojpeg"):
+        raise ValueError(f"unknown encoder {name!r}")
+    try:
+        module = importlib.import_module("PIL.Image" if name == "pil" else "turbojpeg")
+    except ImportError as error:
+        raise RuntimeError(f"encoder {name!r} needs {'Pillow' if name == 'pil' else 'PyTurboJPEG'}") from error
+    if name == "turbojpeg":
+        return lambda pixels: module.TurboJPEG().encode(np.ascontiguousarray(pixels), quality=90, pixel_format=module.TJPF_RGB)
+
+    def with_pil(pixels: np.ndarray) -> bytes:
+        out = io.BytesIO()
+        module.fromarray(pixels).save(out, "JPEG", quality=90)
+        return out.getvalue()
+
+    return with_pil
+
+
+#: Tiles in one archive; a slide with more has several, so that a task's memory does not grow with the slide.
+PART = 1000
 
-    def encode(frame: pd.DataFrame) -> pd.DataFrame:
+
+def tile_archives(pixels: DataFrame, part: int | None = None, encode: str = "png") -> DataFrame:
+    """pixels: slide_id, tile_index, x, y, r, g, b inside tiles.  Tars of `part` tiles (PART if not stated) with a picture for each: slide_id, part, n_tiles, tar."""
+    draw, end = encoder(encode), "png" if encode == "png" else "jpg"
+
+    def picture(frame: pd.DataFrame) -> pd.DataFrame:
         size = int(frame["x"].max()) + 1, int(frame["y"].max()) + 1
         image = np.zeros((size[1], size[0], 3), np.uint8)
         image[frame["y"], frame["x"]] = frame[["r", "g", "b"]].to_numpy()
-        return pd.DataFrame({"slide_id": [frame["slide_id"].iloc[0]], "tile_index": [frame["tile_index"].iloc[0]], "data": [png(image)]})
+        return pd.DataFrame({"slide_id": [frame["slide_id"].iloc[0]], "tile_index": [frame["tile_index"].iloc[0]], "data": [draw(image)]})
+
+    return _archived(pixels.groupBy("slide_id", "tile_index").applyInPandas(picture, "slide_id bigint, tile_index int, data binary"), part or PART, end)
+
+
+def record_archives(records: DataFrame, part: int | None = None, encode: str = "png") -> DataFrame:
+    """As tile_archives, from records of decoded tiles (slide_id, tile_index, width, height, data)."""
+    draw, end = encoder(encode), "png" if encode == "png" else "jpg"
+
+    def pictures(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            data = [draw(np.frombuffer(d, np.uint8).reshape(h, w, 3)) for d, w, h in zip(frame["data"], frame["width"], frame["height"], strict=True)]
+            yield frame[["slide_id", "tile_index"]].assign(data=data)
+
+    return _archived(records.select("slide_id", "tile_index", "width", "height", "data").mapInPandas(pictures, "slide_id bigint, tile_index int, data binary"), part or PART, end)
+
 
+def _archived(pictures: DataFrame, part: int, end: str) -> DataFrame:
     def archive(frame: pd.DataFrame) -> pd.DataFrame:
         out = io.BytesIO()
         with tarfile.open(fileobj=out, mode="w") as tar:
             for index, data in frame.sort_values("tile_index")[["tile_index", "data"]].itertuples(index=False):
-                info = tarfile.TarInfo(f"{index:06d}.png")
+                info = tarfile.TarInfo(f"{index:06d}.{end}")
                 info.size = len(data)
                 tar.addfile(info, io.BytesIO(data))
-        return pd.DataFrame({"slide_id": [frame["slide_id"].iloc[0]], "n_tiles": [len(frame)], "tar": [out.getvalue()]})
+        return pd.DataFrame({"slide_id": [frame["slide_id"].iloc[0]], "part": [frame["part"].iloc[0]], "n_tiles": [len(frame)], "tar": [out.getvalue()]})
 
-    tiles = pixels.groupBy(*keys, "tile_index").applyInPandas(encode, "slide_id bigint, tile_index int, data binary")
-    return tiles.groupBy(*keys).applyInPandas(archive, "slide_id bigint, n_tiles int, tar binary")
+    parts = pictures.withColumn("part", F.floor(F.col("tile_index") / part).cast("int"))
+    return parts.groupBy("slide_id", "part").applyInPandas(archive, "slide_id bigint, part int, n_tiles int, tar binary")

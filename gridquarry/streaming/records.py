@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 RECORDS = "slide_id bigint, tile_index int, x bigint, y bigint, width int, height int, data binary"
 
 
-def tile_records(found: DataFrame, spacing_um: float, size: int, tolerance: float = 0.05, span: int = 8) -> DataFrame:
+def tile_records(found: DataFrame, spacing_um: float, size: int, tolerance: float = 0.05, span: int = 8, unreadable: str = "fail") -> DataFrame:
     """found: slide_id, tile_index, x, y, tile, image_path, backend, base_spacing_um.  One row for each tile with its RGB bytes.
 
     Tiles are dealt out by squares of `span` tiles, so that a task opens few slides, reads
     neighbours together, and no slide has to fit into one task.  Records leave one by one.
+    unreadable: fail, or skip tiles that cannot be read (quality control then keeps them).
     """
     side = F.col("tile") * span
     cells = found.select("slide_id", "tile_index", "x", "y", "image_path", "backend", "base_spacing_um", F.floor(F.col("x") / side).alias("_bx"), F.floor(F.col("y") / side).alias("_by"))
@@ -28,10 +29,15 @@ def tile_records(found: DataFrame, spacing_um: float, size: int, tolerance: floa
         path, slide = None, None
         for batch in batches:
             for row in batch.to_pylist():
-                if row["image_path"] != path:
-                    path = row["image_path"]
-                    slide = Slide.open(path, row["backend"], row["base_spacing_um"])
-                pixels: np.ndarray = slide.region_at(row["x"], row["y"], spacing_um, size, size, tolerance)
+                try:
+                    if row["image_path"] != path:
+                        slide = Slide.open(row["image_path"], row["backend"], row["base_spacing_um"])
+                        path = row["image_path"]
+                    pixels: np.ndarray = slide.region_at(row["x"], row["y"], spacing_um, size, size, tolerance)
+                except (OSError, RuntimeError, ValueError):
+                    if unreadable != "skip":
+                        raise
+                    continue
                 values = (row["slide_id"], row["tile_index"], row["x"], row["y"], pixels.shape[1], pixels.shape[0], pixels.tobytes())
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names=["slide_id", "tile_index", "x", "y", "width", "height", "data"])

@@ -1,6 +1,8 @@
 """Runs over many slides, reads of slides, neighbourhood filters, previews: small cases against plain versions."""
 
+import io
 import json
+import tarfile
 
 import numpy as np
 import pytest
@@ -9,9 +11,10 @@ from gridquarry import batch
 from gridquarry.operators import qc, rendering, runs, tiling
 from gridquarry.operators import segmentation as seg
 from gridquarry.sources import slides as sl
-from gridquarry.sources.artifacts import png
+from gridquarry.sources.artifacts import encoder, png, record_archives
 from gridquarry.sources.rasters import decode_png
 from gridquarry.streaming.records import record_pixels, tile_records
+from pyspark.sql import functions as F
 
 
 def table(values, column="v"):
@@ -131,6 +134,19 @@ def test_tile_records_and_openability(spark, tmp_path):
     assert (got[2][:4, :6] == pixels[16:, 24:]).all()
     assert (got[2][4:] == 255).all()
     assert record_pixels(found).count() == 3 * 64
+    archives = record_archives(found, part=2).orderBy("part").collect()
+    assert [(r.part, r.n_tiles) for r in archives] == [(0, 2), (1, 1)]
+    with tarfile.open(fileobj=io.BytesIO(bytes(archives[1].tar))) as tar:
+        (member,) = tar.getmembers()
+        assert member.name == "000002.png"
+        assert (decode_png(tar.extractfile(member).read()) == got[2]).all()
+    with pytest.raises(ValueError, match="unknown encoder"):
+        encoder("bmp")
+    limits = qc.Limits(white_share=0.3, black_share=None, grey_share=None, blur_least=None)
+    tiles = spark.createDataFrame([(1, 0, 0, 8), (1, 24, 16, 8), (2, 0, 0, 8)], "slide_id bigint, x bigint, y bigint, tile int").withColumn("tile_index", F.lit(9))
+    slides = spark.createDataFrame([(1, str(tmp_path / "a.png"), "pil", 0.5), (2, "/nowhere.png", "pil", 0.5)], "slide_id bigint, image_path string, backend string, base_spacing_um double")
+    kept = tiling.checked_tiles(tiles, slides, limits, tiling.Spec(tile_px=8), 0.5).collect()
+    assert sorted((r.slide_id, r.x, r.tile_index) for r in kept) == [(1, 0, 0), (2, 0, 0)]
     told = {r.image_path: r.ok for r in runs.openable(spark.createDataFrame([(str(tmp_path / "a.png"),), ("/nowhere.png",)], "image_path string")).collect()}
     assert told == {str(tmp_path / "a.png"): True, "/nowhere.png": False}
 
