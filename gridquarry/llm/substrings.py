@@ -40,7 +40,7 @@ PART = 4096
 SLICE = 6 << 20
 #: A run is hot if it starts at least HOT_LEAST super-k-mers and more than one in HOT_SHARE of all; so there are never more than HOT_SHARE hot runs.
 HOT_LEAST, HOT_SHARE = 2_000, 2_000_000
-#: Bytes of text to a bucket, and parts in which a bucket is judged; a part's strings are about three times its text.
+#: Bytes of text to a task of four buckets, and parts in which a bucket is judged; strings are about three times their text.
 BUCKET, PARTS = 128 << 20, 32
 #: Strings of a part that wait in memory before they are compressed.
 WAITING = 1 << 20
@@ -302,15 +302,16 @@ def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def drop_repeated(docs: DataFrame, length: int = 35, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept: the words outside every repeated window, joined by one space.
 
-    buckets: as many as the bytes of all texts ask for, at BUCKET bytes each, and enough for every shuffle partition to have some.
+    buckets: four to a task, and as many tasks as the bytes of all texts ask for, at BUCKET bytes each, but no fewer than the session has shuffle partitions.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     keyed = docs.withColumn("h", F.xxhash64("text"))
     hot, size = _counted(docs, length)
-    buckets = buckets or max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
+    buckets = buckets or 4 * tasks
     strings = docs.select("text").mapInArrow(_strings(length, hot, buckets), STRINGS)
-    verdicts = strings.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(length), VERDICTS)
+    verdicts = strings.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(_verdicts(length), VERDICTS)
     places = keyed.mapInArrow(_places(length, hot), PLACES)
     moved = F.transform(F.arrays_zip("starts", "ends"), lambda x: F.struct((x["starts"] + F.col("start")).alias("s"), (x["ends"] + F.col("start")).alias("e")))
     spans = places.join(verdicts, ["hi", "lo"]).select("doc_id", "h", moved.alias("spans")).groupBy("doc_id", "h").agg(F.flatten(F.collect_set("spans")).alias("spans"))
