@@ -19,8 +19,9 @@ vectors' cell names tell, so links are counted without listing pairs.
 
 Defined cases: a null label, or a vector that is null, empty, zero or holds null
 or non-finite numbers, links with nothing; vectors of different length do not
-link; rows that are there twice link like other copies; other columns are
-ignored.
+link; rows that are there twice link like other copies; a null id takes part,
+but names a component only where all its ids are null, and is not kept; other
+columns are ignored.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ chosen on a part of the sample kept apart, makes its outputs probabilities.
 
 Defined cases: null text is scored like empty text, whose pooled vector is zero;
 without labelled rows of both kinds every score is 0.5; repeated rows get equal
-scores.  Other columns are ignored.
+scores; of different labels of one id the larger counts.  Other columns are
+ignored.
 """
 
 from __future__ import annotations

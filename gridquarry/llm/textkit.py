@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -192,6 +192,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 3 == 1, F.lit(False))
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """The name, or one like it that no column has."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def modest_batches(spark: SparkSession, rows: int = 2_000) -> None:
     """Lower the session's Arrow batches to `rows` rows: whole texts in batches of Spark's default size fill small executors."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

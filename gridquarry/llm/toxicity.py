@@ -14,7 +14,8 @@ the smallest hash of their id); scoring reads every text whole.
 Defined cases: null text is scored like empty text; words are those of the
 whole text; a text without any known word gets the score of the bias; without
 labelled rows the model falls back on the built-in lexicons; repeated rows get
-equal scores.  Other columns are ignored.
+equal scores; of different labels of one id the larger counts.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -280,6 +281,12 @@ def flagged(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(out_col, DoubleType())]))
 
 
+def below(docs: DataFrame, model: Model, cut: float = 0.7, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, that score less than the cut."""
+    name = tk.free("_score", docs.columns)
+    return flagged(docs, model, text_col, name).where(F.col(name) < cut).drop(name)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, max_rows: int = 8_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
     """Fit on the labelled rows whose id is not held out, then score all documents."""
     model = fit(docs, labels.where(~tk.held_out(F.col(id_col))), max_rows, id_col, text_col, label_col)

@@ -65,3 +65,15 @@ def test_odd_rows(spark):
         got = {r.doc_id: r for r in own.select("doc_id", "lossless").collect()}
         assert set(got) <= {1, 2, None, 3, 5}
         assert all(r.lossless for r in got.values())
+
+
+def test_other_columns_stay_whatever_their_names(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["_k", "_h", "_hit", "_score", "toxic_score", "hi", "first", "_row", "size"]
+    wide = docs.selectExpr("*", *(f"doc_id + {k} as `{n}`" for k, n in enumerate(names)))
+    plain = docs
+    for name, stage in cp.STAGES[:-1]:
+        wide, plain = tk.stored(stage(spark, wide, SF), name), tk.stored(stage(spark, plain, SF), name)
+        assert wide.columns == [*docs.columns, *names]
+        assert {r.doc_id for r in wide.collect()} == {r.doc_id for r in plain.collect()}
+        assert all(r[n] == r.doc_id + k for r in wide.collect() for k, n in enumerate(names))
