@@ -19,7 +19,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.7 or more go.  The model learns from the labels of documents that came in and are not held out."""
     tk.modest_batches(spark)
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~tk.held_out(F.col("doc_id")))
-    return toxicity.flagged(docs, toxicity.fit(docs, labels)).where(F.col("toxic_score") < 0.7).drop("toxic_score")
+    return toxicity.below(docs, toxicity.fit(docs, labels), 0.7)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
