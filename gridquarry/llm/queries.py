@@ -99,8 +99,35 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third checksum's text is tampered with; what its leaf and the siblings lead to is held against the root."""
+    from gridquarry.llm import merkle
+
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    altered = F.when(F.crc32(F.col("doc_id").cast("string")) % 3 == 0, merkle.hashed([lowered if c == "text" else F.col(c) for c in columns]))
+    found = merkle.manifest(_read(spark, sf_dir, "documents"), columns, "lang", "doc_id", {"altered": altered})
+    folded = merkle.folded(F.coalesce("altered", "leaf"), F.col("path"))
+    told = found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("path")), 256).alias("proof_sha256"), folded.alias("folded_root"))
+    return told.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damage by rule, and what it takes to mend it."""
+    from gridquarry.llm import dialogues
+
+    conversations = _read(spark, sf_dir, "conversations")
+    return dialogues.Repair(dialogues.damaged(conversations)).report(conversations)
+
+
+def op13_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridquarry.llm.onebit import nearest
+
+    return nearest(_read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_licenses, op4_quality, op5_html, op6_decontaminate, op7_jaccard_join, op8_substring_dedup, op9_embedding_dedup, op10_pieces)}
+    return {f.__name__: f for f in (op1_toxicity, op2_secrets, op3_licenses, op4_quality, op5_html, op6_decontaminate, op7_jaccard_join, op8_substring_dedup, op9_embedding_dedup, op10_pieces, op11_merkle_manifest, op12_conversation_repair, op13_nearest)}
 
 
 def oracle_sql() -> dict[str, str]:
