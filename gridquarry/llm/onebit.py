@@ -78,31 +78,32 @@ def bounds(codes: np.ndarray, length: np.ndarray, agreement: np.ndarray, asked:
     return both - scale * np.minimum(inner + error, 1.0), both - scale * np.maximum(inner - error, -1.0)
 
 
-def squares(x: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Squared distances of pairs of rows, summed from the first dimension to the last."""
+def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Distances of pairs of rows, summed from the first dimension to the last."""
     total = np.zeros(len(x))
     for k in range(x.shape[1]):
         total += (x[:, k] - q[:, k]) ** 2
-    return total
+    return np.sqrt(total)
 
 
 class Best:
-    """For each query the k nearest so far: squared distance, id (nulls last) and row number."""
+    """For each query the k nearest so far: distance, id (nulls last) and row number."""
 
     def __init__(self, n: int, k: int):
-        self.square, self.none = np.full((n, k), np.inf), np.ones((n, k), bool)
+        self.far, self.none = np.full((n, k), np.inf), np.ones((n, k), bool)
         self.ids, self.rows = np.full((n, k), np.iinfo(np.int64).max), np.full((n, k), -1)
 
     def limit(self) -> np.ndarray:
-        return self.square[:, -1]
+        """Squared distances beyond which nothing is among the nearest."""
+        return self.far[:, -1] ** 2
 
-    def add(self, at: np.ndarray, square: np.ndarray, ids: np.ndarray, none: np.ndarray, rows: np.ndarray) -> None:
+    def add(self, at: np.ndarray, far: np.ndarray, ids: np.ndarray, none: np.ndarray, rows: np.ndarray) -> None:
         """Candidates for queries `at`; those of one query stand together."""
         for q in np.unique(at).tolist():
             own = slice(*np.searchsorted(at, [q, q + 1]))
-            every = [np.concatenate(pair) for pair in ((self.square[q], square[own]), (self.none[q], none[own]), (self.ids[q], ids[own]), (self.rows[q], rows[own]))]
-            order = np.lexsort((every[3], every[2], every[1], every[0]))[: self.square.shape[1]]
-            self.square[q], self.none[q], self.ids[q], self.rows[q] = (e[order] for e in every)
+            every = [np.concatenate(pair) for pair in ((self.far[q], far[own]), (self.none[q], none[own]), (self.ids[q], ids[own]), (self.rows[q], rows[own]))]
+            order = np.lexsort((every[3], every[2], every[1], every[0]))[: self.far.shape[1]]
+            self.far[q], self.none[q], self.ids[q], self.rows[q] = (e[order] for e in every)
 
 
 def _vectors(column: pa.Array, kind: str) -> np.ndarray:
@@ -158,7 +159,7 @@ def _coded(kind: str, centres: dict[int, np.ndarray], times: int):
 
 def _met(kind_of: str, centres: dict[int, np.ndarray], times: int, k: int, sure: float):
     """Cells of the grid: first the queries of a cell, then its rows; the k nearest of each query among them."""
-    names = ["query_row", "query_id", "row", "id", "square"]
+    names = ["query_row", "query_id", "row", "id", "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cell, asked, found = None, [], None
@@ -169,7 +170,7 @@ def _met(kind_of: str, centres: dict[int, np.ndarray], times: int, k: int, sure:
                 return
             at, place = np.nonzero(found.rows >= 0)
             told_ids = pa.array(found.ids[at, place], mask=found.none[at, place])
-            yield pa.RecordBatch.from_arrays([pa.array(numbers[at]), pa.array(ids[at]), pa.array(found.rows[at, place]), told_ids, pa.array(found.square[at, place])], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array(numbers[at]), pa.array(ids[at]), pa.array(found.rows[at, place]), told_ids, pa.array(found.far[at, place])], names=names)
 
         for batch in batches:
             keys = [batch.column(c).to_numpy() for c in ("size", "strip", "share")]
@@ -210,7 +211,7 @@ def _met(kind_of: str, centres: dict[int, np.ndarray], times: int, k: int, sure:
                         at, which = np.nonzero(near.T)
                         for begin in range(0, len(at), 1 << 17):
                             q, r = at[begin : begin + (1 << 17)] + first, which[begin : begin + (1 << 17)]
-                            found.add(q, squares(x[r], queries[q]), own_ids[r], own_none[r], own_rows[r])
+                            found.add(q, distances(x[r], queries[q]), own_ids[r], own_none[r], own_rows[r])
         yield from told()
 
     return run
@@ -235,10 +236,10 @@ def nearest(vectors: DataFrame, asks: Column, k: int = 10, id_col: str = "vec_id
     asking = rows.where("asks").drop("asks").withColumn("kind", F.lit(0)).withColumn("share", own(shares)).withColumn("strip", each(strips))
     both = searched.unionByName(asking, allowMissingColumns=True)
     dealt = both.repartitionById(strips * shares, F.col("strip") * shares + F.col("share")).sortWithinPartitions("size", "strip", "share", "kind")
-    met = dealt.mapInArrow(_met(kind, centres, times, k, sure), "query_row bigint, query_id bigint, row bigint, id bigint, square double")
-    order = W.partitionBy("query_row").orderBy("square", F.col("id").asc_nulls_last(), "row")
+    met = dealt.mapInArrow(_met(kind, centres, times, k, sure), "query_row bigint, query_id bigint, row bigint, id bigint, score double")
+    order = W.partitionBy("query_row").orderBy("score", F.col("id").asc_nulls_last(), "row")
     best = met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return best.select("query_id", "rank", F.col("id").alias(id_col), F.sqrt("square").alias("score"))
+    return best.select("query_id", "rank", F.col("id").alias(id_col), "score")
 
 
 def _centres(rows: DataFrame, kind: str, most: int = 64) -> dict[int, np.ndarray]:
