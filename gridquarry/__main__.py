@@ -20,7 +20,7 @@ def main(arguments: list[str] | None = None, spark: SparkSession | None = None)
     parser.add_argument("settings", nargs="*", help="key=value, with dots for nested keys; values are JSON where they parse as such")
     told = parser.parse_args(arguments)
     settings = config.load(told.config, told.settings)
-    if missing := [k for k in ("manifest", "pyramids", "masks", "out", "mask_size") if k not in settings]:
+    if missing := [k for k in ("manifest", "out", "mask_size") if k not in settings]:
         parser.error(f"settings missing: {', '.join(missing)}")
     spark = spark or SparkSession.builder.appName("gridquarry").getOrCreate()
     ship_package(spark)

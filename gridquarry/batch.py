@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import json
 import warnings
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridquarry import outcomes
 from gridquarry.functions import names
-from gridquarry.operators import levels, runs, sampling, tiling
+from gridquarry.operators import levels, provenance, qc, runs, sampling, tiling
 from gridquarry.shared import stored
-from gridquarry.sources import sinks
+from gridquarry.store import RunStore
 
 
 class PartialFailure(UserWarning):
@@ -45,36 +48,64 @@ def problems(manifest: DataFrame, pyramids: DataFrame, spec: tiling.Spec) -> Dat
     return there.select("sample_id", error.alias("error")).where("error is not null")
 
 
-def tile_slides(manifest: DataFrame, pyramids: DataFrame, masks: DataFrame, mask_w: int, mask_h: int, spec: tiling.Spec, vocabulary: DataFrame | None = None, strategy: str = "independent", output: str = "per_annotation", earlier: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(tiles, rows): tiles by sample_id and annotation, and a status row for each, in the order of the manifest.
+@dataclass(frozen=True)
+class Outcome:
+    """What a run has made: tiles and status rows, the pairs (sample_id, annotation) that were worked on, and the slides' sizes and read plans."""
 
-    earlier: rows of a run before; slides with a success there keep that row and are not tiled again.
+    tiles: DataFrame
+    rows: DataFrame
+    worked: DataFrame
+    sized: DataFrame
+
+
+def wanted_annotations(vocabulary: DataFrame | None, output: str) -> list[str]:
+    if vocabulary is None:
+        return ["tissue"]
+    return ["merged"] if output == "merged" else sorted(tiling.active_labels(vocabulary))
+
+
+def tile_slides(manifest: DataFrame, pyramids: DataFrame, masks: DataFrame, mask_w: int, mask_h: int, spec: tiling.Spec, vocabulary: DataFrame | None = None, strategy: str = "independent", output: str = "per_annotation", keep: DataFrame | None = None, errors: DataFrame | None = None, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> Outcome:
+    """Tiles by sample_id and annotation, and a status row for each, in the order of the manifest.
+
+    keep: sample_id, annotation and n_tiles of results that stand; they get a row and are not
+    worked on.  Where annotations share their grids (joint sampling, merged output), those of a
+    slide stand together or not at all.  errors: sample_id and error of slides that are known to be
+    broken.  check: from tiles (slide_id, annotation, ...) and slides to the tiles that pass.
     """
     listed = stored(checked(manifest).withColumn("row_id", F.monotonically_increasing_id()), "manifest")
-    todo = listed
-    if earlier is not None:
-        done = earlier.where(F.col("tiling_status") == runs.SUCCESS)
-        todo = listed.join(done.select("sample_id").distinct(), "sample_id", "left_anti")
-    bad = stored(problems(todo, pyramids, spec), "problems")
-    good = todo.join(bad, "sample_id", "left_anti").withColumn("slide_id", F.col("row_id"))
-    slides, pyramid, own = _inputs(good, pyramids, masks)
+    wanted = wanted_annotations(vocabulary, output)
+    pairs = listed.select("sample_id").withColumn("annotation", F.explode(F.array(*[F.lit(a) for a in wanted])))
+    kept = pairs.where(F.lit(False)).withColumn("n_tiles", F.lit(0)) if keep is None else keep.select("sample_id", "annotation", F.col("n_tiles").cast("int").alias("n_tiles")).join(pairs, ["sample_id", "annotation"], "left_semi")
+    if vocabulary is not None and (strategy == "joint" or output == "merged"):
+        kept = kept.join(kept.groupBy("sample_id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") == len(wanted)), "sample_id", "left_semi")
+    kept = stored(kept, "kept")
+    todo = stored(pairs.join(kept, ["sample_id", "annotation"], "left_anti"), "todo")
+    own = listed.join(todo, "sample_id", "left_semi")
+    known = problems(own, pyramids, spec) if errors is None else outcomes.first_errors(errors.join(own, "sample_id", "left_semi"), problems(own, pyramids, spec))
+    bad = stored(known, "problems")
+    good = own.join(bad, "sample_id", "left_anti").withColumn("slide_id", F.col("row_id"))
+    slides, _, own_masks = _inputs(good, pyramids, masks)
+    todo_ids = todo.join(good.select("sample_id", "slide_id"), "sample_id").select("slide_id", "annotation")
     if vocabulary is None:
-        found = tiling.from_mask(own.drop("label") if "label" in own.columns else own, slides, mask_w, mask_h, spec).withColumn("annotation", F.lit("tissue"))
-        wanted = ["tissue"]
+        found = tiling.from_mask(own_masks.drop("label") if "label" in own_masks.columns else own_masks, slides, mask_w, mask_h, spec).withColumn("annotation", F.lit("tissue"))
     else:
-        found = tiling.per_annotation(sampling.split(own, vocabulary), slides, vocabulary, mask_w, mask_h, spec, strategy, output)
-        wanted = ["merged"] if output == "merged" else sorted(tiling.active_labels(vocabulary))
+        split = sampling.split(own_masks, vocabulary)
+        if strategy == "independent" and output == "per_annotation":
+            split = split.join(todo_ids, ["slide_id", "annotation"], "left_semi")
+        found = tiling.per_annotation(split, slides, vocabulary, mask_w, mask_h, spec, strategy, output)
         found = found.withColumn("annotation", F.coalesce("annotation", F.lit("merged")))
+    found = stored(found.select("slide_id", "annotation", "tile_index", "x", "y", "frac"), "found")
+    if check is not None:
+        found = check(found, slides.join(good.select("slide_id", "image_path"), "slide_id"))
     tiles = stored(found.join(good.select("slide_id", "sample_id"), "slide_id").select("sample_id", "annotation", "tile_index", "x", "y", "frac"), "tiles")
     counts = tiles.groupBy("sample_id", "annotation").agg(F.count(F.lit(1)).cast("int").alias("n"))
-    each = good.select("sample_id").withColumn("annotation", F.explode(F.array(*[F.lit(a) for a in wanted])))
-    went = each.join(counts, ["sample_id", "annotation"], "left").select("sample_id", "annotation", F.coalesce("n", F.lit(0)).alias("num_tiles"), F.lit(None).cast("string").alias("error"))
+    went = todo.join(good.select("sample_id"), "sample_id", "left_semi").join(counts, ["sample_id", "annotation"], "left").select("sample_id", "annotation", F.coalesce("n", F.lit(0)).alias("num_tiles"), F.lit(None).cast("string").alias("error"))
+    stood = kept.select("sample_id", "annotation", F.col("n_tiles").alias("num_tiles"), F.lit(None).cast("string").alias("error"))
     failed = bad.select("sample_id", F.lit(None).cast("string").alias("annotation"), F.lit(0).alias("num_tiles"), "error")
-    rows = runs.process_rows(listed.select("sample_id", "image_path"), went.unionByName(failed))
-    if earlier is not None:
-        rows = rows.unionByName(done.join(listed.select("sample_id"), "sample_id", "left_semi").select(rows.columns))
+    rows = runs.process_rows(listed.select("sample_id", "image_path"), went.unionByName(stood).unionByName(failed))
     ordered = runs.input_order(rows, listed).drop("input_index").withColumnRenamed("out_index", "row_id")
-    return tiles, stored(ordered, "rows")
+    sized = tiling.geometry(slides, spec).join(good.select("slide_id", "sample_id"), "slide_id")
+    return Outcome(tiles, stored(ordered, "rows"), todo, sized)
 
 
 def _inputs(good: DataFrame, pyramids: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -84,31 +115,102 @@ def _inputs(good: DataFrame, pyramids: DataFrame, masks: DataFrame) -> tuple[Dat
     return levels.with_levels(base, pyramid), pyramid, masks.join(good.select("sample_id", "slide_id"), "sample_id").drop("sample_id")
 
 
+def wanted_settings(manifest: DataFrame, spec: tiling.Spec, limits: qc.Limits | None, vocabulary: DataFrame | None, strategy: str, output: str, mask_size: tuple[int, int], backend: str, qc_spacing_um: float) -> DataFrame:
+    """One row for each sample and annotation: all that is compared, and the mask's size and label, which tell results apart too."""
+    limits = limits or NO_LIMITS
+    lit, none = F.lit, lambda kind: F.lit(None).cast(kind)
+    labels = None if vocabulary is None or output == "merged" else vocabulary.select("annotation", F.col("value").cast("string").alias("label"), F.coalesce(F.col("min_coverage"), F.lit(0.0)).cast("double").alias("least"))
+    own = manifest.withColumn("annotation", F.explode(F.array(*[lit(a) for a in wanted_annotations(vocabulary, output)])))
+    if labels is not None:
+        own = own.join(F.broadcast(labels), "annotation")
+    elif vocabulary is not None:
+        told = sorted((r["annotation"], r["value"], r["min_coverage"]) for r in vocabulary.limit(257).collect())
+        own = own.withColumn("label", lit(json.dumps(told))).withColumn("least", none("double"))
+    else:
+        own = own.withColumn("label", none("string")).withColumn("least", lit(spec.min_coverage))
+    on = lambda share: lit(share is not None)
+    number = lambda x: lit(x).cast("double")
+    values = {
+        "sample_id": F.col("sample_id"), "annotation": F.col("annotation"), "image_path": F.col("image_path"), "mask_path": F.col("mask_path"), "spacing_at_level_0": F.col("spacing_at_level_0"), "backend": lit(backend), "mask_backend": F.when(F.col("mask_path").isNotNull(), lit(backend)),
+        "requested_spacing_um": number(spec.spacing_um), "requested_tile_size_px": lit(spec.tile_px), "overlap": number(spec.overlap), "min_tissue_fraction": F.col("least"), "tolerance": number(spec.tolerance),
+        "requested_seg_downsample": none("int"), "sthresh": none("int"), "sthresh_up": none("int"), "mthresh": none("int"), "close": none("int"), "tissue_method": lit("precomputed"), "sam2_checkpoint_path": none("string"), "sam2_config_path": none("string"),
+        "ref_tile_size_px": lit(spec.ref_tile_px), "a_t": lit(spec.a_t), "a_h": none("int"), "filter_white": on(limits.white_share), "filter_black": on(limits.black_share), "white_threshold": lit(limits.white_above), "black_threshold": lit(limits.black_below), "fraction_threshold": number(limits.white_share if limits.white_share is not None else limits.black_share),
+        "filter_grayspace": on(limits.grey_share), "grayspace_saturation_threshold": number(limits.grey_below), "grayspace_fraction_threshold": number(limits.grey_share), "filter_blur": on(limits.blur_least), "blur_threshold": number(limits.blur_least), "qc_spacing_um": number(qc_spacing_um),
+        "selection_strategy": lit(None if vocabulary is None else strategy).cast("string"), "output_mode": lit(None if vocabulary is None else output).cast("string"), "mask_size": lit(f"{mask_size[0]} x {mask_size[1]}"), "label": F.col("label"),
+    }
+    return own.select(*(c.alias(n) for n, c in values.items()))
+
+
+NO_LIMITS = qc.Limits(white_share=None, black_share=None, grey_share=None, blur_least=None)
+
+
+def _with_metadata(settings: DataFrame, outcome: Outcome) -> DataFrame:
+    """Settings of the results that were made, with n_tiles and meta, the text that goes beside the arrays."""
+    made = outcome.rows.where(F.col("tiling_status") == runs.SUCCESS).select("sample_id", "annotation", F.col("num_tiles").cast("bigint").alias("n_tiles"))
+    own = settings.join(outcome.worked, ["sample_id", "annotation"], "left_semi").join(made, ["sample_id", "annotation"])
+    size = outcome.sized.select(
+        "sample_id", F.array("slide_w", "slide_h").alias("dimensions"), "base_spacing_um", F.transform("levels", lambda v: v["spacing_um"] / F.col("base_spacing_um")).alias("level_downsamples"), "read_level", F.col("read_px").alias("read_tile_size_px"), "read_spacing_um", F.col("tile").alias("tile_size_lv0"), F.col("step").alias("step_px_lv0"), F.col("is_near").alias("is_within_tolerance")
+    )
+    wide = own.join(size, "sample_id").withColumn("coordinate_space", F.lit("level_0")).withColumn("tile_order", F.lit("x_then_y"))
+    return wide.withColumn("meta", provenance.metadata(wide)).select(*settings.columns, "n_tiles", "meta")
+
+
 def run(spark: SparkSession, settings: dict) -> int:
     """A run as its settings say; the number of slides that failed.
 
-    settings: manifest (CSV), pyramids and masks (Parquet), out (folder), mask_size [w, h], tiling
-    (fields of Spec), and optionally labels ({annotation: [value, threshold or null]}), strategy,
-    output, and resume (a run table as CSV).
+    settings: manifest (CSV), out (folder), mask_size [w, h], tiling (fields of Spec), and
+    optionally pyramids and masks (Parquet; without them the slides' and masks' files are opened on
+    the executors), backend, labels ({annotation: [value, threshold or null]}), strategy, output,
+    filtering (fields of Limits: quality control on pixels of the slides) with qc_spacing_um, and
+    resume: true, or a run table as CSV of a run into this folder.
+
+    With resume, results whose settings agree with those stored stand as they are; the others,
+    and those that failed, are made again, and slides that are not listed any more keep what they
+    have.  Without it the folder's results are replaced.  Either way all changes hold at once.
     """
-    from gridquarry.config import validate_labels
+    from gridquarry.config import build, validate_labels
+    from gridquarry.session import ship_package
     from gridquarry.sources import manifest as mf
+    from gridquarry.sources import probing
 
+    ship_package(spark)
     spec = tiling.Spec(**settings.get("tiling", {}))
+    limits = build(qc.Limits, settings["filtering"]) if settings.get("filtering") else None
+    backend, qc_um, size = settings.get("backend", "pil"), float(settings.get("qc_spacing_um", 2.0)), tuple(settings["mask_size"])
+    strategy, output = settings.get("strategy", "independent"), settings.get("output", "per_annotation")
     vocabulary = None
     if told := settings.get("labels"):
         validate_labels({k: v[0] for k, v in told.items()})
         vocabulary = spark.createDataFrame([(k, int(v[0]), None if v[1] is None else float(v[1])) for k, v in told.items()], "annotation string, value int, min_coverage double")
-    earlier = spark.read.option("header", True).csv(settings["resume"]) if settings.get("resume") else None
-    if earlier is not None:
-        earlier = earlier.withColumn("num_tiles", F.col("num_tiles").cast("int"))
-    manifest = mf.slides(spark.read.option("header", True).csv(settings["manifest"]))
-    tiles, rows = tile_slides(manifest, spark.read.parquet(settings["pyramids"]), spark.read.parquet(settings["masks"]), *settings["mask_size"], spec, vocabulary, settings.get("strategy", "independent"), settings.get("output", "per_annotation"), earlier)
-    out = settings["out"]
-    sinks.coordinates(sinks.checked_names(tiles.withColumnRenamed("sample_id", "slide_id")), f"{out}/coordinates")
-    sinks.run_table(rows.orderBy("row_id").coalesce(1), f"{out}/process_list")
-    spark.createDataFrame([(json.dumps(settings, sort_keys=True, default=str),)], "settings string").coalesce(1).write.mode("overwrite").text(f"{out}/config")
-    told = runs.failed_slides(rows)
+    store = RunStore(spark, settings["out"])
+    store.recover()
+    manifest = stored(mf.slides(spark.read.option("header", True).csv(settings["manifest"])), "listed")
+    wanted = wanted_settings(manifest, spec, limits, vocabulary, strategy, output, size, backend, qc_um)
+    resume = bool(settings.get("resume"))
+    keep = stored(store.standing(wanted).where("first_mismatch = 'ok'"), "standing") if resume else None
+    open_now = manifest if keep is None else manifest.join(wanted.join(keep, ["sample_id", "annotation"], "left_anti"), "sample_id", "left_semi")
+    errors = []
+    if settings.get("pyramids"):
+        pyramids = spark.read.parquet(settings["pyramids"])
+    else:
+        pyramids, broken = probing.pyramids(open_now, backend)
+        errors.append(broken)
+    if settings.get("masks"):
+        masks = spark.read.parquet(settings["masks"])
+    else:
+        masks, broken = probing.masks(open_now, backend, *size)
+        errors.append(broken)
+    check = None
+    if limits is not None and limits.needed():
+        check = lambda tiles, slides: tiling.checked_tiles(tiles, slides.withColumn("backend", F.lit(backend)), limits, spec, qc_um, ("slide_id", "annotation"))
+    outcome = tile_slides(manifest, pyramids, masks, *size, spec, vocabulary, strategy, output, keep, stored(outcomes.first_errors(*errors), "errors") if errors else None, check)
+    rows = _beside_unlisted(store, outcome.rows, resume)
+    config = json.dumps(settings, sort_keys=True, default=str)
+    path = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("tiles/"), F.col(c))).alias(c)
+    table = rows.withColumns({c: path(c) for c in ("coordinates_npz_path", "coordinates_meta_path")})
+    own = _with_metadata(wanted, outcome)
+    store.replace(outcome.worked, outcome.tiles, stored(own, "made"), {"process_list": table.orderBy("row_id"), "summary": summary(outcome.rows)}, {"config/part-0.txt": config}, whole=not resume)
+    told = runs.failed_slides(outcome.rows)
     n = told.count()
     if n:
         shown = "; ".join(f"{r['sample_id']}: {r['reasons']}" for r in told.orderBy("sample_id").limit(10).collect())
@@ -116,6 +218,16 @@ def run(spark: SparkSession, settings: dict) -> int:
     return n
 
 
+def _beside_unlisted(store: RunStore, rows: DataFrame, resume: bool) -> DataFrame:
+    """The run's rows, and after them those of stored results whose slides the manifest does not list."""
+    there = store.settings() if resume else None
+    if there is None:
+        return rows
+    rest = there.join(rows.select("sample_id").distinct(), "sample_id", "left_anti")
+    told = runs.process_rows(rest.select("sample_id", "image_path").distinct(), rest.select("sample_id", "annotation", F.col("n_tiles").cast("int").alias("num_tiles"), F.lit(None).cast("string").alias("error")))
+    return rows.unionByName(told.withColumn("row_id", F.lit(1 << 60) + F.monotonically_increasing_id()))
+
+
 def summary(rows: DataFrame) -> DataFrame:
     """(sample_id, annotation, output, status, error): the short table of a run."""
     return rows.select("sample_id", "annotation", names.artifact_stem(F.col("sample_id"), F.col("annotation")).alias("output"), F.col("tiling_status").alias("status"), "error")

@@ -50,11 +50,15 @@ def applies(name: str, now: str, then: str) -> Column | None:
     }.get(name)
 
 
-def first_mismatch(wanted: DataFrame, stored: DataFrame, key: str = "sample_id") -> DataFrame:
-    """wanted with first_mismatch: the first of COMPARED in which the stored settings differ, null-safe; new where nothing is stored, ok where all agree."""
-    both = wanted.alias("now").join(stored.withColumn("_there", F.lit(True)).alias("then"), F.col(f"now.{key}") == F.col(f"then.{key}"), "left")
+def first_mismatch(wanted: DataFrame, stored: DataFrame, key: str | tuple[str, ...] = "sample_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """wanted with first_mismatch: the first of COMPARED, and then of `also`, in which the stored settings differ, null-safe; new where nothing is stored, ok where all agree."""
+    keys = (key,) if isinstance(key, str) else key
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(f"now.{k}") == F.col(f"then.{k}")
+    both = wanted.alias("now").join(stored.withColumn("_there", F.lit(True)).alias("then"), same, "left")
     told = F.when(F.col("then._there").isNull(), F.lit("new"))
-    for name in COMPARED:
+    for name in (*COMPARED, *also):
         differs = ~F.col(f"now.{name}").eqNullSafe(F.col(f"then.{name}"))
         when = applies(name, "now", "then")
         told = told.when(differs if when is None else when & differs, F.lit(name))

@@ -36,13 +36,13 @@ def from_npz(data: bytes) -> pd.DataFrame:
     return out
 
 
-def packed(tiles: DataFrame) -> DataFrame:
+def packed(tiles: DataFrame, id_type: str = "bigint") -> DataFrame:
     """(slide_id, num_tiles, npz): one archive for each slide, which is what the format asks for."""
 
     def pack(slide: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"slide_id": [slide["slide_id"].iloc[0]], "num_tiles": [len(slide)], "npz": [to_npz(slide)]})
 
-    return tiles.select("slide_id", "tile_index", "x", "y", "frac").groupBy("slide_id").applyInPandas(pack, "slide_id bigint, num_tiles int, npz binary")
+    return tiles.select("slide_id", "tile_index", "x", "y", "frac").groupBy("slide_id").applyInPandas(pack, f"slide_id {id_type}, num_tiles int, npz binary")
 
 
 def unpacked(archives: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.functions import names
@@ -21,6 +21,17 @@ def checked_names(rows: DataFrame) -> DataFrame:
     return rows.withColumn("annotation", F.when(ok, F.col("annotation")).otherwise(F.raise_error(message)))
 
 
+def stem() -> Column:
+    """Where the files of a result belong: see `names.artifact_stem`."""
+    return names.artifact_stem(F.col("sample_id"), F.col("annotation"))
+
+
+def folder_name(value: str) -> str:
+    """A value as Spark writes it in the name of a partition's folder."""
+    odd = set('"#%\'*/:=?\\\x7f{[]^') | {chr(k) for k in range(32)}
+    return "".join(f"%{ord(c):02X}" if c in odd else c for c in value)
+
+
 def run_table(rows: DataFrame, path: str) -> None:
     """Status rows, replaced as a whole; null is an empty cell."""
     rows.write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
