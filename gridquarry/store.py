@@ -133,20 +133,22 @@ class RunStore:
         new = {"coordinates": tiles.withColumn("part", part).withColumnRenamed("sample_id", "slide_id"), "metadata": settings.withColumn("part", part)}
         order = {"coordinates": ["slide_id", "tile_index"], "metadata": ["sample_id"]}
         plan: dict = {"parts": n, "whole": whole, "schema": {}, "folders": []}
-        for name in TABLES:
-            own, old = new[name], None if whole else self._table(name)
-            if old is not None:
-                key = order[name][0]
-                kept = old.join(F.broadcast(touched) if touched.count() < 100_000 else touched, ["annotation", "part"], "left_semi").join(changed.select(F.col("sample_id").alias(key), "annotation"), [key, "annotation"], "left_anti")
-                own = own.unionByName(kept.select(own.columns))
-            staged = self.at("staging", name)
-            sinks.checked_names(own).repartition("annotation", "part", order[name][0]).sortWithinPartitions("annotation", "part", *order[name]).write.mode("overwrite").partitionBy("annotation", "part").parquet(staged)
-            plan["schema"][name] = self._ddl(own)
-        plan["folders"] = [f"annotation={sinks.folder_name(r['annotation'])}/part={r['part']}" for r in touched.toLocalIterator()]
-        file_sets.write(self._pairs(tiles, settings), self.at("staging", "tiles"))
-        gone = changed.join(settings.where("n_tiles > 0").select(*PAIR), list(PAIR), "left_anti")
-        plan["files"] = [[r["stem"], r["n_tiles"]] for r in settings.select(sinks.stem().alias("stem"), "n_tiles").toLocalIterator()]
-        plan["gone"] = [r["stem"] for r in gone.select(sinks.stem().alias("stem")).toLocalIterator()]
+        plan["gone"], plan["files"] = [], []
+        if whole or not changed.isEmpty():
+            for name in TABLES:
+                own, old = new[name], None if whole else self._table(name)
+                if old is not None:
+                    key = order[name][0]
+                    kept = old.join(F.broadcast(touched) if touched.count() < 100_000 else touched, ["annotation", "part"], "left_semi").join(changed.select(F.col("sample_id").alias(key), "annotation"), [key, "annotation"], "left_anti")
+                    own = own.unionByName(kept.select(own.columns))
+                staged = self.at("staging", name)
+                sinks.checked_names(own).repartition("annotation", "part", order[name][0]).sortWithinPartitions("annotation", "part", *order[name]).write.mode("overwrite").partitionBy("annotation", "part").parquet(staged)
+                plan["schema"][name] = self._ddl(own)
+            plan["folders"] = [f"annotation={sinks.folder_name(r['annotation'])}/part={r['part']}" for r in touched.toLocalIterator()]
+            file_sets.write(self._pairs(tiles, settings), self.at("staging", "tiles"))
+            gone = changed.join(settings.where("n_tiles > 0").select(*PAIR), list(PAIR), "left_anti")
+            plan["files"] = [[r["stem"], r["n_tiles"]] for r in settings.select(sinks.stem().alias("stem"), "n_tiles").toLocalIterator()]
+            plan["gone"] = [r["stem"] for r in gone.select(sinks.stem().alias("stem")).toLocalIterator()]
         for name, rows in tables.items():
             sinks.run_table(rows, self.at("staging", "tables", name))
         plan["tables"], plan["texts"] = list(tables), texts
@@ -181,7 +183,8 @@ class RunStore:
                     self.files.write(self.at("staging", f"{name}-done", folder), "")
                 elif not self.files.exists(self.at("staging", f"{name}-done", folder)):
                     self.files.delete(final)
-            self.files.write(self.at(name, "_layout"), json.dumps({"parts": plan["parts"], "schema": plan["schema"][name]}))
+            if name in plan["schema"]:
+                self.files.write(self.at(name, "_layout"), json.dumps({"parts": plan["parts"], "schema": plan["schema"][name]}))
         for stem in plan["gone"]:
             self.files.delete(self.at("tiles", f"{stem}.coordinates.npz"))
         kept = {stem for stem, _ in plan["files"]}

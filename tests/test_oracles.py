@@ -27,7 +27,11 @@ def plain(value):
     return value
 
 
-@pytest.mark.parametrize("name", sorted(ORACLES))
+#: Second names of one query are the same function, which is run once.
+FIRST = {fn: name for name, fn in reversed(sorted(QUERIES.items()))}
+
+
+@pytest.mark.parametrize("name", sorted(name for name in FIRST.values() if name in ORACLES))
 def test_query_equals_oracle(spark, duck, name):
     frame = QUERIES[name](spark, SF)
     columns = sorted(frame.columns)
