@@ -109,7 +109,8 @@ def tile_slides(manifest: DataFrame, pyramids: DataFrame, masks: DataFrame, mask
 
 
 def _inputs(good: DataFrame, pyramids: DataFrame, masks: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    own = pyramids.join(good.select("sample_id", "slide_id", "spacing_at_level_0"), "sample_id")
+    masks = masks.select("sample_id", "mx", "my", *(["label"] if "label" in masks.columns else []))
+    own = pyramids.select("sample_id", "level", "width", "height", "base_spacing_um").join(good.select("sample_id", "slide_id", "spacing_at_level_0"), "sample_id")
     base = own.where("level = 0").select("slide_id", F.col("width").alias("slide_w"), F.col("height").alias("slide_h"), F.coalesce("spacing_at_level_0", "base_spacing_um").alias("base_spacing_um"))
     pyramid = levels.level_spacings(own.select("slide_id", "level", "width", "height"), base)
     return levels.with_levels(base, pyramid), pyramid, masks.join(good.select("sample_id", "slide_id"), "sample_id").drop("sample_id")
@@ -183,39 +184,48 @@ def run(spark: SparkSession, settings: dict) -> int:
         validate_labels({k: v[0] for k, v in told.items()})
         vocabulary = spark.createDataFrame([(k, int(v[0]), None if v[1] is None else float(v[1])) for k, v in told.items()], "annotation string, value int, min_coverage double")
     store = RunStore(spark, settings["out"])
+    manifest = mf.slides(spark.read.option("header", True).csv(settings["manifest"]))
+    given = {name: spark.read.parquet(settings[name]) if settings.get(name) else None for name in ("pyramids", "masks")}
+    pyramids = given["pyramids"] if given["pyramids"] is not None else lambda slides: probing.pyramids(slides, backend)
+    masks = given["masks"] if given["masks"] is not None else lambda slides: probing.masks(slides, backend, *size)
+    config = {"config/part-0.txt": json.dumps(settings, sort_keys=True, default=str)}
+    outcome = update(store, manifest, pyramids, masks, size, spec, vocabulary, strategy, output, limits, backend, qc_um, bool(settings.get("resume")), config)
+    told = runs.failed_slides(outcome.rows)
+    n = told.count()
+    if n:
+        shown = "; ".join(f"{r['sample_id']}: {r['reasons']}" for r in told.orderBy("sample_id").limit(10).collect())
+        warnings.warn(f"{n} slides failed ({shown})", PartialFailure, stacklevel=2)
+    return n
+
+
+#: A table, or what makes it from the slides that have to be opened, with (sample_id, error) of those that could not be.
+Source = DataFrame | Callable[[DataFrame], tuple[DataFrame, DataFrame]]
+
+
+def update(store: RunStore, manifest: DataFrame, pyramids: Source, masks: Source, size: tuple[int, int], spec: tiling.Spec, vocabulary: DataFrame | None = None, strategy: str = "independent", output: str = "per_annotation", limits: qc.Limits | None = None, backend: str = "pil", qc_um: float = 2.0, resume: bool = True, texts: dict[str, str] | None = None) -> Outcome:
+    """Bring a store to what is asked for: see `run`."""
     store.recover()
-    manifest = stored(mf.slides(spark.read.option("header", True).csv(settings["manifest"])), "listed")
+    manifest = stored(manifest, "listed")
     wanted = wanted_settings(manifest, spec, limits, vocabulary, strategy, output, size, backend, qc_um)
-    resume = bool(settings.get("resume"))
     keep = stored(store.standing(wanted).where("first_mismatch = 'ok'"), "standing") if resume else None
-    open_now = manifest if keep is None else manifest.join(wanted.join(keep, ["sample_id", "annotation"], "left_anti"), "sample_id", "left_semi")
+    todo = manifest if keep is None else manifest.join(wanted.join(keep, ["sample_id", "annotation"], "left_anti"), "sample_id", "left_semi")
     errors = []
-    if settings.get("pyramids"):
-        pyramids = spark.read.parquet(settings["pyramids"])
-    else:
-        pyramids, broken = probing.pyramids(open_now, backend)
+    if callable(pyramids):
+        pyramids, broken = pyramids(todo)
         errors.append(broken)
-    if settings.get("masks"):
-        masks = spark.read.parquet(settings["masks"])
-    else:
-        masks, broken = probing.masks(open_now, backend, *size)
+    if callable(masks):
+        masks, broken = masks(todo)
         errors.append(broken)
     check = None
     if limits is not None and limits.needed():
         check = lambda tiles, slides: tiling.checked_tiles(tiles, slides.withColumn("backend", F.lit(backend)), limits, spec, qc_um, ("slide_id", "annotation"))
     outcome = tile_slides(manifest, pyramids, masks, *size, spec, vocabulary, strategy, output, keep, stored(outcomes.first_errors(*errors), "errors") if errors else None, check)
     rows = _beside_unlisted(store, outcome.rows, resume)
-    config = json.dumps(settings, sort_keys=True, default=str)
     path = lambda c: F.when(F.col(c).isNotNull(), F.concat(F.lit("tiles/"), F.col(c))).alias(c)
     table = rows.withColumns({c: path(c) for c in ("coordinates_npz_path", "coordinates_meta_path")})
-    own = _with_metadata(wanted, outcome)
-    store.replace(outcome.worked, outcome.tiles, stored(own, "made"), {"process_list": table.orderBy("row_id"), "summary": summary(outcome.rows)}, {"config/part-0.txt": config}, whole=not resume)
-    told = runs.failed_slides(outcome.rows)
-    n = told.count()
-    if n:
-        shown = "; ".join(f"{r['sample_id']}: {r['reasons']}" for r in told.orderBy("sample_id").limit(10).collect())
-        warnings.warn(f"{n} slides failed ({shown})", PartialFailure, stacklevel=2)
-    return n
+    made = stored(_with_metadata(wanted, outcome), "made")
+    store.replace(outcome.worked, outcome.tiles, made, {"process_list": table.orderBy("row_id"), "summary": summary(outcome.rows)}, texts or {}, whole=not resume)
+    return outcome
 
 
 def _beside_unlisted(store: RunStore, rows: DataFrame, resume: bool) -> DataFrame:

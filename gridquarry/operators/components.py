@@ -1,8 +1,9 @@
 """Connected components of sparse masks, and what is measured on them.
 
-Pixels are labelled inside blocks of BLOCK x BLOCK with numpy, then blocks are
-joined along their borders through the few components that touch one.  So no
-task ever holds more than a block, however large a slide.  A mask belongs to a
+Pixels are labelled inside blocks of BLOCK x BLOCK with numpy, then MERGED x MERGED
+blocks at a time are joined through the pixels on their rims, of which only those on
+the rim of the whole go on.  So no task ever holds more than a block or the rims of a
+few, and a raster of n blocks a side takes log n passes over ever fewer pixels.  A mask belongs to a
 slide, or to a slide and more (an annotation, say): `keys` names the columns.
 """
 
@@ -14,10 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gridquarry.operators import links
 from gridquarry.shared import stored
 
 BLOCK = 256
+#: Blocks a side that are joined at once.
+MERGED = 4
 _EIGHT = ((1, 0), (0, 1), (1, 1), (1, -1))
 KEYS = ("slide_id",)
 
@@ -58,23 +60,63 @@ def _block_labels(width: int, steps: tuple[tuple[int, int], ...]):
     return label
 
 
-def components(mask: DataFrame, width: int, block: int | None = None, keys: tuple[str, ...] = KEYS, connectivity: int = 8) -> DataFrame:
+def components(mask: DataFrame, width: int, block: int | None = None, keys: tuple[str, ...] = KEYS, connectivity: int = 8, height: int | None = None) -> DataFrame:
     """mask: keys..., mx, my.  Adds component: the smallest my * width + mx among the pixels that hang together, by 8 or by 4 neighbours.  Blocks are of BLOCK x BLOCK if not stated."""
     block = block or BLOCK
     steps = _EIGHT if connectivity == 8 else _EIGHT[:2]
     own = mask.select(*keys, "mx", "my").distinct()
     blocks = own.withColumn("_bx", F.floor(F.col("mx") / block)).withColumn("_by", F.floor(F.col("my") / block))
     kinds = dict(own.dtypes)
-    found = blocks.groupBy(*keys, "_bx", "_by").applyInPandas(lambda b: _block_labels(width, steps)(b)[[*keys, "mx", "my", "local"]], ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "mx", "my")) + ", local bigint")
+    told = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "mx", "my"))
+    found = blocks.groupBy(*keys, "_bx", "_by").applyInPandas(lambda b: _block_labels(width, steps)(b)[[*keys, "mx", "my", "local"]], told + ", local bigint")
     local = stored(found, "local")
-    on_edge = (F.col("mx") % block).isin(0, block - 1) | (F.col("my") % block).isin(0, block - 1)
-    edge = local.where(on_edge)
-    moves = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in steps]))
-    moved = edge.withColumn("_d", moves).select(*keys, (F.col("mx") + F.col("_d.dx")).alias("mx"), (F.col("my") + F.col("_d.dy")).alias("my"), F.col("local").alias("other"))
-    node = lambda c: F.struct(*keys, F.col(c).alias("local"))
-    met = edge.join(moved, [*keys, "mx", "my"]).where("local <> other").select(node("local").alias("a"), node("other").alias("b"))
-    roots = links.components(met).select(*(F.col(f"node.{k}").alias(k) for k in keys), F.col("node.local").alias("local"), F.col("root.local").alias("root"))
-    return local.join(roots, [*keys, "local"], "left").select(*keys, "mx", "my", F.coalesce("root", "local").alias("component"))
+    if height is None:
+        height = (local.agg(F.max("my")).first()[0] or 0) + 1
+    rims, maps, side = local.where(_on_rim(block)), [], block
+    while side < max(width, height):
+        side *= MERGED
+        level = stored(rims.groupBy(*keys, F.floor(F.col("mx") / side).alias("_bx"), F.floor(F.col("my") / side).alias("_by")).applyInPandas(_merge(width, steps, side, keys), told + ", local bigint, root bigint"), "rims")
+        maps.append(level.where("root is not null").select(*keys, "local", "root"))
+        rims = level.where("root is null").drop("root")
+    out = local.withColumnRenamed("local", "component")
+    for names in maps:
+        out = out.join(names.withColumnRenamed("local", "component"), [*keys, "component"], "left").select(*keys, "mx", "my", F.coalesce("root", "component").alias("component"))
+    return out
+
+
+def _on_rim(side: int) -> Column:
+    return (F.col("mx") % side).isin(0, side - 1) | (F.col("my") % side).isin(0, side - 1)
+
+
+def _merge(width: int, steps: tuple[tuple[int, int], ...], side: int, keys: tuple[str, ...]):
+    """Of the rims of MERGED x MERGED blocks: which labels are one (root is set), and the pixels on the rim of the whole (root is not)."""
+
+    def merge(rims: pd.DataFrame) -> pd.DataFrame:
+        place = rims["my"].to_numpy() * width + rims["mx"].to_numpy()
+        order = np.argsort(place)
+        place, mx, my, label = place[order], rims["mx"].to_numpy()[order], rims["my"].to_numpy()[order], rims["local"].to_numpy()[order]
+        names, at = np.unique(label, return_inverse=True)
+        a, b = [], []
+        for dx, dy in steps:
+            other = np.minimum(np.searchsorted(place, place + dy * width + dx), len(place) - 1)
+            met = np.flatnonzero((place[other] == place + dy * width + dx) & (mx + dx >= 0) & (mx + dx < width) & (at[other] != at))
+            a.append(at[met])
+            b.append(at[other[met]])
+        root = least_reachable(len(names), np.concatenate(a), np.concatenate(b))
+        moved = np.flatnonzero(root != np.arange(len(names)))
+        rim = np.flatnonzero(np.isin(mx % side, (0, side - 1)) | np.isin(my % side, (0, side - 1)))
+        out = pd.DataFrame({
+            "mx": np.concatenate([mx[rim], np.zeros(len(moved), np.int64)]),
+            "my": np.concatenate([my[rim], np.zeros(len(moved), np.int64)]),
+            "local": np.concatenate([names[root[at[rim]]], names[moved]]),
+            "root": pd.array(np.concatenate([np.zeros(len(rim), np.int64), names[root[moved]]]), "Int64"),
+        })
+        out.loc[: len(rim) - 1, "root"] = pd.NA
+        for c in keys:
+            out[c] = rims[c].iloc[0]
+        return out[[*keys, "mx", "my", "local", "root"]]
+
+    return merge
 
 
 def areas(labelled: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
@@ -93,7 +135,7 @@ def complement(mask: DataFrame, slides: DataFrame, width: int, height: int, keys
 
 def holes(mask: DataFrame, slides: DataFrame, width: int, height: int, keys: tuple[str, ...] = KEYS, connectivity: int = 8, block: int | None = None) -> DataFrame:
     """Background components that do not touch the raster's border, with their pixels.  slides: the keys of all rasters."""
-    back = components(complement(mask, slides, width, height, keys), width, block, keys, connectivity)
+    back = components(complement(mask, slides, width, height, keys), width, block, keys, connectivity, height)
     inner = areas(back, keys).where((F.col("x0") > 0) & (F.col("y0") > 0) & (F.col("x1") < width - 1) & (F.col("y1") < height - 1))
     return back.join(inner.select(*keys, "component", "area"), [*keys, "component"])
 

@@ -23,7 +23,7 @@ def detect(mask: DataFrame, slides: DataFrame, mask_w: int, mask_h: int, keys: t
     (exclusive) on level 0; those of no area, or of at most a_t reference tiles, are left out.
     pixels: keys..., contour_id, mx, my, of the contours that stay.
     """
-    labelled = stored(cc.components(mask, mask_w, block, keys), "contours")
+    labelled = stored(cc.components(mask, mask_w, block, keys, height=mask_h), "contours")
     sx, sy = F.col("slide_w") / F.lit(mask_w), F.col("slide_h") / F.lit(mask_h)
     tile = F.lit(ref_tile_px) * (F.col("read_spacing_um") / F.col("base_spacing_um"))
     least = F.lit(a_t) * F.floor((tile / sx) * (tile / sy))
