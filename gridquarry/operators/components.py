@@ -9,8 +9,10 @@ slide, or to a slide and more (an annotation, say): `keys` names the columns.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -42,22 +44,52 @@ def least_reachable(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _block_labels(width: int, steps: tuple[tuple[int, int], ...]):
-    def label(block: pd.DataFrame) -> pd.DataFrame:
-        place = block["my"].to_numpy() * width + block["mx"].to_numpy()
-        order = np.argsort(place)
-        place, mx = place[order], block["mx"].to_numpy()[order]
-        a, b = [], []
-        for dx, dy in steps:
-            other = place + dy * width + dx
-            at = np.minimum(np.searchsorted(place, other), len(place) - 1)
-            met = np.flatnonzero((place[at] == other) & (mx + dx >= 0) & (mx + dx < width))
-            a.append(met)
-            b.append(at[met])
-        root = least_reachable(len(place), np.concatenate(a), np.concatenate(b))
-        return block.iloc[order].assign(local=place[root])
+def _starts(rows: pa.Table, names: list[str]) -> np.ndarray:
+    """Where the rows of another group begin."""
+    out = np.zeros(rows.num_rows, bool)
+    out[:1] = True
+    for name in names:
+        column = rows[name].combine_chunks()
+        column = column.dictionary_encode().indices if not pa.types.is_integer(column.type) else column
+        value = column.fill_null(-1).to_numpy(zero_copy_only=False)
+        out[1:] |= value[1:] != value[:-1]
+    return out
+
 
-    return label
+def _whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows of several whole groups at once, from rows in order of their groups, and the number of each row's group."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+        begins = _starts(rows, names)
+        last = int(np.flatnonzero(begins)[-1]) if rows.num_rows else 0
+        if last:
+            yield rows.slice(0, last), np.cumsum(begins[:last]) - 1
+        held = rows.slice(last)
+    if held is not None and held.num_rows:
+        yield held, np.cumsum(_starts(held, names)) - 1
+
+
+def _linked(group: np.ndarray, mx: np.ndarray, my: np.ndarray, label: np.ndarray, width: int, height: int, steps: tuple[tuple[int, int], ...]) -> np.ndarray:
+    """The smallest label that each pixel's label hangs together with; pixels meet inside their groups only."""
+    code = (group * height + my) * width + mx
+    order = np.argsort(code)
+    code, mx, my, names = code[order], mx[order], my[order], (group * height * width + label)[order]
+    known, at = np.unique(names, return_inverse=True)
+    a, b = [], []
+    for dx, dy in steps:
+        other = np.minimum(np.searchsorted(code, code + dy * width + dx), len(code) - 1)
+        met = np.flatnonzero((code[other] == code + dy * width + dx) & (mx + dx >= 0) & (mx + dx < width) & (my + dy >= 0) & (my + dy < height) & (at[other] != at))
+        a.append(at[met])
+        b.append(at[other[met]])
+    root = least_reachable(len(known), np.concatenate(a), np.concatenate(b))
+    out = np.empty(len(order), np.int64)
+    out[order] = known[root[at]] % (height * width)
+    return out
+
+
+def _integers(rows: pa.Table, *names: str) -> list[np.ndarray]:
+    return [rows[c].to_numpy().astype(np.int64) for c in names]
 
 
 def components(mask: DataFrame, width: int, block: int | None = None, keys: tuple[str, ...] = KEYS, connectivity: int = 8, height: int | None = None) -> DataFrame:
@@ -65,17 +97,16 @@ def components(mask: DataFrame, width: int, block: int | None = None, keys: tupl
     block = block or BLOCK
     steps = _EIGHT if connectivity == 8 else _EIGHT[:2]
     own = mask.select(*keys, "mx", "my").distinct()
-    blocks = own.withColumn("_bx", F.floor(F.col("mx") / block)).withColumn("_by", F.floor(F.col("my") / block))
     kinds = dict(own.dtypes)
     told = ", ".join(f"`{c}` {kinds[c]}" for c in (*keys, "mx", "my"))
-    found = blocks.groupBy(*keys, "_bx", "_by").applyInPandas(lambda b: _block_labels(width, steps)(b)[[*keys, "mx", "my", "local"]], told + ", local bigint")
-    local = stored(found, "local")
     if height is None:
-        height = (local.agg(F.max("my")).first()[0] or 0) + 1
+        own = stored(own, "mask")
+        height = int(own.agg(F.max("my")).first()[0] or 0) + 1
+    local = stored(_dealt(own, keys, block).mapInArrow(_label(width, height, steps, keys), told + ", local bigint"), "local")
     rims, maps, side = local.where(_on_rim(block)), [], block
     while side < max(width, height):
         side *= MERGED
-        level = stored(rims.groupBy(*keys, F.floor(F.col("mx") / side).alias("_bx"), F.floor(F.col("my") / side).alias("_by")).applyInPandas(_merge(width, steps, side, keys), told + ", local bigint, root bigint"), "rims")
+        level = stored(_dealt(rims, keys, side).mapInArrow(_merge(width, height, steps, side, keys), told + ", local bigint, root bigint"), "rims")
         maps.append(level.where("root is not null").select(*keys, "local", "root"))
         rims = level.where("root is null").drop("root")
     out = local.withColumnRenamed("local", "component")
@@ -88,35 +119,39 @@ def _on_rim(side: int) -> Column:
     return (F.col("mx") % side).isin(0, side - 1) | (F.col("my") % side).isin(0, side - 1)
 
 
-def _merge(width: int, steps: tuple[tuple[int, int], ...], side: int, keys: tuple[str, ...]):
+def _dealt(pixels: DataFrame, keys: tuple[str, ...], side: int) -> DataFrame:
+    placed = pixels.withColumn("_bx", F.floor(F.col("mx") / side)).withColumn("_by", F.floor(F.col("my") / side))
+    return placed.repartition(*keys, "_bx", "_by").sortWithinPartitions(*keys, "_bx", "_by")
+
+
+def _label(width: int, height: int, steps: tuple[tuple[int, int], ...], keys: tuple[str, ...]):
+    """Pixels of whole blocks with the first place of what they hang together with inside their block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _whole_groups(batches, [*keys, "_bx", "_by"]):
+            mx, my = _integers(rows, "mx", "my")
+            local = _linked(group, mx, my, my * width + mx, width, height, steps)
+            yield from pa.table([*(rows[c] for c in (*keys, "mx", "my")), pa.array(local)], names=[*keys, "mx", "my", "local"]).to_batches()
+
+    return run
+
+
+def _merge(width: int, height: int, steps: tuple[tuple[int, int], ...], side: int, keys: tuple[str, ...]):
     """Of the rims of MERGED x MERGED blocks: which labels are one (root is set), and the pixels on the rim of the whole (root is not)."""
 
-    def merge(rims: pd.DataFrame) -> pd.DataFrame:
-        place = rims["my"].to_numpy() * width + rims["mx"].to_numpy()
-        order = np.argsort(place)
-        place, mx, my, label = place[order], rims["mx"].to_numpy()[order], rims["my"].to_numpy()[order], rims["local"].to_numpy()[order]
-        names, at = np.unique(label, return_inverse=True)
-        a, b = [], []
-        for dx, dy in steps:
-            other = np.minimum(np.searchsorted(place, place + dy * width + dx), len(place) - 1)
-            met = np.flatnonzero((place[other] == place + dy * width + dx) & (mx + dx >= 0) & (mx + dx < width) & (at[other] != at))
-            a.append(at[met])
-            b.append(at[other[met]])
-        root = least_reachable(len(names), np.concatenate(a), np.concatenate(b))
-        moved = np.flatnonzero(root != np.arange(len(names)))
-        rim = np.flatnonzero(np.isin(mx % side, (0, side - 1)) | np.isin(my % side, (0, side - 1)))
-        out = pd.DataFrame({
-            "mx": np.concatenate([mx[rim], np.zeros(len(moved), np.int64)]),
-            "my": np.concatenate([my[rim], np.zeros(len(moved), np.int64)]),
-            "local": np.concatenate([names[root[at[rim]]], names[moved]]),
-            "root": pd.array(np.concatenate([np.zeros(len(rim), np.int64), names[root[moved]]]), "Int64"),
-        })
-        out.loc[: len(rim) - 1, "root"] = pd.NA
-        for c in keys:
-            out[c] = rims[c].iloc[0]
-        return out[[*keys, "mx", "my", "local", "root"]]
-
-    return merge
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in _whole_groups(batches, [*keys, "_bx", "_by"]):
+            mx, my, local = _integers(rows, "mx", "my", "local")
+            root = _linked(group, mx, my, local, width, height, steps)
+            rim = np.flatnonzero(np.isin(mx % side, (0, side - 1)) | np.isin(my % side, (0, side - 1)))
+            moved = np.flatnonzero(root != local)
+            moved = moved[np.unique(group[moved] * (width * height) + local[moved], return_index=True)[1]]
+            take = pa.array(np.concatenate([rim, moved]))
+            told = pa.array(np.concatenate([root[rim], local[moved]]))
+            roots = pa.array(np.concatenate([root[rim], root[moved]]), mask=np.arange(len(take)) < len(rim))
+            yield from pa.table([*(rows[c].take(take) for c in (*keys, "mx", "my")), told, roots], names=[*keys, "mx", "my", "local", "root"]).to_batches()
+
+    return run
 
 
 def areas(labelled: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
