@@ -206,12 +206,12 @@ def polygon_area(points: Column) -> Column:
     return F.abs(F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)) / 2
 
 
-def roi_boxes(labelled: DataFrame, scale: int, margin: int, edge: int) -> DataFrame:
-    """Boxes of components, enlarged to the target raster with a margin, as half-open intervals."""
+def roi_boxes(labelled: DataFrame, scale: int, margin: int, edge: int, bottom: int | None = None) -> DataFrame:
+    """Boxes of components, enlarged to the target raster of edge x bottom (edge x edge if not stated) with a margin, as half-open intervals."""
     box = areas(labelled)
     low = lambda c: F.greatest(F.col(c) * scale - margin, F.lit(0)).cast("bigint")
-    high = lambda c: F.least((F.col(c) + 1) * scale + margin, F.lit(edge)).cast("bigint")
-    return box.select("slide_id", "component", low("x0").alias("x0"), low("y0").alias("y0"), high("x1").alias("x1"), high("y1").alias("y1"))
+    high = lambda c, most: F.least((F.col(c) + 1) * scale + margin, F.lit(most)).cast("bigint")
+    return box.select("slide_id", "component", low("x0").alias("x0"), low("y0").alias("y0"), high("x1", edge).alias("x1"), high("y1", bottom or edge).alias("y1"))
 
 
 def overlapping(boxes: DataFrame) -> DataFrame:

@@ -200,20 +200,23 @@ def postprocessed(dense: DataFrame, width: int, height: int, least_px: int = 0,
 
 
 def coarse_to_fine(pixels: DataFrame, factor: int, margin: int, width: int, height: int, sigma: float = 0.0, block: int | None = None) -> DataFrame:
-    """(slide_id, x, y, v) on the full raster: a mask of every factor-th pixel finds boxes of tissue, and only pixels in boxes with a margin are judged; the others are 0."""
+    """(slide_id, x, y, v) on the full raster: a mask of every factor-th pixel finds boxes of tissue, and only pixels in boxes with a margin are judged; the others are 0.
+
+    For pixels that are there as rows.  Where they are still in files, `coarse.masks` reads boxes alone.
+    """
     from gridquarry.operators import components as cc
 
     coarse = pixels.where((F.col("x") % factor == 0) & (F.col("y") % factor == 0)).withColumn("x", F.floor(F.col("x") / factor)).withColumn("y", F.floor(F.col("y") / factor))
     found = fine_mask(coarse, block=block).where("v = 1").select("slide_id", F.col("x").alias("mx"), F.col("y").alias("my"))
-    side = -(-max(width, height) // factor)
-    boxes = cc.roi_boxes(cc.components(found, side, block), factor, margin, max(width, height))
+    boxes = cc.roi_boxes(cc.components(found, -(-width // factor), block, height=-(-height // factor)), factor, margin, width, height)
     wide = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / 64), F.floor((F.col(b) - 1) / 64)))
     cells = boxes.withColumn("_cx", wide("x0", "x1")).withColumn("_cy", wide("y0", "y1"))
     near = pixels.withColumn("_cx", F.floor(F.col("x") / 64)).withColumn("_cy", F.floor(F.col("y") / 64)).select("slide_id", "x", "y", "_cx", "_cy")
     inside = (F.col("x") >= F.col("x0")) & (F.col("x") < F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") < F.col("y1"))
     places = near.join(cells, ["slide_id", "_cx", "_cy"]).where(inside).select("slide_id", "x", "y").distinct()
-    judged = fine_mask(pixels, sigma, block=block).join(places.withColumn("_in", F.lit(1)), ["slide_id", "x", "y"], "left")
-    return judged.select("slide_id", "x", "y", (F.col("v") * F.coalesce("_in", F.lit(0))).alias("v"))
+    asked = pixels if sigma > 0 else pixels.join(places, ["slide_id", "x", "y"], "left_semi")
+    judged = fine_mask(asked, sigma, block=block).join(places, ["slide_id", "x", "y"], "left_semi")
+    return pixels.select("slide_id", "x", "y").join(judged, ["slide_id", "x", "y"], "left").select("slide_id", "x", "y", F.coalesce("v", F.lit(0)).alias("v"))
 
 
 def resampled(labels: DataFrame, factor: int, key: str = "slide_id") -> DataFrame:

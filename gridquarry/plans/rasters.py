@@ -338,7 +338,16 @@ def tissue_masks(f: Fixtures) -> DataFrame:
     return seg.postprocessed(seg.fine_mask(f.rgb_px, 1.0, block=BLOCK), SIDE, SIDE, 4, 3, 1, 1, BLOCK)
 
 
-@query()
+#: Every second pixel's colour finds boxes with a margin of two pixels; the fine raster counts inside them.
+COARSE = (
+    HSV.replace("with px as", "with recursive hp as", 1).replace("from px)", "from hp)")
+    + ", t as (select slide_id, x, y, h between 90 and 180 and s between 8 and 255 and v between 103 and 255 tissue from q), px as (select slide_id k, x//2 mx, y//2 my from t where tissue and x%2=0 and y%2=0), "
+    + walk("fg", "px")
+    + ", bx as (select k, component, greatest(min(mx)*2-2, 0) x0, greatest(min(my)*2-2, 0) y0, least((max(mx)+1)*2+2, 32) x1, least((max(my)+1)*2+2, 32) y1 from fg group by all), fine as (select distinct t.slide_id, t.x, t.y from t join bx on bx.k=t.slide_id and x>=x0 and x<x1 and y>=y0 and y<y1 where tissue)"
+)
+
+
+@query(COARSE + " select t.slide_id, t.x, t.y, cast(fine.x is not null as int) v from t left join fine using (slide_id, x, y)", "rgb_px")
 def coarse_masks(f: Fixtures) -> DataFrame:
     """Every second pixel finds boxes of tissue; the full raster is judged in those."""
     return seg.coarse_to_fine(f.rgb_px, 2, 2, SIDE, SIDE, block=BLOCK)
