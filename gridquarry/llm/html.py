@@ -50,6 +50,10 @@ ANYWHERE = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions cookie cookies consent gdpr popup modal subscribe subscription newsletter signup "
     "sidebar sidebars related recommended recommendations share sharing social comment comments commentlist disqus nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager footer masthead topbar toolbar".split()
 )
+#: Those of them that also name parts of articles (related work, a share price, menu items); inside an article they tell boilerplate only where the text agrees.
+DOUBTFUL = frozenset("related recommended recommendations share sharing social menu menus toolbar topbar nav navbar navigation promo promos promotion promotions sponsor sponsors subscription subscribe signup modal masthead".split())
+#: Those that tell boilerplate inside an article if there are only a few characters.
+BUTTONS = frozenset("share sharing social toolbar subscribe signup".split())
 #: Words of boilerplate only as the whole name of a class or id.
 ALONE = frozenset("banner notice notices alert alerts overlay login side widget widgets reply replies respond responses skip hidden site-header global-header top-header skip-link site-notice sitenotice".split())
 #: Names that tell boilerplate where most of the text is links, or outside the article.
@@ -87,7 +91,7 @@ PASSING = frozenset("p pre li dd dt ul ol dl blockquote figcaption figure summar
 
 
 class Node:
-    __slots__ = ("children", "cut", "depth", "holds", "length", "linked", "name", "parent", "score", "words")
+    __slots__ = ("children", "content", "cut", "depth", "holds", "length", "linked", "name", "parent", "score", "words")
 
     def __init__(self, name: str, parent: Node | None):
         self.name, self.parent = name, parent
@@ -95,6 +99,7 @@ class Node:
         self.children: list[Node | str] = []
         self.cut = self.holds = ""
         self.words: frozenset[str] = frozenset()
+        self.content = parent is not None and parent.content
         self.score = 0.0
         self.length = self.linked = 0
 
@@ -135,18 +140,21 @@ class Reader:
         return told, False, end + 1 if end >= 0 else len(page)
 
 
-def _named(words: str) -> tuple[str, frozenset[str]]:
-    """What the names of class and id tell: cut, perhaps or nothing; and their words."""
+def _named(words: str, inside: bool) -> tuple[str, frozenset[str]]:
+    """What the names of class and id tell: cut, perhaps, doubtful or nothing; and their words."""
     told, parts = "", set()
     for token in words.split():
         if STATES.match(token):
             continue
         own = [w.lower() for w in WORD.findall(token)]
         parts.update(own)
-        if token.lower() in ALONE or not ANYWHERE.isdisjoint(own):
+        found = ANYWHERE.intersection(own)
+        if token.lower() in ALONE or (found and not (inside and found <= DOUBTFUL)):
             return "cut", frozenset(parts)
-        if token.lower() in PERHAPS:
-            told = "perhaps"
+        if found:
+            told = "doubtful"
+        elif token.lower() in PERHAPS:
+            told = told or "perhaps"
     return told, frozenset(parts)
 
 
@@ -154,7 +162,7 @@ def _judged(node: Node, told: dict[str, str], inside: bool) -> None:
     """Marks the element if it is boilerplate by its own markup."""
     name = node.name
     if told:
-        node.cut, node.words = _named(f"{told.get('class', '')} {told.get('id', '')}")
+        node.cut, node.words = _named(f"{told.get('class', '')} {told.get('id', '')}", inside or node.content)
         if name in ("html", "body", "main", "article") or name in HEADINGS:
             node.cut = "cut" if name == "article" and not node.words.isdisjoint(("comment", "comments")) else ""
         if told.get("role", "").lower() in ROLES or "hidden" in told or told.get("aria-hidden", "").lower() == "true" or HIDING.search(told.get("style", "")):
@@ -172,6 +180,11 @@ def _judged(node: Node, told: dict[str, str], inside: bool) -> None:
         node.cut = ""
 
 
+def _doubted(node: Node) -> bool:
+    """Whether the text of an element with a doubtful name is boilerplate after all: at least half of it is links, or it is a few words beside buttons."""
+    return 2 * node.linked >= max(1, node.length) or (node.length < 40 and not node.words.isdisjoint(BUTTONS))
+
+
 HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
@@ -234,6 +247,8 @@ def parse(page: str) -> Node:
             continue
         node = Node(name, here)
         _judged(node, told, inside > 0)
+        if name not in ("html", "body") and not node.cut and not node.words.isdisjoint(CONTENT):
+            node.content = True
         if here.depth >= DEEPEST and not node.cut:
             flattened[name] += 1
             if name in BLOCKS:
@@ -255,9 +270,32 @@ def parse(page: str) -> Node:
             node.cut = ""
         elif node.cut == "perhaps":
             node.cut = "cut" if "header" in node.words or 2 * node.linked >= max(1, node.length) else ""
+        elif node.cut == "doubtful":
+            node.cut = "cut" if _doubted(node) else ""
+    for node in nodes:
+        if node.cut == "cut" and not node.words.isdisjoint(COMMENTS):
+            _cut_heading(node)
     return root
 
 
+#: Words in names of parts with readers' comments.
+COMMENTS = frozenset("comment comments commentlist disqus replies responses respond".split())
+
+
+def _cut_heading(node: Node) -> None:
+    """The heading right before readers' comments goes with them."""
+    before = None
+    for child in node.parent.children if node.parent is not None else ():
+        if child is node:
+            break
+        before = child if isinstance(child, Node) else before if not child.strip() else None
+    if before is not None and before.name in HEADINGS and ABOUT_COMMENTS.search(" ".join(c for c in before.children if isinstance(c, str))):
+        before.cut = "cut"
+
+
+ABOUT_COMMENTS = re.compile(r"comment|repl(?:y|ies)|response|discussion", re.I)
+
+
 def _holds_text(node: Node, root: Node) -> bool:
     """Whether the element named like boilerplate holds the page's article, or its first heading and half its text."""
     if node.holds == "h1":
@@ -370,14 +408,30 @@ def main_text(page: str | None) -> str:
             best, top = node, value
     if best is None:
         return "\n".join(text for _, text, linked in _blocks(root) if linked < 0.5 * len(text))
-    chosen = [best] if best.parent is None else [n for n in best.parent.children if isinstance(n, Node) and (n is best or not n.cut and _joins(n, top))]
-    semantic = best.name in ("article", "main") or _within(best)
+    best = _headed(best)
+    chosen = [best] if best.parent is None else [n for n in best.parent.children if isinstance(n, Node) and (n is best or not n.cut and (_alike(n, best) or _joins(n, top)))]
+    semantic = best.name in ("article", "main") or _within(best) or best.content
     if not semantic:
         for n in chosen:
             _drop_menus(n)
     return "\n".join(text for n in chosen for _, text, _ in _blocks(n))
 
 
+def _headed(best: Node) -> Node:
+    """The container, or the one around it if that has the heading and hardly any links: then what stands beside the best part belongs to the text."""
+    up = best.parent
+    while up is not None and up.name in ("div", "section") and not up.cut and not best.content and not _within(best) and _density(up) < 0.25 and any(isinstance(c, Node) and c.name in ("h1", "h2") and not c.cut for c in up.children):
+        best, up = up, up.parent
+    return best
+
+
+def _alike(node: Node, best: Node) -> bool:
+    """Whether a sibling is another article, or another part named as text as the best one is."""
+    if node.name != best.name:
+        return False
+    return node.name == "article" or not node.words.isdisjoint(best.words & CONTENT)
+
+
 def _within(node: Node | None) -> bool:
     while node is not None:
         if node.name in ("article", "main"):

@@ -60,6 +60,17 @@ def test_odd_pages(spark):
 
 B = LONG.strip()
 LAYOUTS = {
+    "related work": (f"<article><p>{LONG}</p><section class='related-work'><h2>Related work</h2><p>{LONG}</p></section></article>", f"{B}\nRelated work\n{B}"),
+    "share price": (f"<article><p>{LONG}</p><div class='share-price'><p>It fell, then it rose. {LONG}</p></div></article>", f"{B}\nIt fell, then it rose. {B}"),
+    "social history": (f"<article><p>{LONG}</p><section id='social-history'><p>{LONG}</p></section></article>", f"{B}\n{B}"),
+    "menu items": (f"<article><p>{LONG}</p><div class='menu-items'><ul><li>Soup</li><li>Bread</li></ul></div></article>", f"{B}\nSoup\nBread"),
+    "a toolbar shown": (f"<article><p>{LONG}</p><div class='toolbar-demo'><pre>bar = Toolbar(parent=window, position=top)</pre></div></article>", f"{B}\nbar = Toolbar(parent=window, position=top)"),
+    "related links": (f"<article><p>{LONG}</p><div class='related-posts'><ul><li><a href=a>One more</a><li><a href=b>And another</a></ul></div><div class='share-buttons'>Share this</div></article>", B),
+    "a long and a short article": (f"<main><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article><article><p>Short.</p></article></main>", f"{B}\n{B}\n{B}\nShort."),
+    "a long and a short post": (f"<div id=all><div class='post'><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div><div class='post'><p>Short.</p></div></div>", f"{B}\n{B}\n{B}\nShort."),
+    "parts beside each other": (f"<body><div><h1>T</h1><div>{LONG}</div><div><p>BBBB ok.</p></div></div></body>", f"T\n{B}\nBBBB ok."),
+    "references": (f"<div class='post'><p>{LONG}</p><ul><li><a href=a>First</a><li><a href=b>Second</a><li><a href=c>Third</a></ul></div>", f"{B}\nFirst\nSecond\nThird"),
+    "heading of comments": (f"<div class='post'><p>{LONG}</p><p>{LONG}</p><h3>Comments</h3><div class='comments'><p>{LONG}</p></div></div>", f"{B}\n{B}"),
     "unquoted apostrophe": (f"<p class=x'>It is one {LONG}</p><p>don't {LONG}</p>", f"It is one {B}\ndon't {B}"),
     "a section called discussion": (f"<article><h1>T</h1><p>{LONG}</p><section class='discussion'><h2>Discussion</h2><p>{LONG}</p></section></article>", f"T\n{B}\nDiscussion\n{B}"),
     "entry header": (f"<article><div class='entry-header'><h1>T</h1></div><p>{LONG}</p></article>", f"T\n{B}"),
@@ -110,6 +121,20 @@ def test_generated_layouts():
         assert [w for w in got.split() if w.startswith("main")] == [f"main{k}" for k in range(len(told))], (seed, page)
 
 
+def test_names_of_parts_of_articles():
+    """Sections of an article under all kinds of names stay; the same names around lists of links go."""
+    words = ["related", "share", "social", "menu", "toolbar", "navigation", "promotion", "sponsor", "modal", "recommended"]
+    for seed in range(60):
+        rng = random.Random(seed)
+        word, other = rng.choice(words), rng.choice(["work", "value", "history", "items", "design", "theory"])
+        name = rng.choice([f"{word}-{other}", f"{other}-{word}", f"{word}{other.title()}"])
+        around = rng.choice(["<article>{}</article>", "<main>{}</main>", "<div class='post'>{}</div>"])
+        links = "".join(f"<li><a href=x{k}>junk link {k}</a></li>" for k in range(4))
+        page = around.format(f"<p>main0 {LONG}</p><section class='{name}'><p>main1 {LONG}</p></section><div class='{name}'><ul>{links}</ul></div><p>main2 {LONG}</p>")
+        got = main_text(page)
+        assert "junk" not in got and [w for w in got.split() if w.startswith("main")] == ["main0", "main1", "main2"], (seed, page)
+
+
 @pytest.mark.parametrize("bad", ['<p class="x', "<a href='", "<!-", "<p a=", "</x", "<b>", "<i><p>", "</i>", "<div>", "<div><p>", "<", "&#"])
 def test_long_malformed_pages_take_time_in_proportion(bad):
     page = (bad + " ") * (1_000_000 // (len(bad) + 1)) + f"<p>{LONG}</p>"
