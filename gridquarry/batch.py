@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridquarry import outcomes
+from gridquarry import archives, outcomes
 from gridquarry.functions import names
 from gridquarry.operators import levels, provenance, qc, runs, sampling, tiling
 from gridquarry.shared import stored
@@ -162,8 +162,9 @@ def run(spark: SparkSession, settings: dict) -> int:
     settings: manifest (CSV), out (folder), mask_size [w, h], tiling (fields of Spec), and
     optionally pyramids and masks (Parquet; without them the slides' and masks' files are opened on
     the executors), backend, labels ({annotation: [value, threshold or null]}), strategy, output,
-    filtering (fields of Limits: quality control on pixels of the slides) with qc_spacing_um, and
-    resume: true, or a run table as CSV of a run into this folder.
+    filtering (fields of Limits: quality control on pixels of the slides) with qc_spacing_um,
+    save_tiles: true for tile archives (with resume also of results that stand), and resume: true,
+    or a run table as CSV of a run into this folder.
 
     With resume, results whose settings agree with those stored stand as they are; the others,
     and those that failed, are made again, and slides that are not listed any more keep what they
@@ -190,6 +191,9 @@ def run(spark: SparkSession, settings: dict) -> int:
     masks = given["masks"] if given["masks"] is not None else lambda slides: probing.masks(slides, backend, *size)
     config = {"config/part-0.txt": json.dumps(settings, sort_keys=True, default=str)}
     outcome = update(store, manifest, pyramids, masks, size, spec, vocabulary, strategy, output, limits, backend, qc_um, bool(settings.get("resume")), config)
+    if settings.get("save_tiles"):
+        saved = archives.save(store, outcome.worked if not settings.get("resume") else None)
+        saved.coalesce(1).write.mode("overwrite").option("header", True).csv(store.at("archives"))
     told = runs.failed_slides(outcome.rows)
     n = told.count()
     if n:

@@ -3,12 +3,14 @@
 import json
 import os
 import shutil
+import tarfile
 
 import numpy as np
 import pytest
-from gridquarry import batch, outcomes, store
+from gridquarry import archives, batch, outcomes, store
 from gridquarry.sources import artifacts, file_sets
 from gridquarry.sources.artifacts import png
+from gridquarry.sources.rasters import decode_png
 from pyspark.sql import functions as F
 
 pytestmark = pytest.mark.filterwarnings("ignore::gridquarry.batch.PartialFailure")
@@ -212,3 +214,27 @@ def test_file_sets_are_whole_or_not_there(spark, tmp_path):
     with pytest.raises(OSError):
         writer.commit([told])
     assert open(f"{out}/s1.npz", "rb").read() == b"\x01"  # the half that had moved went back
+
+
+def test_archives_and_previews_of_stored_results(spark, inputs, base):
+    """Nothing is tiled again: the pairs of files and the stored tiles are enough."""
+    own = store.RunStore(spark, inputs["out"])
+    (base[0] / "b.png").unlink()
+    saved = archives.save(own, part=10)
+    told = {(r.sample_id, r.part): r for r in saved.collect()}
+    n = own.tiles().where("slide_id = 'a'").count()
+    assert sum(r.n_tiles for k, r in told.items() if k[0] == "a") == n > 10
+    assert all("cannot open" in r.error for k, r in told.items() if k[0] == "b") and all(r.error is None for k, r in told.items() if k[0] != "b")
+    assert all(0 < r.read_s + r.encode_s + r.write_s <= r.total_s for r in told.values() if r.error is None)
+    image = decode_png((base[0] / "a.png").read_bytes())
+    first = own.tiles().where("slide_id = 'a' and tile_index = 11").first()
+    with tarfile.open(f"{inputs['out']}/tiles/a.tiles.0001.tar") as tar:
+        assert tar.getnames()[0] == "000010.png"
+        assert (decode_png(tar.extractfile("000011.png").read()) == image[first.y : first.y + 16, first.x : first.x + 16]).all()
+    (summary,) = archives.timings(saved, 4).collect()
+    assert summary.tiles == own.tiles().where("slide_id <> 'b'").count() and summary.mean_total_s > 0
+    shown = {r.stem.split("/")[-1]: r for r in archives.previews(spark, f"{inputs['out']}/tiles", 80).collect()}
+    assert "cannot open" in shown["b"].error and (shown["a"].width, shown["a"].height, shown["a"].n_tiles) == (80, 40, n)
+    drawn = decode_png(bytes(shown["a"].image))
+    at = own.tiles().where("slide_id = 'a' and tile_index = 0").first()
+    assert (drawn[at.y // 2, at.x // 2 : at.x // 2 + 9] == 0).all() and (drawn[:3] != 0).any()
