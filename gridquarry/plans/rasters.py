@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridquarry.operators import components as cc
-from gridquarry.operators import qc, rendering, sampling, supertiles, tiling
+from gridquarry.operators import outlines, qc, rendering, sampling, supertiles, tiling
 from gridquarry.operators import segmentation as seg
 from gridquarry.plans.fixtures import CANDIDATES, SIDE, Fixtures
 from gridquarry.plans.registry import again, query
@@ -483,3 +483,16 @@ def region_slices(f: Fixtures) -> DataFrame:
 @query()
 def supertile_greedy(f: Fixtures) -> DataFrame:
     return supertiles.greedy(f.tiles, 96)
+
+
+@query(REACH + ", " + SQUARES + " select k slide_id, component, area from tr", "mask_px")
+def outline_areas(f: Fixtures) -> DataFrame:
+    """Areas of contours from the points of their followed borders, holes taken off."""
+    return outlines.net_areas(outlines.contours(outlines.sides(_labelled(f), SIDE, SIDE, block=BLOCK))).select("slide_id", "component", "area")
+
+
+@query(PX + BACK + ", " + walk("back", "back_px", True) + ", " + walk("fg", "px") + ", " + INNER + " select b.k slide_id, b.mx, b.my from back b join inn using (k, component) union select k, mx, my from px", "mask_px")
+def outline_fill(f: Fixtures) -> DataFrame:
+    """Pixels that the outer contours enclose, line by line."""
+    runs = outlines.filled(outlines.sides(_labelled(f), SIDE, SIDE, block=BLOCK))
+    return runs.select("slide_id", F.explode(F.sequence("x0", F.col("x1") - 1)).alias("mx"), F.col("y").alias("my")).distinct()
