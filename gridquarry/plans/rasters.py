@@ -119,16 +119,6 @@ def generate_tiles(f: Fixtures) -> DataFrame:
     return tiling.from_mask(f.mask_px, with_levels(f.slides, f.pyramid), SIDE, SIDE, SPEC, block=BLOCK).select("slide_id", "x", "y", "contour_id", "frac", "tile_index")
 
 
-@query()
-def preprocess_slides(f: Fixtures) -> DataFrame:
-    """From thumbnails to tiles: segmentation by colour, a mask for every slide, contours, grids, coverage, index."""
-    from gridquarry.operators.levels import with_levels
-
-    slides = f.slides.withColumn("mask_path", F.when(F.col("slide_id") % 3 == 0, F.col("sample_id")))
-    mask, _ = tiling.resolve_mask(slides, f.label_px.withColumnRenamed("label", "value"), seg.segmented(f.rgb_px, "threshold", 60, 1, 3), 2)
-    return tiling.from_mask(mask, with_levels(f.slides, f.pyramid), SIDE, SIDE, SPEC, block=BLOCK)
-
-
 #: Labels on every second pixel as well as on their own, so that some pixels have two.
 DOUBLE = LABELLED + ", two as (select * from lab union select slide_id, 'stroma', mx, my from lab where (mx+my)%2=0)"
 
@@ -211,7 +201,24 @@ def seg_hsv(f: Fixtures) -> DataFrame:
     return seg.hsv_range(f.rgb_px).select("slide_id", "x", "y", "tissue")
 
 
-MEDIAN = HSV + ", e as (select slide_id, max(x) ex, max(y) ey from q group by 1), n as (select q.slide_id, q.x, q.y, least(greatest(q.x+dx,0),ex) nx, least(greatest(q.y+dy,0),ey) ny from q join e using (slide_id), unnest([-1,0,1]) a(dx), unnest([-1,0,1]) b(dy)), med as (select n.slide_id, n.x, n.y, list_sort(list(q.s))[5] median from n join q on q.slide_id=n.slide_id and q.x=n.nx and q.y=n.ny group by all)"
+def median_of(radius: int) -> str:
+    """med(slide_id, x, y, median) for DuckDB: saturation's middle in squares, the edge repeated."""
+    reach = f"unnest([{','.join(str(d) for d in range(-radius, radius + 1))}])"
+    middle = ((2 * radius + 1) ** 2 + 1) // 2
+    return HSV + f", e as (select slide_id, max(x) ex, max(y) ey from q group by 1), n as (select q.slide_id, q.x, q.y, least(greatest(q.x+dx,0),ex) nx, least(greatest(q.y+dy,0),ey) ny from q join e using (slide_id), {reach} a(dx), {reach} b(dy)), med as (select n.slide_id, n.x, n.y, list_sort(list(q.s))[{middle}] median from n join q on q.slide_id=n.slide_id and q.x=n.nx and q.y=n.ny group by all)"
+
+
+MEDIAN = median_of(1)
+
+
+def closed_by(source: str, before: int, after: int) -> str:
+    """closed(slide_id, mx, my, v) for DuckDB: source(slide_id, mx, my, v) dilated and eroded by a square."""
+    parts, last = [], source
+    for k, (fn, line, order) in enumerate((("max", "my", "mx"), ("max", "mx", "my"), ("min", "my", "mx"), ("min", "mx", "my"))):
+        name = "closed" if k == 3 else f"cl{k}"
+        parts.append(f"{name} as (select slide_id, mx, my, {fn}(v) over (partition by slide_id, {line} order by {order} rows between {before} preceding and {after} following) v from {last})")
+        last = name
+    return ", ".join(parts)
 
 
 @query(MEDIAN + " select slide_id, x, y, median from med", "rgb_px")
@@ -224,16 +231,32 @@ def seg_threshold(f: Fixtures) -> DataFrame:
     return seg.threshold(seg.median(seg.with_saturation(f.rgb_px), "s"), "median", 150).select("slide_id", "x", "y", "tissue")
 
 
-@query(
-    MEDIAN
-    + """, b as (select slide_id, median v, count(*) n from med group by all), c as (select slide_id, v, sum(n) over w n0, sum(v*n) over w s0, sum(n) over (partition by slide_id) n1, sum(v*n) over (partition by slide_id) s1 from b window w as (partition by slide_id order by v)),
- z as (select slide_id, v, case when n0<n1 then cast(s0*n1-s1*n0 as double)*cast(s0*n1-s1*n0 as double)/cast(n0*(n1-n0) as double) else 0 end bt from c), r as (select *, row_number() over (partition by slide_id order by bt desc, v) k from z) select slide_id, v threshold from r where k=1""",
-    "rgb_px",
-)
+OTSU = """, b as (select slide_id, median v, count(*) n from med group by all), c as (select slide_id, v, sum(n) over w n0, sum(v*n) over w s0, sum(n) over (partition by slide_id) n1, sum(v*n) over (partition by slide_id) s1 from b window w as (partition by slide_id order by v)),
+ z as (select slide_id, v, case when n0<n1 then cast(s0*n1-s1*n0 as double)*cast(s0*n1-s1*n0 as double)/cast(n0*(n1-n0) as double) else 0 end bt from c), r as (select *, row_number() over (partition by slide_id order by bt desc, v) k from z)"""
+
+
+@query(MEDIAN + OTSU + " select slide_id, v threshold from r where k=1", "rgb_px")
 def seg_otsu(f: Fixtures) -> DataFrame:
     return seg.otsu(seg.median(seg.with_saturation(f.rgb_px), "s"), "median")
 
 
+PREPROCESS = (
+    MEDIAN.replace("with px as", "with recursive hp as", 1).replace("from px)", "from hp)")
+    + ", tissue as (select slide_id, x mx, y my, cast(median > 60 as int) v from med), " + closed_by("tissue", 1, 1)
+    + ", px as (select slide_id k, mx, my from closed where v=1 and slide_id%3<>0 union all select slide_id, mx, my from label_px where slide_id%3=0 and label=2), key as (select slide_id, slide_id k from slides), "
+)
+
+
+@query(PREPROCESS + contour_tiles(0.3) + " select slide_id, cast(row_number() over (partition by slide_id order by x, y)-1 as int) tile_index, x, y, contour_id, frac, cast(round_even(256*cast(0.5 as double)/base_spacing_um,0) as bigint) tile from kept join slides using (slide_id)", "slides", "rgb_px", "label_px")
+def preprocess_slides(f: Fixtures) -> DataFrame:
+    """From thumbnails to tiles: segmentation by colour, a mask for every slide, contours, grids, coverage, index."""
+    from gridquarry.operators.levels import with_levels
+
+    slides = f.slides.withColumn("mask_path", F.when(F.col("slide_id") % 3 == 0, F.col("sample_id")))
+    mask, _ = tiling.resolve_mask(slides, f.label_px.withColumnRenamed("label", "value"), seg.segmented(f.rgb_px, "threshold", 60, 1, 3), 2)
+    return tiling.from_mask(mask, with_levels(f.slides, f.pyramid), SIDE, SIDE, SPEC, block=BLOCK)
+
+
 DENSE = "with dn as (select a.slide_id, a.mx, u.my, case when m.mx is null then 0 else 1 end v from (select slide_id, unnest(range(0,32)) mx from slides) a cross join unnest(range(0,32)) u(my) left join mask_px m on m.slide_id=a.slide_id and m.mx=a.mx and m.my=u.my)"
 
 
@@ -353,7 +376,7 @@ def coarse_masks(f: Fixtures) -> DataFrame:
     return seg.coarse_to_fine(f.rgb_px, 2, 2, SIDE, SIDE, block=BLOCK)
 
 
-@query()
+@query(median_of(3) + OTSU + ", tissue as (select slide_id, x mx, y my, cast(median > r.v as int) v from med join r using (slide_id) where r.k=1), " + closed_by("tissue", 2, 1) + " select slide_id, mx, my from closed where v=1", "rgb_px")
 def segmented_masks(f: Fixtures) -> DataFrame:
     """Otsu over a median of side 7, closed with a square of side 4, as by default."""
     return seg.segmented(f.rgb_px, "otsu", block=BLOCK)
