@@ -5,9 +5,10 @@ into `bits` dimensions; the signs are its code, packed into bytes.  Beside them
 stand its length and how well the code agrees with it, and with these two the
 code gives an unbiased estimate of its inner product with any query, whose error
 is bounded but for a probability that falls with the square of SURE: about 6e-7
-for each pair at 5.  Rows whose bound is beyond the k-th distance that a query
-has found so far are passed over; the others are reranked by the distance of the
-original vectors in double precision.
+for each pair at 5.  The k rows of a batch with the best estimates are measured first;
+rows whose bound is beyond the k-th distance that a query has found so far, or than those
+k, are passed over; the others are reranked by the distance of the original vectors in
+double precision.
 
 Every row is coded and met by every query: rows and queries are dealt to a grid,
 so that a task has QUERIES queries at most, which it keeps, and a stream of rows,
@@ -86,6 +87,13 @@ def distances(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def reached(estimates: np.ndarray, itself: np.ndarray, x: np.ndarray, queries: np.ndarray, k: int) -> np.ndarray:
+    """For each query a squared distance that k rows are within: the farthest of the k rows with the least estimates, measured exactly."""
+    first = np.argpartition(np.where(itself, np.inf, estimates), k - 1, axis=0)[:k]
+    far = distances(x[first.T.ravel()], np.repeat(queries, k, axis=0)).reshape(-1, k)
+    return np.where(itself[first, np.arange(len(queries))].any(axis=0), np.inf, far.max(axis=1) ** 2)
+
+
 class Best:
     """For each query the k nearest so far: distance, id (nulls last) and row number."""
 
@@ -205,8 +213,8 @@ def _met(kind_of: str, centres: dict[int, np.ndarray], times: int, k: int, sure:
                         least, most = bounds(codes, length, agreement, queries[some], centre, turn, sure)
                         itself = own_rows[:, None] == numbers[some][None, :]
                         limit = found.limit()[some]
-                        if len(x) > k and np.isinf(limit).any():
-                            limit = np.minimum(limit, np.partition(np.where(itself, np.inf, most), k - 1, axis=0)[k - 1])
+                        if len(x) > k:
+                            limit = np.minimum(limit, reached(least + most, itself, x, queries[some], k))
                         near = ~itself & (least <= limit * (1 + 1e-5) + 1e-9)
                         at, which = np.nonzero(near.T)
                         for begin in range(0, len(at), 1 << 17):
