@@ -1,47 +1,16 @@
-"""Annotation sampling: split, independent, joint, merged."""
+"""Label rasters split into masks by annotation, and put together again; tiles by annotation are in `tiling`."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridquarry.operators import coverage as cv
-from gridquarry.operators import grid
-
 
 def split(label_px: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """One binary mask for each declared label."""
     return label_px.join(F.broadcast(vocabulary.select("annotation", "value")), F.col("label") == F.col("value")).select("slide_id", "annotation", "mx", "my")
 
 
-def independent(masks: DataFrame, slides: DataFrame, vocabulary: DataFrame, tile: int, step: int, side: int) -> DataFrame:
-    """A grid of its own for each annotation, anchored at the box of its pixels; threshold 0 where none is given."""
-    px = F.col("slide_w") / side
-    py = F.col("slide_h") / side
-    box = masks.groupBy("slide_id", "annotation").agg(F.min("mx").alias("a"), F.max("mx").alias("b"), F.min("my").alias("c"), F.max("my").alias("d")).join(slides.select("slide_id", "slide_w", "slide_h"), "slide_id")
-    box = box.select("slide_id", "annotation", "slide_w", "slide_h", *(F.floor(e).cast("bigint").alias(n) for n, e in (("x0", F.col("a") * px), ("y0", F.col("c") * py), ("x1", (F.col("b") + 1) * px), ("y1", (F.col("d") + 1) * py))))
-    tiles = grid.candidates(box, tile, step, ("slide_id", "annotation", "slide_w", "slide_h"))
-    scored = cv.covered(cv.windows(tiles, side, side), masks, ["slide_id", "annotation"], zero=True)
-    kept = scored.join(F.broadcast(vocabulary.select("annotation", "min_coverage")), "annotation").where(F.col("frac") >= F.coalesce("min_coverage", F.lit(0.0)).cast("float"))
-    return grid.indexed(kept.select("slide_id", "annotation", "x", "y", "frac"), ["slide_id", "annotation"])
-
-
-def joint(masks: DataFrame, slides: DataFrame, vocabulary: DataFrame, tile: int, step: int, side: int) -> DataFrame:
-    """One grid over all annotations together; each scores every candidate on its whole mask."""
-    px, py = F.col("slide_w") / side, F.col("slide_h") / side
-    box = masks.groupBy("slide_id").agg(F.min("mx").alias("a"), F.max("mx").alias("b"), F.min("my").alias("c"), F.max("my").alias("d")).join(slides.select("slide_id", "slide_w", "slide_h"), "slide_id")
-    box = box.select("slide_id", "slide_w", "slide_h", *(F.floor(e).cast("bigint").alias(n) for n, e in (("x0", F.col("a") * px), ("y0", F.col("c") * py), ("x1", (F.col("b") + 1) * px), ("y1", (F.col("d") + 1) * py))))
-    tiles = grid.candidates(box, tile, step, ("slide_id", "slide_w", "slide_h")).crossJoin(F.broadcast(vocabulary.select("annotation", "min_coverage")))
-    scored = cv.covered(cv.windows(tiles, side, side), masks, ["slide_id", "annotation"], zero=True)
-    kept = scored.where(F.col("frac") >= F.coalesce("min_coverage", F.lit(0.0)).cast("float"))
-    return grid.indexed(kept.select("slide_id", "annotation", "x", "y", "frac"), ["slide_id", "annotation"])
-
-
-def merged(tiles: DataFrame) -> DataFrame:
-    """One row for each place, with the largest coverage."""
-    return grid.indexed(tiles.groupBy("slide_id", "x", "y").agg(F.max("frac").alias("frac")), ["slide_id"])
-
-
 def combined(masks: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Labels put back into one raster: of labels on one pixel the one declared last wins."""
     ordered = masks.join(F.broadcast(vocabulary.select("annotation", "value", "place")), "annotation")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import importlib
 import io
-import json
 import struct
 import tarfile
 import zlib
@@ -15,8 +14,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridquarry.operators import provenance
+
 ARRAYS = ("tile_index", "x", "y", "tissue_fractions")
-SECTIONS = ("provenance", "slide", "tiling", "segmentation", "filtering", "artifact")
+SECTIONS = tuple(provenance.SECTIONS)
 
 
 def to_npz(tiles: pd.DataFrame) -> bytes:
@@ -76,13 +77,6 @@ def read_metadata(spark, folder: str) -> DataFrame:
     return key_differences(named.withColumn("keys", F.json_object_keys("meta")), SECTIONS).drop("keys")
 
 
-def metadata(sections: dict[str, dict]) -> str:
-    """The metadata text; exactly the known sections."""
-    if set(sections) != set(SECTIONS):
-        raise ValueError(f"sections must be {SECTIONS}")
-    return json.dumps(sections, indent=2, sort_keys=True)
-
-
 def png(pixels: np.ndarray) -> bytes:
     """An RGB image as PNG."""
     height, width, _ = pixels.shape

@@ -12,7 +12,7 @@ from gridquarry.functions import colour
 from gridquarry.functions import geometry as g
 from gridquarry.operators import components as cc
 from gridquarry.operators import coverage as cv
-from gridquarry.operators import grid, levels, qc, runs, sampling, supertiles
+from gridquarry.operators import grid, levels, qc, runs, sampling, supertiles, tiling
 from gridquarry.sources import artifacts, manifest, rasters, sinks
 from gridquarry.streaming import frontend
 from pyspark.sql import functions as F
@@ -111,12 +111,14 @@ def test_supertiles(spark):
 def test_joint_keeps_thresholds(spark):
     px = spark.createDataFrame([(1, x, y, 1 if x < 8 else 2) for x in range(16) for y in range(16)], "slide_id bigint, mx bigint, my bigint, label int")
     vocabulary = spark.createDataFrame([("a", 1, 0.1, 1), ("b", 2, 0.5, 2)], "annotation string, value int, min_coverage double, place int")
-    slides = spark.createDataFrame([(1, 160, 160)], "slide_id bigint, slide_w bigint, slide_h bigint")
-    got = sampling.joint(sampling.split(px, vocabulary), slides, vocabulary, 64, 48, 16)
+    slides = spark.createDataFrame([(1, 160, 160, 0.5)], "slide_id bigint, slide_w bigint, slide_h bigint, base_spacing_um double")
+    levels = F.array(F.struct(F.lit(0).alias("level"), F.lit(1.0).alias("downsample_x"), F.lit(0.5).alias("spacing_um"), F.col("slide_w").alias("width"), F.col("slide_h").alias("height")))
+    asked = (sampling.split(px, vocabulary), slides.withColumn("levels", levels), vocabulary, 16, 16, tiling.Spec(tile_px=64, spacing_um=0.5, overlap=0.25))
+    got = tiling.joint(*asked)
     assert {r.annotation for r in got.collect()} == {"a", "b"}
     assert got.where("annotation = 'b' and frac < 0.5").count() == 0
     assert all(r.contiguous for r in grid.contiguous(got, ["slide_id", "annotation"]).collect())
-    merged = sampling.merged(got)
+    merged = tiling.per_annotation(*asked, "joint", "merged")
     assert merged.count() == got.select("x", "y").distinct().count()
 
 
@@ -143,7 +145,7 @@ def test_artifacts(spark, tmp_path):
     assert rows(back.select("slide_id", "tile_index", "x", "y", "frac")) == rows(tiles.select("slide_id", "tile_index", "x", "y", "frac"))
     for r in artifacts.packed(tiles).collect():
         (tmp_path / f"s{r.slide_id}.coordinates.npz").write_bytes(bytes(r.npz))
-        (tmp_path / f"s{r.slide_id}.coordinates.meta.json").write_text(artifacts.metadata({s: {} for s in artifacts.SECTIONS}) if r.slide_id == 1 else json.dumps({"odd": 1}))
+        (tmp_path / f"s{r.slide_id}.coordinates.meta.json").write_text(json.dumps({s: {} for s in artifacts.SECTIONS}) if r.slide_id == 1 else json.dumps({"odd": 1}))
     assert artifacts.read_npz(spark, str(tmp_path)).count() == 3
     meta = {r.sample_id: (len(r.missing), list(r.unexpected)) for r in artifacts.read_metadata(spark, str(tmp_path)).collect()}
     assert meta == {"s1": (0, []), "s2": (6, ["odd"])}
