@@ -39,10 +39,12 @@ from gridquarry.llm import textkit as tk
 
 #: Size of a cell, and cells visited besides a vector's own.
 CELL, PROBES = 3.0, 4
-#: Most E8 points that name a cell, and rows that a row is meant to meet.
-DEEPEST, PARTNERS = 6, 256
+#: Most E8 points that name a cell, 128 coordinates, and rows that a row is meant to meet.
+DEEPEST, PARTNERS = 16, 256
 #: Rows in a block of a crowded cell.
 BLOCK = 1024
+#: Crowded cells, of 16 bytes each, that are broadcast; more are joined by a shuffle.
+MOST_CROWDED = 500_000
 
 
 def _shortest() -> np.ndarray:
@@ -201,31 +203,24 @@ def _unit(data: list[bytes], kind: str) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _dealt(kind: str, eights: int, tables: int):
-    """A row for each class and each cell that it lives in (visit is -1) or visits."""
+def _signed(kind: str, eights: int, tables: int):
+    """Each class with the names of its cells: for each table its own and then those it visits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
-                yield from dealt(batch.slice(low, 1000))
+                yield from signed(batch.slice(low, 1000))
 
-    def dealt(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    def signed(part: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         data = part.column("data").to_pylist()
         sizes = np.array([len(d) for d in data])
         for size in np.unique(sizes):
             at = np.flatnonzero(sizes == size)
             rows = part.take(pa.array(at))
             own, visits = cells(_unit([data[k] for k in at.tolist()], kind), rows.column("label").to_numpy(), eights, tables)
-            names = np.concatenate([own[:, :, None], visits], axis=2)
-            keys = [names[k].tobytes() for k in range(len(at))]
-            each = tables * (1 + PROBES)
-            take = pa.array(np.repeat(np.arange(len(at)), each))
-            table = np.tile(np.repeat(np.arange(tables), 1 + PROBES), len(at))
-            visit = np.tile(np.arange(-1, PROBES), len(at) * tables)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(names.ravel().view(np.int64)), pa.array(table, pa.int32()), pa.array(visit, pa.int32()), *(rows.column(c).take(take) for c in ("hi", "lo", "label", "copies", "data")), pa.array(keys, pa.binary()).take(take)],
-                names=["cell", "t", "visit", "hi", "lo", "label", "copies", "data", "keys"],
-            )
+            names = np.concatenate([own[:, :, None], visits], axis=2).reshape(len(at), -1).view(np.int64)
+            listed = tk.listed(names.ravel(), np.full(len(at), names.shape[1]), pa.int64())
+            yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("hi", "lo", "label", "copies", "data")), listed], names=["hi", "lo", "label", "copies", "data", "keys"])
 
     return run
 
@@ -257,7 +252,7 @@ def _compare(threshold: float, kind: str, tables: int):
         # from here on, a is the smaller of the two by name
         swap = (rows["hi"][a] > rows["hi"][b]) | ((rows["hi"][a] == rows["hi"][b]) & (rows["lo"][a] > rows["lo"][b]))
         a, b = np.where(swap, b, a), np.where(swap, a, b)
-        keys = np.frombuffer(b"".join(rows["keys"].tolist()), np.uint64).reshape(len(x), tables, 1 + PROBES)
+        keys = np.stack(rows["keys"]).reshape(len(x), tables, 1 + PROBES)
         own, visits = keys[:, :, 0], keys[:, :, 1:]
         met = np.zeros(len(a), bool)
         for t in range(t0):
@@ -302,9 +297,11 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, id_col: str = "
     classes = named.where("hi is not null").groupBy("hi", "lo").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("label").alias("label"), F.first("data").alias("data"))
     classes = tk.stored(classes, "classes")
     eights, tables = _fitted(classes, kind, threshold, recall)
-    rows = classes.drop("rep").mapInArrow(_dealt(kind, eights, tables), "cell bigint, t int, visit int, hi bigint, lo bigint, label bigint, copies bigint, data binary, keys binary")
-    crowded = tk.stored(rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "crowded")
-    sized = rows.join(crowded, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
+    signed = tk.stored(classes.drop("rep").mapInArrow(_signed(kind, eights, tables), "hi bigint, lo bigint, label bigint, copies bigint, data binary, keys array<bigint>"), "signed")
+    crowded = tk.stored(signed.select(F.explode("keys").alias("cell")).groupBy("cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BLOCK), "crowded")
+    few = crowded.count() <= MOST_CROWDED
+    rows = signed.select("*", F.posexplode("keys").alias("_p", "cell")).withColumn("t", F.floor(F.col("_p") / (1 + PROBES)).cast("int")).withColumn("visit", (F.col("_p") % (1 + PROBES) - 1).cast("int")).drop("_p")
+    sized = rows.join(F.broadcast(crowded) if few else crowded, "cell", "left").withColumn("n", F.coalesce("n", F.lit(1)))
     dealt = graph.in_blocks(sized, BLOCK, F.col("lo"))
     keys = ["cell", "left", "right"]
     ordered = dealt.repartition(*keys).sortWithinPartitions(*keys)
