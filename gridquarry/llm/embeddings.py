@@ -266,24 +266,27 @@ def _compare(threshold: float, kind: str, tables: int):
         return [(int(rows["hi"][k]), int(rows["lo"][k]), int(links[k]), int(rows["hi"][root[k]]), int(rows["lo"][root[k]])) for k in told.tolist()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, []
+        key, held, homes = None, [], False
 
         def flush() -> Iterator[pa.RecordBatch]:
-            if sum(h.num_rows for h in held) > 1:
+            if homes and sum(h.num_rows for h in held) > 1:
                 whole = pa.Table.from_batches(held).combine_chunks()
-                rows = {c: whole[c].to_numpy(zero_copy_only=False) for c in whole.column_names}
-                if (rows["visit"] < 0).any():
-                    yield judge(rows, key[1] != key[2])
+                yield judge({c: whole[c].to_numpy(zero_copy_only=False) for c in whole.column_names}, key[1] != key[2])
 
         for batch in batches:
             columns = [batch.column(c).to_numpy() for c in ("cell", "left", "right")]
             cut = np.flatnonzero(np.append(True, np.any([c[1:] != c[:-1] for c in columns], axis=0)))[: batch.num_rows]
-            for low, high in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows], strict=True):
+            if not len(cut):
+                continue
+            # cells that are only visited have nothing to compare
+            lives = np.add.reduceat(batch.column("visit").to_numpy() < 0, cut) > 0
+            for low, high, home in zip(cut.tolist(), [*cut[1:].tolist(), batch.num_rows], lives.tolist(), strict=True):
                 own = tuple(int(c[low]) for c in columns)
                 if own != key:
                     yield from flush()
-                    key, held = own, []
+                    key, held, homes = own, [], False
                 held.append(batch.slice(low, high - low))
+                homes |= home
         yield from flush()
 
     return run
