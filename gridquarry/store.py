@@ -41,6 +41,11 @@ class Files:
         at = self.jvm.org.apache.hadoop.fs.Path(path)
         return at.getFileSystem(self.conf), at
 
+    def qualified(self, path: str) -> str:
+        """A plain path on a default file system that is not local, as a URI, so that tasks mean the same folder."""
+        fs, at = self._at(path)
+        return path if "://" in path or fs.getScheme() == "file" else fs.makeQualified(at).toString()
+
     def exists(self, path: str) -> bool:
         fs, at = self._at(path)
         return fs.exists(at)
@@ -79,7 +84,8 @@ class Files:
 
 class RunStore:
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder, self.files = spark, folder.rstrip("/"), Files(spark)
+        self.spark, self.files = spark, Files(spark)
+        self.folder = self.files.qualified(folder.rstrip("/"))
 
     def at(self, *names: str) -> str:
         return "/".join((self.folder, *names))
