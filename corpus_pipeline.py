@@ -43,7 +43,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document its subword pieces, and whether they decode to the text."""
     tk.modest_batches(spark)
-    found = pieces.decode(pieces.encode(docs, TOKENIZER), TOKENIZER)
+    found = pieces.round_trip(docs, TOKENIZER)
     return found.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
 
 

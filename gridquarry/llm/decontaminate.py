@@ -327,8 +327,11 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = 13, one_in: i
     return found.withColumn("n_hit", hit).withColumn("contaminated", (F.col("n_hit") > 0) & (one_in * F.col("n_hit") >= F.col("n_words")))
 
 
-def _marked(block: list[tuple[int, str]], window: int, text_col: str, first: bool, name: str):
-    """The rows with a column that is carried from one block of items to the next: a bit for each word, set by this block or the ones before."""
+def _marked(block: list[tuple[int, str]], window: int, one_in: int, text_col: str, name: str, first: bool, last: bool):
+    """The rows with a column that is carried from one block of items to the next: a bit for each word, set by this block or the ones before.
+
+    The last block's pass gives the rows that stay, without that column.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items(block, window)
@@ -338,11 +341,15 @@ def _marked(block: list[tuple[int, str]], window: int, text_col: str, first: boo
                 seg = Segment(row, known.terms)
                 hit, _ = _hits(seg, known)
                 own = [np.packbits(hit[x:y]) for x, y in zip(seg.first[:-1].tolist(), (seg.first[1:] - 1).tolist(), strict=True)]
-                if first:
-                    yield part.append_column(name, pa.array([h.tobytes() for h in own], pa.binary()))
+                if not first:
+                    own = [h | np.frombuffer(b, np.uint8) for h, b in zip(own, part.column(name).to_pylist(), strict=True)]
+                rows = part if first else pa.RecordBatch.from_arrays(part.columns[:-1], names=part.schema.names[:-1])
+                if last:
+                    n_hit = [int(np.unpackbits(h).sum()) for h in own]
+                    keep = [not (h and one_in * h >= n) for h, n in zip(n_hit, seg.doc_words.tolist(), strict=True)]
+                    yield rows.filter(pa.array(keep, pa.bool_()))
                 else:
-                    both = [(h | np.frombuffer(b, np.uint8)).tobytes() for h, b in zip(own, part.column(name).to_pylist(), strict=True)]
-                    yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(both, pa.binary())], names=part.schema.names)
+                    yield rows.append_column(name, pa.array([h.tobytes() for h in own], pa.binary()))
 
     return run
 
@@ -353,15 +360,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, window: int = 13, one_i
     The rows themselves are at hand here, so each slice's postings are built, searched and let
     go without being stored; with items of more than one block, one pass follows another.
     """
-    out, name = docs, tk.free("_hit", docs.columns)
-    for block in _blocks(items, item_id_col, item_text_col):
-        out = out.mapInArrow(_marked(block, window, text_col, out is docs, name), StructType([*docs.schema.fields, StructField(name, BinaryType())]))
-
-    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hit = [np.unpackbits(np.frombuffer(h, np.uint8)).sum() if h else 0 for h in batch.column(name).to_pylist()]
-            n_words = np.diff(tk.bare_words(batch.column(text_col), tk.ALNUM).bounds)
-            keep = [not (h and one_in * h >= n) for h, n in zip(hit, n_words.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays(batch.columns[:-1], names=batch.schema.names[:-1]).filter(pa.array(keep, pa.bool_()))
-
-    return out.mapInArrow(kept, docs.schema)
+    out, name, blocks = docs, tk.free("_hit", docs.columns), list(_blocks(items, item_id_col, item_text_col))
+    for k, block in enumerate(blocks):
+        last = k == len(blocks) - 1
+        schema = docs.schema if last else StructType([*docs.schema.fields, StructField(name, BinaryType())])
+        out = out.mapInArrow(_marked(block, window, one_in, text_col, name, k == 0, last), schema)
+    return out

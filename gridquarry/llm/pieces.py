@@ -36,7 +36,7 @@ from gridquarry.llm import textkit as tk
 
 SPACE, MARK = 0x20, "▁".encode()
 RANK_OFFSET = 10.0
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Probabilities are whole numbers of this many bits, so that a draw depends on nothing else in the slice.
 DRAW_BITS = 40
 
@@ -267,8 +267,10 @@ def join_pieces(column: pa.Array, vocab: Pieces) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def encode(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1.0, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text and ids: a segmentation of the text drawn by the row's key."""
+ENCODED = "doc_id bigint, text string, ids array<int>"
+
+
+def _encoded(docs: DataFrame, model_path: str, seed: int, sharpness: float, key_col: str, text_col: str, decoded: bool) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col(key_col).cast("string"), F.lit("null key")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,12 +278,23 @@ def encode(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1
         for batch in batches:
             for part in tk.slices(batch, "text", SLICE_BYTES):
                 ids = sample_pieces(part.column("text"), part.column("key").to_numpy().view(np.uint64), vocab, seed)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], names=["doc_id", "text", "ids"])
+                out = pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text"), ids], names=["doc_id", "text", "ids"])
+                yield out.append_column("decoded", join_pieces(ids, vocab)) if decoded else out
         del vocab
         tk.release()
 
     chosen = docs.select(F.col(key_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"), key.alias("key"))
-    return chosen.mapInArrow(run, "doc_id bigint, text string, ids array<int>")
+    return chosen.mapInArrow(run, ENCODED + ", decoded string" if decoded else ENCODED)
+
+
+def encode(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1.0, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text and ids: a segmentation of the text drawn by the row's key."""
+    return _encoded(docs, model_path, seed, sharpness, key_col, text_col, decoded=False)
+
+
+def round_trip(docs: DataFrame, model_path: str, seed: int = 0, sharpness: float = 1.0, key_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As decode after encode, in one pass: one Python worker and one vocabulary to a task instead of two."""
+    return _encoded(docs, model_path, seed, sharpness, key_col, text_col, decoded=True)
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:

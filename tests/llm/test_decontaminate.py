@@ -110,3 +110,25 @@ def test_near_does_not_depend_on_segments(spark):
             assert sorted(tuple(r) for r in dc.find_near(dc.build_index(frame), bench, 4, 12).collect()) == want
     finally:
         spark.conf.set(key, before)
+
+
+def test_filter_drops_the_same_rows_with_one_block_and_with_many(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    flags = {r[0]: r[5] for r in brute([(r.doc_id, r.text) for r in docs.collect()], [tuple(r) for r in items.collect()])}
+    odd = spark.createDataFrame([(-1, None, "en", "s", 0), (-2, "", None, None, None)], docs.schema)
+    for words in (1_000_000, 400):
+        monkeypatch.setattr(dc, "BLOCK_WORDS", words)
+        got = dc.drop_contaminated(docs.unionByName(odd), items)
+        assert got.columns == docs.columns
+        assert sorted(r.doc_id for r in got.collect()) == sorted([-1, -2, *(d for d, bad in flags.items() if not bad)])
+    assert any(flags.values())
+
+
+def test_pipeline_stages_take_one_python_worker_to_a_task(spark):
+    import corpus_pipeline as cp
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    for stage in (cp.drop_contaminated, cp.redact_secrets, cp.encode_pieces):
+        plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1

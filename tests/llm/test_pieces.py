@@ -86,3 +86,12 @@ def test_odd_rows(spark):
     same = [r.ids for r in got if r.doc_id == 4]
     assert same[0] == same[1]
     assert ps.decode(ps.encode(frame.limit(0), TOKENIZER), TOKENIZER).count() == 0
+
+
+def test_round_trip_in_one_pass_equals_two(spark):
+    rows = [(1, None), (2, ""), (3, "▁ ▁▁ \x00 \n\n  "), (None, "ab"), (None, "ab"), (4, "naïve \U0001f600 ☃ " * 400)]
+    odd = spark.createDataFrame(rows, "doc_id bigint, text string")
+    for frame in (odd, odd.limit(0), spark.read.parquet(f"{SF}/documents.parquet")):
+        one, two = ps.round_trip(frame, TOKENIZER), ps.decode(ps.encode(frame, TOKENIZER), TOKENIZER)
+        assert one.schema == two.schema
+        assert sorted(map(str, one.collect())) == sorted(map(str, two.collect()))
