@@ -4,11 +4,10 @@ Documents are sets of word shingles.  Equal sets collapse into one class first,
 by a digest of the whole set.  Each class gets a MinHash signature, cut into
 trees of PATH values; the signatures of a tree, sorted whole, are its prefix
 trie.  Classes that stand under one prefix in some tree are candidates.  The
-walk starts at whole paths and shortens the prefix step by step: the signatures
-of a bounded sample of the candidate pairs tell how similar linked pairs are in
-these data, and hence what share of them would be missed at each length; it ends
-where that share is below 1 - recall, or where not even pairs right at the
-threshold would be missed more often.
+walk starts at whole paths and shortens the prefix step by step, down to the
+length at which not even pairs right at the threshold are missed more often than
+1 - recall.  It ends before only if all candidate pairs, none left out, prove
+that no two classes that meet are that far apart.
 
 Candidates gather in components.  Inside a component classes are compared
 exactly, on their whole shingle sets, in pairs of blocks.  A wide component
@@ -173,24 +172,30 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> tupl
     return edges, depth
 
 
-def _walked(found: DataFrame, classes: DataFrame, threshold: float, recall: float, least: int, sample: int = 4_000, enough: int = 50) -> int:
-    """Shorten the prefix from the whole path until the share of linked pairs that it misses is below 1 - recall.
+def _walked(found: DataFrame, classes: DataFrame, threshold: float, recall: float, least: int) -> int:
+    """The longest prefix, from `least` up, that meets any two classes of one run with the recall asked for.
 
-    Similarities are those of signatures, of at most `sample` candidate pairs (those with the
-    smallest hash); with fewer than `enough` linked ones among them the walk goes to `least`.
+    All pairs told in `found` count.  A pair that meets at no longer prefix ends the walk there.
+    Otherwise the farthest pair's signatures bound how far apart any two classes of a run can be:
+    each is told with the run's first, so by the triangle inequality twice that pair's distance at most.
     """
-    pairs = found.where("prefix is null").select("hi", "lo", "hi2", "lo2").distinct().orderBy(F.xxhash64("hi", "lo", "hi2", "lo2"), "hi", "lo").limit(sample).collect()
-    ends = {(r[0], r[1]) for r in pairs} | {(r[2], r[3]) for r in pairs}
-    if not ends:
+    ends = _node("hi", "lo"), _node("hi2", "lo2")
+    pairs = found.where("prefix is null").groupBy(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).agg(F.max("depth").alias("depth"))
+    longest = pairs.agg(F.min("depth")).first()[0] or least
+    if longest == least:
         return least
-    wanted = classes.sparkSession.createDataFrame(sorted(ends), "hi bigint, lo bigint")
-    told = {(r["hi"], r["lo"]): np.frombuffer(r["signature"], np.uint32) for r in classes.join(F.broadcast(wanted), ["hi", "lo"]).select("hi", "lo", "signature").collect()}
-    alike = np.array([(told[r[0], r[1]] == told[r[2], r[3]]).mean() for r in pairs])
-    alike = alike[alike >= threshold]
-    for depth in range(PATH, least, -1):
-        if len(alike) >= enough and ((1 - alike**depth) ** TREES).mean() <= 1 - recall:
-            return depth
-    return least
+    signed = classes.select(_node("hi", "lo").alias("a"), "signature")
+    both = pairs.join(signed, "a").join(signed.toDF("b", "other"), "b").select("signature", "other")
+    alike = both.mapInArrow(_surely_alike, "alike double").agg(F.min("alike")).first()[0]
+    return min(longest, depth_for(max(threshold, 2 * alike - 1), recall))
+
+
+def _surely_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of signatures, the similarity that the texts have at least: the estimate less four standard deviations."""
+    for batch in batches:
+        one, other = (tk.flat(x)[0].view(np.uint32).reshape(batch.num_rows, TREES * PATH) for x in batch.columns)
+        share = (one == other).mean(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(share - 4 * np.sqrt(share * (1 - share) / (TREES * PATH)))], names=["alike"])
 
 
 def _verify(width: int, threshold: float):

@@ -104,3 +104,25 @@ def test_prefixes_are_shortened_as_far_as_the_data_ask(spark, monkeypatch):
         assert result(frame) == brute(docs)
     assert ends[0] == nd.PATH
     assert ends[1] < ends[0]
+
+
+def test_a_rare_pair_at_the_threshold_is_found_among_very_many_that_are_close(spark, monkeypatch):
+    ends = []
+    walked = nd._walked
+    monkeypatch.setattr(nd, "_walked", lambda *a, **k: ends.append(walked(*a, **k)) or ends[-1])
+    docs = [(d, " ".join(f"c{d // 2}-{k}" for k in range(400)) + (" x y" if d % 2 else "")) for d in range(120)]
+    own = [f"s50-{k}" for k in range(190)]
+    docs += [(500, " ".join(own)), (501, " ".join(f"d50-{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(own)))]  # meet at prefixes of 6 values only
+    assert result(spark.createDataFrame(docs, "doc_id bigint, text string")) == brute(docs)
+    assert ends == [nd.depth_for(0.8, 0.9999)]
+
+
+def test_length_comes_from_all_candidate_pairs(spark, monkeypatch):
+    ends = []
+    walked = nd._walked
+    monkeypatch.setattr(nd, "_walked", lambda *a, **k: ends.append(walked(*a, **k)) or ends[-1])
+    docs = [(d, " ".join(f"c{d // 2}-{k}" for k in range(400)) + (" x y" if d % 2 else "")) for d in range(120)]
+    own = [f"s0-{k}" for k in range(190)]
+    docs += [(500, " ".join(own)), (501, " ".join(f"d0-{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(own)))]  # meet at whole paths
+    assert result(spark.createDataFrame(docs, "doc_id bigint, text string")) == brute(docs)
+    assert ends == [nd.depth_for(0.8, 0.9999)]
