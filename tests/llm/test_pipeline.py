@@ -77,3 +77,12 @@ def test_other_columns_stay_whatever_their_names(spark):
         assert wide.columns == [*docs.columns, *names]
         assert {r.doc_id for r in wide.collect()} == {r.doc_id for r in plain.collect()}
         assert all(r[n] == r.doc_id + k for r in wide.collect() for k, n in enumerate(names))
+
+
+def test_near_duplicates_at_the_threshold_go_among_very_many_that_are_close(spark):
+    docs = [(d, " ".join(f"c{d // 2}-{k}" for k in range(400)) + (" x y" if d % 2 else "")) for d in range(120)]
+    own = [f"s50-{k}" for k in range(190)]
+    docs += [(500, " ".join(own)), (501, " ".join(f"d50-{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(own)))]
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in cp.drop_near_duplicates(spark, frame, SF).collect()}
+    assert kept == {*range(0, 120, 2), 500}
