@@ -101,7 +101,7 @@ def _signatures(width: int):
 
 
 def _adjacent(least: int):
-    """For each row and prefix length from the whole path down to `least`, the first row of its run in the sorted trie; and each partition's outer rows.
+    """For each row and prefix length from the whole path down to `least`, the first row of its run in the sorted trie; and, with their prefixes, the first rows of each partition's outer runs.
 
     A row is told once for all lengths that lead to the same first row, with the longest of them.
     """
@@ -128,7 +128,7 @@ def _adjacent(least: int):
                 to_hi, to_lo = np.where(at < 0, head[d][0], hi[at]), np.where(at < 0, head[d][1], lo[at])
                 head[d] = (int(to_hi[-1]), int(to_lo[-1]))
                 outer[d] = outer[d] or [(keys[0, : 4 + 4 * d].tobytes(), int(hi[0]), int(lo[0]))]
-                outer[d][1:] = [(keys[-1, : 4 + 4 * d].tobytes(), int(hi[-1]), int(lo[-1]))]
+                outer[d][1:] = [(keys[-1, : 4 + 4 * d].tobytes(), *head[d])]
                 own = ~new & ~(known[2] & (known[0] == to_hi) & (known[1] == to_lo))
                 known = (np.where(new, known[0], to_hi), np.where(new, known[1], to_lo), known[2] | ~new)
                 yield _edge_rows(hi[own], lo[own], to_hi[own], to_lo[own], d)
@@ -153,7 +153,7 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> tupl
     """classes: (hi, lo, signature).  Edges (a, b) that join all classes with a common prefix in some tree, and the prefix length at which the walk ended.
 
     The tries are range-partitioned by tree, path and class, so a prefix that very many classes
-    share is spread over many partitions; a few rows from their edges join the parts again.
+    share is spread over many partitions; the first rows of the runs at their edges join the parts again.
     A class has at most a few first rows in each tree; they are tied to the smallest of them, so
     that runs of different trees with the same members leave few edges.
     """
@@ -162,40 +162,48 @@ def candidate_edges(classes: DataFrame, threshold: float, recall: float) -> tupl
     tries = classes.select("hi", "lo", F.explode(paths).alias("_p")).select("_p.tree", "_p.path", "hi", "lo")
     ordered = tries.repartitionByRange("tree", "path", "hi", "lo").sortWithinPartitions("tree", "path", "hi", "lo")
     found = tk.stored(ordered.mapInArrow(_adjacent(least), "hi bigint, lo bigint, hi2 bigint, lo2 bigint, depth int, prefix binary"), "tries")
-    depth = _walked(found, classes, threshold, recall, least)
-    inner = found.where(F.col("prefix").isNull() & (F.col("depth") >= depth)).select(_node("hi", "lo").alias("a"), _node("hi2", "lo2").alias("b"))
-    outer = found.where(F.col("prefix").isNotNull() & (F.col("depth") == depth)).select("prefix", _node("hi", "lo").alias("a"))
-    across = outer.join(outer.groupBy("prefix").agg(F.min("a").alias("b")), "prefix").where("a <> b").select("a", "b")
-    heads = inner.union(across).where("a <> b").groupBy("a").agg(F.collect_set("b").alias("heads")).withColumn("b", F.array_min("heads"))
+    inner = found.where("prefix is null").select(_node("hi", "lo").alias("a"), _node("hi2", "lo2").alias("b"), "depth")
+    outer = found.where("prefix is not null").select("prefix", _node("hi", "lo").alias("a"), "depth")
+    across = outer.join(outer.groupBy("prefix").agg(F.min("a").alias("b")), "prefix").where("a <> b").select("a", "b", "depth")
+    depth = _walked(inner, across, classes, threshold, recall, least)
+    joined = inner.where(F.col("depth") >= depth).union(across.where(F.col("depth") == depth))
+    heads = joined.where("a <> b").groupBy("a").agg(F.collect_set("b").alias("heads")).withColumn("b", F.array_min("heads"))
     edges = tk.stored(heads.select(F.explode(F.concat(F.array("a"), "heads")).alias("a"), "b").where("a <> b").distinct(), "candidates")
     tk.unstored(found)
     return edges, depth
 
 
-def _walked(found: DataFrame, classes: DataFrame, threshold: float, recall: float, least: int) -> int:
+def _walked(inner: DataFrame, across: DataFrame, classes: DataFrame, threshold: float, recall: float, least: int) -> int:
     """The longest prefix, from `least` up, that meets any two classes of one run with the recall asked for.
 
-    All pairs told in `found` count.  A pair that meets at no longer prefix ends the walk there.
-    Otherwise the farthest pair's signatures bound how far apart any two classes of a run can be:
-    each is told with the run's first, so by the triangle inequality twice that pair's distance at most.
+    Pairs (a, b, depth) of a class and the first of its run count whether they stand in one partition
+    (inner) or not (across), so it does not matter where partitions begin.  A pair that meets at no
+    longer prefix ends the walk there.  Otherwise the farthest pair bounds how far apart any two classes
+    of a run can be: by the triangle inequality, their signatures differ in twice as many values at most,
+    or four times as many if partitions part runs (class, first in its partition, first of all, and back).
     """
-    ends = _node("hi", "lo"), _node("hi2", "lo2")
-    pairs = found.where("prefix is null").groupBy(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).agg(F.max("depth").alias("depth"))
-    longest = pairs.agg(F.min("depth")).first()[0] or least
-    if longest == least:
+    told = inner.withColumn("parted", F.lit(False)).union(across.withColumn("parted", F.lit(True)))
+    pairs = told.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("depth").alias("depth"), F.max("parted").alias("parted"))
+    longest, parted = pairs.agg(F.min("depth"), F.max("parted")).first()
+    if longest is None or longest == least:
         return least
     signed = classes.select(_node("hi", "lo").alias("a"), "signature")
     both = pairs.join(signed, "a").join(signed.toDF("b", "other"), "b").select("signature", "other")
-    alike = both.mapInArrow(_surely_alike, "alike double").agg(F.min("alike")).first()[0]
-    return min(longest, depth_for(max(threshold, 2 * alike - 1), recall))
+    equal = both.mapInArrow(_equal_values, "equal bigint").agg(F.min("equal")).first()[0]
+    return min(longest, depth_for(max(threshold, surely_alike(1 - (4 if parted else 2) * (1 - equal / (TREES * PATH)))), recall))
 
 
-def _surely_alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each pair of signatures, the similarity that the texts have at least: the estimate less four standard deviations."""
+def _equal_values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each pair of signatures, the number of values in which they agree."""
     for batch in batches:
         one, other = (tk.flat(x)[0].view(np.uint32).reshape(batch.num_rows, TREES * PATH) for x in batch.columns)
-        share = (one == other).mean(axis=1)
-        yield pa.RecordBatch.from_arrays([pa.array(share - 4 * np.sqrt(share * (1 - share) / (TREES * PATH)))], names=["alike"])
+        yield pa.RecordBatch.from_arrays([pa.array((one == other).sum(axis=1).astype(np.int64))], names=["equal"])
+
+
+def surely_alike(share: float, n: int = TREES * PATH, z: float = 4) -> float:
+    """The similarity that texts have at least whose signatures agree in this share of values: Wilson's lower bound at four standard deviations."""
+    share = max(share, 0.0)
+    return (share + z**2 / (2 * n) - z * (share * (1 - share) / n + (z / (2 * n)) ** 2) ** 0.5) / (1 + z**2 / n)
 
 
 def _verify(width: int, threshold: float):

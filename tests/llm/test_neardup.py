@@ -126,3 +126,18 @@ def test_length_comes_from_all_candidate_pairs(spark, monkeypatch):
     docs += [(500, " ".join(own)), (501, " ".join(f"d0-{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(own)))]  # meet at whole paths
     assert result(spark.createDataFrame(docs, "doc_id bigint, text string")) == brute(docs)
     assert ends == [nd.depth_for(0.8, 0.9999)]
+
+
+def test_pairs_parted_by_partitions_count_for_the_length(spark):
+    docs = [(d, " ".join(f"c{d // 2}-{k}" for k in range(400)) + (" x y" if d % 2 else "")) for d in range(6)]
+    own = [f"s50-{k}" for k in range(190)]
+    docs += [(500, " ".join(own)), (501, " ".join(f"d50-{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(own)))]  # meet in 3 trees, at prefixes of 6 values
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", 80)  # 256 sorted rows; the pair's second is the first of a partition each time
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    frame = session.createDataFrame(docs, "doc_id bigint, text string").selectExpr("doc_id", "0L as h", "text")
+    signed = nd.tk.stored(frame.mapInArrow(nd._signatures(5), nd.SIGNED), "signed")
+    edges, depth = nd.candidate_edges(signed.select("hi", "lo", "signature"), 0.8, 0.9999)
+    name = {(r.hi, r.lo): r.doc_id for r in signed.collect()}
+    assert depth == nd.depth_for(0.8, 0.9999)
+    assert {frozenset(name[tuple(x)] for x in r) for r in edges.collect()} == {frozenset(x) for x in ((0, 1), (2, 3), (4, 5), (500, 501))}

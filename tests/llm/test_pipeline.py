@@ -86,3 +86,15 @@ def test_near_duplicates_at_the_threshold_go_among_very_many_that_are_close(spar
     frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     kept = {r.doc_id for r in cp.drop_near_duplicates(spark, frame, SF).collect()}
     assert kept == {*range(0, 120, 2), 500}
+
+
+def test_near_duplicates_go_where_partitions_part_them_in_all_trees(spark):
+    docs = [(d, " ".join(f"c{d // 2}-{k}" for k in range(400)) + (" x y" if d % 2 else "")) for d in range(2)]
+    own = [f"s1527-{k}" for k in range(190)]
+    docs += [(500, " ".join(own)), (501, " ".join(f"d1527-{k}" if k in (30, 70, 110, 150) else w for k, w in enumerate(own)))]  # meet in 4 trees, at prefixes of 6 or 7 values
+    frame = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in docs], "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    session = spark.newSession()
+    session.conf.set("spark.sql.shuffle.partitions", 49)  # 128 sorted rows; the pair's second is the first of a partition each time
+    session.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    frame = session.createDataFrame(frame.rdd, frame.schema)
+    assert {r.doc_id for r in cp.drop_near_duplicates(session, frame, SF).collect()} == {0, 500}
