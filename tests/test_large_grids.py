@@ -7,6 +7,7 @@ from gridquarry.plans import QUERIES
 NAMES = [
     "tile_index",
     "supertile_dense_blocks",
+    "supertile_index",
 ]
 
 
