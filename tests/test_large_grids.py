@@ -8,6 +8,7 @@ NAMES = [
     "tile_index",
     "supertile_dense_blocks",
     "supertile_index",
+    "limit_tiles",
 ]
 
 
