@@ -9,6 +9,7 @@ NAMES = [
     "supertile_dense_blocks",
     "supertile_index",
     "limit_tiles",
+    "infer_stride",
 ]
 
 
