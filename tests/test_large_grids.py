@@ -10,6 +10,7 @@ NAMES = [
     "supertile_index",
     "limit_tiles",
     "infer_stride",
+    "artifact_roundtrip",
 ]
 
 
