@@ -11,6 +11,7 @@ NAMES = [
     "limit_tiles",
     "infer_stride",
     "artifact_roundtrip",
+    "grid_preview",
 ]
 
 
