@@ -12,6 +12,7 @@ NAMES = [
     "infer_stride",
     "artifact_roundtrip",
     "grid_preview",
+    "group_plans",
 ]
 
 
