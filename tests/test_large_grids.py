@@ -13,6 +13,7 @@ NAMES = [
     "artifact_roundtrip",
     "grid_preview",
     "group_plans",
+    "preview_rects",
 ]
 
 
