@@ -14,6 +14,7 @@ NAMES = [
     "grid_preview",
     "group_plans",
     "preview_rects",
+    "qc_batches",
 ]
 
 
