@@ -15,6 +15,7 @@ NAMES = [
     "group_plans",
     "preview_rects",
     "qc_batches",
+    "region_slices",
 ]
 
 
