@@ -16,6 +16,7 @@ NAMES = [
     "preview_rects",
     "qc_batches",
     "region_slices",
+    "tar_manifest",
 ]
 
 
