@@ -17,6 +17,7 @@ NAMES = [
     "qc_batches",
     "region_slices",
     "tar_manifest",
+    "tile_count_heuristic",
 ]
 
 
