@@ -18,6 +18,7 @@ NAMES = [
     "region_slices",
     "tar_manifest",
     "tile_count_heuristic",
+    "tile_coverage",
 ]
 
 
