@@ -19,6 +19,7 @@ NAMES = [
     "tar_manifest",
     "tile_count_heuristic",
     "tile_coverage",
+    "tile_index_contiguity",
 ]
 
 
