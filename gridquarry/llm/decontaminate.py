@@ -38,6 +38,8 @@ from gridquarry.llm import textkit as tk
 INDEX = "doc_ids array<bigint>, doc_words array<int>, terms array<binary>, counts array<int>, positions binary, segment string"
 MATCHES = "doc_id bigint, n_words bigint, starts array<int>, ends array<int>, items array<bigint>, near array<bigint>"
 NEAR = "doc_id bigint, item_id bigint, start int, end int"
+#: Rows of the index are megabytes each: row groups end by bytes, which else are looked at after 100 rows only.
+WIDE = {"parquet.block.size": 8 << 20, "parquet.block.size.row.check.min": 1, "parquet.block.size.row.check.max": 1, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Items are broadcast in blocks of at most so many words.
 BLOCK_WORDS = 1_000_000
 
@@ -67,12 +69,22 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     A place is the number of the word in its segment plus the number of documents before it, so that no phrase runs from one document into the next.
     """
 
+    tk.light_batches(docs.sparkSession)
+
     def segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tk.slices(batch, "text"):
                 yield _segment(part.column("doc_id").cast(pa.int64()), part.column("text"))
 
-    return tk.stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(segments, INDEX), "index")
+    return tk.stored(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(segments, INDEX), "index", **WIDE)
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Rows of the index one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield batch.slice(k, 1).to_pylist()[0]
+        tk.release()
 
 
 class Items:
@@ -205,14 +217,13 @@ def find_phrases(index: DataFrame, items: DataFrame, window: int = 13, id_col: s
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = Items(block, window)
-            for batch in batches:
-                for row in batch.to_pylist():
-                    seg = Segment(row, known.terms)
-                    found = _matches(seg, known)
-                    near: list[set[int]] = [set() for _ in range(found.num_rows)]
-                    for d, item, _, _ in _near(seg, wanted, slop) if wanted else ():
-                        near[d].add(item)
-                    yield found.append_column("near", pa.array([sorted(x) for x in near], pa.list_(pa.int64())))
+            for row in _rows(batches):
+                seg = Segment(row, known.terms)
+                found = _matches(seg, known)
+                near: list[set[int]] = [set() for _ in range(found.num_rows)]
+                for d, item, _, _ in _near(seg, wanted, slop) if wanted else ():
+                    near[d].add(item)
+                yield found.append_column("near", pa.array([sorted(x) for x in near], pa.list_(pa.int64())))
 
         return run
 
@@ -256,12 +267,11 @@ def _frequencies(index: DataFrame, known: dict[bytes, int]) -> np.ndarray:
     """For each known term: how many documents of the whole index have it."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                seg = Segment(row, known)
-                own = list(seg.lists)
-                n = [len(np.unique(seg.doc_of(seg.lists[t]))) for t in own]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n, pa.int64())], names=["term", "n"])
+        for row in _rows(batches):
+            seg = Segment(row, known)
+            own = list(seg.lists)
+            n = [len(np.unique(seg.doc_of(seg.lists[t]))) for t in own]
+            yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array(n, pa.int64())], names=["term", "n"])
 
     out = np.zeros(len(known), np.int64)
     for r in index.mapInArrow(count, "term int, n bigint").groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
@@ -308,12 +318,11 @@ def find_near(index: DataFrame, items: DataFrame, rarest: int = 4, slop: int = 2
         wanted, used, size = _wanted(index, block, rarest)
 
         def run(batches, wanted=wanted, used=used, size=size):
-            for batch in batches:
-                for row in batch.to_pylist():
-                    seg = Segment(row, used, size)
-                    rows = [(seg.ids[d], item, low, high) for d, item, low, high in _near(seg, wanted, slop)]
-                    columns = list(zip(*rows, strict=True)) or [[]] * 4
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "start", "end"])
+            for row in _rows(batches):
+                seg = Segment(row, used, size)
+                rows = [(seg.ids[d], item, low, high) for d, item, low, high in _near(seg, wanted, slop)]
+                columns = list(zip(*rows, strict=True)) or [[]] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int32()), strict=True)], names=["doc_id", "item_id", "start", "end"])
 
         part = index.mapInArrow(run, NEAR)
         out = part if out is None else out.unionByName(part)

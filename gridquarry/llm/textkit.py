@@ -204,3 +204,11 @@ def modest_batches(spark: SparkSession, rows: int = 2_000) -> None:
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(name)) > rows:
         spark.conf.set(name, str(rows))
+
+
+def light_batches(spark: SparkSession, size: int = 8 << 20) -> None:
+    """Lower the session's Arrow batches to `size` bytes: a count of rows does not bound rows that are megabytes each."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(name, None)
+    if now is None or not now.isdigit() or int(now) > size:
+        spark.conf.set(name, str(size))

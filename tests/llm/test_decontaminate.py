@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from gridquarry.llm import decontaminate as dc
 from gridquarry.llm.queries import op6_decontaminate
 
@@ -132,3 +135,12 @@ def test_pipeline_stages_take_one_python_worker_to_a_task(spark):
     for stage in (cp.drop_contaminated, cp.redact_secrets, cp.encode_pieces):
         plan = stage(spark, docs, SF)._jdf.queryExecution().executedPlan().toString()
         assert plan.count("MapInArrow") == 1
+
+
+def test_searches_get_few_segments_at_once(spark):
+    # 16 texts of more than a slice each in one task: the index is not handed over as one batch
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(500_000)), lambda k: (k % 5_000).cast("string")))
+    docs = spark.range(16).coalesce(1).select(F.col("id").alias("doc_id"), F.concat(text, F.lit(" " * 1_000_000)).alias("text"))
+    index = dc.build_index(docs)
+    sizes = index.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": pa.array([b.num_rows], pa.int64())}) for b in batches), "n bigint").collect()
+    assert sum(r["n"] for r in sizes) == 16 and max(r["n"] for r in sizes) <= 6
