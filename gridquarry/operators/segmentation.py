@@ -7,15 +7,17 @@ beside it at most, whatever the size of the neighbourhood or of the raster.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gridquarry.functions import colour
+from gridquarry.operators import components as cc
+from gridquarry.shared import stored
 
 
 def _rgb():
@@ -36,39 +38,60 @@ def hsv_range(pixels: DataFrame, low: tuple[int, int, int] = (90, 8, 103), high:
 
 #: Side of the blocks that neighbourhood filters work on.
 BLOCK = 128
+#: Kinds of values that they return.
+ARROW = {"tinyint": pa.int8(), "smallint": pa.int16(), "int": pa.int32(), "bigint": pa.int64(), "float": pa.float32(), "double": pa.float64()}
 
 
-def over_blocks(values: DataFrame, column: str, margin: int, fn: Callable[[np.ndarray], np.ndarray], kind: str, edge: str | float = "edge", key: str = "slide_id", block: int | None = None, out: str | None = None) -> DataFrame:
-    """(key, x, y, out): fn of each block of a dense raster with `margin` pixels around it, which returns the block without them.
+def over_blocks(values: DataFrame, columns: str | tuple[str, ...], margin: int, fn: Callable[[np.ndarray], np.ndarray], kind: str, edge: str | float = "edge", key: str = "slide_id", block: int | None = None, out: str | None = None) -> DataFrame:
+    """(key, x, y, columns or out): fn of each block of a dense raster with `margin` pixels around it, which returns the block without them.
 
     edge: "edge" repeats the raster's outer pixels, "reflect" mirrors at them, a number stands outside.
+    Blocks that lie alike are handed over many at once: fn works on the last two axes.
+    Where the raster ends is seen from the pixels that a block gets, as it is dense.
     """
-    block, out = block or BLOCK, out or column
-    size = values.groupBy(key).agg(F.max("x").alias("_w"), F.max("y").alias("_h"))
+    block = block or BLOCK
+    columns = (columns,) if isinstance(columns, str) else columns
+    named = [out] if out else list(columns)
     near = lambda c: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - margin) / block), F.lit(0)), F.floor((F.col(c) + margin) / block)))
-    spread = values.select(key, "x", "y", F.col(column).alias("_v")).withColumn("_bx", near("x")).withColumn("_by", near("y")).join(size, key)
-    spread = spread.where((F.col("_bx") * block <= F.col("_w")) & (F.col("_by") * block <= F.col("_h")))
-
-    def one(frame: pd.DataFrame) -> pd.DataFrame:
-        low_x, low_y = int(frame["_bx"].iloc[0]) * block, int(frame["_by"].iloc[0]) * block
-        width, height = min(block, int(frame["_w"].iloc[0]) + 1 - low_x), min(block, int(frame["_h"].iloc[0]) + 1 - low_y)
-        x, y = frame["x"].to_numpy() - low_x, frame["y"].to_numpy() - low_y
-        x0, y0, x1, y1 = x.min(), y.min(), x.max() + 1, y.max() + 1
-        inside = np.zeros((y1 - y0, x1 - x0), frame["_v"].to_numpy().dtype)
-        inside[y - y0, x - x0] = frame["_v"].to_numpy()
-        pads = ((margin + y0, height + margin - y1), (margin + x0, width + margin - x1))
-        whole = np.pad(inside, pads, mode=edge) if isinstance(edge, str) else np.pad(inside, pads, constant_values=edge)
-        done = fn(whole)
-        at_y, at_x = np.divmod(np.arange(width * height), width)
-        return pd.DataFrame({key: frame[key].iloc[0], "x": at_x + low_x, "y": at_y + low_y, out: done.ravel()})
-
-    return spread.groupBy(key, "_bx", "_by").applyInPandas(one, f"`{key}` {dict(values.dtypes)[key]}, x bigint, y bigint, `{out}` {kind}")
+    spread = values.select(key, "x", "y", *(F.col(c).alias(f"_v{k}") for k, c in enumerate(columns))).withColumn("_bx", near("x")).withColumn("_by", near("y"))
+    dealt = spread.repartition(key, "_bx", "_by").sortWithinPartitions(key, "_bx", "_by")
+    told = ARROW[kind]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, group in cc._whole_groups(batches, [key, "_bx", "_by"]):
+            first = np.flatnonzero(np.diff(group, prepend=-1))
+            low_x, low_y = (rows[c].to_numpy()[first].astype(np.int64) * block for c in ("_bx", "_by"))
+            x, y = rows["x"].to_numpy() - low_x[group], rows["y"].to_numpy() - low_y[group]
+            found = [rows[f"_v{k}"].to_numpy() for k in range(len(columns))]
+            boxes = np.stack([np.minimum.reduceat(x, first), np.minimum.reduceat(y, first), np.maximum.reduceat(x, first) + 1, np.maximum.reduceat(y, first) + 1], axis=1)
+            shapes, shape_of = np.unique(boxes, axis=0, return_inverse=True)
+            for k, (x0, y0, x1, y1) in enumerate(shapes.tolist()):
+                width, height = min(block, x1), min(block, y1)
+                if width <= 0 or height <= 0:
+                    continue
+                own = np.flatnonzero(shape_of.ravel() == k)
+                place = np.full(len(first), -1)
+                place[own] = np.arange(len(own))
+                at = place[group]
+                here = np.flatnonzero(at >= 0)
+                inside = np.zeros((len(columns), len(own), y1 - y0, x1 - x0), np.result_type(*found))
+                for c, v in enumerate(found):
+                    inside[c, at[here], y[here] - y0, x[here] - x0] = v[here]
+                pads = ((0, 0), (0, 0), (margin + y0, height + margin - y1), (margin + x0, width + margin - x1))
+                whole = np.pad(inside, pads, mode=edge) if isinstance(edge, str) else np.pad(inside, pads, constant_values=edge)
+                done = fn(whole)
+                at_y, at_x = np.divmod(np.tile(np.arange(width * height), len(own)), width)
+                of = np.repeat(own, width * height)
+                got = [rows[key].take(pa.array(first[of])), pa.array(at_x + low_x[of]), pa.array(at_y + low_y[of]), *(pa.array(d.ravel().astype(told.to_pandas_dtype())) for d in done)]
+                yield from pa.table(got, names=[key, "x", "y", *named]).to_batches()
+
+    return dealt.mapInArrow(run, f"`{key}` {dict(values.dtypes)[key]}, x bigint, y bigint, " + ", ".join(f"`{c}` {kind}" for c in named))
 
 
 def windows_of(whole: np.ndarray, size: int) -> np.ndarray:
-    """All size x size neighbourhoods as the last axis."""
-    seen = np.lib.stride_tricks.sliding_window_view(whole, (size, size))
-    return seen.reshape(*seen.shape[:2], size * size)
+    """All size x size neighbourhoods of the last two axes as one more axis."""
+    seen = np.lib.stride_tricks.sliding_window_view(whole, (size, size), axis=(-2, -1))
+    return seen.reshape(*seen.shape[:-2], size * size)
 
 
 def median(values: DataFrame, column: str, radius: int = 1, key: str = "slide_id", block: int | None = None) -> DataFrame:
@@ -77,25 +100,26 @@ def median(values: DataFrame, column: str, radius: int = 1, key: str = "slide_id
     kind = dict(values.dtypes)[column]
 
     def fn(whole: np.ndarray) -> np.ndarray:
-        lines = [np.partition(windows_of(whole[y : y + size + 7], size), size * size // 2, axis=-1)[..., size * size // 2] for y in range(0, len(whole) - size + 1, 8)]
-        return np.concatenate(lines)
+        lines = [np.partition(windows_of(whole[..., y : y + size + 7, :], size), size * size // 2, axis=-1)[..., size * size // 2] for y in range(0, whole.shape[-2] - size + 1, 8)]
+        return np.concatenate(lines, axis=-2)
 
     return over_blocks(values, column, radius, fn, kind, "edge", key, block, "median")
 
 
-def gaussian(values: DataFrame, column: str, sigma: float, key: str = "slide_id", block: int | None = None) -> DataFrame:
-    """(key, x, y, column): smoothed by rows and columns, the edge mirrored, rounded half to even; the kernel ends three sigmas out.  A sigma of 0 leaves the values."""
+def gaussian(values: DataFrame, columns: str | tuple[str, ...], sigma: float, key: str = "slide_id", block: int | None = None) -> DataFrame:
+    """(key, x, y, columns): smoothed by rows and columns, the edge mirrored, rounded half to even; the kernel ends three sigmas out.  A sigma of 0 leaves the values."""
+    columns = (columns,) if isinstance(columns, str) else columns
     if sigma <= 0:
-        return values.select(key, "x", "y", column)
+        return values.select(key, "x", "y", *columns)
     radius = max(1, int(3 * sigma + 0.5))
     weights = np.exp(-0.5 * (np.arange(-radius, radius + 1) / sigma) ** 2)
     weights /= weights.sum()
 
     def fn(whole: np.ndarray) -> np.ndarray:
-        rows = np.lib.stride_tricks.sliding_window_view(whole.astype(float), 2 * radius + 1, axis=1) @ weights
-        return np.rint(np.lib.stride_tricks.sliding_window_view(rows, 2 * radius + 1, axis=0) @ weights).astype(whole.dtype)
+        rows = np.lib.stride_tricks.sliding_window_view(whole.astype(float), 2 * radius + 1, axis=-1) @ weights
+        return np.rint(np.lib.stride_tricks.sliding_window_view(rows, 2 * radius + 1, axis=-2) @ weights).astype(whole.dtype)
 
-    return over_blocks(values, column, radius, fn, dict(values.dtypes)[column], "reflect", key, block)
+    return over_blocks(values, columns, radius, fn, dict(values.dtypes)[columns[0]], "reflect", key, block)
 
 
 def ellipse(radius: int) -> np.ndarray:
@@ -107,18 +131,36 @@ def ellipse(radius: int) -> np.ndarray:
 
 def morphed(mask: DataFrame, radius: int, steps: str, key: str = "slide_id", block: int | None = None) -> DataFrame:
     """mask: key, x, y, v (0 or 1), dense.  steps: d dilates and e erodes with an ellipse, one after the other; what lies outside the raster takes no part."""
-    if radius <= 0:
-        return mask.select(key, "x", "y", "v")
-    moves = ellipse(radius)
-    for step in steps:
+    return _morphed(mask, [(radius, step) for step in steps], key, block)
+
+
+def _morphed(mask: DataFrame, steps: list[tuple[int, str]], key: str = "slide_id", block: int | None = None) -> DataFrame:
+    """Steps of (radius, d or e); those whose margins are half a block together are done in one pass."""
+    left, out = [s for s in steps if s[0] > 0], mask.select(key, "x", "y", "v")
+    while left:
+        n = 1
+        while n < len(left) and 2 * sum(r for r, _ in left[: n + 1]) <= (block or BLOCK):
+            n += 1
+        out, left = over_blocks(out, "v", sum(r for r, _ in left[:n]), _steps(left[:n]), "int", OUTSIDE, key, block), left[n:]
+    return out
 
-        def fn(whole: np.ndarray, step: str = step) -> np.ndarray:
-            height, width = len(whole) - 2 * radius, whole.shape[1] - 2 * radius
-            seen = [whole[radius + dy : radius + dy + height, radius + dx : radius + dx + width] for dy, dx in moves.tolist()]
-            return (np.maximum if step == "d" else np.minimum).reduce(seen)
 
-        mask = over_blocks(mask, "v", radius, fn, "int", 0 if step == "d" else 1, key, block)
-    return mask
+#: Stands outside the raster while blocks are dilated and eroded.
+OUTSIDE = 2
+
+
+def _steps(steps: list[tuple[int, str]]) -> Callable[[np.ndarray], np.ndarray]:
+    def fn(whole: np.ndarray) -> np.ndarray:
+        beyond = whole == OUTSIDE
+        for radius, step in steps:
+            whole = np.where(beyond, 0 if step == "d" else 1, whole)
+            height, width = whole.shape[-2] - 2 * radius, whole.shape[-1] - 2 * radius
+            seen = [whole[..., radius + dy : radius + dy + height, radius + dx : radius + dx + width] for dy, dx in ellipse(radius).tolist()]
+            whole = (np.maximum if step == "d" else np.minimum).reduce(seen)
+            beyond = beyond[..., radius : radius + height, radius : radius + width]
+        return whole
+
+    return fn
 
 
 def threshold(values: DataFrame, column: str, above: int) -> DataFrame:
@@ -179,24 +221,23 @@ def otsu_mask(values: DataFrame, column: str, key: str = "slide_id") -> DataFram
 def fine_mask(pixels: DataFrame, sigma: float = 0.0, low: tuple[int, int, int] = (90, 8, 103), high: tuple[int, int, int] = (180, 255, 255), block: int | None = None) -> DataFrame:
     """(slide_id, x, y, v): the colour range of smoothed channels, 0 or 1."""
     if sigma > 0:
-        parts = [gaussian(pixels, c, sigma, block=block) for c in ("r", "g", "b")]
-        pixels = parts[0].join(parts[1], ["slide_id", "x", "y"]).join(parts[2], ["slide_id", "x", "y"])
+        pixels = gaussian(pixels, ("r", "g", "b"), sigma, block=block)
     return hsv_range(pixels, low, high).select("slide_id", "x", "y", F.col("tissue").cast("int").alias("v"))
 
 
 def postprocessed(dense: DataFrame, width: int, height: int, least_px: int = 0, hole_px: int = 0, close_radius: int = 0, open_radius: int = 0, block: int | None = None) -> DataFrame:
     """dense: slide_id, x, y, v.  Small components go, small holes fill, then closing and opening with ellipses; each step only where its size is above 0."""
-    from gridquarry.operators import components as cc
-
+    if least_px > 0 or hole_px > 0:
+        dense = stored(dense.select("slide_id", "x", "y", "v"), "dense")
     slides = dense.select("slide_id").distinct()
     mask = dense.where("v = 1").select("slide_id", F.col("x").alias("mx"), F.col("y").alias("my"))
     if least_px > 0:
-        mask = cc.without_small(cc.components(mask, width, block), least_px).select("slide_id", "mx", "my")
+        mask = cc.without_small(cc.components(mask, width, block, height=height), least_px).select("slide_id", "mx", "my")
     if hole_px > 0:
         mask = cc.filled(mask, slides, width, height, hole_px, block)
     on = mask.select("slide_id", F.col("mx").alias("x"), F.col("my").alias("y"), F.lit(1).alias("_on"))
     out = dense.select("slide_id", "x", "y").join(on, ["slide_id", "x", "y"], "left").select("slide_id", "x", "y", F.coalesce("_on", F.lit(0)).alias("v"))
-    return morphed(morphed(out, close_radius, "de", block=block), open_radius, "ed", block=block)
+    return _morphed(out, [(close_radius, "d"), (close_radius, "e"), (open_radius, "e"), (open_radius, "d")], block=block)
 
 
 def coarse_to_fine(pixels: DataFrame, factor: int, margin: int, width: int, height: int, sigma: float = 0.0, block: int | None = None) -> DataFrame:
@@ -204,8 +245,6 @@ def coarse_to_fine(pixels: DataFrame, factor: int, margin: int, width: int, heig
 
     For pixels that are there as rows.  Where they are still in files, `coarse.masks` reads boxes alone.
     """
-    from gridquarry.operators import components as cc
-
     coarse = pixels.where((F.col("x") % factor == 0) & (F.col("y") % factor == 0)).withColumn("x", F.floor(F.col("x") / factor)).withColumn("y", F.floor(F.col("y") / factor))
     found = fine_mask(coarse, block=block).where("v = 1").select("slide_id", F.col("x").alias("mx"), F.col("y").alias("my"))
     boxes = cc.roi_boxes(cc.components(found, -(-width // factor), block, height=-(-height // factor)), factor, margin, width, height)
