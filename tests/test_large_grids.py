@@ -20,6 +20,7 @@ NAMES = [
     "tile_count_heuristic",
     "tile_coverage",
     "tile_index_contiguity",
+    "coverage_summary",
 ]
 
 
