@@ -21,6 +21,7 @@ NAMES = [
     "tile_coverage",
     "tile_index_contiguity",
     "coverage_summary",
+    "preview_images",
 ]
 
 
