@@ -22,6 +22,7 @@ NAMES = [
     "tile_index_contiguity",
     "coverage_summary",
     "preview_images",
+    "supertile_greedy",
 ]
 
 
